@@ -72,44 +72,6 @@ def dist_kl(p: DataFrame, q: DataFrame, group_cols=None) -> DataFrame:
     return agg.select(*g, kl.alias("kl"))
 
 
-def _chi2_sf(x: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution (regularised incomplete gamma)."""
-    import math
-    if x <= 0 or dof <= 0:
-        return 1.0
-    a, z = dof / 2.0, x / 2.0
-    if z < a + 1:  # series for the lower tail
-        term = s = 1.0 / a
-        k = a
-        for _ in range(10000):
-            k += 1
-            term *= z / k
-            s += term
-            if abs(term) < abs(s) * 1e-15:
-                break
-        lower = s * math.exp(-z + a * math.log(z) - math.lgamma(a))
-        return max(0.0, 1.0 - lower)
-    # continued fraction for the upper tail
-    tiny = 1e-300
-    b = z + 1 - a
-    c = 1 / tiny
-    d = 1 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = tiny if abs(d) < tiny else d
-        c = b + an / c
-        c = tiny if abs(c) < tiny else c
-        d = 1 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return h * math.exp(-z + a * math.log(z) - math.lgamma(a))
-
-
 def chi_square(p: DataFrame, q: DataFrame, group_cols=None) -> DataFrame:
     """Chi-square test of the 2 x k contingency table [p counts; q counts].
 
@@ -119,8 +81,7 @@ def chi_square(p: DataFrame, q: DataFrame, group_cols=None) -> DataFrame:
     single aggregated row per group by a vectorised pandas UDF.
     Empty side -> (0, 1).
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    from ..functions.udfs import chi2_pvalue
 
     g = _g(group_cols)
     a = align(p, q, g).where((F.col("np") + F.col("nq")) > 0)
@@ -142,16 +103,12 @@ def chi_square(p: DataFrame, q: DataFrame, group_cols=None) -> DataFrame:
     agg = x.groupBy(*g).agg(F.sum(F.col("_tp") + F.col("_tq")).alias("_stat"),
                             F.max("_k").alias("_k"), F.max("_sp").alias("_sp"), F.max("_sq").alias("_sq"))
 
-    @pandas_udf("double")
-    def sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
-        return pd.Series([_chi2_sf(float(s), int(d)) for s, d in zip(stat, dof)])
-
     ok = (F.col("_sp") > 0) & (F.col("_sq") > 0) & (F.col("_k") > 1)
     dof = (F.col("_k") - 1).cast("int")
     return agg.select(*g,
                       F.when(ok, F.col("_stat")).otherwise(F.lit(0.0)).alias("chi2"),
                       F.when(ok, dof).otherwise(F.lit(0)).alias("dof"),
-                      F.when(ok, sf(F.col("_stat"), dof)).otherwise(F.lit(1.0)).alias("p_value"))
+                      F.when(ok, chi2_pvalue(F.col("_stat"), dof)).otherwise(F.lit(1.0)).alias("p_value"))
 
 
 # ---------------------------------------------------------------- cell sets
