@@ -41,7 +41,7 @@ def float_value(x) -> Column:
     """Python-float parse: numeric when the text passes FLOAT_RE."""
     x = _c(x)
     cleaned = F.regexp_replace(F.trim(x), "_", "")
-    return F.when(is_float_text(x), F.try_cast(cleaned, "double"))
+    return F.when(is_float_text(x), cleaned.try_cast("double"))
 
 
 def value_type(x) -> Column:

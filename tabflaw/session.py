@@ -32,6 +32,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     parts = shuffle_partitions or (8 if cores == "*" else max(int(cores), 1))
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "16g")
                .config("spark.sql.shuffle.partitions", str(parts)))
     for k, v in SCALE_CONF.items():
