@@ -1 +1,88 @@
-"""Registered queries."""
+"""Registered queries: error budget, quota selection, conflict resolution, generation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import hash_key
+from ..operators import cells, generate as G
+from . import fixtures as fx
+from .oracle_sql import fixture_sql
+from .registry import query
+
+_RATIO, _RATIOS = 0.2, "1:2:4:3"
+_W = [1, 2, 4, 3]
+_TYPES = ["outliers", "missing_value", "pattern_violation", "rule_violation"]
+CUSTOMER_RULE = "EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktsegment)"
+
+
+def _budget_sql(table, ncols):
+    rows = " union all ".join(
+        f"select '{t}' as error_type, {i} as i" for i, t in enumerate(_TYPES))
+    shares = ", ".join(str(w / sum(_W)) for w in _W)
+    return f"""select error_type, total_errors,
+      cast(floor(cast(total_errors as double) * [{shares}][i + 1]) as bigint) as quota
+    from (select cast(floor({_RATIO} * cast(count(*) * {ncols} as double)) as bigint) as total_errors
+          from {table}) b, ({rows}) t"""
+
+
+@query("error_budget", fixture_sql(
+    f"select 'customer' as dataset, * from ({_budget_sql('cust_clean', 4)}) union all "
+    f"select 'orders' as dataset, * from ({_budget_sql('ord_clean', 5)})"))
+def q_error_budget(spark, sf_dir):
+    parts = [G.error_budget(fx.clean_table(spark, sf_dir, d), _RATIO, _RATIOS).select(F.lit(d).alias("dataset"), "*")
+             for d in ("customer", "orders")]
+    return parts[0].unionByName(parts[1])
+
+
+def _pool(spark, sf_dir):
+    """Candidate pool: two generated logs with seeded priorities."""
+    g = fx.annotation_log(spark, sf_dir, "customer", "g").withColumn("src", F.lit("g"))
+    h = fx.annotation_log(spark, sf_dir, "customer", "h").withColumn("src", F.lit("h"))
+    x = g.unionByName(h)
+    return x.withColumn("priority", hash_key(42, F.col("src"), F.col("row_id"), F.col("column")))
+
+
+@query("quota_select", fixture_sql(
+    f"""select src, row_id, "column", error_type, priority from (
+      select p.*, row_number() over (partition by p.error_type order by p.priority) as rn, b.quota
+      from (select *, md5('42|' || src || '|' || row_id || '|' || "column") as priority
+            from (select 'g' as src, * from cust_glog union all select 'h' as src, * from cust_hlog)) p
+      join ({_budget_sql('cust_clean', 4)}) b on b.error_type = p.error_type)
+    where rn <= quota"""))
+def q_quota_select(spark, sf_dir):
+    budget = G.error_budget(fx.customer_clean(spark, sf_dir), _RATIO, _RATIOS)
+    out = G.quota_select(_pool(spark, sf_dir), budget)
+    return out.select("src", "row_id", "column", "error_type", "priority")
+
+
+@query("conflict_free_cells")
+def q_conflict_free_cells(spark, sf_dir):
+    """Two overlapping generated logs + rule proposals; no cell edited twice (greedy by priority)."""
+    clean = fx.customer_clean(spark, sf_dir)
+    budget = G.error_budget(clean, _RATIO, _RATIOS)
+    rules = G._rule_candidates(clean, CUSTOMER_RULE, 42, "row_id")
+    pool = _pool(spark, sf_dir).drop("src").unionByName(rules)
+    return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
+
+
+@query("propose_errors")
+def q_propose_errors(spark, sf_dir):
+    clean = fx.customer_clean(spark, sf_dir)
+    budget = G.error_budget(clean, _RATIO, _RATIOS)
+    return G.propose_errors(clean, budget, seed=42, rule=CUSTOMER_RULE)
+
+
+@query("generate_errors")
+def q_generate_errors(spark, sf_dir):
+    """Budget -> propose -> validate -> conflict-free -> quota, on the orders table."""
+    clean = fx.orders_clean(spark, sf_dir)
+    return G.generate_errors(clean, _RATIO, _RATIOS, seed=7)
+
+
+@query("apply_generated")
+def q_apply_generated(spark, sf_dir):
+    """The generated log applied to the clean customer table (rule errors included)."""
+    clean = fx.customer_clean(spark, sf_dir)
+    log = G.generate_errors(clean, _RATIO, _RATIOS, rule=CUSTOMER_RULE, seed=11)
+    return cells.apply_errors(clean, log, order_col=None)
