@@ -159,7 +159,7 @@ def row_index(df: DataFrame, order_by: str | None = None, name: str = "row_index
     (a table with one row per partition, so its broadcast is bounded by
     the partition count, not by the data).
     """
-    base = df.orderBy(order_by) if order_by else df
+    base = df.orderBy(order_by) if order_by is not None else df
     mid = F.monotonically_increasing_id()
     tagged = base.select("*", F.spark_partition_id().alias("_pid"), mid.alias("_mid"))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
