@@ -35,3 +35,32 @@ def method_report(real_log: DataFrame, gen_logs: DataFrame, methods: list[str] |
                       "n_gen", "tp", F.round("recall", 9).alias("recall"),
                       F.round("precision", 9).alias("precision"),
                       F.round("row_jaccard", 9).alias("row_jaccard"))
+
+
+def semantic_similarity(real_log: DataFrame, gen_log: DataFrame, group_cols=None, key: str = "row_id",
+                        dim: int = 64, ngram: int = 3) -> DataFrame:
+    """0.5 * text + 0.3 * numeric + 0.2 * datetime similarity.
+
+    Real and generated errors are paired by cell (key join on group, row,
+    column); each pair is typed by the real value; a class with no pairs
+    contributes 0.  Text similarity uses hashed n-gram embeddings.
+    """
+    from ..functions.values import value_type
+    from ..functions.vectors import hash_embed
+    from ..operators.patterns import text_similarity
+
+    g = list(group_cols or [])
+    r = real_log.select(*g, key, "column", F.col("error_value").alias("tv"))
+    q = gen_log.select(*g, key, "column", F.col("error_value").alias("gv"))
+    pairs = r.join(q, g + [key, "column"]).withColumn("_t", value_type(F.col("tv")))
+    groups = pairs.select(*g).distinct()
+    txt = pairs.where(F.col("_t") == "text")
+    ts = text_similarity(txt.select(*g, hash_embed(F.col("tv"), dim, ngram).alias("vec")),
+                         txt.select(*g, hash_embed(F.col("gv"), dim, ngram).alias("vec")), group_cols=g)
+    ns = M.numeric_similarity(pairs.where(F.col("_t") == "numeric"), "tv", "gv", g)
+    ds = M.datetime_similarity(pairs.where(F.col("_t") == "datetime"), "tv", "gv", g)
+    out = groups.join(ts, g, "left").join(ns, g, "left").join(ds, g, "left")
+    score = (0.5 * F.coalesce(F.col("text_similarity"), F.lit(0.0))
+             + 0.3 * F.coalesce(F.col("numeric_similarity"), F.lit(0.0))
+             + 0.2 * F.coalesce(F.col("datetime_similarity"), F.lit(0.0)))
+    return out.select(*g, F.round(score, 9).alias("semantic_similarity"))
