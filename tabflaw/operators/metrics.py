@@ -34,9 +34,10 @@ def align(p: DataFrame, q: DataFrame, group_cols=None, key: str = "column") -> D
     w = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
     # distributions are per-column counts (one row per column name), so the
     # per-group window holds at most the number of columns of a table.
+    # an empty side has no probabilities: null, not a division error
     return j.select(*g, key, "np", "nq",
-                    (F.col("np") / F.sum("np").over(w)).alias("pp"),
-                    (F.col("nq") / F.sum("nq").over(w)).alias("pq"))
+                    F.try_divide(F.col("np"), F.sum("np").over(w)).alias("pp"),
+                    F.try_divide(F.col("nq"), F.sum("nq").over(w)).alias("pq"))
 
 
 def dist_jaccard(p: DataFrame, q: DataFrame, group_cols=None) -> DataFrame:

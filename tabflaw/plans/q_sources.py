@@ -1 +1,68 @@
-"""Registered queries."""
+"""Registered queries: null-token rule and JSON-line log parsing over derived text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import hash_bucket, md5_digit
+from ..functions.values import NA_TOKENS, na_to_null
+from ..schemas import ERROR_FIELDS
+from ..sources import files as S
+from . import fixtures as fx
+from .oracle_sql import fixture_sql
+from .registry import query
+
+_TOKENS_SQL = "[" + ", ".join("'" + t + "'" for t in NA_TOKENS) + "]"
+
+
+@query("scan_csv_na", f"""select row_id, c_name_raw,
+    case when list_contains({_TOKENS_SQL}, c_name_raw) then null else c_name_raw end as c_name
+  from (select cast(c_custkey as varchar) as row_id,
+          case when substr(md5('na|' || cast(c_custkey as varchar)), 1, 1) = '0'
+               then {_TOKENS_SQL}[cast('0x' || substr(md5('tok|' || cast(c_custkey as varchar)), 1, 8) as bigint)
+                                  % {len(NA_TOKENS)} + 1]
+               else c_name end as c_name_raw from customer)""")
+def q_scan_csv_na(spark, sf_dir):
+    """The CSV null-token rule on text cells: about 1 in 16 names replaced by a pandas null token."""
+    c = fx.read_table(spark, sf_dir, "customer")
+    rid = F.col("c_custkey").cast("string")
+    tok = F.element_at(F.array(*[F.lit(t) for t in NA_TOKENS]),
+                       (hash_bucket(F.concat(F.lit("tok|"), rid), len(NA_TOKENS)) + 1).cast("int"))
+    raw = F.when(md5_digit("na|", rid) == "0", tok).otherwise(F.col("c_name"))
+    x = c.select(rid.alias("row_id"), raw.alias("c_name_raw"))
+    return x.select("row_id", "c_name_raw", na_to_null("c_name_raw").alias("c_name"))
+
+
+_BAD = "substr(md5('j|' || dataset || '|' || row_id || '|' || \"column\"), 1, 1) = '7'"
+
+
+@query("scan_error_log", fixture_sql(
+    f"""select dataset, src_row, src_column,
+      case when {_BAD} then null else row_id end as row_id,
+      case when {_BAD} then null else "column" end as "column",
+      case when {_BAD} then null else error_type end as error_type,
+      case when {_BAD} then null else error_value end as error_value,
+      case when {_BAD} then null else right_value end as right_value,
+      case when {_BAD} then null else missing_value end as missing_value,
+      case when {_BAD} then null else "constraint" end as "constraint",
+      case when {_BAD} then null else tuple_pairs end as tuple_pairs,
+      {_BAD} as bad
+    from (select *, row_id as src_row, "column" as src_column from all_glog)"""))
+def q_scan_error_log(spark, sf_dir):
+    """JSON-lines log parsing (the file reader's parser) over log lines rendered from
+    the generated log; about 1 in 16 lines is truncated and must come out as bad."""
+    log = fx.all_logs(spark, sf_dir, prefix="g")
+    broken = md5_digit("j|", F.concat_ws("|", "dataset", "row_id", "column")) == "7"
+    lines = log.select("dataset", F.col("row_id").alias("src_row"), F.col("column").alias("src_column"),
+                       F.to_json(F.struct(*[F.col(c) for c in ERROR_FIELDS]),
+                                 {"ignoreNullFields": "false"}).alias("value_tmp"), broken.alias("_b"))
+    lines = lines.select("dataset", "src_row", "src_column",
+                         F.when(F.col("_b"), F.expr("substring(value_tmp, 1, length(value_tmp) - 3)"))
+                         .otherwise(F.col("value_tmp")).alias("value"))
+    return S.parse_jsonl_lines(lines)
+
+
+@query("csv_to_json_rows")
+def q_csv_to_json_rows(spark, sf_dir):
+    """S10 row form: each dirty customer row as one JSON object (nulls kept)."""
+    return S.csv_to_json_rows(fx.dirty_table(spark, sf_dir, "customer"))
