@@ -41,19 +41,20 @@ def dc_to_text(rule) -> Column:
 
     Predicates with an unknown operator are dropped; an empty rule gives '.'.
     """
+    from .vectors import let
     r = _c(rule)
-    ops = F.regexp_extract_all(r, F.lit(PREDICATE_RE), 1)
-    lefts = F.regexp_extract_all(r, F.lit(PREDICATE_RE), 2)
-    rights = F.regexp_extract_all(r, F.lit(PREDICATE_RE), 3)
     m = _op_map()
-    idx = F.sequence(F.lit(0), F.size(ops) - 1)
-    sentences = F.transform(
-        F.filter(idx, lambda i: F.map_contains_key(m, F.get(ops, i))),
-        lambda i: F.concat(F.lit("The "), F.get(lefts, i), F.lit(" of entity 1 "),
-                           F.element_at(m, F.get(ops, i)), F.lit(" the "), F.get(rights, i),
-                           F.lit(" of entity 2")))
-    sentences = F.when(F.size(ops) > 0, sentences).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array_join(sentences, " and "), F.lit("."))
+    # one regex pass: every predicate match as 'OP\x00left\x00right'
+    parts = F.regexp_extract_all(
+        F.regexp_replace(r, PREDICATE_RE, "\u0001$1\u0000$2\u0000$3\u0001"), F.lit("\u0001([^\u0001]*)\u0001"), 1)
+
+    def sentence(p):
+        return let(F.split(p, "\u0000"), lambda f: F.concat(
+            F.lit("The "), F.get(f, 1), F.lit(" of entity 1 "), F.element_at(m, F.get(f, 0)),
+            F.lit(" the "), F.get(f, 2), F.lit(" of entity 2")))
+
+    known = F.filter(parts, lambda p: F.map_contains_key(m, F.get(F.split(p, "\u0000"), 0)))
+    return F.concat(F.array_join(F.transform(known, sentence), " and "), F.lit("."))
 
 
 def constraint_entities(constraint) -> Column:

@@ -26,11 +26,29 @@ def hash_embed(text, dim: int = 64, n: int = 3) -> Column:
     value, computed in JVM expressions (no model, no Python).
     """
     s = _c(text)
-    buckets = F.transform(char_ngrams(s, n), lambda g: F.pmod(hash_int(g), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+    buckets = F.array_sort(F.transform(char_ngrams(s, n), lambda g: F.pmod(hash_int(g), F.lit(dim))))
+
+    def counts_of(b):
+        # counts from the first positions of the distinct buckets in the sorted
+        # array: k <= dim native scans instead of dim lambda passes per gram
+        ds = F.array_distinct(b)
+        firsts = F.transform(ds, lambda d: F.array_position(b, d))
+        ends = F.concat(F.slice(firsts, 2, dim), F.array(F.size(b) + 1))
+        return F.map_from_arrays(ds, F.zip_with(firsts, ends, lambda x, y: (y - x).cast("double")))
+
+    def dense_of(m):
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                           lambda d: F.coalesce(F.element_at(m, d.cast("long")), F.lit(0.0)))
+
+    vec = let(buckets, lambda b: let(counts_of(b), dense_of))
     zero = F.array_repeat(F.lit(0.0), dim)
-    return F.when(s.isNull() | (F.length(s) == 0), zero).otherwise(counts)
+    return F.when(s.isNull() | (F.length(s) == 0), zero).otherwise(vec)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (lambda expressions are not
+    de-duplicated, so a value used inside a lambda would be recomputed per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def dot(a, b) -> Column:
@@ -43,8 +61,7 @@ def norm(a) -> Column:
 
 def unit(a) -> Column:
     """v / |v|; the zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x / n)).otherwise(F.transform(_c(a), lambda x: x * 0.0))
+    return let(norm(a), lambda n: F.transform(_c(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
 def cosine(a, b) -> Column:

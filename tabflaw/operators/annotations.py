@@ -91,14 +91,14 @@ def validate_candidates(cands: DataFrame, table: DataFrame, key: str = "row_id")
     long = to_long(table, key).select(F.col(key).alias("_rid"), F.col("column").alias("_col"),
                                       F.col("value").alias("_true"), F.lit(True).alias("_hit"))
     c = cands.withColumn("_ev", F.trim(F.col("error_value").cast("string")))
+    # every row has every column in long form, so for a known column a miss
+    # means an unknown row: one join answers both checks
     j = c.join(long, (c[key] == long._rid) & (c["column"] == long._col), "left")
-    rows = table.select(F.col(key).alias("_rk")).distinct()
-    j = j.join(rows, j[key] == rows._rk, "left")
     ev_num, tv_num = float_value(F.col("_ev")), float_value(F.col("_true"))
     same = F.when(ev_num.isNotNull() & tv_num.isNotNull(), ev_num == tv_num) \
             .otherwise(F.col("_ev").eqNullSafe(F.trim(F.col("_true"))))
     status = (F.when(~F.col("column").isin(cols) | F.col("column").isNull(), F.lit("undefined_column"))
-              .when(F.col("_rk").isNull(), F.lit("undefined_row"))
+              .when(F.col("_hit").isNull(), F.lit("undefined_row"))
               .when(same, F.lit("no_change"))
               .otherwise(F.lit("ok")))
     keep = [x for x in cands.columns if x != "right_value"]

@@ -134,38 +134,52 @@ def candidate_cells(cands: DataFrame, key: str = "row_id") -> DataFrame:
     return cands.select("cand_id", F.explode(rows).alias("cell_row"), F.col("column").alias("cell_col"))
 
 
-def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 20,
+def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
                   checkpoint: bool = True) -> DataFrame:
     """Keep candidates so that no cell is edited twice; equals the sequential
     greedy over candidates in ``priority`` order.
 
-    Round: a remaining candidate that holds the smallest priority on every
-    one of its cells is accepted (every better candidate touching those
-    cells is already rejected, so the greedy accepts it too); remaining
-    candidates touching an accepted cell are rejected.  Rounds repeat
-    until nothing remains (bounded; each round's state is checkpointed to
-    the shared checkpoint folder so lineage stays short and executor loss
-    recomputes one round only).
+    When every candidate edits one cell, the greedy keeps the best priority
+    per cell: one hash aggregate (``min_by``), no rounds.  Otherwise rounds:
+    a remaining candidate that holds the smallest priority on every one of
+    its cells is accepted (every better candidate touching those cells is
+    already rejected, so the greedy accepts it too); remaining candidates
+    touching an accepted cell are dropped.  Rounds repeat until nothing
+    remains; each round's state is checkpointed to the shared checkpoint
+    folder, so lineage stays short and a lost executor recomputes one round.
     """
     c = cands.withColumn("cand_id", F.concat_ws("#", F.col("priority"), F.col(key), F.col("column")))
     cells = candidate_cells(c, key)
+    multi = cells.groupBy("cand_id").count().where(F.col("count") > 1)
+    if multi.limit(1).count() == 0:
+        best = c.groupBy(key, "column").agg(F.min("priority").alias("_best"))
+        return c.join(best, [key, "column"]).where(F.col("priority") == F.col("_best")) \
+                .drop("_best", "cand_id")
     state = cells.join(c.select("cand_id", "priority"), "cand_id")
-    accepted = None
+    if checkpoint:
+        state = state.checkpoint()
+    accepted = []
     for _ in range(max_rounds):
-        w_min = state.groupBy("cell_row", "cell_col").agg(F.min("priority").alias("_best"))
-        s = state.join(w_min, ["cell_row", "cell_col"])
-        verdict = s.groupBy("cand_id").agg(F.bool_and(F.col("priority") == F.col("_best")).alias("_win"))
+        best = state.groupBy("cell_row", "cell_col").agg(F.min("priority").alias("_best"))
+        verdict = (state.join(best, ["cell_row", "cell_col"])
+                   .groupBy("cand_id").agg(F.bool_and(F.col("priority") == F.col("_best")).alias("_win")))
         winners = verdict.where("_win").select("cand_id")
-        won_cells = state.join(winners, "cand_id").select("cell_row", "cell_col").distinct()
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        blocked = state.join(won_cells, ["cell_row", "cell_col"], "left_semi").select("cand_id").distinct()
-        state = state.join(blocked, "cand_id", "left_anti")
+        won_cells = state.join(winners, "cand_id", "left_semi").select("cell_row", "cell_col")
+        blocked = state.join(won_cells, ["cell_row", "cell_col"], "left_semi").select("cand_id")
+        nxt = state.join(blocked, "cand_id", "left_anti")
         if checkpoint:
-            state = state.checkpoint()
-            accepted = accepted.checkpoint()
-        if state.limit(1).count() == 0:
+            winners = winners.checkpoint()
+            nxt = nxt.checkpoint()
+        accepted.append(winners)
+        state = nxt
+        if state.isEmpty():
             break
-    return c.join(accepted, "cand_id", "left_semi").drop("cand_id")
+    else:
+        raise RuntimeError(f"conflict resolution did not finish in {max_rounds} rounds")
+    acc = accepted[0]
+    for w in accepted[1:]:
+        acc = acc.unionByName(w)
+    return c.join(acc, "cand_id", "left_semi").drop("cand_id")
 
 
 def quota_select(cands: DataFrame, budget: DataFrame, buckets_bits: int = 16) -> DataFrame:
