@@ -202,14 +202,11 @@ fp as (select entry_id, error_type, 0 as j, p0 as ex_pos from fm where m >= 1
        union all select entry_id, error_type, 1 as j, p1 as ex_pos from fm where m >= 2)"""
 
 
-def _corpus(spark, sf_dir, fewshot=True):
-    i = _instructions(spark, sf_dir)
-    f = _fragments(spark, sf_dir)
-    from ..schemas import ERROR_FIELDS
-    out = F.to_json(F.struct(*[F.col(c) for c in ERROR_FIELDS]), {"ignoreNullFields": "false"})
-    c = i.join(f, "entry_id").withColumn("output_json", out)
-    c = P.split_rows(c, SPLIT, seed=42)
-    return P.add_fewshot(c, seed=42) if fewshot else c
+def _corpus(spark, sf_dir, fewshot=True, checkpoint=True):
+    from .corpus import build_corpus
+    return build_corpus(_entries(spark, sf_dir), fx.customer_clean(spark, sf_dir), "generation", k=K, seed=42,
+                        ratio=SPLIT, fewshot=fewshot, index_order=F.col("row_id").cast("bigint"),
+                        checkpoint=checkpoint)
 
 
 @query("fewshot_rank", fixture_sql(
@@ -231,7 +228,8 @@ def q_fewshot_rank(spark, sf_dir):
 def q_fewshot_join(spark, sf_dir):
     """Few-shot text appended to each instruction (the output JSON masked as '#':
     JSON layout differs between engines, the exemplar choice and inputs do not)."""
-    c = _corpus(spark, sf_dir, fewshot=False).withColumn("output_json", F.lit("#"))
+    c = _corpus(spark, sf_dir, fewshot=False, checkpoint=False).withColumn("output_json", F.lit("#"))
+    c = c.checkpoint()
     shots = P.add_fewshot(c, seed=42).select("entry_id", "split", "instruction")
     base = c.select("entry_id", F.length("instruction").alias("_n"))
     return shots.join(base, "entry_id").select(
