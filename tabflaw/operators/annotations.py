@@ -110,13 +110,22 @@ def generated_cells(log: DataFrame, key: str = "row_id") -> DataFrame:
     return log.select(key, "column").dropna().distinct()
 
 
-def cap_per_type(log: DataFrame, cap: int = 2500, file_col: str = "dataset",
-                 order_col: str = "line_no") -> DataFrame:
-    """First ``cap`` records per (file, error_type) in file order.
+def top_per_group(df: DataFrame, group_cols: list[str], order_col: str, k: int, salt_col: str,
+                  salts: int = 64) -> DataFrame:
+    """The first ``k`` rows per group by ``order_col``, exactly, without one task per group.
 
-    A window per (file, type) sorts inside each partition; a file with one
-    very frequent type is one window partition, but it is a streaming
-    rank (no collect), and only the first ``cap`` survive.
+    Stage 1 ranks inside (group, salt) partitions -- a hot group is spread
+    over ``salts`` tasks -- and keeps k per partition; the global first k of
+    a group are among those.  Stage 2 ranks the at most k x salts survivors.
     """
-    w = Window.partitionBy(file_col, "error_type").orderBy(order_col)
-    return log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)))
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(order_col)
+    s1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
+    w2 = Window.partitionBy(*group_cols).orderBy(order_col)
+    return s1.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= k).drop("_salt", "_r1", "_r2")
+
+
+def cap_per_type(log: DataFrame, cap: int = 2500, file_col: str = "dataset",
+                 order_col: str = "line_no", salts: int = 64) -> DataFrame:
+    """First ``cap`` records per (file, error_type) in file order (salted two-stage rank)."""
+    return top_per_group(log, [file_col, "error_type"], order_col, cap, order_col, salts)

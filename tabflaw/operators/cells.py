@@ -114,9 +114,12 @@ def apply_edits(table: DataFrame, edits: DataFrame, value_col: str, key: str = "
     """
     cols = value_columns(table, key)
     e = edits.where(F.col("column").isin(cols))
-    if order_col is not None:
-        e = (last_write if last_wins else first_write)(
-            e.select(key, "column", value_col, order_col), order_col=order_col, key=key)
+    if order_col is None:
+        # no write order given: one deterministic edit per cell (smallest value text)
+        e = e.select(key, "column", value_col, F.coalesce(F.col(value_col).cast("string"), F.lit("")).alias("_o"))
+        order_col = "_o"
+    e = (last_write if last_wins else first_write)(
+        e.select(key, "column", value_col, order_col), order_col=order_col, key=key)
     per_row = (e.groupBy(F.col(key).alias("_ek"))
                .agg(F.map_from_entries(F.collect_list(F.struct(F.col("column"), F.col(value_col).cast("string"))))
                     .alias("_m")))
