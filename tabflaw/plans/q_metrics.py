@@ -49,7 +49,7 @@ def q_cellchange_counts(spark, sf_dir):
 
 @query("dist_jaccard", fixture_sql(
     "select avg(least(pp, pq) / (greatest(pp, pq) + 1e-10)) as jaccard from t",
-    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN}"))
+    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN}"), round_cols=('jaccard',))
 def q_dist_jaccard(spark, sf_dir):
     return M.dist_jaccard(*_pq(spark, sf_dir))
 
@@ -57,7 +57,7 @@ def q_dist_jaccard(spark, sf_dir):
 @query("dist_js", fixture_sql(
     """select sqrt(greatest(0, sum(case when pp > 0 then pp * ln(pp / ((pp + pq) / 2)) else 0 end
                       + case when pq > 0 then pq * ln(pq / ((pp + pq) / 2)) else 0 end) / 2)) as js from t""",
-    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN}"))
+    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN}"), round_cols=('js',))
 def q_dist_js(spark, sf_dir):
     return M.dist_js(*_pq(spark, sf_dir))
 
@@ -68,7 +68,7 @@ def q_dist_js(spark, sf_dir):
                   else pp * log2(pp / pq) end) end as kl
        from t""",
     extra_ctes=f"{_P.replace('cust_diff', 'all_glog where \"column\" <> \'\'')},\n"
-               f"q as (select \"column\", count(*) as n from cust_diff group by \"column\"),\n{_ALIGN}"))
+               f"q as (select \"column\", count(*) as n from cust_diff group by \"column\"),\n{_ALIGN}"), round_cols=('kl',))
 def q_dist_kl(spark, sf_dir):
     # KL(generated || real): the generated side has columns the real side lacks -> Infinity.
     p, q = _pq(spark, sf_dir)
@@ -80,7 +80,7 @@ def q_dist_kl(spark, sf_dir):
          sum(case when pp <= 0 then 0.0 when pq <= 0 then 'Infinity'::double
                   else pp * log2(pp / pq) end) end as kl
        from t""",
-    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN}"))
+    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN}"), round_cols=('kl',))
 def q_dist_kl_finite(spark, sf_dir):
     return M.dist_kl(*_pq(spark, sf_dir))
 
@@ -97,7 +97,7 @@ e as (select *, (np + nq) * sp / (sp + sq) ep, (np + nq) * sq / (sp + sq) eq,
            + pow(greatest(abs(nq - eq) - least(y, abs(nq - eq)), 0), 2) / eq) else 0.0 end as chi2,
        cast(case when max(sp) > 0 and max(sq) > 0 and max(kk) > 1 then max(kk) - 1 else 0 end as integer) as dof
        from e""",
-    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN},\n{_CHI_SQL}"))
+    extra_ctes=f"{_P},\n{_Q},\n{_ALIGN},\n{_CHI_SQL}"), round_cols=('chi2',))
 def q_chi_square(spark, sf_dir):
     return M.chi_square(*_pq(spark, sf_dir)).select("chi2", "dof")
 
@@ -127,7 +127,7 @@ def _methods(spark, sf_dir, dataset="customer"):
          tp / n_gen as "precision", tp / (select count(*) from r) as recall,
          case when tp > 0 then 2 * (tp / n_gen) * (tp / (select count(*) from r))
               / ((tp / n_gen) + (tp / (select count(*) from r))) else 0.0 end as f1
-       from s""", extra_ctes=_CELL_SQL))
+       from s""", extra_ctes=_CELL_SQL), round_cols=('exact_match', 'precision', 'recall', 'f1'))
 def q_cell_f1(spark, sf_dir):
     real = fx.annotation_log(spark, sf_dir, "customer")
     return M.cell_scores(real, _methods(spark, sf_dir), group_cols=["method"])
@@ -137,7 +137,7 @@ def q_cell_f1(spark, sf_dir):
     """select (select count(*) from r) as n_real, count(*) as n_gen,
          count(r.row_id) as tp, count(r.row_id) / (select count(*) from r) as exact_match
        from (select distinct row_id, "column" from cust_glog) g left join r
-         on g.row_id = r.row_id and g."column" = r."column" """, extra_ctes=_CELL_SQL))
+         on g.row_id = r.row_id and g."column" = r."column" """, extra_ctes=_CELL_SQL), round_cols=('exact_match',))
 def q_exact_match(spark, sf_dir):
     real = fx.annotation_log(spark, sf_dir, "customer")
     gen = fx.annotation_log(spark, sf_dir, "customer", "g")
@@ -149,7 +149,7 @@ def q_exact_match(spark, sf_dir):
              / (select count(*) from (select row_id from cust_log union select row_id from cust_glog)) as row_jaccard,
               (select count(*) from (select "column" from cust_log intersect select "column" from cust_glog))
              / (select count(*) from (select "column" from cust_log union select "column" from cust_glog))
-             as column_jaccard"""))
+             as column_jaccard"""), round_cols=('row_jaccard', 'column_jaccard'))
 def q_rowcol_jaccard(spark, sf_dir):
     real = fx.annotation_log(spark, sf_dir, "customer")
     gen = fx.annotation_log(spark, sf_dir, "customer", "g")
@@ -217,7 +217,7 @@ def _typed_sql():
               where vtype = 'numeric'
                 and regexp_matches(right_value, '^(\d+\.?\d*|\.\d+)$')
                 and regexp_matches(error_value, '^(\d+\.?\d*|\.\d+)$'))
-        group by dataset""", extra_ctes=_typed_sql()))
+        group by dataset""", extra_ctes=_typed_sql()), round_cols=('numeric_similarity',))
 def q_numeric_similarity(spark, sf_dir):
     logs = fx.all_logs(spark, sf_dir).where(M.value_type("right_value") == "numeric")
     return M.numeric_similarity(logs, group_cols=["dataset"])
@@ -228,7 +228,7 @@ def q_numeric_similarity(spark, sf_dir):
                  else 1 - avg(abs(epoch(a) - epoch(b))) / 86400.0 end as datetime_similarity
        from (select dataset, coalesce(try_strptime(right_value, '%Y-%m-%d'), try_strptime(right_value, '%d/%m/%Y')) a,
                     coalesce(try_strptime(error_value, '%Y-%m-%d'), try_strptime(error_value, '%d/%m/%Y')) b
-             from typed where vtype = 'datetime') group by dataset""", extra_ctes=_typed_sql()))
+             from typed where vtype = 'datetime') group by dataset""", extra_ctes=_typed_sql()), round_cols=('datetime_similarity',))
 def q_datetime_similarity(spark, sf_dir):
     logs = fx.all_logs(spark, sf_dir).where(M.value_type("right_value") == "datetime")
     return M.datetime_similarity(logs, group_cols=["dataset"])

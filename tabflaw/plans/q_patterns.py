@@ -87,7 +87,7 @@ hv as (select dataset, side, {_embed_sql('v')} as vec from tv)"""
     """select a.dataset, avg(coalesce(case when list_dot_product(a.vec, a.vec) > 0 and list_dot_product(b.vec, b.vec) > 0
                                    then list_cosine_similarity(a.vec, b.vec) end, 0.0)) as text_similarity
        from hv a join hv b on a.dataset = b.dataset and a.side = 'real' and b.side = 'gen'
-       group by a.dataset""", extra_ctes=_TEXT_SQL))
+       group by a.dataset""", extra_ctes=_TEXT_SQL), round_cols=('text_similarity',))
 def q_text_similarity(spark, sf_dir):
     """Mean all-pairs cosine of real vs generated text error values (hashed embeddings)."""
     def side(prefix):

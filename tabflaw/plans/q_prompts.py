@@ -157,7 +157,7 @@ def q_prompt_text(spark, sf_dir):
          quantile_cont(n, 0.9) as p90, max(n) as max_len, round(avg(n), 6) as mean_len, sum(n) as total_len
        from (select length('User:' || chr(10) || i.instruction || chr(10) || 'Input:' || chr(10) || f.input
          || chr(10) || 'Assistant:' || chr(10)) as n from ins i join frag f on f.entry_id = i.entry_id)""",
-    extra_ctes=_FRAG_CTES))
+    extra_ctes=_FRAG_CTES), round_cols=('p10', 'p70', 'p80', 'p90'))
 def q_prompt_length_stats(spark, sf_dir):
     p = q_prompt_text(spark, sf_dir).select(F.length("prompt").alias("n"))
     return p.agg(F.percentile("n", 0.1).alias("p10"), F.percentile("n", 0.7).alias("p70"),
