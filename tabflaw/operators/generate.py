@@ -214,11 +214,57 @@ def generate_errors(table: DataFrame, error_ratio: float = 0.1, ratios: str = "1
                     rule: str | None = None, seed: int = 42, oversample: float = 1.5,
                     key: str = "row_id", checkpoint: bool = True) -> DataFrame:
     """Composite: budget -> propose -> validate -> conflict-free -> quota -> error log."""
-    from .annotations import validate_candidates
     budget = error_budget(table, error_ratio, ratios, key=key)
     cands = propose_errors(table, budget, seed=seed, oversample=oversample, rule=rule, key=key)
-    valid = validate_candidates(cands, table, key=key).where(F.col("status") == "ok").drop("status")
-    free = conflict_free(valid, key=key, checkpoint=checkpoint)
-    chosen = quota_select(free, budget)
+    chosen = select_errors(table, cands, budget, key=key, checkpoint=checkpoint)
     return chosen.select(key, "column", "error_type", "error_value", "right_value", "missing_value",
                          "constraint", "tuple_pairs", "priority")
+
+
+def model_completions(prompts: DataFrame, predict, id_col: str = "entry_id", text_col: str = "prompt",
+                      batch_rows: int = 64) -> DataFrame:
+    """(id, completion) from a user batch-inference function (the reference calls a model per prompt).
+
+    ``predict(list[str]) -> list[str]`` runs inside ``mapInPandas`` on Arrow
+    batches of at most ``batch_rows`` prompts, so a model is loaded once per
+    task and fed in batches; Spark partitions and retries the work.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), batch_rows):
+                chunk = b.iloc[i:i + batch_rows]
+                yield pd.DataFrame({id_col: chunk[id_col].to_numpy(),
+                                    "completion": list(predict(chunk[text_col].tolist()))})
+
+    return prompts.select(id_col, text_col).mapInPandas(run, f"{id_col} string, completion string")
+
+
+def candidates_from_completions(completions: DataFrame, seed: int = 42, id_col: str = "entry_id",
+                                requested_type: DataFrame | None = None) -> DataFrame:
+    """Parsed completions as candidate error records with a seeded priority.
+
+    Unparsable answers are dropped; when ``requested_type`` (id, error_type)
+    is given, an answer of another type is dropped too (the quota counts the
+    requested type).
+    """
+    from .annotations import parse_completion
+    from ..schemas import ERROR_FIELDS
+    p = parse_completion(completions, "completion").where("parse_ok")
+    c = p.select(id_col, *[F.col("record")[f].alias(f) for f in ERROR_FIELDS])
+    if requested_type is not None:
+        c = c.join(requested_type.select(id_col, F.col("error_type").alias("_req")), id_col) \
+             .where(F.col("error_type") == F.col("_req")).drop("_req")
+    c = c.withColumn("missing_value", F.coalesce(F.col("missing_value"), F.lit(0))) \
+         .withColumn("constraint", F.coalesce(F.col("constraint"), F.lit(""))) \
+         .withColumn("tuple_pairs", F.coalesce(F.col("tuple_pairs"), F.lit("")))
+    return c.withColumn("priority", hash_key(seed, F.col(id_col))).drop(id_col)
+
+
+def select_errors(table: DataFrame, cands: DataFrame, budget: DataFrame, key: str = "row_id",
+                  checkpoint: bool = True) -> DataFrame:
+    """validate -> conflict-free -> quota for candidates from any proposer."""
+    from .annotations import validate_candidates
+    valid = validate_candidates(cands, table, key=key).where(F.col("status") == "ok").drop("status")
+    return quota_select(conflict_free(valid, key=key, checkpoint=checkpoint), budget)

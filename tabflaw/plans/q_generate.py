@@ -86,3 +86,13 @@ def q_apply_generated(spark, sf_dir):
     clean = fx.customer_clean(spark, sf_dir)
     log = G.generate_errors(clean, _RATIO, _RATIOS, rule=CUSTOMER_RULE, seed=11)
     return cells.apply_errors(clean, log, order_col=None)
+
+
+@query("generation_prompts")
+def q_generation_prompts(spark, sf_dir):
+    """Model prompts for every budgeted error slot (rule slots carry a candidate pair)."""
+    from .generation import generation_prompts
+    clean = fx.customer_clean(spark, sf_dir)
+    budget = G.error_budget(clean, _RATIO, _RATIOS)
+    return generation_prompts(clean, budget, rule=CUSTOMER_RULE, seed=42,
+                              index_order=F.col("row_id").cast("bigint"))

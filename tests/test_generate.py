@@ -80,3 +80,44 @@ def test_generation_invariants(spark):
     dirty = apply_errors(clean, log, order_col=None)
     changed = {(r["row_id"], r["column"]) for r in cell_diff(clean, dirty).collect()}
     assert changed == {(r["row_id"], r["column"]) for r in log.collect()}
+
+
+def _toy_model(prompts):
+    """Stands in for a language model: edits the first data row's second column."""
+    import json
+    out = []
+    for p in prompts:
+        lines = p.split("Input:\n", 1)[1].split("\n")
+        head = [c.strip() for c in lines[0].strip("|").split("|")]
+        first = [c.strip() for c in lines[2].strip("|").split("|")]
+        et = "rule_violation" if "Denial Constraint is:" in p else \
+            next(t for t in G.ERROR_TYPES if f"a {t} error" in p or f"{t} error" in p)
+        rec = {"row_id": first[0], "column": head[1], "error_type": et, "error_value": first[1] + "!",
+               "right_value": first[1]}
+        out.append("Sure.\nAssistant: " + json.dumps(rec) + "\nDone")
+    return out
+
+
+def test_generation_prompts_and_model_loop(spark):
+    import sys
+
+    from pyspark import cloudpickle
+    from tabflaw.plans.generation import generate_with_model, generation_prompts
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])   # ship the toy model by value
+    clean = fx.customer_clean(spark, SF_SMALL)
+    rule = "EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktsegment)"
+    budget = G.error_budget(clean, 0.2, "1:2:4:3")
+    prompts = generation_prompts(clean, budget, rule=rule, seed=1).cache()
+    quotas = {r["error_type"]: r["quota"] for r in budget.collect()}
+    counts = {r["error_type"]: r["count"] for r in prompts.groupBy("error_type").count().collect()}
+    assert counts["missing_value"] == quotas["missing_value"]
+    assert 0 < counts.get("rule_violation", 0) <= quotas["rule_violation"]
+    p = prompts.where("error_type = 'rule_violation'").first()["prompt"]
+    assert p.startswith("User:\n") and p.endswith("\nAssistant:\n")
+    assert "Denial Constraint is: The c_nationkey of entity 1 is equal to" in p
+    table_text = p.split("Input:\n", 1)[1].rsplit("\nAssistant:", 1)[0]
+    assert len(table_text.split("\n")) == 2 + 5     # header, rule line, the pair + 3 rows
+    log = generate_with_model(clean, _toy_model, 0.2, "1:2:4:3", rule=rule, seed=1).cache()
+    assert log.count() > 0
+    assert log.groupBy("row_id", "column").count().where("count > 1").count() == 0
+    assert log.where(F.col("error_value").eqNullSafe(F.col("right_value"))).count() == 0
