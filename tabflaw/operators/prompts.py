@@ -227,3 +227,20 @@ def add_fewshot(corpus: DataFrame, seed=42, id_col: str = "entry_id", type_col:
     out = corpus.join(shots, id_col, "left")
     return out.withColumn("instruction", F.concat(F.col("instruction"), F.coalesce(F.col("_shots"), F.lit("")))) \
               .drop("_shots")
+
+
+def header_table(spark, tables: dict) -> DataFrame:
+    """(dataset, header): the Markdown header line of each known dataset's columns."""
+    rows = [(name, markdown_header(df.columns).split("\n")[0]) for name, df in tables.items()]
+    return spark.createDataFrame(rows, "dataset string, header string")
+
+
+def markdown_row_ids(md: DataFrame, headers: DataFrame, text_col: str = "input") -> DataFrame:
+    """Parse Markdown inputs back: dataset from the header line, row ids from the first
+    cell of every line after the header and rule lines.  ``headers`` has one row per
+    dataset (a handful), so it is broadcast."""
+    lines = F.split(F.col(text_col), "\n")
+    x = md.withColumn("_h", F.get(lines, 0)).withColumn(
+        "row_ids", F.transform(F.slice(lines, 3, F.size(lines)), lambda l: F.trim(F.get(F.split(l, r"\|"), 1))))
+    j = x.join(F.broadcast(headers.withColumnRenamed("header", "_h")), "_h", "left")
+    return j.drop("_h")

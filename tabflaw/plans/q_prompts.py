@@ -117,15 +117,14 @@ def q_context_rows(spark, sf_dir):
 
 
 @query("markdown_row_ids", fixture_sql(
-    """select entry_id, list_transform(string_split(input, chr(10))[3:],
+    """select 'customer' as dataset, entry_id, list_transform(string_split(input, chr(10))[3:],
                                        lambda l: trim(string_split(l, '|')[2])) as row_ids from frag""",
     extra_ctes=_FRAG_CTES))
 def q_markdown_row_ids(spark, sf_dir):
-    """Parse Markdown back: skip header and rule lines, first cell of each line."""
-    f = _fragments(spark, sf_dir)
-    lines = F.split("input", "\n")
-    body = F.slice(lines, 3, F.size(lines))
-    return f.select("entry_id", F.transform(body, lambda l: F.trim(F.get(F.split(l, r"\|"), 1))).alias("row_ids"))
+    """Parse Markdown back: dataset by header line, first cell of each data line."""
+    headers = P.header_table(spark, {d: fx.clean_table(spark, sf_dir, d) for d in ("customer", "orders")})
+    out = P.markdown_row_ids(_fragments(spark, sf_dir), headers)
+    return out.select("dataset", "entry_id", "row_ids")
 
 
 @query("markdown_missing", fixture_sql(
@@ -253,3 +252,21 @@ def q_sample_fragment(spark, sf_dir):
 def q_prompt_corpus(spark, sf_dir):
     """(split, entry_id, instruction with few-shot, input, output JSON) for the generation task."""
     return _corpus(spark, sf_dir).select("split", "entry_id", "instruction", "input", "output_json")
+
+
+for _task in ("detection", "correction"):
+    def _make(task):
+        @query(f"instruction_text_{task}", fixture_sql(
+            f"select entry_id, {_instr_sql(task)} as instruction from ent", extra_ctes=_FRAG_CTES))
+        def q_instr(spark, sf_dir):
+            return _instructions(spark, sf_dir, task).select("entry_id", "instruction")
+
+        @query(f"prompt_corpus_{task}")
+        def q_corpus(spark, sf_dir):
+            """C1 for a detection / correction task: inputs show the dirty table."""
+            from .corpus import build_corpus
+            return build_corpus(_entries(spark, sf_dir), fx.dirty_table(spark, sf_dir, "customer"), task,
+                                k=K, seed=42, ratio=SPLIT, index_order=F.col("row_id").cast("bigint")) \
+                .select("split", "entry_id", "instruction", "input", "output_json")
+        return q_instr, q_corpus
+    _make(_task)
