@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.constraints import constraint_columns, tuple_ids, tuple_ids_strict
 from ..functions.values import float_value
 from ..schemas import DETECTION_FIELDS, ERROR, ERROR_FIELDS
-from .cells import to_long
 
 
 def completion_json(text) -> F.Column:
@@ -81,19 +80,21 @@ def involved_rows(log: DataFrame, table: DataFrame, entry_col: str = "entry_id",
 def validate_candidates(cands: DataFrame, table: DataFrame, key: str = "row_id") -> DataFrame:
     """Check proposed errors against the table.
 
-    status: undefined_column / undefined_row / no_change / ok.  The true cell
-    value is fetched by an equi join on (row_id, column) with the table in
-    long form; ``right_value`` is replaced by the true value; a candidate
-    whose error value equals the true value (numerically when both parse
-    as numbers) is a no-op.
+    status: undefined_column / undefined_row / no_change / ok.  Candidates are
+    joined to the wide table on the row key (the table is shuffled as rows,
+    not exploded into cells) and the true value is picked by column name;
+    ``right_value`` is replaced by the true value; a candidate whose error
+    value equals the true value (numerically when both parse as numbers) is
+    a no-op.
     """
     cols = [c for c in table.columns if c != key]
-    long = to_long(table, key).select(F.col(key).alias("_rid"), F.col("column").alias("_col"),
-                                      F.col("value").alias("_true"), F.lit(True).alias("_hit"))
+    t = table.select(F.col(key).alias("_rid"), F.lit(True).alias("_hit"),
+                     F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+                     .alias("_vals"))
     c = cands.withColumn("_ev", F.trim(F.col("error_value").cast("string")))
-    # every row has every column in long form, so for a known column a miss
-    # means an unknown row: one join answers both checks
-    j = c.join(long, (c[key] == long._rid) & (c["column"] == long._col), "left")
+    j = c.join(t, c[key] == t._rid, "left")
+    true_v = F.element_at(F.col("_vals"), F.col("column"))
+    x = j.withColumn("_true", F.when(F.col("column").isin(cols), true_v))
     ev_num, tv_num = float_value(F.col("_ev")), float_value(F.col("_true"))
     same = F.when(ev_num.isNotNull() & tv_num.isNotNull(), ev_num == tv_num) \
             .otherwise(F.col("_ev").eqNullSafe(F.trim(F.col("_true"))))
@@ -101,8 +102,8 @@ def validate_candidates(cands: DataFrame, table: DataFrame, key: str = "row_id")
               .when(F.col("_hit").isNull(), F.lit("undefined_row"))
               .when(same, F.lit("no_change"))
               .otherwise(F.lit("ok")))
-    keep = [x for x in cands.columns if x != "right_value"]
-    return j.select(*keep, F.col("_true").alias("right_value"), status.alias("status"))
+    keep = [y for y in cands.columns if y != "right_value"]
+    return x.select(*keep, F.col("_true").alias("right_value"), status.alias("status"))
 
 
 def generated_cells(log: DataFrame, key: str = "row_id") -> DataFrame:

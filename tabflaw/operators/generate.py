@@ -84,7 +84,10 @@ def propose_errors(table: DataFrame, budget: DataFrame, seed: int = 42, oversamp
     cols = value_columns(table, key)
     long = to_long(table, key)
     n_cells = table.agg((F.count(F.lit(1)) * F.lit(len(cols))).cast("double")).scalar()
-    q = {t: budget.where(F.col("error_type") == t).select("quota").scalar() for t in ERROR_TYPES}
+    # all quotas in one scalar subquery (a struct), not one subquery per type
+    qs = budget.agg(F.struct(*[F.max(F.when(F.col("error_type") == t, F.col("quota"))).alias(t)
+                               for t in ERROR_TYPES])).scalar()
+    q = {t: qs[t] for t in ERROR_TYPES}
     u = hash_int(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col("column"))) / F.lit(4294967296.0)
     long = long.withColumn("_u", u)
     parts = []
