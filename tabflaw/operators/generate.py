@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, hash_key
+from ..session import cut_lineage
 from ..functions.values import float_value, value_type
 from ..schemas import ERROR_TYPES
 from . import constraints as C
@@ -160,7 +161,7 @@ def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
                 .drop("_best", "cand_id")
     state = cells.join(c.select("cand_id", "priority"), "cand_id")
     if checkpoint:
-        state = state.checkpoint()
+        state = cut_lineage(state)
     accepted = []
     for _ in range(max_rounds):
         best = state.groupBy("cell_row", "cell_col").agg(F.min("priority").alias("_best"))
@@ -171,8 +172,8 @@ def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
         blocked = state.join(won_cells, ["cell_row", "cell_col"], "left_semi").select("cand_id")
         nxt = state.join(blocked, "cand_id", "left_anti")
         if checkpoint:
-            winners = winners.checkpoint()
-            nxt = nxt.checkpoint()
+            winners = cut_lineage(winners)
+            nxt = cut_lineage(nxt)
         accepted.append(winners)
         state = nxt
         if state.isEmpty():

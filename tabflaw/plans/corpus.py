@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prompts as P
 from ..operators.annotations import task_output
+from ..session import cut_lineage
 from ..schemas import DETECTION_FIELDS, ERROR_FIELDS
 
 
@@ -31,9 +32,9 @@ def build_corpus(entries: DataFrame, table: DataFrame, task: str = "generation",
     frags = P.build_fragments(entries, table, k=k, seed=seed, key=key, index_order=index_order)
     base = instr.join(frags, "entry_id").join(out, "entry_id")
     if checkpoint:
-        base = base.checkpoint()
+        base = cut_lineage(base)
     split = P.split_rows(base, ratio, seed=seed)
     if checkpoint:
-        split = split.checkpoint()
+        split = cut_lineage(split)
     assert fields
     return P.add_fewshot(split, seed=seed) if fewshot else split

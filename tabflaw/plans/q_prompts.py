@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
+from ..session import cut_lineage
 from ..functions.templates import ERROR_TYPE_DESCRIPTIONS, SUFFIXES, TASK_DESCRIPTIONS
 from ..operators import prompts as P
 from . import fixtures as fx
@@ -228,7 +229,7 @@ def q_fewshot_join(spark, sf_dir):
     """Few-shot text appended to each instruction (the output JSON masked as '#':
     JSON layout differs between engines, the exemplar choice and inputs do not)."""
     c = _corpus(spark, sf_dir, fewshot=False, checkpoint=False).withColumn("output_json", F.lit("#"))
-    c = c.checkpoint()
+    c = cut_lineage(c)
     shots = P.add_fewshot(c, seed=42).select("entry_id", "split", "instruction")
     base = c.select("entry_id", F.length("instruction").alias("_n"))
     return shots.join(base, "entry_id").select(

@@ -77,3 +77,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a written table."""
     import uuid
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
