@@ -144,7 +144,23 @@ def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
             vals.append(F.when(hit, F.coalesce(F.col("_av"), F.lit(null_text))).otherwise(F.col(_q(c))).alias(c))
         rows = rows.select(entry_col, *vals)
     rows = rows.withColumn("_o", hash_key(seed, F.lit("order"), F.col(entry_col), F.col(key)))
-    return markdown_tables(rows, entry_col, "_o", cols, null_text).withColumnRenamed("markdown", "input")
+    md = markdown_tables(rows, entry_col, "_o", cols, null_text).withColumnRenamed("markdown", "input")
+    # an entry whose involved rows are not all in the table gets no input (it is
+    # reported by missing_involved instead of failing the whole job)
+    return md.join(missing_involved(entries, table, entry_col, key), entry_col, "left_anti")
+
+
+def missing_involved(entries: DataFrame, table: DataFrame, entry_col: str = "entry_id",
+                     key: str = "row_id") -> DataFrame:
+    """(entry_id) of entries that name a row id absent from the table (or a malformed one)."""
+    from .annotations import involved_ids
+    e = entries.select(entry_col, F.explode_outer(involved_ids(entries, key)).alias("_id"),
+                       F.col("error_type"), F.col(key).alias("_own"))
+    t = table.select(F.col(key).cast("bigint").alias("_tid")).distinct()
+    j = e.join(t, e._id == t._tid, "left")
+    bad = (F.col("_tid").isNull() & (F.col("_id").isNotNull() | F.col("_own").isNotNull()
+                                      | (F.col("error_type") == "rule_violation")))
+    return j.where(bad).select(entry_col).distinct()
 
 
 def split_rows(df: DataFrame, ratio: float = 0.9, seed=42, id_col: str = "entry_id") -> DataFrame:

@@ -73,3 +73,15 @@ def test_fewshot_rules(spark):
         if split[e] == "test":
             assert len(ex) == 2
     assert "lonely" not in per
+
+
+def test_fragment_drops_entries_with_unknown_rows(spark):
+    table = spark.createDataFrame([(str(i), f"n{i}") for i in range(20)], "row_id string, name string")
+    entries = spark.createDataFrame([
+        ("ok", "3", "name", "outliers", "x", ""),
+        ("gone", "999", "name", "outliers", "x", ""),
+        ("badpair", "3", "name", "rule_violation", "x", "(3, x)")],
+        "entry_id string, row_id string, column string, error_type string, error_value string, tuple_pairs string")
+    got = {r["entry_id"] for r in P.build_fragments(entries, table, k=3, seed=2).collect()}
+    assert got == {"ok"}
+    assert {r["entry_id"] for r in P.missing_involved(entries, table).collect()} == {"gone", "badpair"}

@@ -81,3 +81,14 @@ def test_csv_sink_round_trip(spark, scratch):
     S.write_csv_table(df, os.path.join(scratch, "out"))
     back = S.read_csv_table(spark, os.path.join(scratch, "out"))
     assert sorted((r["row_id"], r["v"]) for r in back.collect()) == [("1", "a,b"), ("2", None)]
+
+
+def test_typed_key_extra_fields_and_cache(spark, scratch):
+    p = os.path.join(scratch, "t.csv")
+    _write(p, "row_id,a\n1,x\n2,y,EXTRA\nz,w\n")
+    df = S.read_csv_typed_key(spark, p)
+    rows = sorted((r["row_id"], r["a"]) for r in df.collect() if r["row_id"] is not None)
+    assert rows == [(1, "x"), (2, "y")]                       # extra field dropped, bad id -> null
+    assert df.where(F.col("row_id").isNull()).count() == 1
+    back = S.cache_table(df, os.path.join(scratch, "cache"))
+    assert back.count() == 3
