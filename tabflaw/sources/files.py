@@ -88,7 +88,8 @@ def read_error_log(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("pathGlobFilter", glob)
     lines = r.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     lines = lines.withColumn("seq", F.monotonically_increasing_id())
-    lines = lines.withColumn("dataset", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    lines = lines.withColumn("dataset", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)) \
+                 .withColumn("folder", F.regexp_extract("file", r"^(.*)/[^/]+$", 1))
     out = parse_jsonl_lines(lines.where(F.trim("value") != ""))
     if out.limit(1).count() == 0:
         raise FileNotFoundError(f"no annotation records under {path} ({glob or '*'})")

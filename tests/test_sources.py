@@ -92,3 +92,28 @@ def test_typed_key_extra_fields_and_cache(spark, scratch):
     assert df.where(F.col("row_id").isNull()).count() == 1
     back = S.cache_table(df, os.path.join(scratch, "cache"))
     assert back.count() == 3
+
+
+def test_corpus_from_reference_layout(spark, scratch):
+    from tabflaw.plans.corpus import corpus_from_folder
+    root = os.path.join(scratch, "data")
+    for name, n in (("beers", 30), ("flights", 25)):
+        rows = "\n".join(f"{i},v{i},w{i}" for i in range(n))
+        _write(os.path.join(root, name, "clean.csv"), "row_id,a,b-c\n" + rows + "\n")
+        _write(os.path.join(root, name, "dirty.csv"), "row_id,a,b-c\n" + rows.replace("v1,", "V1,") + "\n")
+        recs = [{"row_id": str(i), "column": "a", "error_type": t, "error_value": f"x{i}", "right_value": f"v{i}"}
+                for i, t in zip(range(0, n, 2), ["outliers", "pattern_violation"] * n)]
+        recs.append({"row_id": "1", "column": "a", "error_type": "rule_violation", "error_value": "q",
+                     "right_value": "v1", "constraint": "The a of Row 1 and The a of Row 3", "tuple_pairs": "(1, 3)"})
+        _write(os.path.join(root, name, f"{name}_annotation.jsonl"),
+               "\n".join(json.dumps(r) for r in recs) + "\nnot json\n")
+    out = os.path.join(scratch, "corpus")
+    res = corpus_from_folder(spark, root, "generation", out=out, k=3, cap=6)
+    counts = {r["split"]: r["count"] for r in res.groupBy("split").count().collect()}
+    total = 2 * (6 + 6 + 1)          # cap 6 per (file, type) + one rule record per file
+    assert counts["train"] == int(total * 0.9)
+    assert counts["test_zeroshot"] == counts["test_fewshot"] == total - int(total * 0.9)
+    assert {"split=train", "split=test_zeroshot", "split=test_fewshot"} <= set(os.listdir(out))
+    one = res.where("split = 'test_fewshot'").first()
+    assert one["input"].startswith("| row_id | a | b-c |")
+    assert json.loads(one["output"])["tuple_pairs"] is not None
