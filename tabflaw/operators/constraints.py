@@ -121,56 +121,113 @@ def pair_members(table: DataFrame, rule: str, key: str = "row_id",
 
 
 def _non_eq(rule: str) -> Predicate:
+    """The single non-EQ predicate of a rule (used where exactly one is expected)."""
     preds = [p for p in parse_rule(rule) if p.op != "EQ"]
     if len(preds) != 1 or preds[0].left != preds[0].right:
-        raise ValueError(f"rule {rule!r}: exact violation counting needs exactly one non-EQ "
-                         "predicate comparing a column with itself")
+        raise ValueError(f"rule {rule!r}: expected exactly one non-EQ predicate comparing a column with itself")
     if preds[0].op not in ("IQ", "LT", "GT", "LTE", "GTE"):
         raise ValueError(f"unknown operator {preds[0].op!r}")
     return preds[0]
 
 
+def violation_spec(rule: str) -> tuple[list[str], list[str]]:
+    """(differ, present): columns that must differ between the two rows, and
+    columns that only must be non-null, for a pair to satisfy the non-EQ part.
+
+    Any number of IQ predicates plus at most one order predicate: LT / GT
+    hold for some orientation of the pair iff the values differ; LTE / GTE
+    hold for every non-null pair.  Two order predicates would need the same
+    orientation for both (a dominance count), which is rejected.
+    """
+    preds = [p for p in parse_rule(rule) if p.op != "EQ"]
+    if not preds:
+        raise ValueError(f"rule {rule!r} has no predicate besides EQ")
+    for p in preds:
+        if p.left != p.right:
+            raise ValueError(f"rule {rule!r}: {p.op} across different columns is not supported")
+        if p.op not in ("IQ", "LT", "GT", "LTE", "GTE"):
+            raise ValueError(f"unknown operator {p.op!r} in {rule!r}")
+    order = [p for p in preds if p.op != "IQ"]
+    if len(order) > 1:
+        raise ValueError(f"rule {rule!r}: at most one order predicate (LT/GT/LTE/GTE) is supported")
+    differ = sorted({p.left for p in preds if p.op in ("IQ", "LT", "GT")})
+    present = sorted({p.left for p in preds if p.op in ("LTE", "GTE")} - set(differ))
+    return differ, present
+
+
+def _subsets(cols: list[str]):
+    from itertools import combinations
+    for r in range(len(cols) + 1):
+        for t in combinations(cols, r):
+            yield list(t)
+
+
 def violation_counts(table: DataFrame, rule: str, key: str = "row_id",
                      null_keys_match: bool = True) -> DataFrame:
     """(rule, group_key, n_rows, n_pairs) of unordered pairs for which all predicates hold.
 
-    With EQ keys plus one predicate on column A (SQL semantics: a null A
-    satisfies nothing):  IQ / LT / GT hold for some order of a pair iff the
-    two A values differ, so violations = C(nn, 2) - sum_v C(m_v, 2), with nn
-    the non-null rows of the group and m_v the rows with A = v.  LTE / GTE
-    hold for every non-null pair: C(nn, 2).  Two hash aggregations.
+    SQL semantics: a null value satisfies no predicate, so rows with a null
+    in a non-EQ column are left out.  Pairs of an EQ group whose values
+    differ on every column of D = differ-columns, by inclusion-exclusion:
+
+        sum over subsets T of D of (-1)^|T| * sum over (group, T-values) C(m, 2)
+
+    i.e. 2^|D| hash aggregations (one for a single IQ / LT / GT), never a
+    pair list.  With no differ column (LTE / GTE only) every pair counts.
     """
-    p = _non_eq(rule)
-    k = _keyed(table, rule, key, null_keys_match).where(F.col(_q(p.left)).isNotNull())
-    per_v = k.groupBy("rule", "group_key", F.col(_q(p.left)).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
-    per_g = per_v.groupBy("rule", "group_key").agg(F.sum("_m").alias("n_rows"),
-                                                   F.sum(_pairs(F.col("_m"))).alias("_same"))
-    if p.op in ("LTE", "GTE"):
-        n = _pairs(F.col("n_rows"))
-    else:
-        n = _pairs(F.col("n_rows")) - F.col("_same")
-    return (per_g.select("rule", "group_key", F.col("n_rows").cast("long").alias("n_rows"),
-                         n.cast(PAIR_COUNT).alias("n_pairs")).where(F.col("n_pairs") > 0))
+    differ, present = violation_spec(rule)
+    k = _keyed(table, rule, key, null_keys_match)
+    for c in differ + present:
+        k = k.where(F.col(_q(c)).isNotNull())
+    terms = None
+    for t in _subsets(differ):
+        sign = -1 if len(t) % 2 else 1
+        if not t:
+            g = k.groupBy("rule", "group_key").agg(F.count(F.lit(1)).alias("n_rows"))
+            part = g.select("rule", "group_key", "n_rows", (_pairs(F.col("n_rows"))).alias("_t"))
+        else:
+            m = k.groupBy("rule", "group_key", *[F.col(_q(c)) for c in t]).agg(F.count(F.lit(1)).alias("_m"))
+            part = m.groupBy("rule", "group_key").agg(F.sum(_pairs(F.col("_m"))).alias("_t")) \
+                    .select("rule", "group_key", F.lit(None).cast("long").alias("n_rows"),
+                            (F.col("_t") * F.lit(sign)).alias("_t"))
+        terms = part if terms is None else terms.unionByName(part)
+    agg = terms.groupBy("rule", "group_key").agg(F.max("n_rows").alias("n_rows"), F.sum("_t").alias("n_pairs"))
+    return (agg.select("rule", "group_key", F.col("n_rows").cast("long").alias("n_rows"),
+                       F.col("n_pairs").cast(PAIR_COUNT).alias("n_pairs")).where(F.col("n_pairs") > 0))
 
 
 def violation_rows(table: DataFrame, rule: str, key: str = "row_id",
                    null_keys_match: bool = True) -> DataFrame:
     """(rule, row_id) of rows in at least one violating pair.
 
-    IQ / LT / GT: a non-null row whose group holds another, different value
-    (group has >= 2 distinct values).  LTE / GTE: non-null rows of groups
-    with >= 2 non-null rows.
+    A row takes part when some other row of its group differs from it on
+    every differ-column: that number is, by inclusion-exclusion, the sum
+    over subsets T of (-1)^|T| * (rows of the group agreeing with it on T),
+    one aggregate + key join per subset (a single column needs only the
+    group's min and max).
     """
-    p = _non_eq(rule)
-    k = _keyed(table, rule, key, null_keys_match).where(F.col(_q(p.left)).isNotNull())
-    stats = k.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"),
-                                      F.min(F.col(_q(p.left))).alias("_lo"),
-                                      F.max(F.col(_q(p.left))).alias("_hi"))
-    if p.op in ("LTE", "GTE"):
-        ok = stats.where(F.col("_n") >= 2)
-    else:
-        ok = stats.where(F.col("_lo") != F.col("_hi"))
-    return k.join(ok.select("group_key"), "group_key", "left_semi").select("rule", key)
+    differ, present = violation_spec(rule)
+    k = _keyed(table, rule, key, null_keys_match)
+    for c in differ + present:
+        k = k.where(F.col(_q(c)).isNotNull())
+    if len(differ) == 0:
+        ok = k.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+        return k.join(ok.select("group_key"), "group_key", "left_semi").select("rule", key)
+    if len(differ) == 1:
+        c = F.col(_q(differ[0]))
+        ok = k.groupBy("group_key").agg(F.min(c).alias("_lo"), F.max(c).alias("_hi")) \
+              .where(F.col("_lo") != F.col("_hi"))
+        return k.join(ok.select("group_key"), "group_key", "left_semi").select("rule", key)
+    x = k.select("rule", "group_key", key, *[F.col(_q(c)) for c in differ])
+    total = None
+    for i, t in enumerate(_subsets(differ)):
+        sign = -1 if len(t) % 2 else 1
+        keys = ["group_key"] + t
+        cnt = x.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_c{i}"))
+        x = x.join(cnt, keys)
+        term = F.col(f"_c{i}") * F.lit(sign)
+        total = term if total is None else total + term
+    return x.where(total > 0).select("rule", key)
 
 
 def scoped(table: DataFrame, ids: DataFrame, key: str = "row_id") -> DataFrame:

@@ -245,3 +245,47 @@ def q_rule_cells(spark, sf_dir):
     from ..operators.annotations import rule_cells
     log = fx.annotation_log(spark, sf_dir, "customer")
     return rule_cells(log)
+
+
+# Rules with several non-EQ predicates (counted by inclusion-exclusion).
+MULTI_RULES = [
+    ("part", "p_partkey", "EQ(t1.p_brand,t2.p_brand)&IQ(t1.p_type,t2.p_type)&IQ(t1.p_size,t2.p_size)"),
+    ("orders", "o_orderkey", "EQ(t1.o_custkey,t2.o_custkey)&IQ(t1.o_orderstatus,t2.o_orderstatus)"
+                             "&LT(t1.o_totalprice,t2.o_totalprice)"),
+    ("customer", "c_custkey", "EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktsegment)"
+                              "&GTE(t1.c_acctbal,t2.c_acctbal)"),
+]
+
+
+def _brute_viol_sql(t, key, rule):
+    differ, present = C.violation_spec(rule)
+    nn = " and ".join(f"{c} is not null" for c in differ + present)
+    gk = _sql_gk(rule)
+    cond = " and ".join(f"a.{c} <> b.{c}" for c in differ) or "true"
+    return f"""select '{rule}' as rule, p.group_key, n.n_rows, cast(p.n_pairs as decimal(38,0)) as n_pairs from (
+    select a.gk as group_key, count(*) as n_pairs
+    from (select *, {gk} as gk from {t} where {nn}) a
+    join (select *, {gk} as gk from {t} where {nn}) b on a.gk = b.gk and a.{key} < b.{key} and {cond}
+    group by a.gk) p
+  join (select {gk} as group_key, count(*) as n_rows from {t} where {nn} group by 1) n on n.group_key = p.group_key"""
+
+
+def _brute_rows_sql(t, key, rule):
+    differ, present = C.violation_spec(rule)
+    nn = " and ".join(f"{c} is not null" for c in differ + present)
+    gk = _sql_gk(rule)
+    cond = " and ".join(f"a.{c} <> b.{c}" for c in differ) or "true"
+    return f"""select distinct '{rule}' as rule, a.{key} as row_id
+    from (select *, {gk} as gk from {t} where {nn}) a
+    join (select *, {gk} as gk from {t} where {nn}) b on a.gk = b.gk and a.{key} <> b.{key} and {cond}"""
+
+
+@query("dc_violations_multi", "\nunion all\n".join(_brute_viol_sql(t, k, r) for t, k, r in MULTI_RULES))
+def q_dc_violations_multi(spark, sf_dir):
+    """Real violations of rules with several non-EQ predicates (oracle: brute-force self-join)."""
+    return _union([C.violation_counts(_table(spark, sf_dir, t, k), r) for t, k, r in MULTI_RULES])
+
+
+@query("dc_violation_rows_multi", "\nunion all\n".join(_brute_rows_sql(t, k, r) for t, k, r in MULTI_RULES))
+def q_dc_violation_rows_multi(spark, sf_dir):
+    return _union([C.violation_rows(_table(spark, sf_dir, t, k), r) for t, k, r in MULTI_RULES])

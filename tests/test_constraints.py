@@ -114,3 +114,32 @@ def test_pick_pairs_disjoint_and_valid(spark):
     assert len(ids) == len(set(ids))
     nation = {r["row_id"]: r["c_nationkey"] for r in cust.collect()}
     assert all(nation[p["row_id_1"]] == nation[p["row_id_2"]] and p["row_id_1"] < p["row_id_2"] for p in pairs)
+
+
+def test_multi_predicate_violations_vs_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice("xy"), rnd.choice([None, "p", "q", "r"]), rnd.choice([1, 2, 3]), rnd.choice([None, 5, 6]))
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, g string, a string, b int, c int")
+    cases = {
+        "EQ(t1.g,t2.g)&IQ(t1.a,t2.a)&IQ(t1.b,t2.b)": lambda r, s: r[2] != s[2] and r[3] != s[3],
+        "EQ(t1.g,t2.g)&IQ(t1.a,t2.a)&LT(t1.b,t2.b)": lambda r, s: r[2] != s[2] and r[3] != s[3],
+        "EQ(t1.g,t2.g)&IQ(t1.a,t2.a)&GTE(t1.c,t2.c)": lambda r, s: r[2] != s[2],
+        "EQ(t1.g,t2.g)&IQ(t1.a,t2.a)&IQ(t1.b,t2.b)&IQ(t1.c,t2.c)":
+            lambda r, s: r[2] != s[2] and r[3] != s[3] and r[4] != s[4],
+    }
+    for rule, pred in cases.items():
+        cols = {"IQ(t1.a": 2, "(t1.b": 3, "(t1.c": 4}
+        used = [i for tag, i in cols.items() if tag in rule]
+
+        def ok(r):
+            return all(r[i] is not None for i in used)
+        want_pairs = [(r, s) for r, s in itertools.combinations(rows, 2)
+                      if r[1] == s[1] and ok(r) and ok(s) and pred(r, s)]
+        got = sum(int(x["n_pairs"]) for x in C.violation_counts(df, rule).collect())
+        assert got == len(want_pairs), rule
+        want_rows = {r[0] for p in want_pairs for r in p}
+        assert {x["row_id"] for x in C.violation_rows(df, rule).collect()} == want_rows, rule
+    with pytest.raises(ValueError):
+        C.violation_spec("EQ(t1.g,t2.g)&LT(t1.a,t2.a)&GT(t1.b,t2.b)")
