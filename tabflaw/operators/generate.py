@@ -106,11 +106,18 @@ def propose_errors(table: DataFrame, budget: DataFrame, seed: int = 42, oversamp
             hash_key(seed, F.lit(t), F.col(key), F.col("column")).alias("priority")))
         start = start + rate
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    if rule is not None:
-        out = out.unionByName(_rule_candidates(table, rule, seed, key))
+    for r in _rules(rule):
+        out = out.unionByName(_rule_candidates(table, r, seed, key))
     return out
 
 
+def _rules(rule) -> list[str]:
+    """None, one rule or a list of rules -> list."""
+    if rule is None:
+        return []
+    return [rule] if isinstance(rule, str) else list(rule)
+
+
 def _rule_candidates(table: DataFrame, rule: str, seed: int, key: str) -> DataFrame:
     col = C._non_eq(rule).left
     pairs = C.pick_pairs(table, rule, seed=seed, key=key)
@@ -126,16 +133,28 @@ def _rule_candidates(table: DataFrame, rule: str, seed: int, key: str) -> DataFr
         F.concat(F.col("_v2"), F.lit("*")).alias("error_value"), F.col("_v1").alias("right_value"),
         F.lit(0).alias("missing_value"), constraint.alias("constraint"),
         F.concat(F.lit("("), rid, F.lit(", "), other, F.lit(")")).alias("tuple_pairs"),
-        hash_key(seed, F.lit("rule_violation"), rid, F.lit(col)).alias("priority"))
+        hash_key(seed, F.lit("rule_violation"), F.lit(rule), rid, F.lit(col)).alias("priority"))
+
+
+ROW_RESOURCE = "\u0000row"
 
 
 def candidate_cells(cands: DataFrame, key: str = "row_id") -> DataFrame:
-    """(cand_id, cell_row, cell_col): the cells a candidate edits (rule errors: both rows)."""
+    """(cand_id, cell_row, cell_col): the resources a candidate uses.
+
+    Every candidate uses its cell; a rule violation uses the constrained cell
+    of both rows of its pair and, in addition, both rows themselves (a row in
+    an accepted pair is not offered to another rule pair), so two rule
+    candidates sharing a row conflict even on different columns.
+    """
     from ..functions.constraints import tuple_ids
     rule_ids = F.transform(tuple_ids("tuple_pairs"), lambda x: x.cast("string"))
-    rows = F.when((F.col("error_type") == "rule_violation") & (F.size(rule_ids) > 0), rule_ids) \
-            .otherwise(F.array(F.col(key)))
-    return cands.select("cand_id", F.explode(rows).alias("cell_row"), F.col("column").alias("cell_col"))
+    is_rule = (F.col("error_type") == "rule_violation") & (F.size(rule_ids) > 0)
+    rows = F.when(is_rule, rule_ids).otherwise(F.array(F.col(key)))
+    cells = F.transform(rows, lambda r: F.struct(r.alias("cell_row"), F.col("column").alias("cell_col")))
+    row_res = F.transform(rule_ids, lambda r: F.struct(r.alias("cell_row"), F.lit(ROW_RESOURCE).alias("cell_col")))
+    res = F.when(is_rule, F.concat(cells, row_res)).otherwise(cells)
+    return cands.select("cand_id", F.inline(res))
 
 
 def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,

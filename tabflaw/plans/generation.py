@@ -45,23 +45,28 @@ def generation_prompts(table: DataFrame, budget: DataFrame, rule: str | None = N
                                F.lit(None).cast("string").alias("error_value"), F.lit("").alias("tuple_pairs"),
                                F.lit("").alias("rule"))
     entries = plain_slots
-    if rule is not None and quotas.get("rule_violation", 0) > 0:
-        pairs = C.pick_pairs(table, rule, seed=seed, key=key).withColumn("error_type", F.lit("rule_violation")) \
-            .withColumn("priority", hash_key(seed, F.lit("rs"), F.col("row_id_1"), F.col("row_id_2")))
+    rules = G._rules(rule)
+    if rules and quotas.get("rule_violation", 0) > 0:
+        pairs = None
+        for r in rules:   # every rule's disjoint pairs compete for the rule quota by seeded priority
+            pr = C.pick_pairs(table, r, seed=seed, key=key).withColumn("rule", F.lit(r))
+            pairs = pr if pairs is None else pairs.unionByName(pr)
+        pairs = pairs.withColumn("error_type", F.lit("rule_violation")) \
+            .withColumn("priority", hash_key(seed, F.lit("rs"), F.col("rule"), F.col("row_id_1"), F.col("row_id_2")))
         want = budget.where(F.col("error_type") == "rule_violation").select(
             "error_type", (F.floor(F.col("quota") * F.lit(oversample))).cast("long").alias("quota"))
         chosen = G.quota_select(pairs, want)
         rule_slots = chosen.select(
-            F.concat(F.lit("r"), F.col("row_id_1").cast("string"), F.lit("_"), F.col("row_id_2").cast("string"))
-            .alias("entry_id"), "error_type", F.col("row_id_1").cast("string").alias(key), F.lit("").alias("column"),
+            F.concat(F.lit("r"), F.substring(F.md5("rule"), 1, 8), F.lit("_"), F.col("row_id_1").cast("string"),
+                     F.lit("_"), F.col("row_id_2").cast("string")).alias("entry_id"), "error_type", F.col("row_id_1").cast("string").alias(key), F.lit("").alias("column"),
             F.lit(None).cast("string").alias("error_value"),
             F.concat(F.lit("("), F.col("row_id_1").cast("string"), F.lit(", "), F.col("row_id_2").cast("string"),
-                     F.lit(")")).alias("tuple_pairs"), F.lit(rule).alias("rule"))
+                     F.lit(")")).alias("tuple_pairs"), "rule")
         entries = entries.unionByName(rule_slots)
     frags_plain = P.build_fragments(entries.where(F.col("error_type") != "rule_violation"), table, k=k,
                                     seed=seed, key=key, missing_fill=False, index_order=index_order)
     frags = frags_plain
-    if rule is not None:
+    if rules:
         frags_rule = P.build_fragments(entries.where(F.col("error_type") == "rule_violation"), table, k=rule_k,
                                        seed=seed, key=key, missing_fill=False, index_order=index_order)
         frags = frags.unionByName(frags_rule)

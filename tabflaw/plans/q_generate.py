@@ -14,6 +14,8 @@ _RATIO, _RATIOS = 0.2, "1:2:4:3"
 _W = [1, 2, 4, 3]
 _TYPES = ["outliers", "missing_value", "pattern_violation", "rule_violation"]
 CUSTOMER_RULE = "EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktsegment)"
+# A second rule for multi-rule generation (pairs compete for rows).
+CUSTOMER_RULES = [CUSTOMER_RULE, "EQ(t1.c_mktsegment,t2.c_mktsegment)&IQ(t1.c_nationkey,t2.c_nationkey)"]
 
 
 def _budget_sql(table, ncols):
@@ -61,7 +63,8 @@ def q_conflict_free_cells(spark, sf_dir):
     """Two overlapping generated logs + rule proposals; no cell edited twice (greedy by priority)."""
     clean = fx.customer_clean(spark, sf_dir)
     budget = G.error_budget(clean, _RATIO, _RATIOS)
-    rules = G._rule_candidates(clean, CUSTOMER_RULE, 42, "row_id")
+    rules = G._rule_candidates(clean, CUSTOMER_RULES[0], 42, "row_id").unionByName(
+        G._rule_candidates(clean, CUSTOMER_RULES[1], 42, "row_id"))
     pool = _pool(spark, sf_dir).drop("src").unionByName(rules)
     return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
 
@@ -84,7 +87,7 @@ def q_generate_errors(spark, sf_dir):
 def q_apply_generated(spark, sf_dir):
     """The generated log applied to the clean customer table (rule errors included)."""
     clean = fx.customer_clean(spark, sf_dir)
-    log = G.generate_errors(clean, _RATIO, _RATIOS, rule=CUSTOMER_RULE, seed=11)
+    log = G.generate_errors(clean, _RATIO, _RATIOS, rule=CUSTOMER_RULES, seed=11)
     return cells.apply_errors(clean, log, order_col=None)
 
 

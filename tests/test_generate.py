@@ -45,7 +45,7 @@ def test_conflict_free_equals_sequential_greedy(spark):
         col = rnd.choice(["x", "y"])
         prio = f"{rnd.random():.12f}"
         if rule:
-            cells = {(str(a), col), (str(b), col)}
+            cells = {(str(a), col), (str(b), col), (str(a), G.ROW_RESOURCE), (str(b), G.ROW_RESOURCE)}
             tp, et = f"({a}, {b})", "rule_violation"
         else:
             cells = {(str(a), col)}
@@ -70,13 +70,18 @@ def test_quota_select_exact(spark):
 
 def test_generation_invariants(spark):
     clean = fx.customer_clean(spark, SF_SMALL)
-    rule = "EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktsegment)"
+    rule = ["EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktsegment)",
+            "EQ(t1.c_mktsegment,t2.c_mktsegment)&IQ(t1.c_nationkey,t2.c_nationkey)"]
     log = G.generate_errors(clean, 0.2, "1:2:4:3", rule=rule, seed=3).cache()
     budget = {r["error_type"]: r["quota"] for r in G.error_budget(clean, 0.2, "1:2:4:3").collect()}
     counts = {r["error_type"]: r["count"] for r in log.groupBy("error_type").count().collect()}
     assert all(counts.get(t, 0) <= q for t, q in budget.items())
     assert log.groupBy("row_id", "column").count().where("count > 1").count() == 0
     assert log.where(F.col("error_value").eqNullSafe(F.col("right_value"))).count() == 0
+    rule_rows = [int(x) for r in log.where("error_type = 'rule_violation'").collect()
+                 for x in r["tuple_pairs"].strip("()").split(", ")]
+    assert len(rule_rows) == len(set(rule_rows))            # no row in two accepted pairs
+    assert log.where("error_type = 'rule_violation'").select("constraint").distinct().count() >= 1
     dirty = apply_errors(clean, log, order_col=None)
     changed = {(r["row_id"], r["column"]) for r in cell_diff(clean, dirty).collect()}
     assert changed == {(r["row_id"], r["column"]) for r in log.collect()}
