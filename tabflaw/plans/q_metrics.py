@@ -252,3 +252,37 @@ def q_row_ids_by_dataset(spark, sf_dir):
     return ids.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_ids"),
                                       F.min(F.col("row_id").cast("bigint")).alias("min_id"),
                                       F.max(F.col("row_id").cast("bigint")).alias("max_id"))
+
+
+def _vt_sql(expr):
+    re = __import__("tabflaw.functions.values", fromlist=["FLOAT_RE"]).FLOAT_RE.replace("'", "''")
+    return (f"case when {expr} is null then null when regexp_matches({expr}, '{re}') then 'numeric' "
+            f"when contains({expr}, ':') or contains({expr}, '-') then 'datetime' else 'text' end")
+
+
+@query("value_type_text", f"""select src, value_type, count(*) as n from (
+    select 'documents.lang' as src, {_vt_sql('lang')} as value_type from documents
+    union all select 'documents.source', {_vt_sql('source')} from documents
+    union all select 'pages.url', {_vt_sql('url')} from pages
+    union all select 'events.ts', {_vt_sql("strftime(ts, '%Y-%m-%d %H:%M:%S')")} from events
+    union all select 'events.event_type', {_vt_sql('event_type')} from events
+    union all select 'orders.o_orderpriority', {_vt_sql('o_orderpriority')} from orders
+    union all select 'labels.quality', {_vt_sql('cast(quality as varchar)')} from labels)
+  where value_type is not null group by src, value_type""")
+def q_value_type_text(spark, sf_dir):
+    """Value class (numeric / datetime / text) of raw text cells across the driver tables."""
+    from ..sources.tables import read_table
+    parts = [
+        ("documents.lang", read_table(spark, sf_dir, "documents"), F.col("lang")),
+        ("documents.source", read_table(spark, sf_dir, "documents"), F.col("source")),
+        ("pages.url", read_table(spark, sf_dir, "pages"), F.col("url")),
+        ("events.ts", read_table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        ("events.event_type", read_table(spark, sf_dir, "events"), F.col("event_type")),
+        ("orders.o_orderpriority", read_table(spark, sf_dir, "orders"), F.col("o_orderpriority")),
+        ("labels.quality", read_table(spark, sf_dir, "labels"), F.col("quality").cast("string")),
+    ]
+    out = None
+    for name, df, col in parts:
+        x = df.select(F.lit(name).alias("src"), M.value_type(col).alias("value_type"))
+        out = x if out is None else out.unionByName(x)
+    return out.where(F.col("value_type").isNotNull()).groupBy("src", "value_type").agg(F.count(F.lit(1)).alias("n"))
