@@ -187,7 +187,7 @@ def _op_case(x):
     """select dataset, row_id, "column", split_part(rule, '(', 1) as op1,
          split_part(split_part(split_part(rule, '&', 1), '(t1.', 2), ',', 1) as left1,
          split_part(split_part(split_part(rule, '&', 2), '(', 1), '(', 1) as op2,
-         len(string_split(rule, '&')) as n_predicates from lr""", extra_ctes=_RULES_SQL))
+         cast(len(string_split(rule, '&')) as integer) as n_predicates from lr""", extra_ctes=_RULES_SQL))
 def q_dc_parse(spark, sf_dir):
     r = _log_rules(spark, sf_dir).withColumn("_p", CF.dc_parse("rule"))
     return r.select("dataset", "row_id", "column", F.col("_p")[0]["op"].alias("op1"),

@@ -114,7 +114,7 @@ def q_context_rows(spark, sf_dir):
     clean = fx.customer_clean(spark, sf_dir)
     idx = row_index(clean, order_by=F.col("row_id").cast("bigint"))
     n = clean.agg(F.count(F.lit(1))).scalar()
-    return P.context_draws(e, idx, n, K, 42).select("entry_id", "row_id", F.col("_draw").alias("draw"))
+    return P.context_draws(e, idx, n, K, 42).select("entry_id", "row_id", F.col("_draw").cast("long").alias("draw"))
 
 
 @query("markdown_row_ids", fixture_sql(
@@ -154,7 +154,8 @@ def q_prompt_text(spark, sf_dir):
 
 @query("prompt_length_stats", fixture_sql(
     """select quantile_cont(n, 0.1) as p10, quantile_cont(n, 0.7) as p70, quantile_cont(n, 0.8) as p80,
-         quantile_cont(n, 0.9) as p90, max(n) as max_len, round(avg(n), 6) as mean_len, sum(n) as total_len
+         quantile_cont(n, 0.9) as p90, max(n) as max_len, round(avg(n), 6) as mean_len,
+         cast(sum(n) as bigint) as total_len
        from (select length('User:' || chr(10) || i.instruction || chr(10) || 'Input:' || chr(10) || f.input
          || chr(10) || 'Assistant:' || chr(10)) as n from ins i join frag f on f.entry_id = i.entry_id)""",
     extra_ctes=_FRAG_CTES), round_cols=('p10', 'p70', 'p80', 'p90'))
@@ -162,7 +163,7 @@ def q_prompt_length_stats(spark, sf_dir):
     p = q_prompt_text(spark, sf_dir).select(F.length("prompt").alias("n"))
     return p.agg(F.percentile("n", 0.1).alias("p10"), F.percentile("n", 0.7).alias("p70"),
                  F.percentile("n", 0.8).alias("p80"), F.percentile("n", 0.9).alias("p90"),
-                 F.max("n").alias("max_len"), F.round(F.avg("n"), 6).alias("mean_len"),
+                 F.max("n").cast("long").alias("max_len"), F.round(F.avg("n"), 6).alias("mean_len"),
                  F.sum("n").alias("total_len"))
 
 
