@@ -62,7 +62,9 @@ def q_scan_error_log(spark, sf_dir):
     return S.parse_jsonl_lines(lines)
 
 
-@query("csv_to_json_rows")
+@query("csv_to_json_rows", fixture_sql(
+    "select to_json(struct_pack(row_id := row_id, c_name := c_name, c_nationkey := c_nationkey, "
+    "c_mktsegment := c_mktsegment))::varchar as value from cust_dirty"))
 def q_csv_to_json_rows(spark, sf_dir):
     """S10 row form: each dirty customer row as one JSON object (nulls kept)."""
     return S.csv_to_json_rows(fx.dirty_table(spark, sf_dir, "customer"))
