@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_key
 from ..operators import cells, generate as G
 from . import fixtures as fx
-from .oracle_sql import fixture_sql
+from .oracle_sql import FIXTURE_CTES, fixture_sql
 from .registry import query
 
 _RATIO, _RATIOS = 0.2, "1:2:4:3"
@@ -69,13 +69,6 @@ def q_conflict_free_cells(spark, sf_dir):
     return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
 
 
-@query("propose_errors")
-def q_propose_errors(spark, sf_dir):
-    clean = fx.customer_clean(spark, sf_dir)
-    budget = G.error_budget(clean, _RATIO, _RATIOS)
-    return G.propose_errors(clean, budget, seed=42, rule=CUSTOMER_RULE)
-
-
 @query("generate_errors")
 def q_generate_errors(spark, sf_dir):
     """Budget -> propose -> validate -> conflict-free -> quota, on the orders table."""
@@ -99,3 +92,68 @@ def q_generation_prompts(spark, sf_dir):
     budget = G.error_budget(clean, _RATIO, _RATIOS)
     return generation_prompts(clean, budget, rule=CUSTOMER_RULE, seed=42,
                               index_order=F.col("row_id").cast("bigint"))
+
+
+def _propose_sql():
+    from ..functions.values import FLOAT_RE
+    re_ = FLOAT_RE.replace("'", "''")
+    u = "cast('0x' || substr(md5('42|' || row_id || '|' || \"column\"), 1, 8) as bigint) / 4294967296.0"
+    rates = {t: f"least(1.0, 1.5 * cast((select quota from bud where error_type = '{t}') as double) / "
+                f"(select cast(count(*) * 3 as double) from cust_clean))"
+             for t in ("missing_value", "pattern_violation", "outliers")}
+    s_m = "0.0"
+    s_p = f"(0.0 + {rates['missing_value']})"
+    s_o = f"({s_p} + {rates['pattern_violation']})"
+    num = f"(case when regexp_matches(v, '{re_}') then try_cast(replace(trim(v), '_', '') as double) end)"
+    pattern = ("case when regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') and try_strptime(v, '%Y-%m-%d') is not null "
+               "then strftime(try_strptime(v, '%Y-%m-%d'), '%d/%m/%Y') "
+               "when regexp_matches(v, '^\\s*-?\\d+(\\.\\d+)?\\s*$') then v || 'x' "
+               "when length(v) > 1 then upper(substr(v, 2)) else v || v end")
+    outl = (f"coalesce(case when regexp_matches(v, '^\\s*-?\\d+\\s*$') then cast(trunc({num} * 100) as bigint)::varchar end, "
+            f"printf('%.2f', {num} * 100))")
+    long = ("select row_id, 'c_name' as \"column\", c_name as v from cust_clean union all "
+            "select row_id, 'c_nationkey', c_nationkey from cust_clean union all "
+            "select row_id, 'c_mktsegment', c_mktsegment from cust_clean")
+    pri = "md5('42|' || t || '|' || row_id || '|' || \"column\")"
+    rule = CUSTOMER_RULE
+    gk = "md5(concat_ws('|', coalesce(c_nationkey, '<null>')))"
+    return f"""with {FIXTURE_CTES},
+bud as ({_budget_sql('cust_clean', 4)}),
+lg as (select *, {u} as u from ({long})),
+pl as (
+  select row_id, "column", 'missing_value' as t, null::varchar as error_value, v as right_value, 1 as missing_value
+    from lg where v is not null and u >= {s_m} and u < {s_m} + {rates['missing_value']}
+  union all
+  select row_id, "column", 'pattern_violation', {pattern}, v, 0
+    from lg where v is not null and u >= {s_p} and u < {s_p} + {rates['pattern_violation']}
+  union all
+  select row_id, "column", 'outliers', {outl}, v, 0
+    from lg where v is not null and u >= {s_o} and u < {s_o} + {rates['outliers']}
+      and regexp_matches(v, '{re_}')),
+g as (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2),
+m as (select c.*, g.group_key, g.n,
+        cast('0x' || substr(md5('42|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
+        md5('42|' || c.row_id) as h
+      from cust_clean c join g on {gk.replace('c_nationkey', 'c.c_nationkey')} = g.group_key),
+pp as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
+        select *, (row_number() over (partition by group_key, salt order by h, cast(row_id as bigint)) - 1) // 2 as pr from m)
+      group by group_key, salt, pr having count(*) = 2),
+rv as (select cast(pp.r1 as varchar) as row_id, 'c_mktsegment' as "column", 'rule_violation' as error_type,
+         b.c_mktsegment || '*' as error_value, a.c_mktsegment as right_value, 0 as missing_value,
+         'Constraint Violation: The c_mktsegment of Row ' || cast(pp.r1 as varchar) ||
+         ' is different from the c_mktsegment of Row ' || cast(pp.r2 as varchar) as "constraint",
+         '(' || cast(pp.r1 as varchar) || ', ' || cast(pp.r2 as varchar) || ')' as tuple_pairs,
+         md5('42|rule_violation|{rule}|' || cast(pp.r1 as varchar) || '|c_mktsegment') as priority
+       from pp join cust_clean a on cast(a.row_id as bigint) = pp.r1 join cust_clean b on cast(b.row_id as bigint) = pp.r2
+       where b.c_mktsegment is not null)
+select row_id, "column", t as error_type, error_value, right_value, missing_value, '' as "constraint",
+       '' as tuple_pairs, {pri} as priority from pl
+union all select * from rv"""
+
+
+@query("propose_errors", _propose_sql())
+def q_propose_errors(spark, sf_dir):
+    """Seeded candidate errors per type (default corruptors) plus rule-pair candidates."""
+    clean = fx.customer_clean(spark, sf_dir)
+    budget = G.error_budget(clean, _RATIO, _RATIOS)
+    return G.propose_errors(clean, budget, seed=42, rule=CUSTOMER_RULE)
