@@ -69,13 +69,6 @@ def q_conflict_free_cells(spark, sf_dir):
     return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
 
 
-@query("generate_errors")
-def q_generate_errors(spark, sf_dir):
-    """Budget -> propose -> validate -> conflict-free -> quota, on the orders table."""
-    clean = fx.orders_clean(spark, sf_dir)
-    return G.generate_errors(clean, _RATIO, _RATIOS, seed=7)
-
-
 @query("apply_generated")
 def q_apply_generated(spark, sf_dir):
     """The generated log applied to the clean customer table (rule errors included)."""
@@ -94,12 +87,14 @@ def q_generation_prompts(spark, sf_dir):
                               index_order=F.col("row_id").cast("bigint"))
 
 
-def _propose_sql():
+def _proposals_sql(table: str, cols: list[str], seed: int) -> str:
+    """SQL twin of the single-cell proposals of ``propose_errors`` (CTE body)."""
     from ..functions.values import FLOAT_RE
     re_ = FLOAT_RE.replace("'", "''")
-    u = "cast('0x' || substr(md5('42|' || row_id || '|' || \"column\"), 1, 8) as bigint) / 4294967296.0"
+    n_all = len(cols) + 1
+    u = f"cast('0x' || substr(md5('{seed}|' || row_id || '|' || \"column\"), 1, 8) as bigint) / 4294967296.0"
     rates = {t: f"least(1.0, 1.5 * cast((select quota from bud where error_type = '{t}') as double) / "
-                f"(select cast(count(*) * 3 as double) from cust_clean))"
+                f"(select cast(count(*) * {len(cols)} as double) from {table}))"
              for t in ("missing_value", "pattern_violation", "outliers")}
     s_m = "0.0"
     s_p = f"(0.0 + {rates['missing_value']})"
@@ -111,15 +106,10 @@ def _propose_sql():
                "when length(v) > 1 then upper(substr(v, 2)) else v || v end")
     outl = (f"coalesce(case when regexp_matches(v, '^\\s*-?\\d+\\s*$') then cast(trunc({num} * 100) as bigint)::varchar end, "
             f"printf('%.2f', {num} * 100))")
-    long = ("select row_id, 'c_name' as \"column\", c_name as v from cust_clean union all "
-            "select row_id, 'c_nationkey', c_nationkey from cust_clean union all "
-            "select row_id, 'c_mktsegment', c_mktsegment from cust_clean")
-    pri = "md5('42|' || t || '|' || row_id || '|' || \"column\")"
-    rule = CUSTOMER_RULE
-    gk = "md5(concat_ws('|', coalesce(c_nationkey, '<null>')))"
-    return f"""with {FIXTURE_CTES},
-bud as ({_budget_sql('cust_clean', 4)}),
-lg as (select *, {u} as u from ({long})),
+    long = " union all ".join(f"select row_id, '{c}' as \"column\", {c} as v from {table}" for c in cols)
+    pri = f"md5('{seed}|' || t || '|' || row_id || '|' || \"column\")"
+    assert n_all
+    return f"""lg as (select *, {u} as u from ({long})),
 pl as (
   select row_id, "column", 'missing_value' as t, null::varchar as error_value, v as right_value, 1 as missing_value
     from lg where v is not null and u >= {s_m} and u < {s_m} + {rates['missing_value']}
@@ -130,6 +120,16 @@ pl as (
   select row_id, "column", 'outliers', {outl}, v, 0
     from lg where v is not null and u >= {s_o} and u < {s_o} + {rates['outliers']}
       and regexp_matches(v, '{re_}')),
+props as (select row_id, "column", t as error_type, error_value, right_value, missing_value, '' as "constraint",
+       '' as tuple_pairs, {pri} as priority from pl)"""
+
+
+def _propose_sql():
+    rule = CUSTOMER_RULE
+    gk = "md5(concat_ws('|', coalesce(c_nationkey, '<null>')))"
+    return f"""with {FIXTURE_CTES},
+bud as ({_budget_sql('cust_clean', 4)}),
+{_proposals_sql('cust_clean', ['c_name', 'c_nationkey', 'c_mktsegment'], 42)},
 g as (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2),
 m as (select c.*, g.group_key, g.n,
         cast('0x' || substr(md5('42|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
@@ -146,9 +146,29 @@ rv as (select cast(pp.r1 as varchar) as row_id, 'c_mktsegment' as "column", 'rul
          md5('42|rule_violation|{rule}|' || cast(pp.r1 as varchar) || '|c_mktsegment') as priority
        from pp join cust_clean a on cast(a.row_id as bigint) = pp.r1 join cust_clean b on cast(b.row_id as bigint) = pp.r2
        where b.c_mktsegment is not null)
-select row_id, "column", t as error_type, error_value, right_value, missing_value, '' as "constraint",
-       '' as tuple_pairs, {pri} as priority from pl
-union all select * from rv"""
+select * from props union all select * from rv"""
+
+
+def _generate_sql():
+    from ..functions.values import FLOAT_RE
+    re_ = FLOAT_RE.replace("'", "''")
+    cols = ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    num = lambda x: f"(case when regexp_matches({x}, '{re_}') then try_cast(replace(trim({x}), '_', '') as double) end)"
+    long = " union all ".join(f"select row_id as rid, '{c}' as col, {c} as tv from ord_clean" for c in cols)
+    same = (f"case when {num('trim(p.error_value)')} is not null and {num('t.tv')} is not null "
+            f"then {num('trim(p.error_value)')} = {num('t.tv')} "
+            f"else trim(p.error_value) is not distinct from trim(t.tv) end")
+    return f"""with {FIXTURE_CTES},
+bud as ({_budget_sql('ord_clean', 5)}),
+{_proposals_sql('ord_clean', cols, 7)},
+lt as ({long}),
+ok as (select p.row_id, p."column", p.error_type, p.error_value, t.tv as right_value, p.missing_value,
+         p."constraint", p.tuple_pairs, p.priority
+       from props p join lt t on t.rid = p.row_id and t.col = p."column" where not ({same})),
+rk as (select ok.*, row_number() over (partition by ok.error_type order by ok.priority) as rn, b.quota
+       from ok join bud b on b.error_type = ok.error_type)
+select row_id, "column", error_type, error_value, right_value, missing_value, "constraint", tuple_pairs, priority
+from rk where rn <= quota"""
 
 
 @query("propose_errors", _propose_sql())
@@ -157,3 +177,10 @@ def q_propose_errors(spark, sf_dir):
     clean = fx.customer_clean(spark, sf_dir)
     budget = G.error_budget(clean, _RATIO, _RATIOS)
     return G.propose_errors(clean, budget, seed=42, rule=CUSTOMER_RULE)
+
+
+@query("generate_errors", _generate_sql())
+def q_generate_errors(spark, sf_dir):
+    """Budget -> propose -> validate -> conflict-free -> quota, on the orders table."""
+    clean = fx.orders_clean(spark, sf_dir)
+    return G.generate_errors(clean, _RATIO, _RATIOS, seed=7)
