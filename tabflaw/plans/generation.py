@@ -20,6 +20,7 @@ from ..operators import constraints as C
 from ..operators import generate as G
 from ..operators import prompts as P
 from ..schemas import ERROR_TYPES
+from ..session import cut_lineage
 
 
 def generation_prompts(table: DataFrame, budget: DataFrame, rule: str | None = None, seed=42,
@@ -84,6 +85,8 @@ def generate_with_model(table: DataFrame, predict, error_ratio: float = 0.1, rat
     """Budget -> prompts -> ``predict`` in batches -> parse -> validate -> conflict-free -> quota."""
     budget = G.error_budget(table, error_ratio, ratios, key=key)
     prompts = generation_prompts(table, budget, rule=rule, seed=seed, oversample=oversample, key=key)
-    comps = G.model_completions(prompts, predict, batch_rows=batch_rows)
+    # model answers are expensive and may be sampled: compute them once and keep
+    # them in the checkpoint folder, so later actions and retries never re-ask
+    comps = cut_lineage(G.model_completions(prompts, predict, batch_rows=batch_rows))
     cands = G.candidates_from_completions(comps, seed=seed, requested_type=prompts.select("entry_id", "error_type"))
     return G.select_errors(table, cands, budget, key=key)
