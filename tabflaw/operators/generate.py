@@ -158,7 +158,7 @@ def candidate_cells(cands: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
-                  checkpoint: bool = True) -> DataFrame:
+                  checkpoint: bool = True, single_cell: bool | None = None) -> DataFrame:
     """Keep candidates so that no cell is edited twice; equals the sequential
     greedy over candidates in ``priority`` order.
 
@@ -172,13 +172,16 @@ def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
     folder, so lineage stays short and a lost executor recomputes one round.
     """
     c = cands.withColumn("cand_id", F.concat_ws("#", F.col("priority"), F.col(key), F.col("column")))
-    cells = candidate_cells(c, key)
-    multi = cells.groupBy("cand_id").count().where(F.col("count") > 1)
-    if multi.limit(1).count() == 0:
+    if single_cell is None:   # unknown proposer: one check (callers that know pass the hint)
+        multi = candidate_cells(c, key).groupBy("cand_id").count().where(F.col("count") > 1)
+        single_cell = multi.limit(1).count() == 0
+    if single_cell:
         best = c.groupBy(key, "column").agg(F.min("priority").alias("_best"))
         return c.join(best, [key, "column"]).where(F.col("priority") == F.col("_best")) \
                 .drop("_best", "cand_id")
-    state = cells.join(c.select("cand_id", "priority"), "cand_id")
+    if checkpoint:   # the rounds and the final selection read the candidates many times
+        c = cut_lineage(c)
+    state = candidate_cells(c, key).join(c.select("cand_id", "priority"), "cand_id")
     if checkpoint:
         state = cut_lineage(state)
     accepted = []
@@ -239,7 +242,9 @@ def generate_errors(table: DataFrame, error_ratio: float = 0.1, ratios: str = "1
     """Composite: budget -> propose -> validate -> conflict-free -> quota -> error log."""
     budget = error_budget(table, error_ratio, ratios, key=key)
     cands = propose_errors(table, budget, seed=seed, oversample=oversample, rule=rule, key=key)
-    chosen = select_errors(table, cands, budget, key=key, checkpoint=checkpoint)
+    # default proposals edit one cell each; only rule candidates touch several
+    chosen = select_errors(table, cands, budget, key=key, checkpoint=checkpoint,
+                           single_cell=True if not _rules(rule) else None)
     return chosen.select(key, "column", "error_type", "error_value", "right_value", "missing_value",
                          "constraint", "tuple_pairs", "priority")
 
@@ -286,8 +291,8 @@ def candidates_from_completions(completions: DataFrame, seed: int = 42, id_col:
 
 
 def select_errors(table: DataFrame, cands: DataFrame, budget: DataFrame, key: str = "row_id",
-                  checkpoint: bool = True) -> DataFrame:
+                  checkpoint: bool = True, single_cell: bool | None = None) -> DataFrame:
     """validate -> conflict-free -> quota for candidates from any proposer."""
     from .annotations import validate_candidates
     valid = validate_candidates(cands, table, key=key).where(F.col("status") == "ok").drop("status")
-    return quota_select(conflict_free(valid, key=key, checkpoint=checkpoint), budget)
+    return quota_select(conflict_free(valid, key=key, checkpoint=checkpoint, single_cell=single_cell), budget)
