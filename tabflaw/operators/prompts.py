@@ -114,9 +114,24 @@ def context_draws(entries: DataFrame, indexed: DataFrame, n_rows: Column, k: int
     return chosen
 
 
+def context_pool(entries: DataFrame, table: DataFrame, k: int, seed=42, extra: int = 2,
+                 entry_col: str = "entry_id", key: str = "row_id", exclude_col: str = "involved") -> DataFrame:
+    """Pool mode (the reference's fixed sample): the same k + extra rows, first by a
+    seeded hash (a distributed top-k, so the pool is bounded), minus each entry's
+    involved rows, first k kept.  Entries meet the pool by an equi join on the pool
+    rank (k + extra rows per entry), not a cross join."""
+    pool = (table.withColumn("_h", hash_key(seed, F.lit("pool"), F.col(key))).orderBy("_h").limit(k + extra)
+            .withColumn("_draw", F.row_number().over(Window.orderBy("_h")) - 1).drop("_h"))
+    ranks = entries.select(entry_col, exclude_col, F.explode(F.sequence(F.lit(0), F.lit(k + extra - 1))).alias("_draw"))
+    j = ranks.join(F.broadcast(pool.select(key, "_draw")), "_draw")
+    j = j.where(~F.coalesce(F.array_contains(F.col(exclude_col), F.col(key).cast("bigint")), F.lit(False)))
+    w = Window.partitionBy(entry_col).orderBy("_draw")
+    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(entry_col, key, "_draw")
+
+
 def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
                     entry_col: str = "entry_id", key: str = "row_id", null_text: str = "",
-                    missing_fill: bool = True, index_order=None) -> DataFrame:
+                    missing_fill: bool = True, index_order=None, context: str = "draw") -> DataFrame:
     """(entry_id, input): involved rows + k context rows as Markdown, in a seeded order.
 
     ``entries`` needs entry_id, row_id, column, error_type, error_value,
@@ -126,9 +141,14 @@ def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
     from .annotations import involved_ids
     cols = table.columns
     e = entries.withColumn("involved", involved_ids(entries, key))
-    indexed = row_index(table, order_by=index_order)
-    n_rows = table.agg(F.count(F.lit(1))).scalar()
-    ctx = context_draws(e, indexed, n_rows, k, seed, entry_col=entry_col, key=key)
+    if context == "pool":
+        ctx = context_pool(e, table, k, seed, entry_col=entry_col, key=key)
+    elif context == "draw":
+        indexed = row_index(table, order_by=index_order)
+        n_rows = table.agg(F.count(F.lit(1))).scalar()
+        ctx = context_draws(e, indexed, n_rows, k, seed, entry_col=entry_col, key=key)
+    else:
+        raise ValueError(f"context must be 'draw' or 'pool', got {context!r}")
     ctx_rows = ctx.join(table, key).select(entry_col, *[F.col(_q(c)) for c in cols])
     inv = e.select(entry_col, F.explode("involved").alias("_id"))
     t2 = table.withColumn("_tid", F.col(key).cast("bigint"))

@@ -272,3 +272,19 @@ for _task in ("detection", "correction"):
                 .select("split", "entry_id", "instruction", "input", "output_json")
         return q_instr, q_corpus
     _make(_task)
+
+
+@query("context_pool", fixture_sql(
+    f"""select entry_id, row_id, draw from (
+      select i.entry_id, p.row_id, p.draw, row_number() over (partition by i.entry_id order by p.draw) as r
+      from inv i join (select row_id, row_number() over (order by md5('42|pool|' || row_id)) - 1 as draw
+                       from cust_clean order by md5('42|pool|' || row_id) limit {K + 2}) p
+        on not list_contains(i.involved, cast(p.row_id as bigint)))
+    where r <= {K}""", extra_ctes=_FRAG_CTES))
+def q_context_pool(spark, sf_dir):
+    """Pool-mode context rows: one seeded pool of k + 2 rows, minus each entry's own rows."""
+    from ..operators.annotations import involved_ids
+    e = _entries(spark, sf_dir)
+    e = e.withColumn("involved", involved_ids(e))
+    out = P.context_pool(e, fx.customer_clean(spark, sf_dir), K, 42)
+    return out.select("entry_id", "row_id", F.col("_draw").cast("long").alias("draw"))

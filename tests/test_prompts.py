@@ -85,3 +85,15 @@ def test_fragment_drops_entries_with_unknown_rows(spark):
     got = {r["entry_id"] for r in P.build_fragments(entries, table, k=3, seed=2).collect()}
     assert got == {"ok"}
     assert {r["entry_id"] for r in P.missing_involved(entries, table).collect()} == {"gone", "badpair"}
+
+
+def test_pool_context_mode(spark):
+    table = spark.createDataFrame([(str(i), f"n{i}") for i in range(50)], "row_id string, name string")
+    entries = spark.createDataFrame([("a", str(i), "name", "outliers", "x", "") for i in range(1)] +
+                                    [("b", "7", "name", "outliers", "x", "")],
+                                    "entry_id string, row_id string, column string, error_type string, "
+                                    "error_value string, tuple_pairs string")
+    frags = {r["entry_id"]: r["input"] for r in P.build_fragments(entries, table, k=4, seed=3, context="pool").collect()}
+    rows = {e: {line.split("|")[1].strip() for line in md.split("\n")[2:]} for e, md in frags.items()}
+    assert len(rows["a"]) == 5 and len(rows["b"]) == 5
+    assert len((rows["a"] - {"0"}) & (rows["b"] - {"7"})) >= 3     # mostly the same pool rows
