@@ -192,3 +192,17 @@ def table_pair_check(clean: DataFrame, dirty: DataFrame, key: str = "row_id") ->
         F.count(F.when(F.col("_dn") > 1, 1)).cast("long").alias("dup_dirty"),
         F.lit(same_cols).alias("same_columns"),
     )
+
+
+def cell_diff_positional(clean: DataFrame, dirty: DataFrame, key: str = "row_id",
+                         null_equals_null: bool = True) -> DataFrame:
+    """Cell diff aligned by row position (file order), not by key -- the reference's
+    literal alignment.  Both sides get the dense row index; the key column is then
+    compared like any other column."""
+    c = row_index(clean, name="_pos")
+    d = row_index(dirty, name="_pos")
+    cols = [x for x in clean.columns]
+    out = cell_diff(c.select("_pos", *[F.col(_q(x)) for x in cols]),
+                    d.select("_pos", *[F.col(_q(x)) for x in cols]), key="_pos", columns=cols,
+                    null_equals_null=null_equals_null)
+    return out.withColumnRenamed("_pos", "position")

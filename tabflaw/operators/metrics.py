@@ -243,3 +243,10 @@ def datetime_similarity(pairs: DataFrame, a: str = "right_value", b: str = "erro
 __all__ = ["align", "dist_jaccard", "dist_js", "dist_kl", "chi_square", "cell_set", "cell_scores",
            "rowcol_jaccard", "log_distribution", "cellchange_distribution", "dataset_profile",
            "numeric_similarity", "datetime_similarity", "value_type", "float_value"]
+
+
+def cells_from_cellchanges(changes: DataFrame, id_col: str = "_c0", key: str = "row_id") -> DataFrame:
+    """(row_id, column) from 'row.column' cell ids (split on the first dot), nulls dropped --
+    a cell-change list in the log shape, so it can be one ``method`` of a report."""
+    parts = F.split(F.col(id_col), r"\.", 2)
+    return changes.select(F.get(parts, 0).alias(key), F.get(parts, 1).alias("column")).dropna()

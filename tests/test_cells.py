@@ -81,3 +81,14 @@ def test_row_index_dense_in_file_order(spark):
     got = sorted((int(r["row_id"]), r["row_index"]) for r in idx.collect())
     assert [i for _, i in got] == list(range(1000))
     assert all(a == b for a, b in got)
+
+
+def test_positional_diff_and_cellchange_cells(spark):
+    from tabflaw.operators.metrics import cells_from_cellchanges
+    c = _df(spark, [("1", "a"), ("2", "b"), ("3", "c")], ["row_id", "v"])
+    d = _df(spark, [("1", "a"), ("9", "b"), ("3", "z")], ["row_id", "v"])
+    got = {(r["position"], r["column"]) for r in C.cell_diff_positional(c, d).collect()}
+    assert got == {(1, "row_id"), (2, "v")}
+    ch = spark.createDataFrame([("12.a.b",), ("3.c",), ("bad",)], "_c0 string")
+    assert sorted((r["row_id"], r["column"]) for r in cells_from_cellchanges(ch).collect()) == \
+        [("12", "a.b"), ("3", "c")]
