@@ -196,7 +196,7 @@ def q_method_report(spark, sf_dir):
     """Every generator scored against the same real errors, one job."""
     from .evaluation import method_report
     real = fx.annotation_log(spark, sf_dir, "customer")
-    return method_report(real, _methods(spark, sf_dir))
+    return method_report(real, _methods(spark, sf_dir), methods=["g", "h"])
 
 
 _TYPED = """typed as (select *, case
