@@ -22,6 +22,11 @@ def method_report(real_log: DataFrame, gen_logs: DataFrame, methods: list[str] |
     by method in one plan.  ``methods`` defaults to the distinct method
     names (a handful of labels, fetched once).
     """
+    from ..session import cut_lineage
+    # every metric below reads the two cell sets; materialise them once (only
+    # the three columns needed) instead of recomputing the logs per metric
+    real_log = cut_lineage(real_log.select(key, "column"))
+    gen_logs = cut_lineage(gen_logs.select("method", key, "column"))
     if methods is None:
         methods = sorted(r[0] for r in gen_logs.select("method").distinct().collect())
     g = ["method"]
@@ -49,10 +54,12 @@ def semantic_similarity(real_log: DataFrame, gen_log: DataFrame, group_cols=None
     from ..functions.vectors import hash_embed
     from ..operators.patterns import text_similarity
 
+    from ..session import cut_lineage
     g = list(group_cols or [])
     r = real_log.select(*g, key, "column", F.col("error_value").alias("tv"))
     q = gen_log.select(*g, key, "column", F.col("error_value").alias("gv"))
-    pairs = r.join(q, g + [key, "column"]).withColumn("_t", value_type(F.col("tv")))
+    # the paired values feed four aggregates: join once, read four times
+    pairs = cut_lineage(r.join(q, g + [key, "column"]).withColumn("_t", value_type(F.col("tv"))))
     groups = pairs.select(*g).distinct()
     txt = pairs.where(F.col("_t") == "text")
     ts = text_similarity(txt.select(*g, hash_embed(F.col("tv"), dim, ngram).alias("vec")),
