@@ -62,24 +62,26 @@ def _instr_sql(task="generation"):
     return f"concat_ws(' ', {t}, {d}, {c}, {s})"
 
 
-_FRAG_CTES = f"""ent as (select row_id || '|' || "column" as entry_id, * from cust_log),
+def _frag_ctes(table: str = "cust_clean", task: str = "generation") -> str:
+    """SQL twin of the fragment / instruction CTEs for one task (its source table)."""
+    return f"""ent as (select row_id || '|' || "column" as entry_id, * from cust_log),
 inv as (select entry_id, coalesce(case when error_type = 'rule_violation' then
           [try_cast(split_part(trim(tuple_pairs, '()'), ', ', 1) as bigint),
            try_cast(split_part(trim(tuple_pairs, '()'), ', ', 2) as bigint)]
         else [cast(row_id as bigint)] end, []::bigint[]) as involved from ent),
-idx as (select *, row_number() over (order by cast(row_id as bigint)) - 1 as row_index from cust_clean),
+idx as (select *, row_number() over (order by cast(row_id as bigint)) - 1 as row_index from {table}),
 dr as (select i.entry_id, i.involved, d.draw,
           cast('0x' || substr(md5('42|ctx|' || i.entry_id || '|' || cast(d.draw as varchar)), 1, 8) as bigint)
-          % (select count(*) from cust_clean) as pos
+          % (select count(*) from {table}) as pos
        from inv i, range(0, {K + 2 + 3 + 1}) d(draw)),
 dj as (select dr.entry_id, x.row_id, min(dr.draw) as draw from dr join idx x on x.row_index = dr.pos
        where not list_contains(dr.involved, cast(x.row_id as bigint)) group by 1, 2),
 ctx as (select entry_id, row_id, draw from (
           select *, row_number() over (partition by entry_id order by draw) r from dj) where r <= {K}),
-frows as (select c.entry_id, cl.* from ctx c join cust_clean cl on cl.row_id = c.row_id
+frows as (select c.entry_id, cl.* from ctx c join {table} cl on cl.row_id = c.row_id
           union all
           select v.entry_id, cl.* from (select entry_id, unnest(involved) as id from inv) v
-          join cust_clean cl on cast(cl.row_id as bigint) = v.id),
+          join {table} cl on cast(cl.row_id as bigint) = v.id),
 filled as (select f.entry_id, f.row_id,
     case when e.error_type = 'missing_value' and f.row_id = e.row_id and e."column" = 'c_name'
          then coalesce(e.error_value, '') else f.c_name end as c_name,
@@ -96,7 +98,10 @@ frag as (select entry_id,
                         '| ' || concat_ws(' | ', coalesce(row_id, ''), coalesce(c_name, ''), coalesce(c_nationkey, ''),
                                  coalesce(c_mktsegment, '')) || ' |') as input
   from filled group by entry_id),
-ins as (select entry_id, error_type, {_instr_sql()} as instruction from ent)"""
+ins as (select entry_id, error_type, {_instr_sql(task)} as instruction from ent)"""
+
+
+_FRAG_CTES = _frag_ctes()
 
 
 @query("markdown_fragment", fixture_sql("select entry_id, input from frag", extra_ctes=_FRAG_CTES))
@@ -250,7 +255,25 @@ def q_sample_fragment(spark, sf_dir):
     return md.select(F.col("markdown").alias("input"))
 
 
-@query("prompt_corpus")
+_OUT_JSON = """oj as (select entry_id, to_json(struct_pack(row_id := row_id, "column" := "column",
+    error_type := error_type, error_value := error_value, right_value := right_value,
+    missing_value := coalesce(missing_value, 0), "constraint" := coalesce("constraint", ''),
+    tuple_pairs := coalesce(tuple_pairs, '')))::varchar as output_json from ent)"""
+
+
+_CORPUS_SQL = """select sp.split, sp.entry_id,
+         i.instruction || coalesce(x.shots, '') as instruction, f.input, o.output_json
+       from sp join ins i on i.entry_id = sp.entry_id join frag f on f.entry_id = sp.entry_id
+       join oj o on o.entry_id = sp.entry_id
+       left join (select fp.entry_id, string_agg(chr(10) || 'Input:' || chr(10) || ef.input || chr(10) || 'Output:'
+                  || chr(10) || eo.output_json || chr(10), '' order by fp.j) as shots
+                  from fp join tr on tr.error_type = fp.error_type and tr.tpos = fp.ex_pos
+                  join frag ef on ef.entry_id = tr.entry_id join oj eo on eo.entry_id = tr.entry_id
+                  group by fp.entry_id) x on x.entry_id = sp.entry_id"""
+
+
+@query("prompt_corpus", fixture_sql(
+    _CORPUS_SQL, extra_ctes=_FRAG_CTES + ",\n" + _SPLIT_CTES + ",\n" + _FEW_CTES + ",\n" + _OUT_JSON))
 def q_prompt_corpus(spark, sf_dir):
     """(split, entry_id, instruction with few-shot, input, output JSON) for the generation task."""
     return _corpus(spark, sf_dir).select("split", "entry_id", "instruction", "input", "output_json")
@@ -263,7 +286,12 @@ for _task in ("detection", "correction"):
         def q_instr(spark, sf_dir):
             return _instructions(spark, sf_dir, task).select("entry_id", "instruction")
 
-        @query(f"prompt_corpus_{task}")
+        fields = (["row_id", "column", "error_type", "error_value"] if task == "detection" else None)
+        oj = _OUT_JSON if fields is None else """oj as (select entry_id, to_json(struct_pack(row_id := row_id,
+    "column" := "column", error_type := error_type, error_value := error_value))::varchar as output_json from ent)"""
+        ctes = _frag_ctes("cust_dirty", task) + ",\n" + _SPLIT_CTES + ",\n" + _FEW_CTES + ",\n" + oj
+
+        @query(f"prompt_corpus_{task}", fixture_sql(_CORPUS_SQL, extra_ctes=ctes))
         def q_corpus(spark, sf_dir):
             """C1 for a detection / correction task: inputs show the dirty table."""
             from .corpus import build_corpus
