@@ -77,16 +77,6 @@ def q_apply_generated(spark, sf_dir):
     return cells.apply_errors(clean, log, order_col=None)
 
 
-@query("generation_prompts")
-def q_generation_prompts(spark, sf_dir):
-    """Model prompts for every budgeted error slot (rule slots carry a candidate pair)."""
-    from .generation import generation_prompts
-    clean = fx.customer_clean(spark, sf_dir)
-    budget = G.error_budget(clean, _RATIO, _RATIOS)
-    return generation_prompts(clean, budget, rule=CUSTOMER_RULE, seed=42,
-                              index_order=F.col("row_id").cast("bigint"))
-
-
 def _proposals_sql(table: str, cols: list[str], seed: int) -> str:
     """SQL twin of the single-cell proposals of ``propose_errors`` (CTE body)."""
     from ..functions.values import FLOAT_RE
@@ -184,3 +174,99 @@ def q_generate_errors(spark, sf_dir):
     """Budget -> propose -> validate -> conflict-free -> quota, on the orders table."""
     clean = fx.orders_clean(spark, sf_dir)
     return G.generate_errors(clean, _RATIO, _RATIOS, seed=7)
+
+
+def _frag_sql(p: str, ent: str, table: str, k: int) -> str:
+    """Fragment CTEs named with prefix ``p`` for entries ``ent`` (no missing-value fill)."""
+    return f"""{p}inv as (select entry_id, coalesce(case when error_type = 'rule_violation' then
+          [try_cast(split_part(trim(tuple_pairs, '()'), ', ', 1) as bigint),
+           try_cast(split_part(trim(tuple_pairs, '()'), ', ', 2) as bigint)]
+        when regexp_matches(row_id, '^\\d+$') then [cast(row_id as bigint)] end, []::bigint[]) as involved from {ent}),
+{p}dr as (select i.entry_id, i.involved, d.draw,
+          cast('0x' || substr(md5('42|ctx|' || i.entry_id || '|' || cast(d.draw as varchar)), 1, 8) as bigint)
+          % (select count(*) from {table}) as pos
+       from {p}inv i, range(0, {k + 6}) d(draw)),
+{p}dj as (select dr.entry_id, x.row_id, min(dr.draw) as draw from {p}dr dr join gidx x on x.row_index = dr.pos
+       where not list_contains(dr.involved, cast(x.row_id as bigint)) group by 1, 2),
+{p}ctx as (select entry_id, row_id from (
+          select *, row_number() over (partition by entry_id order by draw) r from {p}dj) where r <= {k}),
+{p}rows as (select c.entry_id, cl.* from {p}ctx c join {table} cl on cl.row_id = c.row_id
+          union all
+          select v.entry_id, cl.* from (select entry_id, unnest(involved) as id from {p}inv) v
+          join {table} cl on cast(cl.row_id as bigint) = v.id),
+{p}frag as (select entry_id,
+    '| row_id | c_name | c_nationkey | c_mktsegment |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) ||
+    string_agg('| ' || concat_ws(' | ', coalesce(row_id, ''), coalesce(c_name, ''), coalesce(c_nationkey, ''),
+                                 coalesce(c_mktsegment, '')) || ' |', chr(10)
+               order by md5('42|order|' || entry_id || '|' || row_id)) as input
+  from {p}rows group by entry_id)"""
+
+
+def _gen_prompts_sql() -> str:
+    from ..functions.constraints import OPERATOR_TEXT
+    from ..functions.templates import ERROR_TYPE_DESCRIPTIONS, SUFFIXES, TASK_DESCRIPTIONS
+
+    def lst(opts):
+        return "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in opts) + "]"
+
+    def idx(part, n):
+        return f"(cast('0x' || substr(md5('42|{part}|' || entry_id), 1, 8) as bigint) % {n})"
+
+    tasks, sufs = TASK_DESCRIPTIONS["generation"], SUFFIXES["generation"]
+    pat = r"(\w+)\(t\d+\.([^,()]+),t\d+\.([^,()]+)\)"
+    op_case = "case regexp_extract(m, '" + pat + "', 1) " + " ".join(
+        f"when '{k}' then '{v}'" for k, v in OPERATOR_TEXT.items()) + " end"
+    sentence = (f"array_to_string(list_transform(regexp_extract_all(rule, '{pat}'), lambda m: 'The ' || "
+                f"regexp_extract(m, '{pat}', 2) || ' of entity 1 ' || {op_case} || ' the ' || "
+                f"regexp_extract(m, '{pat}', 3) || ' of entity 2'), ' and ') || '.'")
+    desc = "case error_type " + " ".join(
+        f"when '{et}' then {lst(o)}[{idx('desc', len(o))} + 1]" for et, o in ERROR_TYPE_DESCRIPTIONS.items()) \
+        + " else 'Unknown error type.' end"
+    instr = (f"concat_ws(' ', replace({lst(tasks)}[{idx('task', len(tasks))} + 1], '{{error_type}}', error_type), "
+             f"{desc}, case when rule <> '' then 'Denial Constraint is: ' || {sentence} || '.' end, "
+             f"{lst(sufs)}[{idx('suffix', len(sufs))} + 1])")
+    rule = CUSTOMER_RULE
+    gk = "md5(concat_ws('|', coalesce(c_nationkey, '<null>')))"
+    return f"""with {FIXTURE_CTES},
+bud as ({_budget_sql('cust_clean', 4)}),
+q as (select max(case when error_type = 'outliers' then quota end) as qo,
+             max(case when error_type = 'missing_value' then quota end) as qm,
+             max(case when error_type = 'pattern_violation' then quota end) as qp,
+             max(case when error_type = 'rule_violation' then quota end) as qr from bud),
+gidx as (select *, row_number() over (order by cast(row_id as bigint)) - 1 as row_index from cust_clean),
+pent as (select 's' || cast(s.i as varchar) as entry_id,
+           case when s.i < q.qo then 'outliers' when s.i < q.qo + q.qm then 'missing_value'
+                else 'pattern_violation' end as error_type,
+           null::varchar as row_id, '' as tuple_pairs, '' as rule
+         from q, range(0, (select qo + qm + qp from q)) s(i)),
+g as (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2),
+m as (select c.*, g.group_key, g.n,
+        cast('0x' || substr(md5('42|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
+        md5('42|' || c.row_id) as h
+      from cust_clean c join g on {gk.replace('c_nationkey', 'c.c_nationkey')} = g.group_key),
+pp as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
+        select *, (row_number() over (partition by group_key, salt order by h, cast(row_id as bigint)) - 1) // 2 as pr from m)
+      group by group_key, salt, pr having count(*) = 2),
+rch as (select r1, r2 from (
+          select *, row_number() over (order by md5('42|rs|{rule}|' || cast(r1 as varchar) || '|' || cast(r2 as varchar))) as rn
+          from pp) where rn <= (select qr from q)),
+rent as (select 'r' || substr(md5('{rule}'), 1, 8) || '_' || cast(r1 as varchar) || '_' || cast(r2 as varchar) as entry_id,
+           'rule_violation' as error_type, cast(r1 as varchar) as row_id,
+           '(' || cast(r1 as varchar) || ', ' || cast(r2 as varchar) || ')' as tuple_pairs, '{rule}' as rule from rch),
+{_frag_sql('p', 'pent', 'cust_clean', 5)},
+{_frag_sql('r', 'rent', 'cust_clean', 3)},
+allent as (select entry_id, error_type, rule from pent union all select entry_id, error_type, rule from rent),
+allfrag as (select entry_id as fid, input from pfrag union all select entry_id, input from rfrag)
+select entry_id, error_type,
+  'User:' || chr(10) || {instr} || chr(10) || 'Input:' || chr(10) || input || chr(10) || 'Assistant:' || chr(10) as prompt
+from allent join allfrag on fid = entry_id"""
+
+
+@query("generation_prompts", _gen_prompts_sql())
+def q_generation_prompts(spark, sf_dir):
+    """Model prompts for every budgeted error slot (rule slots carry a candidate pair)."""
+    from .generation import generation_prompts
+    clean = fx.customer_clean(spark, sf_dir)
+    budget = G.error_budget(clean, _RATIO, _RATIOS)
+    return generation_prompts(clean, budget, rule=CUSTOMER_RULE, seed=42,
+                              index_order=F.col("row_id").cast("bigint"))
