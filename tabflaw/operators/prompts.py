@@ -23,7 +23,7 @@ from ..functions.constraints import constraint_entities
 from ..functions.hashing import hash_int, hash_key
 from ..functions.templates import (ERROR_TYPE_DESCRIPTIONS, SUFFIXES, TASK_DESCRIPTIONS,
                                    UNKNOWN_ERROR_TYPE)
-from .cells import row_index, value_columns
+from .cells import row_index
 
 
 def _q(name: str) -> str:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import prompts as P
 from ..operators.annotations import task_output
 from ..session import cut_lineage
-from ..schemas import DETECTION_FIELDS, ERROR_FIELDS
 
 
 def corpus_base(entries: DataFrame, table: DataFrame, task: str = "generation", k: int = 5, seed=42,

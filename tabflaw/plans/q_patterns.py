@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.values import FLOAT_RE, value_type
 from ..functions.vectors import diff, hash_embed
-from ..operators import metrics as M
 from ..operators import patterns as PT
 from ..sources.tables import read_table
 from . import fixtures as fx
