@@ -58,25 +58,6 @@ def q_quota_select(spark, sf_dir):
     return out.select("src", "row_id", "column", "error_type", "priority")
 
 
-@query("conflict_free_cells")
-def q_conflict_free_cells(spark, sf_dir):
-    """Two overlapping generated logs + rule proposals; no cell edited twice (greedy by priority)."""
-    clean = fx.customer_clean(spark, sf_dir)
-    budget = G.error_budget(clean, _RATIO, _RATIOS)
-    rules = G._rule_candidates(clean, CUSTOMER_RULES[0], 42, "row_id").unionByName(
-        G._rule_candidates(clean, CUSTOMER_RULES[1], 42, "row_id"))
-    pool = _pool(spark, sf_dir).drop("src").unionByName(rules)
-    return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
-
-
-@query("apply_generated")
-def q_apply_generated(spark, sf_dir):
-    """The generated log applied to the clean customer table (rule errors included)."""
-    clean = fx.customer_clean(spark, sf_dir)
-    log = G.generate_errors(clean, _RATIO, _RATIOS, rule=CUSTOMER_RULES, seed=11)
-    return cells.apply_errors(clean, log, order_col=None)
-
-
 def _proposals_sql(table: str, cols: list[str], seed: int) -> str:
     """SQL twin of the single-cell proposals of ``propose_errors`` (CTE body)."""
     from ..functions.values import FLOAT_RE
@@ -270,3 +251,130 @@ def q_generation_prompts(spark, sf_dir):
     budget = G.error_budget(clean, _RATIO, _RATIOS)
     return generation_prompts(clean, budget, rule=CUSTOMER_RULE, seed=42,
                               index_order=F.col("row_id").cast("bigint"))
+
+
+def _pairs_sql(name: str, eq_col: str, seed: int = 42) -> str:
+    """Disjoint pairs of ``pick_pairs`` for a one-column EQ rule on cust_clean (CTE body)."""
+    gk = f"md5(concat_ws('|', coalesce({eq_col}, '<null>')))"
+    return f"""{name} as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
+    select *, (row_number() over (partition by group_key, salt order by h, cast(row_id as bigint)) - 1) // 2 as pr from (
+      select c.*, g.group_key,
+        cast('0x' || substr(md5('{seed}|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
+        md5('{seed}|' || c.row_id) as h
+      from cust_clean c join (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2) g
+        on {gk.replace(eq_col, 'c.' + eq_col)} = g.group_key))
+  group by group_key, salt, pr having count(*) = 2)"""
+
+
+def _greedy_sql() -> str:
+    """Sequential greedy in priority order as a recursive CTE: one candidate per step,
+    accepted when none of its resources is used yet (the reference's loop)."""
+    r1, r2 = CUSTOMER_RULES
+    rule_c = []
+    for name, rule, eq, iq in (("p1", r1, "c_nationkey", "c_mktsegment"), ("p2", r2, "c_mktsegment", "c_nationkey")):
+        rule_c.append(f"""select cast(p.r1 as varchar) as row_id, '{iq}' as "column", 'rule_violation' as error_type,
+           '(' || cast(p.r1 as varchar) || ', ' || cast(p.r2 as varchar) || ')' as tuple_pairs,
+           md5('42|rule_violation|{rule}|' || cast(p.r1 as varchar) || '|{iq}') as priority,
+           [cast(p.r1 as varchar) || '|{iq}', cast(p.r2 as varchar) || '|{iq}',
+            cast(p.r1 as varchar) || '|#row', cast(p.r2 as varchar) || '|#row'] as res
+         from {name} p join cust_clean b on cast(b.row_id as bigint) = p.r2 where b.{iq} is not null""")
+    return f"""with recursive {FIXTURE_CTES},
+{_pairs_sql('p1', 'c_nationkey')},
+{_pairs_sql('p2', 'c_mktsegment')},
+pool as (select row_id, "column", error_type, tuple_pairs,
+           md5('42|' || src || '|' || row_id || '|' || "column") as priority,
+           case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\d+')) > 0 then
+                  list_concat(list_transform(ids, lambda x: x || '|' || "column"),
+                              list_transform(ids, lambda x: x || '|#row'))
+                else [row_id || '|' || "column"] end as res
+         from (select *, list_transform(regexp_extract_all(tuple_pairs, '\d+'), lambda x: cast(cast(x as bigint) as varchar))
+                 as ids
+               from (select 'g' as src, * from cust_glog union all select 'h' as src, * from cust_hlog))
+         union all {rule_c[0]}
+         union all {rule_c[1]}),
+cand as (select row_number() over (order by priority) as i, * from pool),
+walk(i, used, acc) as (
+  select 0, []::varchar[], []::bigint[]
+  union all
+  select w.i + 1,
+         case when list_has_any(w.used, c.res) then w.used else list_concat(w.used, c.res) end,
+         case when list_has_any(w.used, c.res) then w.acc else list_append(w.acc, c.i) end
+  from walk w join cand c on c.i = w.i + 1)
+select row_id, "column", error_type, tuple_pairs, priority from cand
+where i in (select unnest(acc) from walk where i = (select count(*) from cand))"""
+
+
+@query("conflict_free_cells", _greedy_sql())
+def q_conflict_free_cells(spark, sf_dir):
+    """Two overlapping generated logs + rule proposals; no cell edited twice (greedy by priority)."""
+    clean = fx.customer_clean(spark, sf_dir)
+    budget = G.error_budget(clean, _RATIO, _RATIOS)
+    rules = G._rule_candidates(clean, CUSTOMER_RULES[0], 42, "row_id").unionByName(
+        G._rule_candidates(clean, CUSTOMER_RULES[1], 42, "row_id"))
+    pool = _pool(spark, sf_dir).drop("src").unionByName(rules)
+    return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
+
+
+def _apply_generated_sql() -> str:
+    """generate_errors(customer, 0.2, 1:2:4:3, two rules, seed 11) applied to the clean table:
+    proposals -> validation -> sequential greedy (recursive CTE) -> exact quota -> edits."""
+    from ..functions.values import FLOAT_RE
+    re_ = FLOAT_RE.replace("'", "''")
+    cols = ["c_name", "c_nationkey", "c_mktsegment"]
+    seed = 11
+    rules = []
+    for name, rule, iq in (("p1", CUSTOMER_RULES[0], "c_mktsegment"), ("p2", CUSTOMER_RULES[1], "c_nationkey")):
+        rules.append(f"""select cast(p.r1 as varchar) as row_id, '{iq}' as "column", 'rule_violation' as error_type,
+           b.{iq} || '*' as error_value, a.{iq} as right_value, 0 as missing_value,
+           'Constraint Violation: The {iq} of Row ' || cast(p.r1 as varchar) || ' is different from the {iq} of Row '
+             || cast(p.r2 as varchar) as "constraint",
+           '(' || cast(p.r1 as varchar) || ', ' || cast(p.r2 as varchar) || ')' as tuple_pairs,
+           md5('{seed}|rule_violation|{rule}|' || cast(p.r1 as varchar) || '|{iq}') as priority
+         from {name} p join cust_clean a on cast(a.row_id as bigint) = p.r1
+           join cust_clean b on cast(b.row_id as bigint) = p.r2 where b.{iq} is not null""")
+    num = lambda x: f"(case when regexp_matches({x}, '{re_}') then try_cast(replace(trim({x}), '_', '') as double) end)"
+    long = " union all ".join(f"select row_id as rid, '{c}' as col, {c} as tv from cust_clean" for c in cols)
+    same = (f"case when {num('trim(p.error_value)')} is not null and {num('t.tv')} is not null "
+            f"then {num('trim(p.error_value)')} = {num('t.tv')} "
+            f"else trim(p.error_value) is not distinct from trim(t.tv) end")
+    sets = ",\n  ".join(
+        f"case when e_{c}.row_id is not null then e_{c}.error_value else c.{c} end as {c}" for c in cols)
+    joins = "\n".join(f"left join chosen e_{c} on e_{c}.row_id = c.row_id and e_{c}.\"column\" = '{c}'" for c in cols)
+    return f"""with recursive {FIXTURE_CTES},
+bud as ({_budget_sql('cust_clean', 4)}),
+{_proposals_sql('cust_clean', cols, seed)},
+{_pairs_sql('p1', 'c_nationkey', seed)},
+{_pairs_sql('p2', 'c_mktsegment', seed)},
+allc as (select * from props union all {rules[0]} union all {rules[1]}),
+lt as ({long}),
+ok as (select p.row_id, p."column", p.error_type, p.error_value, p.tuple_pairs, p.priority
+       from allc p join lt t on t.rid = p.row_id and t.col = p."column" where not ({same})),
+cand as (select row_number() over (order by priority) as i, *,
+           case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\\d+')) > 0 then
+             list_concat(list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: x || '|' || "column"),
+                         list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: x || '|#row'))
+           else [row_id || '|' || "column"] end as res
+         from ok),
+walk(i, used, acc) as (
+  select 0, []::varchar[], []::bigint[]
+  union all
+  select w.i + 1,
+         case when list_has_any(w.used, c.res) then w.used else list_concat(w.used, c.res) end,
+         case when list_has_any(w.used, c.res) then w.acc else list_append(w.acc, c.i) end
+  from walk w join cand c on c.i = w.i + 1),
+kept as (select * from cand where i in (select unnest(acc) from walk where i = (select count(*) from cand))),
+chosen as (select row_id, "column", error_value from (
+    select k.*, row_number() over (partition by k.error_type order by k.priority) as rn, b.quota
+    from kept k join bud b on b.error_type = k.error_type) where rn <= quota)
+select c.row_id,
+  {sets}
+from cust_clean c
+{joins}"""
+
+
+@query("apply_generated", _apply_generated_sql())
+def q_apply_generated(spark, sf_dir):
+    """The generated log applied to the clean customer table (rule errors included)."""
+    clean = fx.customer_clean(spark, sf_dir)
+    log = G.generate_errors(clean, _RATIO, _RATIOS, rule=CUSTOMER_RULES, seed=11)
+    return cells.apply_errors(clean, log, order_col=None)
