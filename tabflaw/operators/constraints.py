@@ -63,7 +63,8 @@ def eq_columns(rule: str) -> list[str]:
         raise ValueError(f"rule {rule!r} has no EQ predicate: no join key, pairs would be all pairs")
     cross = [p for p in eq if p.left != p.right]
     if cross:
-        raise ValueError(f"rule {rule!r}: EQ across different columns is not supported")
+        raise ValueError(f"rule {rule!r}: EQ across different columns forms no groups; "
+                         "use cross_pair_count / cross_pair_members")
     return [p.left for p in eq]
 
 
@@ -255,3 +256,59 @@ def pick_pairs(table: DataFrame, rule: str, seed: int = 42, key: str = "row_id",
     pairs = ranked.groupBy("rule", "group_key", "_salt", "_pair").agg(
         F.min("_id").alias("row_id_1"), F.max("_id").alias("row_id_2"), F.count(F.lit(1)).alias("_n"))
     return pairs.where(F.col("_n") == 2).select("rule", "group_key", "row_id_1", "row_id_2")
+
+
+# ---------------------------------------------------------------- cross-column EQ
+
+def _eq_sides(rule: str) -> tuple[list[str], list[str]]:
+    preds = [p for p in parse_rule(rule) if p.op == "EQ"]
+    if not preds:
+        raise ValueError(f"rule {rule!r} has no EQ predicate: no join key, pairs would be all pairs")
+    return [p.left for p in preds], [p.right for p in preds]
+
+
+def _side_key(cols: list[str]) -> Column:
+    parts = [F.coalesce(F.col(_q(c)).cast("string"), F.lit(NULL_TOKEN)) for c in cols]
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def cross_pair_count(table: DataFrame, rule: str, key: str = "row_id") -> DataFrame:
+    """(rule, n_pairs): unordered candidate pairs {x, y}, x != y, with x.L = y.R in
+    either orientation, for EQ predicates t1.L_i = t2.R_i over any columns.
+
+    Without listing pairs: ordered pairs = sum_v cntL(v) * cntR(v) - rows with
+    L = R (themselves); a pair matching in both orientations (x.L = y.R and
+    y.L = x.R) was counted twice, so subtract those once.  Both-way pairs pair
+    a row of (L, R) key (l, r) with a row of key (r, l): cnt(l, r) * cnt(r, l)
+    for l < r, C(cnt, 2) for l = r.  All counts are hash aggregations and one
+    join of aggregated keys.  Nulls match nulls (as a pandas merge does).
+    """
+    left, right = _eq_sides(rule)
+    x = table.select(_side_key(left).alias("_l"), _side_key(right).alias("_r"))
+    cl = x.groupBy(F.col("_l").alias("_v")).agg(F.count(F.lit(1)).cast(PAIR_COUNT).alias("_cl"))
+    cr = x.groupBy(F.col("_r").alias("_v")).agg(F.count(F.lit(1)).cast(PAIR_COUNT).alias("_cr"))
+    ordered = cl.join(cr, "_v").agg(F.sum(F.col("_cl") * F.col("_cr")).alias("_o"))
+    selfs = x.where(F.col("_l") == F.col("_r")).agg(F.count(F.lit(1)).cast(PAIR_COUNT).alias("_s"))
+    lr = x.groupBy("_l", "_r").agg(F.count(F.lit(1)).cast(PAIR_COUNT).alias("_n"))
+    rev = lr.select(F.col("_l").alias("_r"), F.col("_r").alias("_l"), F.col("_n").alias("_m"))
+    both = (lr.join(rev, ["_l", "_r"])
+            .where(F.col("_l") <= F.col("_r"))
+            .agg(F.sum(F.when(F.col("_l") == F.col("_r"), _pairs(F.col("_n")))
+                       .otherwise(F.col("_n") * F.col("_m"))).alias("_b")))
+    total = (F.coalesce(ordered.select("_o").scalar(), F.lit(0)) - F.coalesce(selfs.select("_s").scalar(), F.lit(0))
+             - F.coalesce(both.select("_b").scalar(), F.lit(0)))
+    return table.sparkSession.range(1).select(F.lit(rule).alias("rule"), total.cast(PAIR_COUNT).alias("n_pairs"))
+
+
+def cross_pair_members(table: DataFrame, rule: str, key: str = "row_id") -> DataFrame:
+    """(rule, row_id) of rows in some candidate pair of a (cross-column) EQ rule:
+    x pairs with another row when another row's R equals x.L or another row's L
+    equals x.R (self matches discounted by counting)."""
+    left, right = _eq_sides(rule)
+    x = table.select(F.col(key), _side_key(left).alias("_l"), _side_key(right).alias("_r"))
+    cr = x.groupBy(F.col("_r").alias("_l")).agg(F.count(F.lit(1)).alias("_nr"))
+    cl = x.groupBy(F.col("_l").alias("_r")).agg(F.count(F.lit(1)).alias("_nl"))
+    j = x.join(cr, "_l", "left").join(cl, "_r", "left").na.fill(0, ["_nr", "_nl"])
+    me = F.when(F.col("_l") == F.col("_r"), 1).otherwise(0)   # a row whose L = R matches itself
+    ok = ((F.col("_nr") - me) > 0) | ((F.col("_nl") - me) > 0)
+    return j.where(ok).select(F.lit(rule).alias("rule"), F.col(key))

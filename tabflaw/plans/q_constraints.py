@@ -289,3 +289,37 @@ def q_dc_violations_multi(spark, sf_dir):
 @query("dc_violation_rows_multi", "\nunion all\n".join(_brute_rows_sql(t, k, r) for t, k, r in MULTI_RULES))
 def q_dc_violation_rows_multi(spark, sf_dir):
     return _union([C.violation_rows(_table(spark, sf_dir, t, k), r) for t, k, r in MULTI_RULES])
+
+
+# Rules whose EQ predicates compare different columns.
+CROSS_RULES = [
+    ("customer", "c_custkey", "EQ(t1.c_custkey,t2.c_nationkey)"),
+    ("orders", "o_orderkey", "EQ(t1.o_custkey,t2.o_custkey)&EQ(t1.o_orderkey,t2.o_custkey)"),
+    ("part", "p_partkey", "EQ(t1.p_size,t2.p_partkey)"),
+]
+
+
+def _cross_join_sql(t, key, rule):
+    left, right = C._eq_sides(rule)
+    on = " and ".join(f"a.{x} is not distinct from b.{y}" for x, y in zip(left, right))
+    return f"from {t} a join {t} b on {on} and a.{key} <> b.{key}"
+
+
+@query("dc_cross_pairs", "\nunion all\n".join(
+    f"select '{r}' as rule, cast(count(*) as decimal(38,0)) as n_pairs from (select distinct "
+    f"least(a.{k}, b.{k}) as x, greatest(a.{k}, b.{k}) as y {_cross_join_sql(t, k, r)})"
+    for t, k, r in CROSS_RULES))
+def q_dc_cross_pairs(spark, sf_dir):
+    """Candidate pairs of EQ rules across different columns, counted without listing them
+    (oracle: brute-force self-join with least/greatest de-duplication)."""
+    return _union([C.cross_pair_count(read_table(spark, sf_dir, t), r, key=k) for t, k, r in CROSS_RULES])
+
+
+@query("dc_cross_members", "\nunion all\n".join(
+    f"select distinct '{r}' as rule, x as row_id from (select a.{k} as x {_cross_join_sql(t, k, r)} "
+    f"union all select b.{k} {_cross_join_sql(t, k, r)})"
+    for t, k, r in CROSS_RULES))
+def q_dc_cross_members(spark, sf_dir):
+    out = _union([C.cross_pair_members(read_table(spark, sf_dir, t), r, key=k).withColumnRenamed(k, "row_id")
+                  for t, k, r in CROSS_RULES])
+    return out

@@ -143,3 +143,19 @@ def test_multi_predicate_violations_vs_brute_force(spark):
         assert {x["row_id"] for x in C.violation_rows(df, rule).collect()} == want_rows, rule
     with pytest.raises(ValueError):
         C.violation_spec("EQ(t1.g,t2.g)&LT(t1.a,t2.a)&GT(t1.b,t2.b)")
+
+
+def test_cross_column_pairs_vs_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([1, 2, 3, None]), rnd.choice([1, 2, 3, None]), rnd.choice(["u", "v"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, a int, b int, g string")
+    for rule, cond in (
+            ("EQ(t1.a,t2.b)", lambda x, y: x[1] == y[2]),
+            ("EQ(t1.g,t2.g)&EQ(t1.a,t2.b)", lambda x, y: x[3] == y[3] and x[1] == y[2]),
+            ("EQ(t1.a,t2.a)", lambda x, y: x[1] == y[1])):
+        want = {tuple(sorted((x[0], y[0]))) for x in rows for y in rows if x[0] != y[0] and cond(x, y)}
+        got = int(C.cross_pair_count(df, rule).first()["n_pairs"])
+        assert got == len(want), rule
+        members = {r["row_id"] for r in C.cross_pair_members(df, rule).collect()}
+        assert members == {i for p in want for i in p}, rule
