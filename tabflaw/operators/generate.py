@@ -243,8 +243,10 @@ def generate_errors(table: DataFrame, error_ratio: float = 0.1, ratios: str = "1
     budget = error_budget(table, error_ratio, ratios, key=key)
     cands = propose_errors(table, budget, seed=seed, oversample=oversample, rule=rule, key=key)
     # default proposals edit one cell each; only rule candidates touch several
+    # default proposals edit one cell each and never share one (disjoint draws);
+    # only rule candidates (two rows each) can conflict
     chosen = select_errors(table, cands, budget, key=key, checkpoint=checkpoint,
-                           single_cell=True if not _rules(rule) else None)
+                           single_cell=True if not _rules(rule) else None, disjoint=not _rules(rule))
     return chosen.select(key, "column", "error_type", "error_value", "right_value", "missing_value",
                          "constraint", "tuple_pairs", "priority")
 
@@ -291,8 +293,14 @@ def candidates_from_completions(completions: DataFrame, seed: int = 42, id_col:
 
 
 def select_errors(table: DataFrame, cands: DataFrame, budget: DataFrame, key: str = "row_id",
-                  checkpoint: bool = True, single_cell: bool | None = None) -> DataFrame:
-    """validate -> conflict-free -> quota for candidates from any proposer."""
+                  checkpoint: bool = True, single_cell: bool | None = None,
+                  disjoint: bool = False) -> DataFrame:
+    """validate -> conflict-free -> quota for candidates from any proposer.
+
+    ``disjoint=True`` states that no two candidates share a cell (the default
+    proposer's draws guarantee it), so the conflict step is skipped.
+    """
     from .annotations import validate_candidates
     valid = validate_candidates(cands, table, key=key).where(F.col("status") == "ok").drop("status")
-    return quota_select(conflict_free(valid, key=key, checkpoint=checkpoint, single_cell=single_cell), budget)
+    free = valid if disjoint else conflict_free(valid, key=key, checkpoint=checkpoint, single_cell=single_cell)
+    return quota_select(free, budget)
