@@ -75,9 +75,15 @@ def _block_topk(k: int, exclude_self: bool):
         if exclude_self:
             s = np.where(qi[:, None] == ri[None, :], -np.inf, s)
         kk = min(k, s.shape[1])
-        order = np.lexsort((np.broadcast_to(ri, s.shape), -s), axis=1)[:, :kk]
-        rows_q = np.repeat(np.arange(len(qi)), kk)
-        rows_r = order.reshape(-1)
+        # k-th best per row in linear time, then an exact (cosine desc, id asc)
+        # sort of only the entries at or above it (ties at the threshold kept)
+        thr = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
+        rq, rr = np.nonzero(s >= thr[:, None])
+        order = np.lexsort((ri[rr], -s[rq, rr], rq))
+        rq, rr = rq[order], rr[order]
+        first = np.searchsorted(rq, np.arange(len(qi)))
+        keep_k = (np.arange(len(rq)) - first[rq]) < kk
+        rows_q, rows_r = rq[keep_k], rr[keep_k]
         cos = s[rows_q, rows_r]
         keep = np.isfinite(cos)
         rows_q, rows_r, cos = rows_q[keep], rows_r[keep], cos[keep]

@@ -102,3 +102,24 @@ def test_numeric_and_datetime_similarity(spark):
     assert M.datetime_similarity(d).first()["datetime_similarity"] == pytest.approx(-1.0)
     bad = spark.createDataFrame([("2020-01-01", "never")], "right_value string, error_value string")
     assert M.datetime_similarity(bad).first()["datetime_similarity"] == 0.0
+
+
+def test_knn_exact_with_ties_and_blocks(spark):
+    from tabflaw.operators.patterns import knn_cosine
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 4))
+    vecs = np.vstack([base, base[:6]])            # exact duplicates -> tied cosines
+    vecs[3] = 0.0                                   # a zero vector never matches
+    diffs = rng.normal(size=vecs.shape)
+    rows = [(i, vecs[i].tolist(), diffs[i].tolist()) for i in range(len(vecs))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, diff array<double>")
+    got = knn_cosine(df, df, k=3, exclude_self=True, block_rows=5).collect()   # several blocks per side
+    unit = lambda m: m / np.linalg.norm(m)
+    for qi in range(len(vecs)):
+        if not np.linalg.norm(vecs[qi]):
+            assert not [g for g in got if g["q_id"] == qi]
+            continue
+        cand = [(-(unit(vecs[qi]) @ unit(vecs[j])), j) for j in range(len(vecs)) if j != qi and np.linalg.norm(vecs[j])]
+        want = [j for _, j in sorted(cand, key=lambda t: (round(t[0], 12), t[1]))[:3]]
+        mine = [g["r_id"] for g in sorted([g for g in got if g["q_id"] == qi], key=lambda g: g["rank"])]
+        assert mine == want, qi
