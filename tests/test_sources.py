@@ -117,3 +117,14 @@ def test_corpus_from_reference_layout(spark, scratch):
     one = res.where("split = 'test_fewshot'").first()
     assert one["input"].startswith("| row_id | a | b-c |")
     assert json.loads(one["output"])["tuple_pairs"] is not None
+
+
+def test_pair_groups_sink_partitioned_by_rule(spark, scratch):
+    from tabflaw.operators.constraints import pair_groups
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "y")], "row_id long, a string")
+    g = pair_groups(df, "EQ(t1.a,t2.a)")
+    out = os.path.join(scratch, "pairs")
+    S.write_pair_groups(g, out)
+    assert any(d.startswith("rule_id=") for d in os.listdir(out))
+    back = spark.read.parquet(out)
+    assert sorted(int(r["n_pairs"]) for r in back.collect()) == [1, 3]
