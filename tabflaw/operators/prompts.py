@@ -237,20 +237,23 @@ def fewshot_pairs(corpus: DataFrame, seed=42, id_col: str = "entry_id",
     Train entries get their type's dense position by a distributed sort on
     (type, hash); exemplar lookups are an equi join on (type, position).
     """
-    train = corpus.where(F.col("split") == "train").withColumn(
-        "_h", hash_key(seed, F.lit("fs"), F.col(id_col)))
-    idx = row_index(train.select(id_col, type_col, "_h", "input", "output_json"),
-                    order_by=[type_col, "_h"], name="_g")
+    train = corpus.where(F.col("split") == "train")
+    # only (id, type, hash) go through the distributed sort; the texts join back
+    # for the chosen exemplars alone
+    keys = train.select(id_col, type_col, hash_key(seed, F.lit("fs"), F.col(id_col)).alias("_h"))
+    idx = row_index(keys, order_by=[type_col, "_h"], name="_g")
     first = idx.groupBy(type_col).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"))
     pos = idx.join(first, type_col).withColumn("_tpos", F.col("_g") - F.col("_g0"))
     own = pos.select(id_col, "_tpos")
     c = corpus.select(id_col, type_col, "split").join(first.select(type_col, "_n"), type_col, "left") \
               .na.fill(0, ["_n"]).join(own, id_col, "left")
     picks = fewshot_positions(c, seed, id_col, type_col)
-    ex = pos.select(F.col(type_col).alias("_et"), F.col("_tpos").alias("_ep"), F.col(id_col).alias("ex_id"),
-                    F.concat(F.lit("\nInput:\n"), F.col("input"), F.lit("\nOutput:\n"), F.col("output_json"),
-                             F.lit("\n")).alias("ex_text"))
+    ex = pos.select(F.col(type_col).alias("_et"), F.col("_tpos").alias("_ep"), F.col(id_col).alias("ex_id"))
     got = picks.join(ex, (picks[type_col] == ex._et) & (picks.ex_pos == ex._ep))
+    texts = train.select(F.col(id_col).alias("ex_id"),
+                         F.concat(F.lit("\nInput:\n"), F.col("input"), F.lit("\nOutput:\n"), F.col("output_json"),
+                                  F.lit("\n")).alias("ex_text"))
+    got = got.join(texts, "ex_id")
     return got.select(id_col, "j", "ex_id", "ex_text")
 
 
