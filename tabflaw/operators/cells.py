@@ -206,3 +206,19 @@ def cell_diff_positional(clean: DataFrame, dirty: DataFrame, key: str = "row_id"
                     d.select("_pos", *[F.col(_q(x)) for x in cols]), key="_pos", columns=cols,
                     null_equals_null=null_equals_null)
     return out.withColumnRenamed("_pos", "position")
+
+
+def differences(clean: DataFrame, dirty: DataFrame, null_equals_null: bool = False) -> DataFrame:
+    """(row, column, right_value, error_value) with row = position in file order and
+    column = index in the header, like the reference's difference list.
+
+    Positional alignment and NaN != NaN (two missing cells differ) reproduce
+    the literal behaviour by default.  Written as JSON lines (one object per
+    difference) rather than one JSON array, so no task or driver holds it all.
+    """
+    cols = clean.columns
+    pos = {c: i for i, c in enumerate(cols)}
+    d = cell_diff_positional(clean, dirty, null_equals_null=null_equals_null)
+    index = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
+    return d.select(F.col("position").alias("row"), F.element_at(index, F.col("column")).alias("column"),
+                    "right_value", "error_value")

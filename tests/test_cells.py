@@ -92,3 +92,10 @@ def test_positional_diff_and_cellchange_cells(spark):
     ch = spark.createDataFrame([("12.a.b",), ("3.c",), ("bad",)], "_c0 string")
     assert sorted((r["row_id"], r["column"]) for r in cells_from_cellchanges(ch).collect()) == \
         [("12", "a.b"), ("3", "c")]
+
+
+def test_differences_positions(spark):
+    c = _df(spark, [("1", "a", None), ("2", "b", "x")], ["row_id", "v", "w"])
+    d = _df(spark, [("1", "A", None), ("2", "b", "y")], ["row_id", "v", "w"])
+    got = sorted((r["row"], r["column"], r["right_value"], r["error_value"]) for r in C.differences(c, d).collect())
+    assert got == [(0, 1, "a", "A"), (0, 2, None, None), (1, 2, "x", "y")]     # NaN != NaN by default
