@@ -39,3 +39,9 @@ def hash_bucket(x: Column, n) -> Column:
 
 def seeded_bucket(seed, n, *keys) -> Column:
     return hash_bucket(F.concat_ws("|", F.lit(str(seed)), *[_c(k).cast("string") for k in keys]), n)
+
+
+def hash_id(*keys) -> Column:
+    """Stable 60-bit integer id from md5 of the keys (first 15 hex digits)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[_c(k).cast("string") for k in keys])), 1, 15),
+                  16, 10).cast("bigint")

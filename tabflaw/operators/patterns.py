@@ -123,16 +123,16 @@ def knn_cosine(queries: DataFrame, refs: DataFrame, k: int = 20, exclude_self: b
 
 def pattern_scores(knn: DataFrame, ks=(1, 2, 3, 4, 5, 10, 15, 20), agg: str = "max") -> DataFrame:
     """(k, score): per query the max (or mean) pattern cosine over its k nearest,
-    then the mean over queries; zero-length transformations are skipped; none -> 0."""
-    per = []
-    for k in ks:
-        sub = knn.where(F.col("rank") <= k)
-        f = F.max("pcos") if agg == "max" else F.avg("pcos")
-        per.append(sub.groupBy("q_id").agg(f.alias("_s")).select(F.lit(k).alias("k"), "_s"))
-    allk = per[0]
-    for p in per[1:]:
-        allk = allk.unionByName(p)
-    return allk.groupBy("k").agg(F.coalesce(F.avg("_s"), F.lit(0.0)).alias("score"))
+    then the mean over queries; zero-length transformations are skipped; none -> 0.
+
+    One pass over the kNN rows: a neighbour of rank r counts for every k >= r
+    (an explode of the sweep values), then two aggregations.
+    """
+    sweep = F.array(*[F.lit(int(k)) for k in ks])
+    x = knn.select("q_id", "pcos", F.explode(F.filter(sweep, lambda k: k >= F.col("rank"))).alias("k"))
+    f = F.max("pcos") if agg == "max" else F.avg("pcos")
+    per = x.groupBy("k", "q_id").agg(f.alias("_s"))
+    return per.groupBy("k").agg(F.coalesce(F.avg("_s"), F.lit(0.0)).alias("score"))
 
 
 def text_similarity(a: DataFrame, b: DataFrame, vec_col: str = "vec", group_cols=None) -> DataFrame:

@@ -71,3 +71,56 @@ def semantic_similarity(real_log: DataFrame, gen_log: DataFrame, group_cols=None
              + 0.3 * F.coalesce(F.col("numeric_similarity"), F.lit(0.0))
              + 0.2 * F.coalesce(F.col("datetime_similarity"), F.lit(0.0)))
     return out.select(*g, F.round(score, 9).alias("semantic_similarity"))
+
+
+def method_cells(sources: dict, key: str = "row_id") -> DataFrame:
+    """Generated errors from different kinds of sources as (method, row_id, column).
+
+    ``sources``: method -> an error log (has ``column``), a (clean, dirty) pair
+    (differences are the errors), or a cell-change list (``_c0`` = 'row.column').
+    """
+    from ..operators.cells import cell_diff
+    from ..operators.metrics import cells_from_cellchanges
+    parts = []
+    for method, src in sources.items():
+        if isinstance(src, tuple):
+            cells = cell_diff(src[0], src[1], key=key).select(key, "column")
+        elif "_c0" in src.columns:
+            cells = cells_from_cellchanges(src, key=key)
+        else:
+            cells = src.select(key, "column")
+        parts.append(cells.select(F.lit(method).alias("method"), key, "column"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def pattern_report(real_log: DataFrame, gen_log: DataFrame, ks=(1, 2, 3, 4, 5, 10, 15, 20),
+                   dim: int = 64, ngram: int = 3, agg: str = "max", block_rows: int = 4096,
+                   id_cols=("row_id", "column")) -> DataFrame:
+    """How much generated (right -> error) transformations resemble real ones.
+
+    Both logs keep non-empty string pairs with error != right; values are
+    embedded (hashed n-grams), every generated error finds its k nearest real
+    errors by the right-value embedding (exact blocked kNN, one run at the
+    largest k), and the score per k is the mean over generated errors of the
+    max cosine between transformation vectors.
+    """
+    from ..functions.hashing import hash_id
+    from ..functions.vectors import diff, hash_embed
+    from ..operators.patterns import knn_cosine, pattern_scores
+
+    def prep(log):
+        ok = (F.col("right_value").isNotNull() & F.col("error_value").isNotNull()
+              & (F.col("right_value") != "") & (F.col("error_value") != "")
+              & (F.col("right_value") != F.col("error_value")))
+        x = log.where(ok)
+        r = hash_embed(F.col("right_value"), dim, ngram)
+        e = hash_embed(F.col("error_value"), dim, ngram)
+        return x.select(hash_id(*[F.col(c) for c in id_cols]).alias("id"), r.alias("vec"), diff(r, e).alias("diff"))
+
+    from ..session import cut_lineage
+    # the embedded sets are counted (block sizes) and then joined: embed once
+    knn = knn_cosine(cut_lineage(prep(gen_log)), cut_lineage(prep(real_log)), k=max(ks), block_rows=block_rows)
+    return pattern_scores(knn, ks, agg=agg)

@@ -131,3 +131,37 @@ def q_semantic_similarity(spark, sf_dir):
     from .evaluation import semantic_similarity
     return semantic_similarity(fx.all_logs(spark, sf_dir), fx.all_logs(spark, sf_dir, prefix="g"),
                                group_cols=["dataset"], dim=DIM, ngram=NGRAM)
+
+
+def _hid(cols):
+    return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(cols)})), 1, 15) as bigint)"
+
+
+_PREP = """select id, rv, list_transform(range(1, {dim} + 1), lambda i: rv[i] - ev[i]) as dv from (
+  select {hid} as id, {er} as rv, {ee} as ev
+  from {src} where right_value is not null and error_value is not null and right_value <> ''
+    and error_value <> '' and right_value <> error_value)"""
+
+
+def _pattern_report_sql():
+    def prep(src):
+        return _PREP.format(hid=_hid(["row_id", '"column"']), er=_embed_sql("right_value"),
+                            ee=_embed_sql("error_value"), dim=DIM, src=src)
+    return fixture_sql(f"""select k, round(coalesce(avg(m), 0.0), 9) as score from (
+    select ks.k, rk.q_id, max(rk.pcos) as m from rk join (select unnest({list(KS)}) as k) ks on rk.rank <= ks.k
+    group by ks.k, rk.q_id) group by k""", extra_ctes=f"""gq as ({prep('cust_glog')}),
+rq as ({prep('cust_log')}),
+sc as (select q.id as q_id, r.id as r_id, list_cosine_similarity(q.rv, r.rv) as cos,
+         case when list_dot_product(q.dv, q.dv) > 0 and list_dot_product(r.dv, r.dv) > 0
+              then list_cosine_similarity(q.dv, r.dv) end as pcos
+       from gq q join rq r on true),
+rk as (select *, row_number() over (partition by q_id order by cos desc, r_id) as rank from sc)""")
+
+
+@query("pattern_report", _pattern_report_sql())
+def q_pattern_report(spark, sf_dir):
+    """C6 on text: generated vs real (right -> error) transformations of the customer logs."""
+    from .evaluation import pattern_report
+    s = pattern_report(fx.annotation_log(spark, sf_dir, "customer"),
+                       fx.annotation_log(spark, sf_dir, "customer", "g"), KS, DIM, NGRAM)
+    return s.select(F.col("k").cast("integer").alias("k"), F.round("score", 9).alias("score"))

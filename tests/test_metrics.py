@@ -123,3 +123,13 @@ def test_knn_exact_with_ties_and_blocks(spark):
         want = [j for _, j in sorted(cand, key=lambda t: (round(t[0], 12), t[1]))[:3]]
         mine = [g["r_id"] for g in sorted([g for g in got if g["q_id"] == qi], key=lambda g: g["rank"])]
         assert mine == want, qi
+
+
+def test_method_cells_from_mixed_sources(spark):
+    from tabflaw.plans.evaluation import method_cells
+    log = spark.createDataFrame([("1", "a")], "row_id string, column string")
+    clean = spark.createDataFrame([("1", "x", "y"), ("2", "p", "q")], "row_id string, a string, b string")
+    dirty = spark.createDataFrame([("1", "x", "Y"), ("2", "p", "q")], "row_id string, a string, b string")
+    changes = spark.createDataFrame([("2.a",)], "_c0 string")
+    got = sorted(tuple(r) for r in method_cells({"llm": log, "bart": (clean, dirty), "raha": changes}).collect())
+    assert got == [("bart", "1", "b"), ("llm", "1", "a"), ("raha", "2", "a")]
