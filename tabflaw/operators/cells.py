@@ -222,3 +222,11 @@ def differences(clean: DataFrame, dirty: DataFrame, null_equals_null: bool = Fal
     index = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
     return d.select(F.col("position").alias("row"), F.element_at(index, F.col("column")).alias("column"),
                     "right_value", "error_value")
+
+
+def with_row_ids(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """P1 as a table edit: the key column becomes 0..n-1 in file order (overwritten
+    when present, inserted first otherwise), as text like every other cell."""
+    idx = row_index(df, name="_rix")
+    rest = [F.col(_q(c)) for c in df.columns if c != key]
+    return idx.select(F.col("_rix").cast("string").alias(key), *rest)

@@ -99,3 +99,12 @@ def test_differences_positions(spark):
     d = _df(spark, [("1", "A", None), ("2", "b", "y")], ["row_id", "v", "w"])
     got = sorted((r["row"], r["column"], r["right_value"], r["error_value"]) for r in C.differences(c, d).collect())
     assert got == [(0, 1, "a", "A"), (0, 2, None, None), (1, 2, "x", "y")]     # NaN != NaN by default
+
+
+def test_with_row_ids(spark):
+    df = _df(spark, [("x", "1"), ("y", "2"), ("z", "3")], ["a", "b"])
+    out = C.with_row_ids(df)
+    assert out.columns == ["row_id", "a", "b"]
+    assert sorted((r["row_id"], r["a"]) for r in out.collect()) == [("0", "x"), ("1", "y"), ("2", "z")]
+    again = C.with_row_ids(_df(spark, [("9", "x"), ("7", "y")], ["row_id", "a"]))
+    assert sorted((r["row_id"], r["a"]) for r in again.collect()) == [("0", "x"), ("1", "y")]
