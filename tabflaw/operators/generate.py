@@ -304,3 +304,17 @@ def select_errors(table: DataFrame, cands: DataFrame, budget: DataFrame, key: st
     valid = validate_candidates(cands, table, key=key).where(F.col("status") == "ok").drop("status")
     free = valid if disjoint else conflict_free(valid, key=key, checkpoint=checkpoint, single_cell=single_cell)
     return quota_select(free, budget)
+
+
+def completion_status(completions: DataFrame, requested_type: DataFrame, id_col: str = "entry_id") -> DataFrame:
+    """(id, requested_type, answered_type, status) for every model answer:
+    parse_error (no JSON record), type_mismatch (the answer names another error
+    type than the slot asked for; the quota counts the requested one) or ok."""
+    from .annotations import parse_completion
+    p = parse_completion(completions, "completion")
+    j = p.join(requested_type.select(id_col, F.col("error_type").alias("requested_type")), id_col, "left")
+    answered = F.col("record")["error_type"]
+    status = (F.when(~F.col("parse_ok"), F.lit("parse_error"))
+              .when(~answered.eqNullSafe(F.col("requested_type")), F.lit("type_mismatch"))
+              .otherwise(F.lit("ok")))
+    return j.select(id_col, "requested_type", answered.alias("answered_type"), status.alias("status"))

@@ -126,3 +126,14 @@ def test_generation_prompts_and_model_loop(spark):
     assert log.count() > 0
     assert log.groupBy("row_id", "column").count().where("count > 1").count() == 0
     assert log.where(F.col("error_value").eqNullSafe(F.col("right_value"))).count() == 0
+
+
+def test_completion_status(spark):
+    comps = spark.createDataFrame([
+        ("a", 'Assistant: {"row_id": "1", "column": "x", "error_type": "outliers"}'),
+        ("b", 'Assistant: {"row_id": "1", "column": "x", "error_type": "missing_value"}'),
+        ("c", "no answer")], "entry_id string, completion string")
+    req = spark.createDataFrame([("a", "outliers"), ("b", "outliers"), ("c", "outliers")],
+                                "entry_id string, error_type string")
+    got = {r["entry_id"]: r["status"] for r in G.completion_status(comps, req).collect()}
+    assert got == {"a": "ok", "b": "type_mismatch", "c": "parse_error"}
