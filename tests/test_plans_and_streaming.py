@@ -58,3 +58,18 @@ def test_stream_parse_and_validate(spark, scratch):
     q.stop()
     got = sorted((r["column"], r["status"]) for r in spark.sql("select * from validated").collect())
     assert got == [("c_name", "ok"), ("nope", "undefined_column")]
+
+
+def test_bucketed_tables_diff_without_shuffle(spark, scratch):
+    from tabflaw.sources.files import save_bucketed
+    clean = fx.customer_clean(spark, SF_SMALL)
+    dirty = fx.customer_dirty(clean)
+    c = save_bucketed(clean, "clean_b", os.path.join(scratch, "c"), buckets=8)
+    d = save_bucketed(dirty, "dirty_b", os.path.join(scratch, "d"), buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the key join
+    try:
+        diff = C.cell_diff(c, d)
+        assert "Exchange" not in _plan(diff)
+        assert diff.count() == 47
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
