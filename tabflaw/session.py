@@ -33,6 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # local runs keep catalog tables out of the working directory
+               .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "tabflaw-warehouse"))
                .config("spark.driver.memory", "16g")
                .config("spark.sql.shuffle.partitions", str(parts)))
     for k, v in SCALE_CONF.items():
