@@ -108,3 +108,10 @@ def test_with_row_ids(spark):
     assert sorted((r["row_id"], r["a"]) for r in out.collect()) == [("0", "x"), ("1", "y"), ("2", "z")]
     again = C.with_row_ids(_df(spark, [("9", "x"), ("7", "y")], ["row_id", "a"]))
     assert sorted((r["row_id"], r["a"]) for r in again.collect()) == [("0", "x"), ("1", "y")]
+
+
+def test_api_namespace():
+    from tabflaw import api as tf
+    for name in ("cell_diff", "pair_groups", "generate_errors", "build_corpus", "method_report",
+                 "pattern_report", "corpus_from_folder", "generate_with_model", "save_bucketed"):
+        assert callable(getattr(tf, name))
