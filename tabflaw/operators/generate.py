@@ -208,7 +208,8 @@ def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
     return c.join(acc, "cand_id", "left_semi").drop("cand_id")
 
 
-def quota_select(cands: DataFrame, budget: DataFrame, buckets_bits: int = 16) -> DataFrame:
+def quota_select(cands: DataFrame, budget: DataFrame, buckets_bits: int = 16,
+                 materialize: bool = True) -> DataFrame:
     """The ``quota`` best candidates (smallest ``priority``) of each error type, exactly.
 
     A per-type window over all candidates would put a type in one task.
@@ -220,6 +221,8 @@ def quota_select(cands: DataFrame, budget: DataFrame, buckets_bits: int = 16) ->
     """
     pre = F.conv(F.substring("priority", 1, buckets_bits // 4), 16, 10).cast("long")
     x = cands.withColumn("_b", pre)
+    if materialize:   # read twice below (histogram, selection): compute the candidates once
+        x = cut_lineage(x)
     hist = x.groupBy("error_type", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("error_type").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("_cum", F.sum("_n").over(w)).join(budget.select("error_type", "quota"), "error_type")
