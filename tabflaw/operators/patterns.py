@@ -94,13 +94,18 @@ def _block_topk(k: int, exclude_self: bool):
 
 
 def knn_cosine(queries: DataFrame, refs: DataFrame, k: int = 20, exclude_self: bool = False,
-               block_rows: int = 4096) -> DataFrame:
+               block_rows: int = 4096, materialize: bool = True) -> DataFrame:
     """Exact k nearest references per query by cosine of ``vec``.
 
     queries: (id, vec, diff), refs: (id, vec, diff) -- ``diff`` is the
     transformation vector (right - error) scored for the chosen neighbours.
     Output: (q_id, rank, r_id, cos, pcos) with rank 1..k, ties by r_id.
     """
+    if materialize:   # counted for the block sizes, then read again: compute once
+        from ..session import cut_lineage
+        same = queries is refs
+        queries = cut_lineage(queries.select("id", "vec", "diff"))
+        refs = queries if same else cut_lineage(refs.select("id", "vec", "diff"))
     nq = queries.count()
     nr = refs.count()
     bq = max(1, -(-nq // block_rows))

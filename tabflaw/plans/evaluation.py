@@ -120,7 +120,6 @@ def pattern_report(real_log: DataFrame, gen_log: DataFrame, ks=(1, 2, 3, 4, 5, 1
         e = hash_embed(F.col("error_value"), dim, ngram)
         return x.select(hash_id(*[F.col(c) for c in id_cols]).alias("id"), r.alias("vec"), diff(r, e).alias("diff"))
 
-    from ..session import cut_lineage
-    # the embedded sets are counted (block sizes) and then joined: embed once
-    knn = knn_cosine(cut_lineage(prep(gen_log)), cut_lineage(prep(real_log)), k=max(ks), block_rows=block_rows)
+    # knn_cosine materialises both embedded sets once (they are counted, then joined)
+    knn = knn_cosine(prep(gen_log), prep(real_log), k=max(ks), block_rows=block_rows)
     return pattern_scores(knn, ks, agg=agg)
