@@ -108,9 +108,14 @@ def context_draws(entries: DataFrame, indexed: DataFrame, n_rows: Column, k: int
                                             n_rows))
     j = draws.join(indexed, draws._pos == indexed.row_index)
     j = j.where(~F.coalesce(F.array_contains(F.col(exclude_col), F.col(key).cast("bigint")), F.lit(False)))
-    first = j.groupBy(entry_col, key).agg(F.min("_draw").alias("_draw"))
+    # both windows are clustered by the entry, so one shuffle serves both, and the
+    # drawn rows keep their columns (no second join with the table)
+    j = j.repartition(entry_col)
+    w_dup = Window.partitionBy(entry_col, key).orderBy("_draw")
     w = Window.partitionBy(entry_col).orderBy("_draw")
-    chosen = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    first = j.withColumn("_d", F.row_number().over(w_dup)).where(F.col("_d") == 1).drop("_d")
+    chosen = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \
+                  .drop("_r", "_pos", "row_index", exclude_col)
     return chosen
 
 
@@ -149,7 +154,8 @@ def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
         ctx = context_draws(e, indexed, n_rows, k, seed, entry_col=entry_col, key=key)
     else:
         raise ValueError(f"context must be 'draw' or 'pool', got {context!r}")
-    ctx_rows = ctx.join(table, key).select(entry_col, *[F.col(_q(c)) for c in cols])
+    ctx_rows = (ctx.select(entry_col, *[F.col(_q(c)) for c in cols]) if context == "draw"
+                else ctx.join(table, key).select(entry_col, *[F.col(_q(c)) for c in cols]))
     inv = e.select(entry_col, F.explode("involved").alias("_id"))
     t2 = table.withColumn("_tid", F.col(key).cast("bigint"))
     inv_rows = inv.join(t2, inv._id == t2._tid).select(entry_col, *[F.col(_q(c)) for c in cols])
