@@ -98,10 +98,10 @@ def markdown_tables(rows: DataFrame, group_col: str, order_col: str, cols: list[
 
 def context_draws(entries: DataFrame, indexed: DataFrame, n_rows: Column, k: int, seed=42,
                   extra: int = 2, entry_col: str = "entry_id", key: str = "row_id",
-                  exclude_col: str = "involved") -> DataFrame:
+                  exclude_col: str = "involved", carry: tuple = ()) -> DataFrame:
     """Per entry, k context rows drawn at seeded positions of a dense index, excluding
-    the entry's involved row ids; (entry_id, row columns..., _draw)."""
-    draws = entries.select(entry_col, exclude_col,
+    the entry's involved row ids; (entry_id, row columns..., _draw, carried entry columns)."""
+    draws = entries.select(entry_col, exclude_col, *carry,
                            F.explode(F.sequence(F.lit(0), F.lit(k + extra + 3))).alias("_draw"))
     draws = draws.withColumn("_pos", F.pmod(hash_int(F.concat_ws("|", F.lit(str(seed)), F.lit("ctx"),
                                                                   F.col(entry_col), F.col("_draw"))),
@@ -141,29 +141,33 @@ def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
 
     ``entries`` needs entry_id, row_id, column, error_type, error_value,
     tuple_pairs.  With ``missing_fill`` an entry's own cell shows its
-    error_value for missing_value entries.
+    error_value for missing_value entries.  The entry's annotation travels
+    with its drawn rows (no join back to the entries), and an entry whose
+    involved rows are not all in the table gets no input (see
+    ``missing_involved``).
     """
     from .annotations import involved_ids
     cols = table.columns
-    e = entries.withColumn("involved", involved_ids(entries, key))
+    carry = ("_ar", "_ac", "_at", "_av")
+    e = entries.select(entry_col, involved_ids(entries, key).alias("involved"),
+                       F.col(key).cast("string").alias("_ar"), F.col("column").alias("_ac"),
+                       F.col("error_type").alias("_at"), F.col("error_value").cast("string").alias("_av"))
     if context == "pool":
         ctx = context_pool(e, table, k, seed, entry_col=entry_col, key=key)
+        ctx_rows = ctx.join(table, key).join(e.select(entry_col, *carry), entry_col) \
+                      .select(entry_col, *[F.col(_q(c)) for c in cols], *carry)
     elif context == "draw":
         indexed = row_index(table, order_by=index_order)
         n_rows = table.agg(F.count(F.lit(1))).scalar()
-        ctx = context_draws(e, indexed, n_rows, k, seed, entry_col=entry_col, key=key)
+        ctx = context_draws(e, indexed, n_rows, k, seed, entry_col=entry_col, key=key, carry=carry)
+        ctx_rows = ctx.select(entry_col, *[F.col(_q(c)) for c in cols], *carry)
     else:
         raise ValueError(f"context must be 'draw' or 'pool', got {context!r}")
-    ctx_rows = (ctx.select(entry_col, *[F.col(_q(c)) for c in cols]) if context == "draw"
-                else ctx.join(table, key).select(entry_col, *[F.col(_q(c)) for c in cols]))
-    inv = e.select(entry_col, F.explode("involved").alias("_id"))
+    inv = e.select(entry_col, F.explode("involved").alias("_id"), *carry)
     t2 = table.withColumn("_tid", F.col(key).cast("bigint"))
-    inv_rows = inv.join(t2, inv._id == t2._tid).select(entry_col, *[F.col(_q(c)) for c in cols])
+    inv_rows = inv.join(t2, inv._id == t2._tid).select(entry_col, *[F.col(_q(c)) for c in cols], *carry)
     rows = ctx_rows.unionByName(inv_rows)
     if missing_fill:
-        ann = entries.select(F.col(entry_col).alias("_e"), F.col(key).alias("_ar"), F.col("column").alias("_ac"),
-                             F.col("error_type").alias("_at"), F.col("error_value").alias("_av"))
-        rows = rows.join(ann, rows[entry_col] == ann._e, "left")
         vals = []
         for c in cols:
             hit = (F.col("_at") == "missing_value") & (F.col(key) == F.col("_ar")) & (F.col("_ac") == c)
@@ -171,9 +175,13 @@ def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
         rows = rows.select(entry_col, *vals)
     rows = rows.withColumn("_o", hash_key(seed, F.lit("order"), F.col(entry_col), F.col(key)))
     md = markdown_tables(rows, entry_col, "_o", cols, null_text).withColumnRenamed("markdown", "input")
-    # an entry whose involved rows are not all in the table gets no input (it is
-    # reported by missing_involved instead of failing the whole job)
-    return md.join(missing_involved(entries, table, entry_col, key), entry_col, "left_anti")
+    # entries whose involved rows were not all found (counted from the same join)
+    found = inv_rows.groupBy(entry_col).agg(F.count(F.lit(1)).alias("_found"))
+    want = e.select(entry_col, F.size("involved").alias("_want"),
+                    (F.col("_ar").isNotNull() | (F.col("_at") == "rule_violation")).alias("_needs"))
+    bad = want.join(found, entry_col, "left").na.fill(0, ["_found"]) \
+              .where((F.col("_found") < F.col("_want")) | ((F.col("_want") == 0) & F.col("_needs")))
+    return md.join(bad.select(entry_col), entry_col, "left_anti")
 
 
 def missing_involved(entries: DataFrame, table: DataFrame, entry_col: str = "entry_id",
