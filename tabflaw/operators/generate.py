@@ -194,7 +194,8 @@ def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
         blocked = state.join(won_cells, ["cell_row", "cell_col"], "left_semi").select("cand_id")
         nxt = state.join(blocked, "cand_id", "left_anti")
         if checkpoint:
-            winners = cut_lineage(winners)
+            # the remaining state is cut each round; a round's winners are
+            # re-derived at the end from that round's (checkpointed) input
             nxt = cut_lineage(nxt)
         accepted.append(winners)
         state = nxt
