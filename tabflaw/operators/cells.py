@@ -103,7 +103,7 @@ def dedupe_cells(log: DataFrame, used_cells: DataFrame | None = None, order_col:
 
 
 def apply_edits(table: DataFrame, edits: DataFrame, value_col: str, key: str = "row_id",
-                order_col: str | None = None, last_wins: bool = False) -> DataFrame:
+                order_col: str | None = None, last_wins: bool = False, dedupe: bool = True) -> DataFrame:
     """Write ``value_col`` of each edit into its cell.
 
     Edits are reduced to one map per row (bounded by the number of
@@ -114,12 +114,16 @@ def apply_edits(table: DataFrame, edits: DataFrame, value_col: str, key: str = "
     """
     cols = value_columns(table, key)
     e = edits.where(F.col("column").isin(cols))
-    if order_col is None:
+    if not dedupe:
+        # the caller guarantees one edit per cell (e.g. a log made by cell_diff)
+        e = e.select(key, "column", value_col)
+    elif order_col is None:
         # no write order given: one deterministic edit per cell (smallest value text)
         e = e.select(key, "column", value_col, F.coalesce(F.col(value_col).cast("string"), F.lit("")).alias("_o"))
         order_col = "_o"
-    e = (last_write if last_wins else first_write)(
-        e.select(key, "column", value_col, order_col), order_col=order_col, key=key)
+    if dedupe:
+        e = (last_write if last_wins else first_write)(
+            e.select(key, "column", value_col, order_col), order_col=order_col, key=key)
     per_row = (e.groupBy(F.col(key).alias("_ek"))
                .agg(F.map_from_entries(F.collect_list(F.struct(F.col("column"), F.col(value_col).cast("string"))))
                     .alias("_m")))
@@ -132,19 +136,23 @@ def apply_edits(table: DataFrame, edits: DataFrame, value_col: str, key: str = "
 
 
 def apply_errors(table: DataFrame, log: DataFrame, key: str = "row_id",
-                 order_col: str | None = "seq") -> DataFrame:
-    """Dirty table = clean table with each logged cell set to its error_value (first write wins)."""
+                 order_col: str | None = "seq", dedupe: bool = True) -> DataFrame:
+    """Dirty table = clean table with each logged cell set to its error_value (first write wins).
+
+    ``dedupe=False`` skips the per-cell reduction when the log is known to
+    hold one record per cell.
+    """
     if order_col is not None and order_col not in log.columns:
         order_col = None
-    return apply_edits(table, log, "error_value", key=key, order_col=order_col)
+    return apply_edits(table, log, "error_value", key=key, order_col=order_col, dedupe=dedupe)
 
 
 def repair_table(dirty: DataFrame, log: DataFrame, key: str = "row_id",
-                 order_col: str | None = "seq") -> DataFrame:
+                 order_col: str | None = "seq", dedupe: bool = True) -> DataFrame:
     """Clean table = dirty table with each logged cell set to its right_value (last write wins)."""
     if order_col is not None and order_col not in log.columns:
         order_col = None
-    return apply_edits(dirty, log, "right_value", key=key, order_col=order_col, last_wins=True)
+    return apply_edits(dirty, log, "right_value", key=key, order_col=order_col, last_wins=True, dedupe=dedupe)
 
 
 def unknown_edit_rows(table: DataFrame, log: DataFrame, key: str = "row_id") -> DataFrame:

@@ -115,3 +115,11 @@ def test_api_namespace():
     for name in ("cell_diff", "pair_groups", "generate_errors", "build_corpus", "method_report",
                  "pattern_report", "corpus_from_folder", "generate_with_model", "save_bucketed"):
         assert callable(getattr(tf, name))
+
+
+def test_apply_without_dedupe_for_unique_logs(spark):
+    clean = fx.customer_clean(spark, SF_SMALL)
+    dirty = fx.customer_dirty(clean)
+    log = C.cell_diff(clean, dirty)
+    fast = C.apply_errors(clean, log, order_col=None, dedupe=False)
+    assert fast.exceptAll(dirty).count() == 0 and dirty.exceptAll(fast).count() == 0
