@@ -283,11 +283,11 @@ def _greedy_sql() -> str:
 {_pairs_sql('p2', 'c_mktsegment')},
 pool as (select row_id, "column", error_type, tuple_pairs,
            md5('42|' || src || '|' || row_id || '|' || "column") as priority,
-           case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\d+')) > 0 then
+           case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\\d+')) > 0 then
                   list_concat(list_transform(ids, lambda x: x || '|' || "column"),
                               list_transform(ids, lambda x: x || '|#row'))
                 else [row_id || '|' || "column"] end as res
-         from (select *, list_transform(regexp_extract_all(tuple_pairs, '\d+'), lambda x: cast(cast(x as bigint) as varchar))
+         from (select *, list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: cast(cast(x as bigint) as varchar))
                  as ids
                from (select 'g' as src, * from cust_glog union all select 'h' as src, * from cust_hlog))
          union all {rule_c[0]}
