@@ -202,12 +202,14 @@ def split_rows(df: DataFrame, ratio: float = 0.9, seed=42, id_col: str = "entry_
 
     Exact and distributed: a range-partitioned sort on the hash plus the
     dense row index (per-partition offsets), no single-partition window.
+    Only (id, hash) go through the sort; the split joins back by id.
     """
     n = df.agg(F.count(F.lit(1))).scalar()
     cut = F.floor(n.cast("double") * F.lit(float(ratio)))
-    h = df.withColumn("_h", hash_key(seed, F.lit("split"), F.col(id_col)))
-    idx = row_index(h, order_by="_h", name="_i")
-    return idx.withColumn("split", F.when(F.col("_i") < cut, F.lit("train")).otherwise(F.lit("test"))).drop("_h", "_i")
+    keys = df.select(F.col(id_col).alias("_sid"), hash_key(seed, F.lit("split"), F.col(id_col)).alias("_h"))
+    idx = row_index(keys, order_by="_h", name="_i")
+    flags = idx.select("_sid", F.when(F.col("_i") < cut, F.lit("train")).otherwise(F.lit("test")).alias("split"))
+    return df.join(flags, df[id_col] == flags._sid).drop("_sid")
 
 
 def fewshot_positions(df: DataFrame, seed=42, id_col: str = "entry_id", type_col: str = "error_type"
