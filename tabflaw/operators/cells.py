@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def value_columns(df: DataFrame, key: str = "row_id") -> list[str]:
     return [c for c in df.columns if c != key]
@@ -160,19 +162,21 @@ def unknown_edit_rows(table: DataFrame, log: DataFrame, key: str = "row_id") ->
     return log.join(table.select(key), key, "left_anti")
 
 
-def row_index(df: DataFrame, order_by: str | None = None, name: str = "row_index") -> DataFrame:
+def row_index(df: DataFrame, order_by=None, name: str = "row_index") -> DataFrame:
     """Dense 0..n-1 index, distributed.
 
-    ``order_by=None`` keeps scan (file) order.  Otherwise the table is
-    range-partitioned and sorted by the key (a distributed sort).  Each
-    partition's rows get ``monotonically_increasing_id`` positions; one
-    tiny aggregate of per-partition counts gives each partition's offset
-    (a table with one row per partition, so its broadcast is bounded by
-    the partition count, not by the data).
+    ``order_by`` is a column, a list of columns, or None for scan (file) order.
+    The (sorted) rows are materialised once, and both the per-partition counts
+    and the positions are taken from that one copy: evaluating the sort twice
+    would give two different partitionings.  Sort ties get positions in
+    whatever order that copy has.  The offsets table has one row per
+    partition, so its broadcast is bounded by the partition count, not by the
+    data.  Index keys rather than wide tables, and join the index back.
     """
-    base = df.orderBy(order_by) if order_by is not None else df
+    if order_by is not None:
+        df = df.orderBy(*order_by) if isinstance(order_by, (list, tuple)) else df.orderBy(order_by)
     mid = F.monotonically_increasing_id()
-    tagged = base.select("*", F.spark_partition_id().alias("_pid"), mid.alias("_mid"))
+    tagged = cut_lineage(df).select("*", F.spark_partition_id().alias("_pid"), mid.alias("_mid"))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
