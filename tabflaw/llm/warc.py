@@ -148,7 +148,7 @@ class ArchiveWriter:
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         store, at = fs.FileSystem.from_uri(self.path)
         store.create_dir(at.rpartition("/")[0], recursive=True)
-        self.out = store.open_output_stream(at)
+        self.out = store.open_output_stream(at, compression=None)      # the frames are made here, one per record
         self.waiting: list[bytes] | None = []
         self.records = self.bytes = 0
 
@@ -181,7 +181,7 @@ class ArchiveWriter:
 def read_archive(path: str) -> Iterator[bytes]:
     """The records of an archive, one frame each."""
     store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as source:
+    with store.open_input_stream(at, compression=None) as source:
         def full(n: int) -> bytes:
             got = b""
             while len(got) < n and (more := source.read(n - len(got))):
