@@ -53,23 +53,25 @@ def _letter_vector(code: int) -> np.ndarray:
     return (np.random.default_rng((SEED, code)).integers(0, 2, DIM, np.int8) * 2 - 1).astype(np.int8)
 
 
-def _piece_grams(text: str) -> np.ndarray:
-    codes = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    codes = np.concatenate(([0], codes, [0]))
+def _piece_grams(before: np.ndarray, piece: str, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram codes of a piece that follows the characters ``before``, and what the next piece follows."""
+    codes = np.concatenate((before, _letters()[np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)], np.zeros(int(last), np.int64)))
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)       # one blank for each run of other characters
     codes = codes[keep]
-    return (codes[:-2] << (2 * _BITS)) | (codes[1:-1] << _BITS) | codes[2:]
+    return (codes[:-2] << (2 * _BITS)) | (codes[1:-1] << _BITS) | codes[2:], codes[-2:]
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigram codes of a text and their counts."""
     text = (text or "").lower()
-    if len(text) <= PIECE:
-        return np.unique(_piece_grams(text), return_counts=True)
-    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(0, len(text), PIECE):
-        new, n = np.unique(_piece_grams(text[at:at + PIECE]), return_counts=True)
+    codes, counts, before = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+    for at in range(0, max(len(text), 1), PIECE):
+        every, before = _piece_grams(before, text[at:at + PIECE], at + PIECE >= len(text))
+        new, n = np.unique(every, return_counts=True)
+        if not len(codes):
+            codes, counts = new, n
+            continue
         codes, back = np.unique(np.concatenate((codes, new)), return_inverse=True)
         counts = np.bincount(back, np.concatenate((counts, n)), len(codes)).astype(np.int64)
     return codes, counts
