@@ -1,26 +1,58 @@
-"""Corpus preparation: five operators in a row, each on what the one before kept."""
+"""Corpus preparation: five operators in a row, each on what the one before kept.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame, with the columns of documents in all stages but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflaw.llm import langid
+from tabflaw.llm import decontam, langid, mixing, shards, simhash
 from tabflaw.llm.common import prepare, written
 
 #: A text whose best cosine is below this resembles no learned language.
 MIN_COSINE = 0.02
+#: Of a document's words, the share that may be benchmark passages; at 0 a document with a single window goes.
+MAX_COVERAGE = 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; null texts, texts without letters and unlike texts go."""
+    """Documents in a learned language; null texts, texts without letters and texts unlike every language go."""
     prepare(spark)
     prototypes = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
     return docs.withColumn("__lang", langid.classify(F.col("text"), prototypes)) \
         .filter((F.col("__lang.lang") != langid.UND) & (F.col("__lang.score") >= MIN_COSINE)).drop("__lang")
 
 
-STAGES = [("language_id", identify_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class, the one with the smallest id."""
+    prepare(spark)
+    return simhash.one_of_each(docs, size=3, distance=2)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; the others are returned as they are."""
+    prepare(spark)
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontam.clean(docs, items, window=10, max_coverage=MAX_COVERAGE)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix of its source takes it."""
+    prepare(spark)
+    return mixing.apply_mix(docs)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's shard and position."""
+    prepare(spark)
+    return shards.shard(docs, shards=16)
+
+
+STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_duplicates),
+          ("decontamination", drop_benchmark_leaks), ("mixing", mix_sources), ("sharding", deal_shards)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,8 +248,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                         F.array_join(F.transform("__found.spans", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",").alias("spans"))
 
 
-def cut(text: str, spans: list) -> str:
+def cut(text: str | None, spans: list) -> str | None:
     """The text without the words of the spans (and what stands between them); a line break joins the rest."""
+    if not text or not spans:
+        return text
     data = text.encode("utf-8", "replace")
     flat = data.translate(_BYTES)
     starts, ends, at = [], [], 0
