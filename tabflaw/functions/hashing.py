@@ -31,6 +31,19 @@ def hash_int(x: Column) -> Column:
     return F.conv(F.substring(F.md5(x.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_long(x: Column) -> Column:
+    """Non-negative 60-bit integer from the first 15 hex digits of md5(x): positions in tables of any size."""
+    return F.conv(F.substring(F.md5(x.cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+def coprime_strides(n: int, seed, tries: int = 256, most: int = 64) -> list[int]:
+    """Seeded step widths that share no factor with n: start + j * step (mod n) meets n different positions."""
+    import hashlib
+    import math
+    found = [1 + int(hashlib.md5(f"{seed}|stride|{i}".encode()).hexdigest()[:15], 16) % n for i in range(tries)]
+    return list(dict.fromkeys(c for c in found if math.gcd(c, n) == 1))[:most] or [1]
+
+
 def hash_bucket(x: Column, n) -> Column:
     """Bucket in [0, n) from md5; n may be a Column."""
     n = n if isinstance(n, Column) else F.lit(int(n))

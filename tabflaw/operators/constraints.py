@@ -13,12 +13,13 @@ or a per-row membership over those groups:
 * ``pair_members``    -- (rule, group_key, row_id) for rows that are in some pair
 * ``violation_counts``-- pairs that also satisfy the rule's non-EQ predicate
 * ``violation_rows``  -- rows that take part in at least one violating pair
-* ``pick_pairs``      -- disjoint pairs drawn inside groups (salted, so a hot
-                         group is split over many tasks)
+* ``pick_pairs``      -- disjoint pairs drawn inside groups (by a distributed
+                         sort, so a hot group is split over many tasks)
 
-Group keys are the md5 of the EQ values (so a shuffle moves 32 bytes per
-row, not a 20 kB document), and all counting is hash aggregation with
-map-side partial merge -- a hot key never lands in one task as rows.
+Group keys are the md5 of the EQ values, each written with its length and
+nulls apart (so different values never share a key, and a shuffle moves 32
+bytes per row, not a 20 kB document), and all counting is hash aggregation
+with map-side partial merge -- a hot key never lands in one task as rows.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key, seeded_bucket
-
-NULL_TOKEN = "<null>"
+from ..functions.hashing import hash_key
+from .cells import row_index
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,10 @@ def eq_columns(rule: str) -> list[str]:
 
 
 def group_key(cols: list[str]) -> Column:
-    """md5 of the EQ values; nulls become a token so null keys match each other."""
-    parts = [F.coalesce(F.col(_q(c)).cast("string"), F.lit(NULL_TOKEN)) for c in cols]
-    return F.md5(F.concat_ws("|", *parts))
+    """md5 of the EQ values, each as 'length:value' and null as 'n': equal keys mean equal values, null equals null."""
+    texts = [F.col(_q(c)).cast("string") for c in cols]
+    parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in texts]
+    return F.md5(F.concat_ws(",", *parts))
 
 
 def _keyed(table: DataFrame, rule: str, key: str, null_keys_match: bool) -> DataFrame:
@@ -237,25 +238,25 @@ def scoped(table: DataFrame, ids: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def pick_pairs(table: DataFrame, rule: str, seed: int = 42, key: str = "row_id",
-               max_rows_per_task: int = 1_000_000, null_keys_match: bool = True) -> DataFrame:
+               null_keys_match: bool = True) -> DataFrame:
     """Disjoint random pairs inside every group: (rule, group_key, row_id_1, row_id_2).
 
-    Rows of a group are split into ceil(n / max_rows_per_task) salt
-    buckets by a seeded hash, ordered by a seeded hash inside each bucket,
-    and consecutive rows are paired (1-2, 3-4, ...).  Every pair is a
-    candidate pair of the rule, no row is used twice, and no window
-    partition exceeds ``max_rows_per_task`` rows however hot the key.
+    The rows of a group are put in a seeded order and consecutive rows are
+    paired (1-2, 3-4, ...): every pair is a candidate pair of the rule, no row
+    is used twice, and only an odd group's last row stays alone.  The order is
+    one distributed sort of (group, hash, id) with a dense index, so a hot
+    group is spread over many tasks and its size changes nothing.  Ids that
+    are no integers take no part.
     """
-    members = pair_members(table, rule, key, null_keys_match)
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(max_rows_per_task)))
-    m = members.select("rule", "group_key", F.col(key).cast("bigint").alias("_id"),
-                       seeded_bucket(seed, salts, F.col(key)).alias("_salt"),
-                       hash_key(seed, F.col(key)).alias("_h"))
-    w = Window.partitionBy("group_key", "_salt").orderBy("_h", "_id")
-    ranked = m.withColumn("_pair", F.floor((F.row_number().over(w) - 1) / 2))
-    pairs = ranked.groupBy("rule", "group_key", "_salt", "_pair").agg(
+    k = _keyed(table, rule, key, null_keys_match)
+    ids = k.select("group_key", F.col(key).cast("string").try_cast("bigint").alias("_id"),
+                   hash_key(seed, F.col(key)).alias("_h")).where(F.col("_id").isNotNull())
+    idx = row_index(ids, order_by=["group_key", "_h", "_id"], name="_i").drop("_h")
+    first = idx.groupBy("group_key").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n >= 2")
+    ranked = idx.join(first.drop("_n"), "group_key").withColumn("_pair", F.floor((F.col("_i") - F.col("_first")) / 2))
+    pairs = ranked.groupBy("group_key", "_pair").agg(
         F.min("_id").alias("row_id_1"), F.max("_id").alias("row_id_2"), F.count(F.lit(1)).alias("_n"))
-    return pairs.where(F.col("_n") == 2).select("rule", "group_key", "row_id_1", "row_id_2")
+    return pairs.where(F.col("_n") == 2).select(F.lit(rule).alias("rule"), "group_key", "row_id_1", "row_id_2")
 
 
 # ---------------------------------------------------------------- cross-column EQ
@@ -267,11 +268,6 @@ def _eq_sides(rule: str) -> tuple[list[str], list[str]]:
     return [p.left for p in preds], [p.right for p in preds]
 
 
-def _side_key(cols: list[str]) -> Column:
-    parts = [F.coalesce(F.col(_q(c)).cast("string"), F.lit(NULL_TOKEN)) for c in cols]
-    return F.md5(F.concat_ws("|", *parts))
-
-
 def cross_pair_count(table: DataFrame, rule: str, key: str = "row_id") -> DataFrame:
     """(rule, n_pairs): unordered candidate pairs {x, y}, x != y, with x.L = y.R in
     either orientation, for EQ predicates t1.L_i = t2.R_i over any columns.
@@ -284,7 +280,7 @@ def cross_pair_count(table: DataFrame, rule: str, key: str = "row_id") -> DataFr
     join of aggregated keys.  Nulls match nulls (as a pandas merge does).
     """
     left, right = _eq_sides(rule)
-    x = table.select(_side_key(left).alias("_l"), _side_key(right).alias("_r"))
+    x = table.select(group_key(left).alias("_l"), group_key(right).alias("_r"))
     cl = x.groupBy(F.col("_l").alias("_v")).agg(F.count(F.lit(1)).cast(PAIR_COUNT).alias("_cl"))
     cr = x.groupBy(F.col("_r").alias("_v")).agg(F.count(F.lit(1)).cast(PAIR_COUNT).alias("_cr"))
     ordered = cl.join(cr, "_v").agg(F.sum(F.col("_cl") * F.col("_cr")).alias("_o"))
@@ -305,7 +301,7 @@ def cross_pair_members(table: DataFrame, rule: str, key: str = "row_id") -> Data
     x pairs with another row when another row's R equals x.L or another row's L
     equals x.R (self matches discounted by counting)."""
     left, right = _eq_sides(rule)
-    x = table.select(F.col(key), _side_key(left).alias("_l"), _side_key(right).alias("_r"))
+    x = table.select(F.col(key), group_key(left).alias("_l"), group_key(right).alias("_r"))
     cr = x.groupBy(F.col("_r").alias("_l")).agg(F.count(F.lit(1)).alias("_nr"))
     cl = x.groupBy(F.col("_l").alias("_r")).agg(F.count(F.lit(1)).alias("_nl"))
     j = x.join(cr, "_l", "left").join(cl, "_r", "left").na.fill(0, ["_nr", "_nl"])

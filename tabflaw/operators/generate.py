@@ -6,14 +6,14 @@ Here the same contract is a few distributed passes:
 
 1. ``error_budget``   -- quota per type: int(ratio * rows * cols) split by
                          integer ratios with truncation (key column counted).
-2. ``propose_errors`` -- seeded candidate cells per type with a default
-                         column-expression corruptor (or any user proposer
-                         producing the ERROR columns), over-sampled.
-3. ``validate_candidates`` (annotations) -- column / row / no-op checks.
-4. ``conflict_free``  -- no cell edited twice: the sequential greedy in
-                         priority order, computed as fixed-point rounds.
-5. ``quota_select``   -- exact top-quota per type by priority without a
-                         per-type window over all candidates.
+2. ``rule_errors``    -- rule violations: the greedy choice among disjoint
+                         pairs, thinned by priority until the quota is met.
+3. ``cell_errors``    -- the other types, with a default column-expression
+                         corruptor: of the cells in one seeded order each type
+                         takes its first eligible ones, exactly its quota.
+4. ``validate_candidates`` (annotations), ``conflict_free`` and
+   ``quota_select``   -- the same checks for candidates of any proposer.
+5. ``shortfall``      -- what a type lacks when its eligible cells run out.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_int, hash_key
-from ..session import cut_lineage
+from ..functions.hashing import hash_key
 from ..functions.values import float_value, value_type
 from ..schemas import ERROR_TYPES
+from ..session import cut_lineage
 from . import constraints as C
-from .cells import to_long, value_columns
+from .cells import value_columns
 
 
 def parse_ratios(ratios: str) -> list[int]:
@@ -54,15 +54,17 @@ def error_budget(table: DataFrame, error_ratio: float = 0.1, ratios: str = "1:1:
 
 
 def _corrupt(error_type: str, v):
-    """Default corruptors (Column expressions) for one error type."""
+    """Default corruptors (Column expressions) for one error type; null where a value cannot be corrupted."""
     if error_type == "missing_value":
         return F.lit(None).cast("string")
     if error_type == "outliers":
-        num = float_value(v)
-        as_int = F.when(v.rlike(r"^\s*-?\d+\s*$"), (num * 100).cast("long").cast("string"))
-        return F.coalesce(as_int, F.format_string("%.2f", num * 100))
+        # integers of any length are scaled as decimals; longer ones than a decimal holds by two more digits
+        whole = F.trim(v)
+        as_int = F.when(v.rlike(r"^\s*-?\d{1,36}\s*$"), (whole.try_cast("decimal(36,0)") * 100).cast("string")) \
+                  .when(v.rlike(r"^\s*-?\d+\s*$"), F.concat(whole, F.lit("00")))
+        return F.coalesce(as_int, F.format_string("%.2f", float_value(v) * 100))
     if error_type == "pattern_violation":
-        iso = F.to_date(v, "yyyy-MM-dd")
+        iso = F.try_to_date(v, "yyyy-MM-dd")
         return (F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$") & iso.isNotNull(), F.date_format(iso, "dd/MM/yyyy"))
                 .when(v.rlike(r"^\s*-?\d+(\.\d+)?\s*$"), F.concat(v, F.lit("x")))
                 .when(F.length(v) > 1, F.upper(F.substring(v, 2, 1 << 30)))
@@ -70,47 +72,106 @@ def _corrupt(error_type: str, v):
     raise ValueError(error_type)
 
 
-def propose_errors(table: DataFrame, budget: DataFrame, seed: int = 42, oversample: float = 1.5,
-                   rule: str | None = None, key: str = "row_id") -> DataFrame:
-    """Candidate error records (ERROR columns + ``priority``), per type.
+#: the order in which types take cells: the one with the fewest eligible cells first
+CELL_TYPES = ("outliers", "pattern_violation", "missing_value")
+
+
+def _eligible(error_type: str, v):
+    """Whether the default corruptor of a type changes a cell (the rule of ``validate_candidates``)."""
+    if error_type == "missing_value":
+        return v.isNotNull()
+    new, old = F.trim(_corrupt(error_type, v)), F.trim(v)
+    a, b = float_value(new), float_value(old)
+    differs = F.when(a.isNotNull() & b.isNotNull(), a != b).otherwise(new != old)
+    if error_type == "outliers":
+        differs = (value_type(v) == "numeric") & differs
+    return F.coalesce(differs, F.lit(False))
 
-    Every value cell gets one seeded uniform draw u in [0, 1); type t owns
-    the interval [start_t, start_t + rate_t) with rate_t = oversample *
-    quota_t / cells, so single-cell proposals never collide with each
-    other and the proposal volume tracks the budget (no per-type sort).
-    Outliers only draw numeric cells.  Rule violations come from disjoint
-    pairs of ``rule`` (EQ keys + one IQ column): the first row's IQ cell
-    is set to a value that differs from its partner's.
+
+def _kth(cells: DataFrame, k: int, digits: int = 3, few: int = 4096) -> str | None:
+    """The k-th smallest ``priority`` (md5 hex) of ``cells``, or None if there are fewer than k.
+
+    Radix selection: a histogram over the next hex digits finds the prefix that
+    holds it; when few rows share the prefix they are fetched in order.  What
+    comes to the driver is bounded by 16^digits counts and ``few`` priorities.
+    """
+    prefix, left = "", k
+    while True:
+        at = F.substring("priority", len(prefix) + 1, digits)
+        hist = {r["d"]: r["n"] for r in cells.where(F.col("priority").startswith(prefix))
+                .groupBy(at.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for d in sorted(hist):
+            if left <= hist[d]:
+                break
+            left -= hist[d]
+        else:
+            return None
+        prefix += d
+        if hist[d] <= few or len(prefix) >= 32:
+            rows = cells.where(F.col("priority").startswith(prefix)).select("priority").orderBy("priority").limit(left).collect()
+            return rows[-1]["priority"]
+
+
+def cell_errors(table: DataFrame, quotas: dict[str, int], seed: int = 42, key: str = "row_id",
+                used: DataFrame | None = None) -> DataFrame:
+    """Error records of the single-cell types: exactly min(quota, eligible cells) of each.
+
+    All value cells are in one seeded order (md5).  Outliers take the first
+    eligible cells, then pattern violations the first that are left, then
+    missing values.  Each type's last cell is found by radix selection over a
+    slim copy, so the choice itself is one scan with a condition per type;
+    nothing is sorted or shuffled.  ``used`` (key, column) cells are left out.
     """
     cols = value_columns(table, key)
-    long = to_long(table, key)
-    n_cells = table.agg((F.count(F.lit(1)) * F.lit(len(cols))).cast("double")).scalar()
-    # all quotas in one scalar subquery (a struct), not one subquery per type
-    qs = budget.agg(F.struct(*[F.max(F.when(F.col("error_type") == t, F.col("quota"))).alias(t)
-                               for t in ERROR_TYPES])).scalar()
-    q = {t: qs[t] for t in ERROR_TYPES}
-    u = hash_int(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col("column"))) / F.lit(4294967296.0)
-    long = long.withColumn("_u", u)
-    parts = []
-    start = F.lit(0.0)
-    for t in ("missing_value", "pattern_violation", "outliers"):
-        rate = F.least(F.lit(1.0), F.lit(float(oversample)) * q[t].cast("double") / n_cells)
-        sel = (F.col("_u") >= start) & (F.col("_u") < start + rate) & F.col("value").isNotNull()
-        if t == "outliers":
-            sel = sel & (value_type(F.col("value")) == "numeric")
-        v = F.col("value")
-        parts.append(long.where(sel).select(
-            F.col(key), F.col("column"), F.lit(t).alias("error_type"), _corrupt(t, v).alias("error_value"),
-            v.alias("right_value"), F.lit(1 if t == "missing_value" else 0).alias("missing_value"),
-            F.lit("").alias("constraint"), F.lit("").alias("tuple_pairs"),
-            hash_key(seed, F.lit(t), F.col(key), F.col("column")).alias("priority")))
-        start = start + rate
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    taken = F.lit(False)
+    t = table
+    if used is not None:
+        mine = used.groupBy(F.col(key).alias("_uk")).agg(F.collect_set("column").alias("_used"))     # at most one per column
+        t = table.join(mine, F.col(key) == F.col("_uk"), "left").drop("_uk")
+        taken = F.coalesce(F.array_contains("_used", F.col("column")), F.lit(False))
+    long = t.select(F.col(key), *(["_used"] if used is not None else []), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(C._q(c)).cast("string").alias("value")) for c in cols])))
+    v = F.col("value")
+    long = long.where(v.isNotNull() & ~taken & F.col(key).isNotNull()) \
+        .withColumn("priority", hash_key(seed, F.lit("cell"), F.col(key), F.col("column")))
+    eligible = {t: _eligible(t, v) for t in CELL_TYPES}
+    # what the selection reads several times: 32 characters and three flags per cell, made once
+    slim = cut_lineage(long.select("priority", *[e.alias(f"_{t}") for t, e in eligible.items()]))
+    long = long.select("*", *[e.alias(f"_{t}") for t, e in eligible.items()])
+    choice, free = None, F.lit(True)
+    for kind in CELL_TYPES:
+        quota = int(quotas.get(kind) or 0)
+        if quota <= 0:
+            continue
+        mine = free & F.col(f"_{kind}")
+        last = _kth(slim.where(mine).select("priority"), quota)
+        chosen = mine if last is None else mine & (F.col("priority") <= last)
+        choice = F.when(chosen, F.lit(kind)) if choice is None else choice.when(chosen, F.lit(kind))
+        free = free & ~chosen
+    choice = F.lit(None).cast("string") if choice is None else choice
+    out = long.withColumn("error_type", choice).where(F.col("error_type").isNotNull())
+    value = F.when(F.col("error_type") == "outliers", _corrupt("outliers", v)) \
+             .when(F.col("error_type") == "pattern_violation", _corrupt("pattern_violation", v))
+    return out.select(F.col(key).cast("string").alias(key), "column", "error_type", value.alias("error_value"),
+                      v.alias("right_value"), (F.col("error_type") == "missing_value").cast("int").alias("missing_value"),
+                      F.lit("").alias("constraint"), F.lit("").alias("tuple_pairs"), "priority")
+
+
+def propose_errors(table: DataFrame, budget: DataFrame, seed: int = 42, rule: str | None = None,
+                   key: str = "row_id") -> DataFrame:
+    """Candidate error records (ERROR columns + ``priority``): the chosen single-cell errors of each type
+    and, for each rule, one violation for every disjoint pair whose edit changes the cell."""
+    out = cell_errors(table, budget_quotas(budget), seed, key)
     for r in _rules(rule):
         out = out.unionByName(_rule_candidates(table, r, seed, key))
     return out
 
 
+def budget_quotas(budget: DataFrame) -> dict[str, int]:
+    """error_type -> quota (four numbers)."""
+    return {r["error_type"]: int(r["quota"] or 0) for r in budget.select("error_type", "quota").collect()}
+
+
 def _rules(rule) -> list[str]:
     """None, one rule or a list of rules -> list."""
     if rule is None:
@@ -118,22 +179,62 @@ def _rules(rule) -> list[str]:
     return [rule] if isinstance(rule, str) else list(rule)
 
 
-def _rule_candidates(table: DataFrame, rule: str, seed: int, key: str) -> DataFrame:
+def _rule_candidates(table: DataFrame, rule: str, seed: int, key: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Rule violations from disjoint pairs: the first row's non-EQ cell gets a value that differs from its partner's."""
     col = C._non_eq(rule).left
-    pairs = C.pick_pairs(table, rule, seed=seed, key=key)
-    t = table.select(F.col(key).cast("bigint").alias("_id"), F.col(C._q(col)).cast("string").alias("_v"))
+    pairs = _prioritised_pairs(table, rule, seed, key) if pairs is None else pairs
+    t = table.select(F.col(key).cast("string").try_cast("bigint").alias("_id"), F.col(C._q(col)).cast("string").alias("_v"))
     a = pairs.join(t.withColumnRenamed("_id", "row_id_1").withColumnRenamed("_v", "_v1"), "row_id_1")
     b = a.join(t.withColumnRenamed("_id", "row_id_2").withColumnRenamed("_v", "_v2"), "row_id_2")
     rid = F.col("row_id_1").cast("string")
     other = F.col("row_id_2").cast("string")
     constraint = F.concat(F.lit("Constraint Violation: The "), F.lit(col), F.lit(" of Row "), rid,
                           F.lit(" is different from the "), F.lit(col), F.lit(" of Row "), other)
-    return b.where(F.col("_v2").isNotNull()).select(
+    new = F.concat(F.col("_v2"), F.lit("*"))
+    return b.where(F.col("_v2").isNotNull() & ~F.trim(new).eqNullSafe(F.trim("_v1"))).select(
         rid.alias(key), F.lit(col).alias("column"), F.lit("rule_violation").alias("error_type"),
-        F.concat(F.col("_v2"), F.lit("*")).alias("error_value"), F.col("_v1").alias("right_value"),
+        new.alias("error_value"), F.col("_v1").alias("right_value"),
         F.lit(0).alias("missing_value"), constraint.alias("constraint"),
-        F.concat(F.lit("("), rid, F.lit(", "), other, F.lit(")")).alias("tuple_pairs"),
-        hash_key(seed, F.lit("rule_violation"), F.lit(rule), rid, F.lit(col)).alias("priority"))
+        F.concat(F.lit("("), rid, F.lit(", "), other, F.lit(")")).alias("tuple_pairs"), "priority")
+
+
+def _prioritised_pairs(table: DataFrame, rule: str, seed: int, key: str) -> DataFrame:
+    col = C._non_eq(rule).left
+    return C.pick_pairs(table, rule, seed=seed, key=key).withColumn("priority", hash_key(
+        seed, F.lit("rule_violation"), F.lit(rule), F.col("row_id_1").cast("string"), F.lit(col)))
+
+
+def rule_errors(table: DataFrame, rule, quota: int, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """The first ``quota`` rule violations of the greedy choice over all rules' pairs in priority order.
+
+    Pairs are thinned by priority before their values are fetched; the greedy
+    over a prefix of the order is a prefix of the greedy, so if the thinned
+    pairs do not meet the quota, more of them are tried until they do or all
+    pairs are in.
+    """
+    rules = _rules(rule)
+    pairs = {r: cut_lineage(_prioritised_pairs(table, r, seed, key)) for r in rules}
+    total = sum(p.count() for p in pairs.values())
+    share = min(1.0, 2 * quota / max(total, 1) + 0.001)
+    while True:
+        below = None if share >= 1 else f"{int(share * (1 << 32)):08x}"
+        cands = None
+        for r, p in pairs.items():
+            some = p if below is None else p.where(F.col("priority") < below)
+            c = _rule_candidates(table, r, seed, key, some)
+            cands = c if cands is None else cands.unionByName(c)
+        free = cut_lineage(cands if len(rules) == 1 else conflict_free(cands, key=key, single_cell=False))
+        if below is None or free.count() >= quota:
+            return quota_select(free, table.sparkSession.createDataFrame(
+                [("rule_violation", int(quota))], "error_type string, quota long"))
+        share *= 2
+
+
+def shortfall(log: DataFrame, budget: DataFrame) -> DataFrame:
+    """(error_type, quota, produced, missing): how far each type stays below its quota."""
+    made = log.groupBy("error_type").agg(F.count(F.lit(1)).alias("produced"))
+    j = budget.select("error_type", "quota").join(made, "error_type", "left").na.fill(0, ["produced"])
+    return j.withColumn("missing", F.greatest(F.col("quota") - F.col("produced"), F.lit(0).cast("long")))
 
 
 ROW_RESOURCE = "\u0000row"
@@ -142,117 +243,115 @@ ROW_RESOURCE = "\u0000row"
 def candidate_cells(cands: DataFrame, key: str = "row_id") -> DataFrame:
     """(cand_id, cell_row, cell_col): the resources a candidate uses.
 
-    Every candidate uses its cell; a rule violation uses the constrained cell
-    of both rows of its pair and, in addition, both rows themselves (a row in
-    an accepted pair is not offered to another rule pair), so two rule
-    candidates sharing a row conflict even on different columns.
+    Every candidate uses its cell.  A rule violation also uses, in each of its
+    rows, the edited column and the columns that its constraint names, and the
+    rows themselves (a row in an accepted pair is not offered to another rule
+    pair), so two rule candidates sharing a row conflict even on different
+    columns.
     """
-    from ..functions.constraints import tuple_ids
+    from ..functions.constraints import constraint_columns, tuple_ids
     rule_ids = F.transform(tuple_ids("tuple_pairs"), lambda x: x.cast("string"))
     is_rule = (F.col("error_type") == "rule_violation") & (F.size(rule_ids) > 0)
-    rows = F.when(is_rule, rule_ids).otherwise(F.array(F.col(key)))
-    cells = F.transform(rows, lambda r: F.struct(r.alias("cell_row"), F.col("column").alias("cell_col")))
+    named = constraint_columns("constraint") if "constraint" in cands.columns else F.array().cast("array<string>")
+    columns = F.array_distinct(F.concat(F.array("column"), named))
+    own = F.array(F.struct(F.col(key).cast("string").alias("cell_row"), F.col("column").alias("cell_col")))
+    cells = F.flatten(F.transform(rule_ids, lambda r: F.transform(
+        columns, lambda c: F.struct(r.alias("cell_row"), c.alias("cell_col")))))
     row_res = F.transform(rule_ids, lambda r: F.struct(r.alias("cell_row"), F.lit(ROW_RESOURCE).alias("cell_col")))
-    res = F.when(is_rule, F.concat(cells, row_res)).otherwise(cells)
+    res = F.when(is_rule, F.array_distinct(F.concat(own, cells, row_res))).otherwise(own)
     return cands.select("cand_id", F.inline(res))
 
 
-def conflict_free(cands: DataFrame, key: str = "row_id", max_rounds: int = 50,
-                  checkpoint: bool = True, single_cell: bool | None = None) -> DataFrame:
+def conflict_free(cands: DataFrame, key: str = "row_id", single_cell: bool | None = None) -> DataFrame:
     """Keep candidates so that no cell is edited twice; equals the sequential
-    greedy over candidates in ``priority`` order.
-
-    When every candidate edits one cell, the greedy keeps the best priority
-    per cell: one hash aggregate (``min_by``), no rounds.  Otherwise rounds:
-    a remaining candidate that holds the smallest priority on every one of
-    its cells is accepted (every better candidate touching those cells is
-    already rejected, so the greedy accepts it too); remaining candidates
-    touching an accepted cell are dropped.  Rounds repeat until nothing
-    remains; each round's state is checkpointed to the shared checkpoint
-    folder, so lineage stays short and a lost executor recomputes one round.
+    greedy over candidates in ``priority`` order (then by the record's content;
+    of equal records one is kept).
+
+    When every candidate edits one cell, the greedy keeps the best candidate
+    per cell: one hash aggregate, no rounds.  Otherwise rounds: a remaining
+    candidate that comes first on every one of its cells is accepted (every
+    better candidate touching those cells is already rejected, so the greedy
+    accepts it too); remaining candidates touching an accepted cell are
+    dropped.  Rounds repeat until nothing remains; every round accepts at least
+    the first candidate, so they end.  Each round's state is checkpointed to the
+    shared checkpoint folder, so a lost executor recomputes one round.
     """
-    c = cands.withColumn("cand_id", F.concat_ws("#", F.col("priority"), F.col(key), F.col("column")))
+    names = cands.columns
+    content = F.md5(F.to_json(F.struct(*[F.col(C._q(c)) for c in names])))
+    c = cands.withColumn("_ord", F.struct(F.col("priority").alias("p"), content.alias("h")))
     if single_cell is None:   # unknown proposer: one check (callers that know pass the hint)
-        multi = candidate_cells(c, key).groupBy("cand_id").count().where(F.col("count") > 1)
+        multi = candidate_cells(c.withColumn("cand_id", F.col("_ord.h")), key).groupBy("cand_id") \
+            .agg(F.count_distinct("cell_row", "cell_col").alias("n")).where("n > 1")
         single_cell = multi.limit(1).count() == 0
     if single_cell:
-        best = c.groupBy(key, "column").agg(F.min("priority").alias("_best"))
-        return c.join(best, [key, "column"]).where(F.col("priority") == F.col("_best")) \
-                .drop("_best", "cand_id")
-    if checkpoint:   # the rounds and the final selection read the candidates many times
-        c = cut_lineage(c)
-    state = candidate_cells(c, key).join(c.select("cand_id", "priority"), "cand_id")
-    if checkpoint:
-        state = cut_lineage(state)
-    accepted = []
-    for _ in range(max_rounds):
-        best = state.groupBy("cell_row", "cell_col").agg(F.min("priority").alias("_best"))
-        verdict = (state.join(best, ["cell_row", "cell_col"])
-                   .groupBy("cand_id").agg(F.bool_and(F.col("priority") == F.col("_best")).alias("_win")))
-        winners = verdict.where("_win").select("cand_id")
-        won_cells = state.join(winners, "cand_id", "left_semi").select("cell_row", "cell_col")
-        blocked = state.join(won_cells, ["cell_row", "cell_col"], "left_semi").select("cand_id")
-        nxt = state.join(blocked, "cand_id", "left_anti")
-        if checkpoint:
-            # the remaining state is cut each round; a round's winners are
-            # re-derived at the end from that round's (checkpointed) input
-            nxt = cut_lineage(nxt)
-        accepted.append(winners)
-        state = nxt
-        if state.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"conflict resolution did not finish in {max_rounds} rounds")
-    acc = accepted[0]
-    for w in accepted[1:]:
-        acc = acc.unionByName(w)
-    return c.join(acc, "cand_id", "left_semi").drop("cand_id")
-
-
-def quota_select(cands: DataFrame, budget: DataFrame, buckets_bits: int = 16,
-                 materialize: bool = True) -> DataFrame:
+        best = c.groupBy(key, "column").agg(F.min(F.struct("_ord", F.struct(*[F.col(C._q(x)) for x in names]).alias("r"))).alias("b"))
+        return best.select("b.r.*")
+    c = cut_lineage(c.withColumn("cand_id", F.monotonically_increasing_id()))
+    order = c.select("cand_id", F.struct("_ord", "cand_id").alias("_ord"))
+    state = cut_lineage(candidate_cells(c, key).join(order, "cand_id"))
+    accepted = None
+    while not state.isEmpty():
+        best = state.groupBy("cell_row", "cell_col").agg(F.min("_ord").alias("_best"))
+        ranked = state.join(best, ["cell_row", "cell_col"])
+        wins = ranked.groupBy("cand_id").agg(F.bool_and(F.col("_ord") == F.col("_best")).alias("_win")).where("_win")
+        won = state.join(wins, "cand_id").select("cell_row", "cell_col", "_win")
+        fate = state.join(won, ["cell_row", "cell_col"], "left").groupBy("cand_id").agg(F.bool_or("_win").alias("_hit"))
+        told = cut_lineage(state.join(fate, "cand_id").join(wins, "cand_id", "left"))   # the round, with each candidate's fate
+        winners = told.where("_win").select("cand_id")
+        state = told.where("_hit is null").select(state.columns)
+        accepted = winners if accepted is None else accepted.unionByName(winners)
+    if accepted is None:
+        return cands
+    return c.join(accepted, "cand_id", "left_semi").select(names)
+
+
+def quota_select(cands: DataFrame, budget: DataFrame, prefix: int = 4, materialize: bool = True) -> DataFrame:
     """The ``quota`` best candidates (smallest ``priority``) of each error type, exactly.
 
     A per-type window over all candidates would put a type in one task.
-    Instead: priorities are md5 hex, so the first 4 hex digits give 65,536
-    ordered buckets; a histogram per (type, bucket) (bounded: 4 x 65,536
-    rows, broadcast) locates the bucket where each quota is crossed; rows
-    below it are taken, and only the one boundary bucket per type is
-    ranked with a window.
+    Instead a histogram over the first ``prefix`` characters of the priority
+    (65,536 values for md5 hex) locates where each quota is crossed; rows below
+    are taken, and only the boundary prefix of each type is ranked with a
+    window.  Any text serves as a priority, in the order of its bytes;
+    candidates without one come last, in a seeded order of their own.
     """
-    pre = F.conv(F.substring("priority", 1, buckets_bits // 4), 16, 10).cast("long")
-    x = cands.withColumn("_b", pre)
+    content = F.md5(F.to_json(F.struct(*[F.col(C._q(c)) for c in cands.columns])))
+    x = cands.withColumn("_p", F.coalesce("priority", F.concat(F.lit("~"), content))).withColumn("_h", content) \
+        .withColumn("_b", F.substring("_p", 1, prefix))
     if materialize:   # read twice below (histogram, selection): compute the candidates once
         x = cut_lineage(x)
     hist = x.groupBy("error_type", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("error_type").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("_cum", F.sum("_n").over(w)).join(budget.select("error_type", "quota"), "error_type")
     take = cum.select("error_type", "_b",
-                      F.when(F.col("_cum") <= F.col("quota"), F.lit(-1))            # whole bucket
+                      F.when(F.col("_cum") <= F.col("quota"), F.lit(-1))            # whole prefix
                        .when(F.col("_cum") - F.col("_n") < F.col("quota"),
                              F.col("quota") - (F.col("_cum") - F.col("_n")))         # boundary: take k
                        .otherwise(F.lit(0)).alias("_k"))                             # beyond quota
-    j = x.join(F.broadcast(take.where(F.col("_k") != 0)), ["error_type", "_b"])
+    j = x.join(take.where(F.col("_k") != 0), ["error_type", "_b"])
     whole = j.where(F.col("_k") == -1)
     edge = j.where(F.col("_k") > 0)
-    wr = Window.partitionBy("error_type", "_b").orderBy("priority")
+    wr = Window.partitionBy("error_type", "_b").orderBy("_p", "_h")
     edge = edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= F.col("_k")).drop("_r")
-    return whole.unionByName(edge).drop("_b", "_k")
+    return whole.unionByName(edge).select(cands.columns)
 
 
 def generate_errors(table: DataFrame, error_ratio: float = 0.1, ratios: str = "1:1:1:1",
-                    rule: str | None = None, seed: int = 42, oversample: float = 1.5,
-                    key: str = "row_id", checkpoint: bool = True) -> DataFrame:
-    """Composite: budget -> propose -> validate -> conflict-free -> quota -> error log."""
-    budget = error_budget(table, error_ratio, ratios, key=key)
-    cands = propose_errors(table, budget, seed=seed, oversample=oversample, rule=rule, key=key)
-    # default proposals edit one cell each; only rule candidates touch several
-    # default proposals edit one cell each and never share one (disjoint draws);
-    # only rule candidates (two rows each) can conflict
-    chosen = select_errors(table, cands, budget, key=key, checkpoint=checkpoint,
-                           single_cell=True if not _rules(rule) else None, disjoint=not _rules(rule))
-    return chosen.select(key, "column", "error_type", "error_value", "right_value", "missing_value",
-                         "constraint", "tuple_pairs", "priority")
+                    rule: str | None = None, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """Composite: budget -> rule violations -> single-cell errors elsewhere -> error log.
+
+    Every type gets exactly min(quota, eligible cells or pairs); ``shortfall``
+    compares the log with the budget.  The default corruptors' records need no
+    validation against the table: the true value is at hand when they are made.
+    """
+    quotas = budget_quotas(error_budget(table, error_ratio, ratios, key=key))
+    names = [key, "column", "error_type", "error_value", "right_value", "missing_value", "constraint", "tuple_pairs", "priority"]
+    if not _rules(rule) or not quotas["rule_violation"]:
+        return cell_errors(table, quotas, seed, key).select(names)
+    violations = cut_lineage(rule_errors(table, rule, quotas["rule_violation"], seed, key).select(names))
+    used = candidate_cells(violations.withColumn("cand_id", F.lit(0)), key).where(F.col("cell_col") != ROW_RESOURCE) \
+        .select(F.col("cell_row").alias(key), F.col("cell_col").alias("column"))
+    return cell_errors(table, quotas, seed, key, used=used).select(names).unionByName(violations)
 
 
 def model_completions(prompts: DataFrame, predict, id_col: str = "entry_id", text_col: str = "prompt",
@@ -297,17 +396,11 @@ def candidates_from_completions(completions: DataFrame, seed: int = 42, id_col:
 
 
 def select_errors(table: DataFrame, cands: DataFrame, budget: DataFrame, key: str = "row_id",
-                  checkpoint: bool = True, single_cell: bool | None = None,
-                  disjoint: bool = False) -> DataFrame:
-    """validate -> conflict-free -> quota for candidates from any proposer.
-
-    ``disjoint=True`` states that no two candidates share a cell (the default
-    proposer's draws guarantee it), so the conflict step is skipped.
-    """
+                  single_cell: bool | None = None) -> DataFrame:
+    """validate -> conflict-free -> quota for candidates from any proposer (see ``shortfall`` for what is lacking)."""
     from .annotations import validate_candidates
     valid = validate_candidates(cands, table, key=key).where(F.col("status") == "ok").drop("status")
-    free = valid if disjoint else conflict_free(valid, key=key, checkpoint=checkpoint, single_cell=single_cell)
-    return quota_select(free, budget)
+    return quota_select(conflict_free(valid, key=key, single_cell=single_cell), budget)
 
 
 def completion_status(completions: DataFrame, requested_type: DataFrame, id_col: str = "entry_id") -> DataFrame:

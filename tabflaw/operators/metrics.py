@@ -219,13 +219,33 @@ def numeric_similarity(pairs: DataFrame, a: str = "right_value", b: str = "error
                       .alias("numeric_similarity"))
 
 
-# Datetime text formats tried in order (Spark patterns).
-DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
-                    "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "HH:mm:ss", "HH:mm"]
+# Datetime text formats tried in order (Spark patterns).  Slash and dash dates
+# are read month first; the day comes first only where the month would be above 12.
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy",
+                "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMMM d yyyy"]
+TIME_FORMATS = ["H:mm:ss", "H:mm", "h:mm:ss a", "h:mm a", "h a"]
 
 
 def parse_datetime(x: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in DATETIME_FORMATS])
+    """Timestamp of a date, a time or both; null where no format fits.
+
+    Before matching, a 'T' between date and time becomes a blank, fractions of
+    seconds and a closing 'Z' go, and every spelling of a.m. / p.m. becomes AM /
+    PM.  A time without a date is on 1970-01-01.  The date and the time part are
+    matched apart, so the formats of both need not be multiplied.
+    """
+    t = F.regexp_replace(F.trim(x.cast("string")), r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
+    t = F.regexp_replace(t, r"(:\d{2})\.\d+", "$1")
+    t = F.regexp_replace(t, r"(:\d{2})\s*Z$", "$1")
+    t = F.regexp_replace(t, r"(?i)\s*\b([ap])\.?\s?m\.?$", " $1M")
+    clock = r"\d{1,2}(?::\d{2}){1,2}(?: [APap]M)?|\d{1,2} [APap]M"
+    at = F.regexp_extract(t, rf"(?:^|[\s,]+)({clock})$", 1)
+    day = F.when(at == "", t).otherwise(F.regexp_replace(t, rf"(?:^|[\s,]+)(?:{clock})$", ""))
+    date = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMATS])
+    time = F.coalesce(*[F.try_to_timestamp(F.upper(at), F.lit(f)) for f in TIME_FORMATS])
+    seconds = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    start = F.when(day == "", F.to_timestamp(F.lit("1970-01-01"))).otherwise(date)
+    return F.when(at == "", date).otherwise(F.timestamp_seconds(F.unix_timestamp(start) + seconds))
 
 
 def datetime_similarity(pairs: DataFrame, a: str = "right_value", b: str = "error_value",

@@ -4,10 +4,10 @@ Every random choice of the reference (template, context rows, row
 order, split, exemplars) is a seeded md5 of the entry key, so a corpus is
 reproducible and every step is a plain DataFrame plan:
 
-* fragments: involved rows (equi join on the key) + k context rows drawn
-  at hash positions of a dense row index (equi join, never entries x
-  table), ordered by a per-entry hash, folded into Markdown by a bounded
-  per-entry aggregate (k + 2 rows);
+* fragments: k context rows drawn at seeded positions of a dense index of
+  the keys (equi join, never entries x table), fetched together with the
+  involved rows by one join on the key, ordered by a per-entry hash, folded
+  into Markdown by a bounded per-entry aggregate (k + 2 rows);
 * instructions: literal template arrays indexed by hash (no join);
 * split: exact ``floor(n * ratio)`` by a distributed sort on the hash;
 * few-shot: exemplar positions drawn per entry inside its error type's
@@ -16,16 +16,22 @@ reproducible and every step is a plain DataFrame plan:
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constraints import constraint_entities
-from ..functions.hashing import hash_int, hash_key
+from ..functions.hashing import coprime_strides, hash_int, hash_key, hash_long
 from ..functions.templates import (ERROR_TYPE_DESCRIPTIONS, SUFFIXES, TASK_DESCRIPTIONS,
                                    UNKNOWN_ERROR_TYPE)
 from .cells import row_index
 
 
+#: error types up to which their counts are broadcast
+BROADCAST_TYPES = 10_000
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -40,34 +46,48 @@ def _pick(options: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (idx + 1).cast("int"))
 
 
-def instruction_text(task: str, error_type: Column, constraint: Column, key: Column,
-                     seed=42, with_constraint: bool = True) -> Column:
-    """task sentence + error-type description [+ entity-form constraint] + suffix."""
-    tasks, sufs = TASK_DESCRIPTIONS[task], SUFFIXES[task]
-    t = F.replace(_pick(tasks, seeded_index(seed, "task", key, len(tasks))), F.lit("{error_type}"),
-                  F.coalesce(error_type, F.lit("None")))
-    desc_map = F.create_map(*[x for et, opts in ERROR_TYPE_DESCRIPTIONS.items()
-                              for x in (F.lit(et), F.array(*[F.lit(o) for o in opts]))])
-    opts = F.element_at(desc_map, F.coalesce(error_type, F.lit("")))
-    e = F.when(opts.isNull(), F.lit(UNKNOWN_ERROR_TYPE)).otherwise(
+@dataclass(frozen=True)
+class Task:
+    """The wording of a task: opening sentences (with {error_type}), closing sentences, and a description or
+    several of each error type.  Built-in tasks are known by name; own ones are passed as they are."""
+    openings: tuple[str, ...]
+    closings: tuple[str, ...]
+    descriptions: dict[str, list[str]] = field(default_factory=lambda: ERROR_TYPE_DESCRIPTIONS)
+
+
+def task_of(task) -> Task:
+    if isinstance(task, Task):
+        return task
+    if task not in TASK_DESCRIPTIONS:
+        raise ValueError(f"unknown task {task!r}: pass one of {sorted(TASK_DESCRIPTIONS)} or a Task")
+    return Task(tuple(TASK_DESCRIPTIONS[task]), tuple(SUFFIXES[task]))
+
+
+def _instruction(task, error_type: Column, middle: Column | None, key: Column, seed) -> Column:
+    """opening + error-type description [+ middle] + closing, each chosen by a seeded hash of the key."""
+    t = task_of(task)
+    opening = F.replace(_pick(list(t.openings), seeded_index(seed, "task", key, len(t.openings))),
+                        F.lit("{error_type}"), error_type)
+    known = F.create_map(*[x for et, opts in t.descriptions.items()
+                           for x in (F.lit(et), F.array(*[F.lit(o) for o in opts]))])
+    opts = F.element_at(known, F.coalesce(error_type, F.lit("")))
+    about = F.when(opts.isNull(), F.lit(UNKNOWN_ERROR_TYPE)).otherwise(
         F.element_at(opts, (seeded_index(seed, "desc", key, F.size(opts)) + 1).cast("int")))
-    s = _pick(sufs, seeded_index(seed, "suffix", key, len(sufs)))
+    closing = _pick(list(t.closings), seeded_index(seed, "suffix", key, len(t.closings)))
+    return F.concat_ws(" ", opening, about, *([middle] if middle is not None else []), closing)
+
+
+def instruction_text(task, error_type: Column, constraint: Column, key: Column,
+                     seed=42, with_constraint: bool = True) -> Column:
+    """task sentence + error-type description [+ entity-form constraint] + suffix; ``task``: a name or a Task."""
     c = F.when(F.coalesce(constraint, F.lit("")) != "", constraint_entities(constraint))
-    return F.concat_ws(" ", t, e, c, s) if with_constraint else F.concat_ws(" ", t, e, s)
+    return _instruction(task, F.coalesce(error_type, F.lit("None")), c if with_constraint else None, key, seed)
 
 
-def generator_instruction(error_type: Column, rule_text: Column, key: Column, seed=42) -> Column:
+def generator_instruction(error_type: Column, rule_text: Column, key: Column, seed=42, task="generation") -> Column:
     """Error-generator form: '... Denial Constraint is: <rule sentence>. ...' for rule errors."""
     c = F.when(F.coalesce(rule_text, F.lit("")) != "", F.concat(F.lit("Denial Constraint is: "), rule_text, F.lit(".")))
-    tasks, sufs = TASK_DESCRIPTIONS["generation"], SUFFIXES["generation"]
-    t = F.replace(_pick(tasks, seeded_index(seed, "task", key, len(tasks))), F.lit("{error_type}"), error_type)
-    desc_map = F.create_map(*[x for et, opts in ERROR_TYPE_DESCRIPTIONS.items()
-                              for x in (F.lit(et), F.array(*[F.lit(o) for o in opts]))])
-    opts = F.element_at(desc_map, error_type)
-    e = F.when(opts.isNull(), F.lit(UNKNOWN_ERROR_TYPE)).otherwise(
-        F.element_at(opts, (seeded_index(seed, "desc", key, F.size(opts)) + 1).cast("int")))
-    s = _pick(sufs, seeded_index(seed, "suffix", key, len(sufs)))
-    return F.concat_ws(" ", t, e, c, s)
+    return _instruction(task, error_type, c, key, seed)
 
 
 def prompt_text(instruction: Column, input_text: Column) -> Column:
@@ -84,39 +104,50 @@ def markdown_line(cols: list[str], null_text: str = "") -> Column:
 
 
 def markdown_tables(rows: DataFrame, group_col: str, order_col: str, cols: list[str],
-                    null_text: str = "") -> DataFrame:
-    """(group, markdown) -- one Markdown table per group, rows in ``order_col`` order.
+                    null_text: str = "", extra: tuple = ()) -> DataFrame:
+    """(group, markdown) -- one Markdown table per group, rows in ``order_col`` order; and ``extra`` aggregates.
 
     The per-group list is bounded by the fragment size (a handful of rows).
     """
-    lines = rows.select(group_col, F.struct(F.col(order_col).alias("o"),
-                                            markdown_line(cols, null_text).alias("l")).alias("_x"))
-    agg = lines.groupBy(group_col).agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+    line = F.struct(F.col(order_col).alias("o"), markdown_line(cols, null_text).alias("l"))
+    agg = rows.groupBy(group_col).agg(F.array_sort(F.collect_list(line)).alias("_xs"), *extra)
     body = F.array_join(F.transform("_xs", lambda x: x["l"]), "\n")
-    return agg.select(group_col, F.concat(F.lit(markdown_header(cols) + "\n"), body).alias("markdown"))
-
-
-def context_draws(entries: DataFrame, indexed: DataFrame, n_rows: Column, k: int, seed=42,
-                  extra: int = 2, entry_col: str = "entry_id", key: str = "row_id",
-                  exclude_col: str = "involved", carry: tuple = ()) -> DataFrame:
-    """Per entry, k context rows drawn at seeded positions of a dense index, excluding
-    the entry's involved row ids; (entry_id, row columns..., _draw, carried entry columns)."""
-    draws = entries.select(entry_col, exclude_col, *carry,
-                           F.explode(F.sequence(F.lit(0), F.lit(k + extra + 3))).alias("_draw"))
-    draws = draws.withColumn("_pos", F.pmod(hash_int(F.concat_ws("|", F.lit(str(seed)), F.lit("ctx"),
-                                                                  F.col(entry_col), F.col("_draw"))),
-                                            n_rows))
-    j = draws.join(indexed, draws._pos == indexed.row_index)
-    j = j.where(~F.coalesce(F.array_contains(F.col(exclude_col), F.col(key).cast("bigint")), F.lit(False)))
-    # both windows are clustered by the entry, so one shuffle serves both, and the
-    # drawn rows keep their columns (no second join with the table)
-    j = j.repartition(entry_col)
-    w_dup = Window.partitionBy(entry_col, key).orderBy("_draw")
+    names = [c for c in agg.columns if c not in (group_col, "_xs")]
+    return agg.select(group_col, F.concat(F.lit(markdown_header(cols) + "\n"), body).alias("markdown"), *names)
+
+
+def integer_id(col) -> Column:
+    """A row id as an integer; null if it is none."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c.cast("string").try_cast("bigint")
+
+
+def context_draws(entries: DataFrame, indexed: DataFrame, n_rows: int, k: int, seed=42,
+                  entry_col: str = "entry_id", key: str = "row_id", exclude_col: str = "involved",
+                  carry: tuple = ()) -> DataFrame:
+    """Per entry, min(k, available) context rows at seeded positions of a dense index, excluding the
+    entry's involved row ids; (entry_id, key, _draw, carried entry columns).
+
+    ``indexed`` has the key and its ``row_index`` (0..n_rows-1).  An entry steps
+    through the positions by a seeded width that shares no factor with n_rows,
+    so its draws never repeat, and as many as k and its involved rows together
+    always leave k others if there are so many.
+    """
+    if n_rows == 0:
+        return entries.select(entry_col, *carry).join(indexed.select(key), F.lit(False)) \
+            .select(entry_col, key, F.lit(0).alias("_draw"), *carry)
+    steps = coprime_strides(n_rows, seed)
+    start = F.pmod(hash_long(F.concat_ws("|", F.lit(str(seed)), F.lit("ctx"), F.col(entry_col))), F.lit(n_rows))
+    step = F.get(F.array(*[F.lit(x).cast("bigint") for x in steps]), F.pmod(
+        hash_long(F.concat_ws("|", F.lit(str(seed)), F.lit("step"), F.col(entry_col))), F.lit(len(steps))).cast("int"))
+    last = F.least(F.lit(n_rows), (F.lit(k) + F.size(exclude_col)).cast("bigint")) - 1
+    draws = entries.select(entry_col, exclude_col, *carry, start.alias("_start"), step.alias("_step"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_draw"))
+    draws = draws.withColumn("_pos", F.pmod(F.col("_start") + F.col("_draw") * F.col("_step"), F.lit(n_rows)))
+    j = draws.join(indexed.select(F.col("row_index").alias("_pos"), key), "_pos")
+    j = j.where(~F.coalesce(F.array_contains(F.col(exclude_col), integer_id(key)), F.lit(False)))
     w = Window.partitionBy(entry_col).orderBy("_draw")
-    first = j.withColumn("_d", F.row_number().over(w_dup)).where(F.col("_d") == 1).drop("_d")
-    chosen = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \
-                  .drop("_r", "_pos", "row_index", exclude_col)
-    return chosen
+    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(entry_col, key, "_draw", *carry)
 
 
 def context_pool(entries: DataFrame, table: DataFrame, k: int, seed=42, extra: int = 2,
@@ -129,14 +160,15 @@ def context_pool(entries: DataFrame, table: DataFrame, k: int, seed=42, extra: i
             .withColumn("_draw", F.row_number().over(Window.orderBy("_h")) - 1).drop("_h"))
     ranks = entries.select(entry_col, exclude_col, F.explode(F.sequence(F.lit(0), F.lit(k + extra - 1))).alias("_draw"))
     j = ranks.join(F.broadcast(pool.select(key, "_draw")), "_draw")
-    j = j.where(~F.coalesce(F.array_contains(F.col(exclude_col), F.col(key).cast("bigint")), F.lit(False)))
+    j = j.where(~F.coalesce(F.array_contains(F.col(exclude_col), integer_id(key)), F.lit(False)))
     w = Window.partitionBy(entry_col).orderBy("_draw")
     return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(entry_col, key, "_draw")
 
 
 def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
                     entry_col: str = "entry_id", key: str = "row_id", null_text: str = "",
-                    missing_fill: bool = True, index_order=None, context: str = "draw") -> DataFrame:
+                    missing_fill: bool = True, index_order=None, context: str = "draw",
+                    indexed: DataFrame | None = None) -> DataFrame:
     """(entry_id, input): involved rows + k context rows as Markdown, in a seeded order.
 
     ``entries`` needs entry_id, row_id, column, error_type, error_value,
@@ -153,35 +185,34 @@ def build_fragments(entries: DataFrame, table: DataFrame, k: int = 5, seed=42,
                        F.col(key).cast("string").alias("_ar"), F.col("column").alias("_ac"),
                        F.col("error_type").alias("_at"), F.col("error_value").cast("string").alias("_av"))
     if context == "pool":
-        ctx = context_pool(e, table, k, seed, entry_col=entry_col, key=key)
-        ctx_rows = ctx.join(table, key).join(e.select(entry_col, *carry), entry_col) \
-                      .select(entry_col, *[F.col(_q(c)) for c in cols], *carry)
+        ctx = context_pool(e, table, k, seed, entry_col=entry_col, key=key).join(e.select(entry_col, *carry), entry_col)
     elif context == "draw":
-        indexed = row_index(table, order_by=index_order)
-        n_rows = table.agg(F.count(F.lit(1))).scalar()
-        ctx = context_draws(e, indexed, n_rows, k, seed, entry_col=entry_col, key=key, carry=carry)
-        ctx_rows = ctx.select(entry_col, *[F.col(_q(c)) for c in cols], *carry)
+        if indexed is None:
+            indexed = row_index(table.select(key), order_by=index_order)      # keys only
+        ctx = context_draws(e, indexed, indexed.count(), k, seed, entry_col=entry_col, key=key, carry=carry)
     else:
         raise ValueError(f"context must be 'draw' or 'pool', got {context!r}")
+
+    def same(x):          # ids as text; integers in their plain form
+        return F.coalesce(integer_id(x).cast("string"), x.cast("string")).alias("_k")
+
     inv = e.select(entry_col, F.explode("involved").alias("_id"), *carry)
-    t2 = table.withColumn("_tid", F.col(key).cast("bigint"))
-    inv_rows = inv.join(t2, inv._id == t2._tid).select(entry_col, *[F.col(_q(c)) for c in cols], *carry)
-    rows = ctx_rows.unionByName(inv_rows)
+    need = ctx.select(entry_col, same(F.col(key)), *carry, F.lit(0).alias("_inv")).unionByName(
+        inv.select(entry_col, same(F.col("_id")), *carry, F.lit(1).alias("_inv")))
+    rows = need.join(table.select("*", same(F.col(key))), "_k")
     if missing_fill:
         vals = []
         for c in cols:
             hit = (F.col("_at") == "missing_value") & (F.col(key) == F.col("_ar")) & (F.col("_ac") == c)
             vals.append(F.when(hit, F.coalesce(F.col("_av"), F.lit(null_text))).otherwise(F.col(_q(c))).alias(c))
-        rows = rows.select(entry_col, *vals)
+        rows = rows.select(entry_col, "_inv", *vals)
     rows = rows.withColumn("_o", hash_key(seed, F.lit("order"), F.col(entry_col), F.col(key)))
-    md = markdown_tables(rows, entry_col, "_o", cols, null_text).withColumnRenamed("markdown", "input")
-    # entries whose involved rows were not all found (counted from the same join)
-    found = inv_rows.groupBy(entry_col).agg(F.count(F.lit(1)).alias("_found"))
+    md = markdown_tables(rows, entry_col, "_o", cols, null_text, extra=(F.sum("_inv").alias("_found"),))
+    # entries whose involved rows were not all found get no input
     want = e.select(entry_col, F.size("involved").alias("_want"),
                     (F.col("_ar").isNotNull() | (F.col("_at") == "rule_violation")).alias("_needs"))
-    bad = want.join(found, entry_col, "left").na.fill(0, ["_found"]) \
-              .where((F.col("_found") < F.col("_want")) | ((F.col("_want") == 0) & F.col("_needs")))
-    return md.join(bad.select(entry_col), entry_col, "left_anti")
+    bad = (F.col("_found") < F.col("_want")) | ((F.col("_want") == 0) & F.coalesce(F.col("_needs"), F.lit(False)))
+    return md.join(want, entry_col).where(~bad).select(entry_col, F.col("markdown").alias("input"))
 
 
 def missing_involved(entries: DataFrame, table: DataFrame, entry_col: str = "entry_id",
@@ -190,7 +221,7 @@ def missing_involved(entries: DataFrame, table: DataFrame, entry_col: str = "ent
     from .annotations import involved_ids
     e = entries.select(entry_col, F.explode_outer(involved_ids(entries, key)).alias("_id"),
                        F.col("error_type"), F.col(key).alias("_own"))
-    t = table.select(F.col(key).cast("bigint").alias("_tid")).distinct()
+    t = table.select(integer_id(key).alias("_tid")).distinct()
     j = e.join(t, e._id == t._tid, "left")
     bad = (F.col("_tid").isNull() & (F.col("_id").isNotNull() | F.col("_own").isNotNull()
                                       | (F.col("error_type") == "rule_violation")))
@@ -221,9 +252,9 @@ def fewshot_positions(df: DataFrame, seed=42, id_col: str = "entry_id", type_col
     ``df`` needs split, type, id and (for train) ``_tpos`` = own position.
     """
     n = F.col("_n")
-    h0 = hash_int(F.concat_ws("|", F.lit(str(seed)), F.lit("fs0"), F.col(id_col)))
-    h1 = hash_int(F.concat_ws("|", F.lit(str(seed)), F.lit("fs1"), F.col(id_col)))
-    hm = hash_int(F.concat_ws("|", F.lit(str(seed)), F.lit("fsm"), F.col(id_col)))
+    h0 = hash_long(F.concat_ws("|", F.lit(str(seed)), F.lit("fs0"), F.col(id_col)))
+    h1 = hash_long(F.concat_ws("|", F.lit(str(seed)), F.lit("fs1"), F.col(id_col)))
+    hm = hash_long(F.concat_ws("|", F.lit(str(seed)), F.lit("fsm"), F.col(id_col)))
     is_test = F.col("split") == "test"
     # test: 2 distinct of n
     m_test = F.when(n > 1, F.least(F.lit(2), n)).otherwise(F.lit(0))
@@ -259,6 +290,8 @@ def fewshot_pairs(corpus: DataFrame, seed=42, id_col: str = "entry_id",
     keys = train.select(id_col, type_col, hash_key(seed, F.lit("fs"), F.col(id_col)).alias("_h"))
     idx = row_index(keys, order_by=[type_col, "_h"], name="_g")
     first = idx.groupBy(type_col).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"))
+    if first.count() <= BROADCAST_TYPES:     # a handful of types: no shuffle of the corpus by type
+        first = F.broadcast(first)
     pos = idx.join(first, type_col).withColumn("_tpos", F.col("_g") - F.col("_g0"))
     own = pos.select(id_col, "_tpos")
     c = corpus.select(id_col, type_col, "split").join(first.select(type_col, "_n"), type_col, "left") \

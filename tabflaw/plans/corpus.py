@@ -50,11 +50,12 @@ def build_corpus(entries: DataFrame, table: DataFrame, task: str = "generation",
 
 
 def corpus_from_folder(spark, root: str, task: str = "generation", out: str | None = None, k: int = 5,
-                       seed=42, ratio: float = 0.9, cap: int = 2500) -> DataFrame:
+                       seed=42, ratio: float = 0.9, cap: int | None = None) -> DataFrame:
     """C1 over the reference's folder layout: every ``*_annotation.jsonl`` under
     ``root`` next to its ``clean.csv`` / ``dirty.csv``.
 
-    Records are capped per (file, type) in file order, each folder's table
+    All records are used; with ``cap`` only the first so many per (file, type)
+    in file order.  The logs are read once, each folder's table
     is read once (one Spark job per dataset folder; the folder list is a
     handful of names), all datasets are split together, and with ``out``
     three JSON-line sets are written: split=train, test_zeroshot,
@@ -64,7 +65,9 @@ def corpus_from_folder(spark, root: str, task: str = "generation", out: str | No
     from ..sources.files import good_records, read_csv_table, read_error_log, write_jsonl
     from ..functions.templates import TASK_SOURCE
     log = good_records(read_error_log(spark, root, glob="*_annotation.jsonl", recursive=True))
-    log = cap_per_type(log.withColumn("line_no", F.col("seq")), cap, file_col="file", order_col="line_no")
+    if cap is not None:
+        log = cap_per_type(log.withColumn("line_no", F.col("seq")), cap, file_col="file", order_col="line_no")
+    log = cut_lineage(log)
     folders = [r[0] for r in log.select("folder").distinct().collect()]
     parts = []
     for folder in sorted(folders):

@@ -19,6 +19,7 @@ from ..functions.hashing import hash_key
 from ..operators import constraints as C
 from ..operators import generate as G
 from ..operators import prompts as P
+from ..operators.cells import row_index
 from ..schemas import ERROR_TYPES
 from ..session import cut_lineage
 
@@ -64,12 +65,13 @@ def generation_prompts(table: DataFrame, budget: DataFrame, rule: str | None = N
             F.concat(F.lit("("), F.col("row_id_1").cast("string"), F.lit(", "), F.col("row_id_2").cast("string"),
                      F.lit(")")).alias("tuple_pairs"), "rule")
         entries = entries.unionByName(rule_slots)
+    indexed = row_index(table.select(key), order_by=index_order)          # once for both kinds of slots
     frags_plain = P.build_fragments(entries.where(F.col("error_type") != "rule_violation"), table, k=k,
-                                    seed=seed, key=key, missing_fill=False, index_order=index_order)
+                                    seed=seed, key=key, missing_fill=False, indexed=indexed)
     frags = frags_plain
     if rules:
         frags_rule = P.build_fragments(entries.where(F.col("error_type") == "rule_violation"), table, k=rule_k,
-                                       seed=seed, key=key, missing_fill=False, index_order=index_order)
+                                       seed=seed, key=key, missing_fill=False, indexed=indexed)
         frags = frags.unionByName(frags_rule)
     # as in the reference, the sentence keeps its own final period before ". "
     rule_text = F.when(F.col("rule") != "", dc_to_text(F.col("rule")))
@@ -81,12 +83,19 @@ def generation_prompts(table: DataFrame, budget: DataFrame, rule: str | None = N
 
 def generate_with_model(table: DataFrame, predict, error_ratio: float = 0.1, ratios: str = "1:1:1:1",
                         rule: str | None = None, seed=42, oversample: float = 1.5, key: str = "row_id",
-                        batch_rows: int = 64) -> DataFrame:
-    """Budget -> prompts -> ``predict`` in batches -> parse -> validate -> conflict-free -> quota."""
+                        batch_rows: int = 64, with_status: bool = False):
+    """Budget -> prompts -> ``predict`` in batches -> parse -> validate -> conflict-free -> quota.
+
+    With ``with_status`` the result is (log, status): ``status`` has a row per
+    answer (parse_error, type_mismatch, ok), so no answer vanishes unseen, and
+    ``generate.shortfall`` tells what the log lacks.
+    """
     budget = G.error_budget(table, error_ratio, ratios, key=key)
-    prompts = generation_prompts(table, budget, rule=rule, seed=seed, oversample=oversample, key=key)
-    # model answers are expensive and may be sampled: compute them once and keep
-    # them in the checkpoint folder, so later actions and retries never re-ask
+    # model answers are expensive and may be sampled: prompts and answers are computed
+    # once and kept in the checkpoint folder, so later actions and retries never re-ask
+    prompts = cut_lineage(generation_prompts(table, budget, rule=rule, seed=seed, oversample=oversample, key=key))
     comps = cut_lineage(G.model_completions(prompts, predict, batch_rows=batch_rows))
-    cands = G.candidates_from_completions(comps, seed=seed, requested_type=prompts.select("entry_id", "error_type"))
-    return G.select_errors(table, cands, budget, key=key)
+    asked = prompts.select("entry_id", "error_type")
+    cands = G.candidates_from_completions(comps, seed=seed, requested_type=asked)
+    log = G.select_errors(table, cands, budget, key=key)
+    return (log, G.completion_status(comps, asked)) if with_status else log

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cells
+from ..sources.tables import read_table
 from . import fixtures as fx
 from .oracle_sql import fixture_sql
 from .registry import query
@@ -92,6 +93,13 @@ def q_apply_errors_first_wins(spark, sf_dir):
     return cells.apply_errors(clean, both, order_col="seq")
 
 
+@query("row_index_orders", """select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as bigint) as row_index
+  from orders""")
+def q_row_index_orders(spark, sf_dir):
+    """P1 over the larger table: only the key is sorted and indexed."""
+    return cells.row_index(read_table(spark, sf_dir, "orders").select("o_orderkey"), order_by="o_orderkey")
+
+
 @query("row_index", """select cast(c_custkey as varchar) row_id, c_name,
   cast(row_number() over (order by c_custkey) - 1 as bigint) as row_index from customer""")
 def q_row_index(spark, sf_dir):

@@ -36,10 +36,19 @@ def _table(spark, sf_dir, name, key):
     return read_table(spark, sf_dir, name).withColumnRenamed(key, "row_id")
 
 
-def _sql_gk(rule):
-    cols = C.eq_columns(rule)
-    parts = ", ".join(f"coalesce(cast({c} as varchar), '<null>')" for c in cols)
-    return f"md5(concat_ws('|', {parts}))"
+def sql_group_key(cols):
+    """SQL of ``constraints.group_key`` (for output; the twins group by the columns themselves)."""
+    parts = ", ".join(f"coalesce(cast(length(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), 'n')"
+                      for c in cols)
+    return f"md5(concat_ws(',', {parts}))"
+
+
+def _sql_gk(rule, prefix=""):
+    return sql_group_key([prefix + c for c in C.eq_columns(rule)])
+
+
+def _cols(rule):
+    return ", ".join(C.eq_columns(rule))
 
 
 def _groups_sql(rules):
@@ -47,7 +56,7 @@ def _groups_sql(rules):
     for t, key, rule in rules:
         parts.append(f"""select '{rule}' as rule, {_sql_gk(rule)} as group_key, count(*) as n_rows,
   cast(cast(count(*) as hugeint) * (count(*) - 1) // 2 as decimal(38,0)) as n_pairs
-  from {t} group by 2 having count(*) >= 2""")
+  from {t} group by {_cols(rule)} having count(*) >= 2""")
     return "\nunion all\n".join(parts)
 
 
@@ -79,9 +88,9 @@ def _viol_sql(t, rule):
         body = "nn * (nn - 1) // 2 - same"
     return f"""select '{rule}' as rule, group_key, cast(nn as bigint) as n_rows,
   cast({body} as decimal(38,0)) as n_pairs from (
-    select group_key, sum(m) as nn, sum(m * (m - 1) // 2) as same from (
-      select {_sql_gk(rule)} as group_key, {col}, cast(count(*) as hugeint) as m
-      from {t} where {col} is not null group by 1, 2) group by group_key)
+    select {_sql_gk(rule)} as group_key, sum(m) as nn, sum(m * (m - 1) // 2) as same from (
+      select {_cols(rule)}, {col} as v, cast(count(*) as hugeint) as m
+      from {t} where {col} is not null group by all) group by {_cols(rule)})
   where {body} > 0"""
 
 
@@ -97,7 +106,7 @@ def _viol_rows_sql(t, key, rule):
     cond = "count(*) >= 2" if p.op in ("LTE", "GTE") else f"min({col}) <> max({col})"
     return f"""select '{rule}' as rule, {key} as row_id from {t}
   where {col} is not null and {_sql_gk(rule)} in (
-    select {_sql_gk(rule)} from {t} where {col} is not null group by 1 having {cond})"""
+    select {_sql_gk(rule)} from {t} where {col} is not null group by {_cols(rule)} having {cond})"""
 
 
 @query("dc_violation_rows", "\nunion all\n".join(_viol_rows_sql(t, k, r) for t, k, r in VIOLATION_RULES))
@@ -111,7 +120,7 @@ _SCOPE_RULE = "EQ(t1.c_nationkey,t2.c_nationkey)"
 @query("dc_pairs_scoped", fixture_sql(f"""select '{_SCOPE_RULE}' as rule, {_sql_gk(_SCOPE_RULE)} as group_key,
   count(*) as n_rows, cast(cast(count(*) as hugeint) * (count(*) - 1) // 2 as decimal(38,0)) as n_pairs
   from customer where cast(c_custkey as varchar) in (select row_id from cust_log)
-  group by 2 having count(*) >= 2"""))
+  group by c_nationkey having count(*) >= 2"""))
 def q_dc_pairs_scoped(spark, sf_dir):
     """Candidate pairs with both rows inside a scope (rows that carry a real error)."""
     t = _table(spark, sf_dir, "customer", "c_custkey")
@@ -130,7 +139,7 @@ _PART_RULE = RULES[3][2]
 
 
 @query("subset_by_pairs", f"""select * from part where {_sql_gk(_PART_RULE)} in (
-  select {_sql_gk(_PART_RULE)} from part group by 1 having count(*) >= 2)""")
+  select {_sql_gk(_PART_RULE)} from part group by {_cols(_PART_RULE)} having count(*) >= 2)""")
 def q_subset_by_pairs(spark, sf_dir):
     """Rows of ``part`` that occur in any candidate pair of the brand/type/size rule."""
     part = read_table(spark, sf_dir, "part")
@@ -138,15 +147,11 @@ def q_subset_by_pairs(spark, sf_dir):
     return part.join(members.select(F.col("row_id").alias("p_partkey")), "p_partkey", "left_semi")
 
 
-@query("pick_pairs", f"""select rule, group_key, min(id) as row_id_1, max(id) as row_id_2 from (
-  select *, (row_number() over (partition by group_key, salt order by h, id) - 1) // 2 as pr from (
-    select '{_SCOPE_RULE}' as rule, g.group_key, c.c_custkey as id,
-      cast('0x' || substr(md5('42|' || cast(c.c_custkey as varchar)), 1, 8) as bigint)
-        % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
-      md5('42|' || cast(c.c_custkey as varchar)) as h
-    from customer c join (select {_sql_gk(_SCOPE_RULE)} as group_key, count(*) as n from customer
-                          group by 1 having count(*) >= 2) g on {_sql_gk(_SCOPE_RULE).replace('c_nationkey', 'c.c_nationkey')} = g.group_key))
-  group by rule, group_key, salt, pr having count(*) = 2""")
+@query("pick_pairs", f"""select '{_SCOPE_RULE}' as rule, group_key, min(id) as row_id_1, max(id) as row_id_2 from (
+  select *, (row_number() over (partition by nk order by h, id) - 1) // 2 as pr from (
+    select c_nationkey as nk, {_sql_gk(_SCOPE_RULE)} as group_key, c_custkey as id,
+      md5('42|' || cast(c_custkey as varchar)) as h from customer))
+  group by group_key, nk, pr having count(*) = 2""")
 def q_pick_pairs(spark, sf_dir):
     return C.pick_pairs(_table(spark, sf_dir, "customer", "c_custkey"), _SCOPE_RULE, seed=42)
 

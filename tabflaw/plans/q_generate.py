@@ -8,6 +8,7 @@ from ..functions.hashing import hash_key
 from ..operators import cells, generate as G
 from . import fixtures as fx
 from .oracle_sql import FIXTURE_CTES, fixture_sql
+from .q_prompts import context_sql
 from .registry import query
 
 _RATIO, _RATIOS = 0.2, "1:2:4:3"
@@ -18,13 +19,13 @@ CUSTOMER_RULE = "EQ(t1.c_nationkey,t2.c_nationkey)&IQ(t1.c_mktsegment,t2.c_mktse
 CUSTOMER_RULES = [CUSTOMER_RULE, "EQ(t1.c_mktsegment,t2.c_mktsegment)&IQ(t1.c_nationkey,t2.c_nationkey)"]
 
 
-def _budget_sql(table, ncols):
+def _budget_sql(table, ncols, ratio=_RATIO, weights=tuple(_W)):
     rows = " union all ".join(
         f"select '{t}' as error_type, {i} as i" for i, t in enumerate(_TYPES))
-    shares = ", ".join(str(w / sum(_W)) for w in _W)
+    shares = ", ".join(str(w / sum(weights)) for w in weights)
     return f"""select error_type, total_errors,
       cast(floor(cast(total_errors as double) * [{shares}][i + 1]) as bigint) as quota
-    from (select cast(floor({_RATIO} * cast(count(*) * {ncols} as double)) as bigint) as total_errors
+    from (select cast(floor({ratio} * cast(count(*) * {ncols} as double)) as bigint) as total_errors
           from {table}) b, ({rows}) t"""
 
 
@@ -58,88 +59,120 @@ def q_quota_select(spark, sf_dir):
     return out.select("src", "row_id", "column", "error_type", "priority")
 
 
-def _proposals_sql(table: str, cols: list[str], seed: int) -> str:
-    """SQL twin of the single-cell proposals of ``propose_errors`` (CTE body)."""
+def _cells_sql(table: str, cols: list[str], seed: int, used: str | None = None) -> str:
+    """SQL twin of ``cell_errors`` (CTE body): all value cells in one seeded order; each type takes its first
+    eligible ones of what the types before it left.  ``used``: a CTE of (row_id, "column") to leave out."""
     from ..functions.values import FLOAT_RE
     re_ = FLOAT_RE.replace("'", "''")
-    n_all = len(cols) + 1
-    u = f"cast('0x' || substr(md5('{seed}|' || row_id || '|' || \"column\"), 1, 8) as bigint) / 4294967296.0"
-    rates = {t: f"least(1.0, 1.5 * cast((select quota from bud where error_type = '{t}') as double) / "
-                f"(select cast(count(*) * {len(cols)} as double) from {table}))"
-             for t in ("missing_value", "pattern_violation", "outliers")}
-    s_m = "0.0"
-    s_p = f"(0.0 + {rates['missing_value']})"
-    s_o = f"({s_p} + {rates['pattern_violation']})"
-    num = f"(case when regexp_matches(v, '{re_}') then try_cast(replace(trim(v), '_', '') as double) end)"
+
+    def num(x):
+        return f"(case when regexp_matches({x}, '{re_}') then try_cast(replace(trim({x}), '_', '') as double) end)"
+
     pattern = ("case when regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') and try_strptime(v, '%Y-%m-%d') is not null "
                "then strftime(try_strptime(v, '%Y-%m-%d'), '%d/%m/%Y') "
                "when regexp_matches(v, '^\\s*-?\\d+(\\.\\d+)?\\s*$') then v || 'x' "
                "when length(v) > 1 then upper(substr(v, 2)) else v || v end")
-    outl = (f"coalesce(case when regexp_matches(v, '^\\s*-?\\d+\\s*$') then cast(trunc({num} * 100) as bigint)::varchar end, "
-            f"printf('%.2f', {num} * 100))")
+    outl = (f"coalesce(case when regexp_matches(v, '^\\s*-?\\d{{1,36}}\\s*$') then cast(cast(trim(v) as hugeint) * 100 as varchar) "
+            f"when regexp_matches(v, '^\\s*-?\\d+\\s*$') then trim(v) || '00' end, printf('%.2f', {num('v')} * 100))")
     long = " union all ".join(f"select row_id, '{c}' as \"column\", {c} as v from {table}" for c in cols)
-    pri = f"md5('{seed}|' || t || '|' || row_id || '|' || \"column\")"
-    assert n_all
-    return f"""lg as (select *, {u} as u from ({long})),
-pl as (
-  select row_id, "column", 'missing_value' as t, null::varchar as error_value, v as right_value, 1 as missing_value
-    from lg where v is not null and u >= {s_m} and u < {s_m} + {rates['missing_value']}
-  union all
-  select row_id, "column", 'pattern_violation', {pattern}, v, 0
-    from lg where v is not null and u >= {s_p} and u < {s_p} + {rates['pattern_violation']}
+    drop = f' and (row_id, "column") not in (select row_id, "column" from {used})' if used else ""
+
+    def changes(new):
+        return (f"coalesce(case when {num(f'trim({new})')} is not null and {num('trim(v)')} is not null "
+                f"then {num(f'trim({new})')} <> {num('trim(v)')} else trim({new}) <> trim(v) end, false)")
+
+    def quota(t):
+        return f"(select quota from bud where error_type = '{t}')"
+
+    return f"""lg0 as (select *, md5('{seed}|cell|' || row_id || '|' || "column") as priority, {pattern} as pv,
+    case when regexp_matches(v, '{re_}') then {outl} end as ov from ({long}) where v is not null{drop}),
+lg1 as (select *, regexp_matches(v, '{re_}') and {changes('ov')} as eo, {changes('pv')} as ep from lg0),
+lg2 as (select *, eo and row_number() over (partition by eo order by priority) <= {quota('outliers')} as io from lg1),
+lg3 as (select *, ep and not io and row_number() over (partition by ep and not io order by priority)
+    <= {quota('pattern_violation')} as ip from lg2),
+lg4 as (select *, not io and not ip and row_number() over (partition by io or ip order by priority)
+    <= {quota('missing_value')} as im from lg3),
+props as (select row_id, "column", case when io then 'outliers' when ip then 'pattern_violation' else 'missing_value' end
+      as error_type, case when io then ov when ip then pv end as error_value, v as right_value,
+    case when im then 1 else 0 end as missing_value, '' as "constraint", '' as tuple_pairs, priority
+  from lg4 where io or ip or im)"""
+
+
+def _pairs_sql(name: str, eq_col: str, seed: int = 42) -> str:
+    """Disjoint pairs of ``pick_pairs`` for a one-column EQ rule on cust_clean (CTE body)."""
+    return f"""{name} as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
+    select row_id, {eq_col} as g, (row_number() over (partition by {eq_col}
+      order by md5('{seed}|' || row_id), cast(row_id as bigint)) - 1) // 2 as pr from cust_clean)
+  group by g, pr having count(*) = 2)"""
+
+
+def _violations_sql(pairs: str, rule: str, iq: str, seed: int) -> str:
+    """Rule violations of a CTE of pairs (r1, r2): the ERROR columns and the priority."""
+    return f"""select cast(p.r1 as varchar) as row_id, '{iq}' as "column", 'rule_violation' as error_type,
+    b.{iq} || '*' as error_value, a.{iq} as right_value, 0 as missing_value,
+    'Constraint Violation: The {iq} of Row ' || cast(p.r1 as varchar) || ' is different from the {iq} of Row '
+      || cast(p.r2 as varchar) as "constraint",
+    '(' || cast(p.r1 as varchar) || ', ' || cast(p.r2 as varchar) || ')' as tuple_pairs,
+    md5('{seed}|rule_violation|{rule}|' || cast(p.r1 as varchar) || '|{iq}') as priority
+  from {pairs} p join cust_clean a on cast(a.row_id as bigint) = p.r1 join cust_clean b on cast(b.row_id as bigint) = p.r2
+  where b.{iq} is not null and trim(b.{iq} || '*') is distinct from trim(a.{iq})"""
+
+
+#: what a candidate uses: its cell; for a rule violation also (ids x edited and named columns) and its rows
+_RESOURCES = """case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\\d+')) > 0 then
+    list_distinct(list_concat([row_id || '|' || "column"], list_concat(
+      flatten(list_transform(list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: cast(cast(x as bigint) as varchar)),
+        lambda x: list_transform(list_concat(["column"], regexp_extract_all(coalesce("constraint", ''), 'The (\\w+) of Row \\d+', 1)),
+          lambda c: x || '|' || c))),
+      list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: cast(cast(x as bigint) as varchar) || '|#row'))))
+  else [row_id || '|' || "column"] end"""
+
+
+def _walk_sql(cands: str) -> str:
+    """Sequential greedy in priority order as a recursive CTE: one candidate per step, accepted when none of its
+    resources is used yet (the reference's loop).  CTEs cand, walk, kept over a CTE ``cands``."""
+    return f"""cand as (select row_number() over (order by priority) as i, *, {_RESOURCES} as res from {cands}),
+walk(i, used, acc) as (
+  select 0, []::varchar[], []::bigint[]
   union all
-  select row_id, "column", 'outliers', {outl}, v, 0
-    from lg where v is not null and u >= {s_o} and u < {s_o} + {rates['outliers']}
-      and regexp_matches(v, '{re_}')),
-props as (select row_id, "column", t as error_type, error_value, right_value, missing_value, '' as "constraint",
-       '' as tuple_pairs, {pri} as priority from pl)"""
+  select w.i + 1,
+         case when list_has_any(w.used, c.res) then w.used else list_concat(w.used, c.res) end,
+         case when list_has_any(w.used, c.res) then w.acc else list_append(w.acc, c.i) end
+  from walk w join cand c on c.i = w.i + 1),
+kept as (select * from cand where i in (select unnest(acc) from walk where i = (select count(*) from cand)))"""
 
 
 def _propose_sql():
-    rule = CUSTOMER_RULE
-    gk = "md5(concat_ws('|', coalesce(c_nationkey, '<null>')))"
     return f"""with {FIXTURE_CTES},
 bud as ({_budget_sql('cust_clean', 4)}),
-{_proposals_sql('cust_clean', ['c_name', 'c_nationkey', 'c_mktsegment'], 42)},
-g as (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2),
-m as (select c.*, g.group_key, g.n,
-        cast('0x' || substr(md5('42|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
-        md5('42|' || c.row_id) as h
-      from cust_clean c join g on {gk.replace('c_nationkey', 'c.c_nationkey')} = g.group_key),
-pp as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
-        select *, (row_number() over (partition by group_key, salt order by h, cast(row_id as bigint)) - 1) // 2 as pr from m)
-      group by group_key, salt, pr having count(*) = 2),
-rv as (select cast(pp.r1 as varchar) as row_id, 'c_mktsegment' as "column", 'rule_violation' as error_type,
-         b.c_mktsegment || '*' as error_value, a.c_mktsegment as right_value, 0 as missing_value,
-         'Constraint Violation: The c_mktsegment of Row ' || cast(pp.r1 as varchar) ||
-         ' is different from the c_mktsegment of Row ' || cast(pp.r2 as varchar) as "constraint",
-         '(' || cast(pp.r1 as varchar) || ', ' || cast(pp.r2 as varchar) || ')' as tuple_pairs,
-         md5('42|rule_violation|{rule}|' || cast(pp.r1 as varchar) || '|c_mktsegment') as priority
-       from pp join cust_clean a on cast(a.row_id as bigint) = pp.r1 join cust_clean b on cast(b.row_id as bigint) = pp.r2
-       where b.c_mktsegment is not null)
-select * from props union all select * from rv"""
+{_cells_sql('cust_clean', ['c_name', 'c_nationkey', 'c_mktsegment'], 42)},
+{_pairs_sql('pp', 'c_nationkey')}
+select * from props union all {_violations_sql('pp', CUSTOMER_RULE, 'c_mktsegment', 42)}"""
+
+
+_ORDER_COLS = ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def _generate_sql():
-    from ..functions.values import FLOAT_RE
-    re_ = FLOAT_RE.replace("'", "''")
-    cols = ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-    num = lambda x: f"(case when regexp_matches({x}, '{re_}') then try_cast(replace(trim({x}), '_', '') as double) end)"
-    long = " union all ".join(f"select row_id as rid, '{c}' as col, {c} as tv from ord_clean" for c in cols)
-    same = (f"case when {num('trim(p.error_value)')} is not null and {num('t.tv')} is not null "
-            f"then {num('trim(p.error_value)')} = {num('t.tv')} "
-            f"else trim(p.error_value) is not distinct from trim(t.tv) end")
     return f"""with {FIXTURE_CTES},
 bud as ({_budget_sql('ord_clean', 5)}),
-{_proposals_sql('ord_clean', cols, 7)},
-lt as ({long}),
-ok as (select p.row_id, p."column", p.error_type, p.error_value, t.tv as right_value, p.missing_value,
-         p."constraint", p.tuple_pairs, p.priority
-       from props p join lt t on t.rid = p.row_id and t.col = p."column" where not ({same})),
-rk as (select ok.*, row_number() over (partition by ok.error_type order by ok.priority) as rn, b.quota
-       from ok join bud b on b.error_type = ok.error_type)
-select row_id, "column", error_type, error_value, right_value, missing_value, "constraint", tuple_pairs, priority
-from rk where rn <= quota"""
+{_cells_sql('ord_clean', _ORDER_COLS, 7)}
+select * from props"""
+
+
+def _shortfall_sql():
+    return f"""with {FIXTURE_CTES},
+bud as ({_budget_sql('ord_clean', 5, 0.7, (2, 2, 1, 0))}),
+{_cells_sql('ord_clean', _ORDER_COLS, 7)}
+select b.error_type, b.quota, coalesce(p.n, 0) as produced, greatest(b.quota - coalesce(p.n, 0), 0) as missing
+from bud b left join (select error_type, count(*) as n from props group by 1) p using (error_type)"""
+
+
+@query("generation_shortfall", _shortfall_sql())
+def q_generation_shortfall(spark, sf_dir):
+    """A budget beyond the numeric cells: every type gets min(quota, eligible cells), the rest is reported."""
+    clean = fx.orders_clean(spark, sf_dir)
+    return G.shortfall(G.generate_errors(clean, 0.7, "2:2:1:0", seed=7), G.error_budget(clean, 0.7, "2:2:1:0"))
 
 
 @query("propose_errors", _propose_sql())
@@ -163,14 +196,7 @@ def _frag_sql(p: str, ent: str, table: str, k: int) -> str:
           [try_cast(split_part(trim(tuple_pairs, '()'), ', ', 1) as bigint),
            try_cast(split_part(trim(tuple_pairs, '()'), ', ', 2) as bigint)]
         when regexp_matches(row_id, '^\\d+$') then [cast(row_id as bigint)] end, []::bigint[]) as involved from {ent}),
-{p}dr as (select i.entry_id, i.involved, d.draw,
-          cast('0x' || substr(md5('42|ctx|' || i.entry_id || '|' || cast(d.draw as varchar)), 1, 8) as bigint)
-          % (select count(*) from {table}) as pos
-       from {p}inv i, range(0, {k + 6}) d(draw)),
-{p}dj as (select dr.entry_id, x.row_id, min(dr.draw) as draw from {p}dr dr join gidx x on x.row_index = dr.pos
-       where not list_contains(dr.involved, cast(x.row_id as bigint)) group by 1, 2),
-{p}ctx as (select entry_id, row_id from (
-          select *, row_number() over (partition by entry_id order by draw) r from {p}dj) where r <= {k}),
+{context_sql(table, p + "inv", "gidx", k, p)},
 {p}rows as (select c.entry_id, cl.* from {p}ctx c join {table} cl on cl.row_id = c.row_id
           union all
           select v.entry_id, cl.* from (select entry_id, unnest(involved) as id from {p}inv) v
@@ -207,7 +233,6 @@ def _gen_prompts_sql() -> str:
              f"{desc}, case when rule <> '' then 'Denial Constraint is: ' || {sentence} || '.' end, "
              f"{lst(sufs)}[{idx('suffix', len(sufs))} + 1])")
     rule = CUSTOMER_RULE
-    gk = "md5(concat_ws('|', coalesce(c_nationkey, '<null>')))"
     return f"""with {FIXTURE_CTES},
 bud as ({_budget_sql('cust_clean', 4)}),
 q as (select max(case when error_type = 'outliers' then quota end) as qo,
@@ -220,14 +245,7 @@ pent as (select 's' || cast(s.i as varchar) as entry_id,
                 else 'pattern_violation' end as error_type,
            null::varchar as row_id, '' as tuple_pairs, '' as rule
          from q, range(0, (select qo + qm + qp from q)) s(i)),
-g as (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2),
-m as (select c.*, g.group_key, g.n,
-        cast('0x' || substr(md5('42|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
-        md5('42|' || c.row_id) as h
-      from cust_clean c join g on {gk.replace('c_nationkey', 'c.c_nationkey')} = g.group_key),
-pp as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
-        select *, (row_number() over (partition by group_key, salt order by h, cast(row_id as bigint)) - 1) // 2 as pr from m)
-      group by group_key, salt, pr having count(*) = 2),
+{_pairs_sql('pp', 'c_nationkey')},
 rch as (select r1, r2 from (
           select *, row_number() over (order by md5('42|rs|{rule}|' || cast(r1 as varchar) || '|' || cast(r2 as varchar))) as rn
           from pp) where rn <= (select qr from q)),
@@ -253,119 +271,60 @@ def q_generation_prompts(spark, sf_dir):
                               index_order=F.col("row_id").cast("bigint"))
 
 
-def _pairs_sql(name: str, eq_col: str, seed: int = 42) -> str:
-    """Disjoint pairs of ``pick_pairs`` for a one-column EQ rule on cust_clean (CTE body)."""
-    gk = f"md5(concat_ws('|', coalesce({eq_col}, '<null>')))"
-    return f"""{name} as (select min(cast(row_id as bigint)) as r1, max(cast(row_id as bigint)) as r2 from (
-    select *, (row_number() over (partition by group_key, salt order by h, cast(row_id as bigint)) - 1) // 2 as pr from (
-      select c.*, g.group_key,
-        cast('0x' || substr(md5('{seed}|' || c.row_id), 1, 8) as bigint) % greatest(1, cast(ceil(g.n / 1000000.0) as bigint)) as salt,
-        md5('{seed}|' || c.row_id) as h
-      from cust_clean c join (select {gk} as group_key, count(*) as n from cust_clean group by 1 having count(*) >= 2) g
-        on {gk.replace(eq_col, 'c.' + eq_col)} = g.group_key))
-  group by group_key, salt, pr having count(*) = 2)"""
-
-
 def _greedy_sql() -> str:
-    """Sequential greedy in priority order as a recursive CTE: one candidate per step,
-    accepted when none of its resources is used yet (the reference's loop)."""
-    r1, r2 = CUSTOMER_RULES
-    rule_c = []
-    for name, rule, eq, iq in (("p1", r1, "c_nationkey", "c_mktsegment"), ("p2", r2, "c_mktsegment", "c_nationkey")):
-        rule_c.append(f"""select cast(p.r1 as varchar) as row_id, '{iq}' as "column", 'rule_violation' as error_type,
-           '(' || cast(p.r1 as varchar) || ', ' || cast(p.r2 as varchar) || ')' as tuple_pairs,
-           md5('42|rule_violation|{rule}|' || cast(p.r1 as varchar) || '|{iq}') as priority,
-           [cast(p.r1 as varchar) || '|{iq}', cast(p.r2 as varchar) || '|{iq}',
-            cast(p.r1 as varchar) || '|#row', cast(p.r2 as varchar) || '|#row'] as res
-         from {name} p join cust_clean b on cast(b.row_id as bigint) = p.r2 where b.{iq} is not null""")
+    cols = 'row_id, "column", error_type, "constraint", tuple_pairs, priority'
+    logs = """select row_id, "column", error_type, "constraint", tuple_pairs,
+        md5('42|' || src || '|' || row_id || '|' || "column") as priority
+      from (select 'g' as src, * from cust_glog union all select 'h' as src, * from cust_hlog)"""
     return f"""with recursive {FIXTURE_CTES},
 {_pairs_sql('p1', 'c_nationkey')},
 {_pairs_sql('p2', 'c_mktsegment')},
-pool as (select row_id, "column", error_type, tuple_pairs,
-           md5('42|' || src || '|' || row_id || '|' || "column") as priority,
-           case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\\d+')) > 0 then
-                  list_concat(list_transform(ids, lambda x: x || '|' || "column"),
-                              list_transform(ids, lambda x: x || '|#row'))
-                else [row_id || '|' || "column"] end as res
-         from (select *, list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: cast(cast(x as bigint) as varchar))
-                 as ids
-               from (select 'g' as src, * from cust_glog union all select 'h' as src, * from cust_hlog))
-         union all {rule_c[0]}
-         union all {rule_c[1]}),
-cand as (select row_number() over (order by priority) as i, * from pool),
-walk(i, used, acc) as (
-  select 0, []::varchar[], []::bigint[]
-  union all
-  select w.i + 1,
-         case when list_has_any(w.used, c.res) then w.used else list_concat(w.used, c.res) end,
-         case when list_has_any(w.used, c.res) then w.acc else list_append(w.acc, c.i) end
-  from walk w join cand c on c.i = w.i + 1)
-select row_id, "column", error_type, tuple_pairs, priority from cand
-where i in (select unnest(acc) from walk where i = (select count(*) from cand))"""
+v1 as ({_violations_sql('p1', CUSTOMER_RULES[0], 'c_mktsegment', 42)}),
+v2 as ({_violations_sql('p2', CUSTOMER_RULES[1], 'c_nationkey', 42)}),
+lgs as ({logs}),
+pool as (select {cols} from lgs union all select {cols} from lgs where substr(priority, 1, 1) = 'a'
+  union all select {cols} from v1 union all select {cols} from v2
+  union all select row_id, "column", error_type, replace("constraint", 'The c_mktsegment of', 'The c_name of') as "constraint",
+    tuple_pairs, md5('named|' || priority) as priority from v1 where substr(priority, 1, 1) < '4'),
+{_walk_sql('pool')}
+select row_id, "column", error_type, tuple_pairs, priority from kept"""
 
 
 @query("conflict_free_cells", _greedy_sql())
 def q_conflict_free_cells(spark, sf_dir):
-    """Two overlapping generated logs + rule proposals; no cell edited twice (greedy by priority)."""
+    """No cell edited twice (greedy by priority), over two overlapping generated logs, some records of which come
+    twice, the violations of two rules, and violations whose constraint names another column than they edit."""
     clean = fx.customer_clean(spark, sf_dir)
-    budget = G.error_budget(clean, _RATIO, _RATIOS)
-    rules = G._rule_candidates(clean, CUSTOMER_RULES[0], 42, "row_id").unionByName(
-        G._rule_candidates(clean, CUSTOMER_RULES[1], 42, "row_id"))
-    pool = _pool(spark, sf_dir).drop("src").unionByName(rules)
+    names = ["row_id", "column", "error_type", "constraint", "tuple_pairs", "priority"]
+    v1, v2 = (G._rule_candidates(clean, r, 42, "row_id").select(names) for r in CUSTOMER_RULES)
+    logs = _pool(spark, sf_dir).select(names)
+    first = F.substring("priority", 1, 1)
+    named = v1.where(first < "4").withColumn("constraint", F.replace("constraint", F.lit("The c_mktsegment of"), F.lit("The c_name of"))) \
+        .withColumn("priority", F.md5(F.concat(F.lit("named|"), "priority")))
+    pool = logs.unionByName(logs.where(first == "a")).unionByName(v1).unionByName(v2).unionByName(named)
     return G.conflict_free(pool).select("row_id", "column", "error_type", "tuple_pairs", "priority")
 
 
 def _apply_generated_sql() -> str:
-    """generate_errors(customer, 0.2, 1:2:4:3, two rules, seed 11) applied to the clean table:
-    proposals -> validation -> sequential greedy (recursive CTE) -> exact quota -> edits."""
-    from ..functions.values import FLOAT_RE
-    re_ = FLOAT_RE.replace("'", "''")
+    """generate_errors(customer, 0.2, 1:2:4:3, two rules, seed 11) applied to the clean table: violations by the
+    sequential greedy, then single-cell errors outside the cells they use, then edits."""
     cols = ["c_name", "c_nationkey", "c_mktsegment"]
     seed = 11
-    rules = []
-    for name, rule, iq in (("p1", CUSTOMER_RULES[0], "c_mktsegment"), ("p2", CUSTOMER_RULES[1], "c_nationkey")):
-        rules.append(f"""select cast(p.r1 as varchar) as row_id, '{iq}' as "column", 'rule_violation' as error_type,
-           b.{iq} || '*' as error_value, a.{iq} as right_value, 0 as missing_value,
-           'Constraint Violation: The {iq} of Row ' || cast(p.r1 as varchar) || ' is different from the {iq} of Row '
-             || cast(p.r2 as varchar) as "constraint",
-           '(' || cast(p.r1 as varchar) || ', ' || cast(p.r2 as varchar) || ')' as tuple_pairs,
-           md5('{seed}|rule_violation|{rule}|' || cast(p.r1 as varchar) || '|{iq}') as priority
-         from {name} p join cust_clean a on cast(a.row_id as bigint) = p.r1
-           join cust_clean b on cast(b.row_id as bigint) = p.r2 where b.{iq} is not null""")
-    num = lambda x: f"(case when regexp_matches({x}, '{re_}') then try_cast(replace(trim({x}), '_', '') as double) end)"
-    long = " union all ".join(f"select row_id as rid, '{c}' as col, {c} as tv from cust_clean" for c in cols)
-    same = (f"case when {num('trim(p.error_value)')} is not null and {num('t.tv')} is not null "
-            f"then {num('trim(p.error_value)')} = {num('t.tv')} "
-            f"else trim(p.error_value) is not distinct from trim(t.tv) end")
     sets = ",\n  ".join(
         f"case when e_{c}.row_id is not null then e_{c}.error_value else c.{c} end as {c}" for c in cols)
     joins = "\n".join(f"left join chosen e_{c} on e_{c}.row_id = c.row_id and e_{c}.\"column\" = '{c}'" for c in cols)
     return f"""with recursive {FIXTURE_CTES},
 bud as ({_budget_sql('cust_clean', 4)}),
-{_proposals_sql('cust_clean', cols, seed)},
 {_pairs_sql('p1', 'c_nationkey', seed)},
 {_pairs_sql('p2', 'c_mktsegment', seed)},
-allc as (select * from props union all {rules[0]} union all {rules[1]}),
-lt as ({long}),
-ok as (select p.row_id, p."column", p.error_type, p.error_value, p.tuple_pairs, p.priority
-       from allc p join lt t on t.rid = p.row_id and t.col = p."column" where not ({same})),
-cand as (select row_number() over (order by priority) as i, *,
-           case when error_type = 'rule_violation' and len(regexp_extract_all(tuple_pairs, '\\d+')) > 0 then
-             list_concat(list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: x || '|' || "column"),
-                         list_transform(regexp_extract_all(tuple_pairs, '\\d+'), lambda x: x || '|#row'))
-           else [row_id || '|' || "column"] end as res
-         from ok),
-walk(i, used, acc) as (
-  select 0, []::varchar[], []::bigint[]
-  union all
-  select w.i + 1,
-         case when list_has_any(w.used, c.res) then w.used else list_concat(w.used, c.res) end,
-         case when list_has_any(w.used, c.res) then w.acc else list_append(w.acc, c.i) end
-  from walk w join cand c on c.i = w.i + 1),
-kept as (select * from cand where i in (select unnest(acc) from walk where i = (select count(*) from cand))),
-chosen as (select row_id, "column", error_value from (
-    select k.*, row_number() over (partition by k.error_type order by k.priority) as rn, b.quota
-    from kept k join bud b on b.error_type = k.error_type) where rn <= quota)
+viol as ({_violations_sql('p1', CUSTOMER_RULES[0], 'c_mktsegment', seed)}
+  union all {_violations_sql('p2', CUSTOMER_RULES[1], 'c_nationkey', seed)}),
+{_walk_sql('viol')},
+rv as (select * from (select *, row_number() over (order by priority) as rn from kept)
+  where rn <= (select quota from bud where error_type = 'rule_violation')),
+usedc as (select split_part(x, '|', 1) as row_id, split_part(x, '|', 2) as "column" from (select unnest(res) as x from rv)),
+{_cells_sql('cust_clean', cols, seed, 'usedc')},
+chosen as (select row_id, "column", error_value from props union all select row_id, "column", error_value from rv)
 select c.row_id,
   {sets}
 from cust_clean c

@@ -239,8 +239,8 @@ def q_numeric_similarity(spark, sf_dir):
 @query("datetime_similarity", fixture_sql(
     """select dataset, case when bool_or(a is null or b is null) then 0.0
                  else 1 - avg(abs(epoch(a) - epoch(b))) / 86400.0 end as datetime_similarity
-       from (select dataset, coalesce(try_strptime(right_value, '%Y-%m-%d'), try_strptime(right_value, '%d/%m/%Y')) a,
-                    coalesce(try_strptime(error_value, '%Y-%m-%d'), try_strptime(error_value, '%d/%m/%Y')) b
+       from (select dataset, coalesce(try_strptime(right_value, '%Y-%m-%d'), try_strptime(right_value, '%m/%d/%Y'), try_strptime(right_value, '%d/%m/%Y')) a,
+                    coalesce(try_strptime(error_value, '%Y-%m-%d'), try_strptime(error_value, '%m/%d/%Y'), try_strptime(error_value, '%d/%m/%Y')) b
              from typed where vtype = 'datetime') group by dataset""", extra_ctes=_typed_sql()), round_cols=('datetime_similarity',))
 def q_datetime_similarity(spark, sf_dir):
     logs = fx.all_logs(spark, sf_dir).where(M.value_type("right_value") == "datetime")

@@ -115,8 +115,8 @@ ns as (select dataset, case when count(*) > 0 then 1 - avg(abs(a - b)) /
        group by dataset),
 dts as (select dataset, case when bool_or(a is null or b is null) then 0.0
            else 1 - avg(abs(epoch(a) - epoch(b))) / 86400.0 end as s
-        from (select dataset, coalesce(try_strptime(tv, '%Y-%m-%d'), try_strptime(tv, '%d/%m/%Y')) a,
-                     coalesce(try_strptime(gv, '%Y-%m-%d'), try_strptime(gv, '%d/%m/%Y')) b
+        from (select dataset, coalesce(try_strptime(tv, '%Y-%m-%d'), try_strptime(tv, '%m/%d/%Y'), try_strptime(tv, '%d/%m/%Y')) a,
+                     coalesce(try_strptime(gv, '%Y-%m-%d'), try_strptime(gv, '%m/%d/%Y'), try_strptime(gv, '%d/%m/%Y')) b
               from ty where vtype = 'datetime') group by dataset)"""
 
 

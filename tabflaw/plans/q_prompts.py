@@ -62,6 +62,22 @@ def _instr_sql(task="generation"):
     return f"concat_ws(' ', {t}, {d}, {c}, {s})"
 
 
+def context_sql(table: str, inv: str, idx: str, k: int, p: str = "") -> str:
+    """CTEs {p}st, {p}dr, {p}ctx: the seeded steps, draws and chosen context rows of the entries in ``inv``."""
+    h = "cast('0x' || substr(md5('42|{}|' || entry_id), 1, 15) as bigint)"
+    return f"""{p}st as (select n, coalesce((select list(c order by i) from (select c, min(i) as i from (
+      select i, 1 + cast('0x' || substr(md5('42|stride|' || cast(i as varchar)), 1, 15) as bigint) % nn.n as c
+      from range(0, 256) r(i), (select count(*) as n from {table}) nn where nn.n > 0) x
+      where gcd(c, (select count(*) from {table})) = 1 group by c order by i limit 64)), [1]) as cs
+  from (select count(*) as n from {table})),
+{p}dr as (select entry_id, involved, draw, ({h.format('ctx')} % n + draw * cs[{h.format('step')} % len(cs) + 1]) % n as pos
+  from {inv}, {p}st, lateral (select unnest(range(0, least(n, {k} + len(involved)))) as draw) where n > 0),
+{p}ctx as (select entry_id, row_id, draw from (
+    select dr.entry_id, x.row_id, dr.draw, row_number() over (partition by dr.entry_id order by dr.draw) as r
+    from {p}dr dr join {idx} x on x.row_index = dr.pos
+    where not list_contains(dr.involved, try_cast(x.row_id as bigint))) where r <= {k})"""
+
+
 def _frag_ctes(table: str = "cust_clean", task: str = "generation") -> str:
     """SQL twin of the fragment / instruction CTEs for one task (its source table)."""
     return f"""ent as (select row_id || '|' || "column" as entry_id, * from cust_log),
@@ -70,14 +86,7 @@ inv as (select entry_id, coalesce(case when error_type = 'rule_violation' then
            try_cast(split_part(trim(tuple_pairs, '()'), ', ', 2) as bigint)]
         else [cast(row_id as bigint)] end, []::bigint[]) as involved from ent),
 idx as (select *, row_number() over (order by cast(row_id as bigint)) - 1 as row_index from {table}),
-dr as (select i.entry_id, i.involved, d.draw,
-          cast('0x' || substr(md5('42|ctx|' || i.entry_id || '|' || cast(d.draw as varchar)), 1, 8) as bigint)
-          % (select count(*) from {table}) as pos
-       from inv i, range(0, {K + 2 + 3 + 1}) d(draw)),
-dj as (select dr.entry_id, x.row_id, min(dr.draw) as draw from dr join idx x on x.row_index = dr.pos
-       where not list_contains(dr.involved, cast(x.row_id as bigint)) group by 1, 2),
-ctx as (select entry_id, row_id, draw from (
-          select *, row_number() over (partition by entry_id order by draw) r from dj) where r <= {K}),
+{context_sql(table, "inv", "idx", K)},
 frows as (select c.entry_id, cl.* from ctx c join {table} cl on cl.row_id = c.row_id
           union all
           select v.entry_id, cl.* from (select entry_id, unnest(involved) as id from inv) v
@@ -117,9 +126,8 @@ def q_context_rows(spark, sf_dir):
     e = _entries(spark, sf_dir)
     e = e.withColumn("involved", involved_ids(e))
     clean = fx.customer_clean(spark, sf_dir)
-    idx = row_index(clean, order_by=F.col("row_id").cast("bigint"))
-    n = clean.agg(F.count(F.lit(1))).scalar()
-    return P.context_draws(e, idx, n, K, 42).select("entry_id", "row_id", F.col("_draw").cast("long").alias("draw"))
+    idx = row_index(clean.select("row_id"), order_by=F.col("row_id").cast("bigint"))
+    return P.context_draws(e, idx, idx.count(), K, 42).select("entry_id", "row_id", F.col("_draw").alias("draw"))
 
 
 @query("markdown_row_ids", fixture_sql(
@@ -183,7 +191,7 @@ def q_split_rows(spark, sf_dir):
 
 
 def _H(part):
-    return f"cast('0x' || substr(md5('42|{part}|' || sp.entry_id), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5('42|{part}|' || sp.entry_id), 1, 15) as bigint)"
 
 
 _FEW_CTES = f"""tr as (select entry_id, error_type,
@@ -279,6 +287,37 @@ def q_prompt_corpus(spark, sf_dir):
     return _corpus(spark, sf_dir).select("split", "entry_id", "instruction", "input", "output_json")
 
 
+def _order_entries(spark, sf_dir):
+    log = fx.annotation_log(spark, sf_dir, "orders")
+    return log.withColumn("entry_id", F.concat_ws("|", "row_id", "column"))
+
+
+@query("split_rows_orders", fixture_sql(f"""select row_id || '|' || "column" as entry_id,
+    case when row_number() over (order by md5('42|split|' || row_id || '|' || "column")) - 1
+              < floor((select count(*) from ord_log) * {SPLIT}) then 'train' else 'test' end as split from ord_log"""))
+def q_split_rows_orders(spark, sf_dir):
+    """The exact split over the larger log (several sort partitions at scale)."""
+    return P.split_rows(_order_entries(spark, sf_dir).select("entry_id"), SPLIT, seed=42)
+
+
+@query("markdown_fragment_orders", fixture_sql(f"""select entry_id,
+    '| row_id | o_orderstatus | o_totalprice | o_orderdate | o_orderpriority |' || chr(10) ||
+    '| --- | --- | --- | --- | --- |' || chr(10) ||
+    string_agg('| ' || concat_ws(' | ', coalesce(row_id, ''), coalesce(o_orderstatus, ''), coalesce(o_totalprice, ''),
+               coalesce(o_orderdate, ''), coalesce(o_orderpriority, '')) || ' |', chr(10)
+               order by md5('42|order|' || entry_id || '|' || row_id)) as input
+  from ofrows group by entry_id""", extra_ctes=f"""oinv as (select row_id || '|' || "column" as entry_id,
+    [cast(row_id as bigint)] as involved from ord_log),
+oidx as (select row_id, row_number() over (order by cast(row_id as bigint)) - 1 as row_index from ord_clean),
+{context_sql("ord_clean", "oinv", "oidx", K, "o")},
+ofrows as (select c.entry_id, t.* from octx c join ord_clean t on t.row_id = c.row_id
+  union all select i.entry_id, t.* from oinv i join ord_clean t on cast(t.row_id as bigint) = i.involved[1])"""))
+def q_markdown_fragment_orders(spark, sf_dir):
+    """Fragments over the larger table: every entry has its own row and 5 others."""
+    return P.build_fragments(_order_entries(spark, sf_dir), fx.orders_clean(spark, sf_dir), k=K, seed=42,
+                             missing_fill=False, index_order=F.col("row_id").cast("bigint"))
+
+
 for _task in ("detection", "correction"):
     def _make(task):
         @query(f"instruction_text_{task}", fixture_sql(

@@ -35,6 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                .config("spark.ui.showConsoleProgress", "false")
                # local runs keep catalog tables out of the working directory
                .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "tabflaw-warehouse"))
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", "16g")
                .config("spark.sql.shuffle.partitions", str(parts)))
     for k, v in SCALE_CONF.items():
@@ -57,13 +58,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut folder.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise
-    (local tests only) creates a fresh scratch folder and registers it.
+    ``spark.checkpoint.dir`` of the session if it is set, else the folder that
+    the context already has.  Only a local session may do without: it gets a
+    fresh scratch folder.  On a cluster a machine-local folder would lose data,
+    so the setting is required there.
     """
     global _LOCAL_DIR
     sc = spark.sparkContext
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _LOCAL_DIR is None:
             _LOCAL_DIR = tempfile.mkdtemp(prefix="tabflaw-ckpt-")
         conf_dir = _LOCAL_DIR
@@ -72,9 +77,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-_LOCAL_DIR: str | None = None
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a written table."""
     import uuid
@@ -82,6 +84,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    """Reliable checkpoint into the shared checkpoint folder (never ``localCheckpoint``).
+
+    Spark removes the files when the frame is garbage-collected if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set (local sessions
+    of this module set it; it cannot be changed on a running cluster session).
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -18,15 +18,17 @@ from ..schemas import ERROR, ERROR_FIELDS
 # ------------------------------------------------------------------ tables
 
 def read_csv_table(spark: SparkSession, path: str, na_tokens: list[str] | None = NA_TOKENS,
-                   key: str | None = "row_id") -> DataFrame:
+                   key: str | None = "row_id", multi_line: bool = True) -> DataFrame:
     """All-string CSV scan with a header row.
 
-    multiLine keeps quoted newlines inside a field, the UTF-8 BOM is
-    dropped by the reader, and after the read the pandas null tokens are
-    turned into nulls (``na_tokens=None`` keeps raw text, as the CSV->JSONL
-    converter does).  Checks that the key column exists.
+    ``multi_line`` keeps quoted newlines inside a field, at the price of one
+    task per file; turn it off for large files whose fields hold none, and the
+    scan is split by blocks.  The UTF-8 BOM is dropped by the reader, and after
+    the read the pandas null tokens are turned into nulls (``na_tokens=None``
+    keeps raw text, as the CSV->JSONL converter does).  Checks that the key
+    column exists.
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
     # a BOM that survives in the first header name is stripped
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
@@ -37,9 +39,9 @@ def read_csv_table(spark: SparkSession, path: str, na_tokens: list[str] | None =
     return df.select(*[na_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns])
 
 
-def read_csv_typed_key(spark: SparkSession, path: str, key: str = "row_id") -> DataFrame:
+def read_csv_typed_key(spark: SparkSession, path: str, key: str = "row_id", multi_line: bool = True) -> DataFrame:
     """The same scan with the key made numeric (try_cast; bad ids become null)."""
-    df = read_csv_table(spark, path, key=key)
+    df = read_csv_table(spark, path, key=key, multi_line=multi_line)
     return df.withColumn(key, F.col(key).try_cast("bigint"))
 
 
@@ -125,7 +127,11 @@ PAIR_MAP = T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.LongType())))
 
 
 def read_pair_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object {rule: [[id1, id2], ...]} -> (rule, row_id_1, row_id_2)."""
+    """JSON object {rule: [[id1, id2], ...]} -> (rule, row_id_1, row_id_2).
+
+    The format is one JSON object per file, so a file is one row of one task;
+    pairs of large tables belong in ``write_pair_groups``.
+    """
     txt = spark.read.text(path, wholetext=True)
     m = txt.select(F.explode(F.from_json("value", PAIR_MAP)).alias("rule", "pairs"))
     p = m.select("rule", F.explode("pairs").alias("p"))
@@ -145,27 +151,65 @@ def csv_to_json_rows(df: DataFrame) -> DataFrame:
                                {"ignoreNullFields": "false"}).alias("value"))
 
 
-def convert_csv_tree(spark: SparkSession, src: str, dst: str, glob: str = "*.csv") -> None:
-    """S10 over a tree: every CSV under ``src`` -> JSON lines under ``dst``, one folder per source file."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(src))
-    cols = [c for c in df.columns]
-    out = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {"ignoreNullFields": "false"})
-                    .alias("value"),
-                    F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("source"))
-    out.write.mode("overwrite").partitionBy("source").text(dst)
+def csv_headers(spark: SparkSession, src: str, glob: str = "*.csv") -> DataFrame:
+    """(file, header) of every CSV under ``src``: the first line of each file.
+
+    Splits of a file that do not start at its beginning contribute nothing, so
+    the scan is a plain text scan and one row per file is shuffled.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(src) \
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                F.monotonically_increasing_id().alias("n"), "value").where("at = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    return first.select("file", F.regexp_replace("header", "^\ufeff", "").alias("header"))
+
+
+def convert_csv_tree(spark: SparkSession, src: str, dst: str, glob: str = "*.csv", multi_line: bool = True,
+                     files_per_job: int = 500) -> None:
+    """S10 over a tree: every CSV under ``src`` -> JSON lines under ``dst``, one folder per source file.
+
+    Files are grouped by their header, so each row has its own file's columns
+    and no others; the output folder is ``source=<path below src>``, so files of
+    equal name in different folders stay apart.  ``glob`` selects the files
+    (for example ``*_annotation.csv``).  One write per header and
+    ``files_per_job`` files, so the number of jobs follows the number of
+    different headers, not of rows.
+    """
+    files = sorted((r["header"], r["file"]) for r in csv_headers(spark, src, glob).collect())    # one row per file
+    by_header: dict[str, list[str]] = {}
+    for header, file in files:
+        by_header.setdefault(header, []).append(file)
+    base = _common_folder([f for _, f in files])
+    for paths in by_header.values():
+        for k in range(0, len(paths), files_per_job):
+            df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+                  .csv(paths[k:k + files_per_job]))
+            cols = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns]
+            below = F.substring(F.col("_metadata.file_path"), len(base) + 1, 1 << 20)
+            out = df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"),
+                            F.regexp_replace(below, r"\.csv$", "").alias("source"))
+            out.write.mode("append").partitionBy("source").text(dst)
+
+
+def _common_folder(files: list[str]) -> str:
+    import os
+    top = os.path.commonprefix([f.rpartition("/")[0] + "/" for f in files])
+    return top[:top.rfind("/") + 1]
+
+
+#: the columns of a corpus of triplets; outputs are read as the JSON text they are
+CORPUS_SCHEMA = "instruction string, input string, output string, dataset string, split string"
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Every triplet file of a folder as one corpus; object outputs become JSON text."""
-    df = spark.read.option("recursiveFileLookup", True).json(path)
-    cols = []
-    for f in df.schema.fields:
-        if f.name in ("input", "output") and isinstance(f.dataType, (T.StructType, T.MapType)):
-            cols.append(F.to_json(F.col(f.name), {"ignoreNullFields": "false"}).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    """Every triplet file of a folder as one corpus; object outputs become JSON text.
+
+    The schema is given, so the data is read once; ``split`` and ``dataset``
+    are null where neither the rows nor the folders name them.
+    """
+    df = spark.read.option("recursiveFileLookup", True).schema(CORPUS_SCHEMA).json(path)
+    in_path = F.regexp_extract(F.col("_metadata.file_path"), r"/split=([^/]+)/", 1)
+    return df.withColumn("split", F.coalesce("split", F.when(in_path != "", in_path)))
 
 
 def cache_table(df: DataFrame, path: str) -> DataFrame:

@@ -109,9 +109,11 @@ def test_golden_pair_counts_sf0001(spark):
 def test_pick_pairs_disjoint_and_valid(spark):
     cust = read_table(spark, SF_SMALL, "customer").withColumnRenamed("c_custkey", "row_id")
     rule = "EQ(t1.c_nationkey,t2.c_nationkey)"
-    pairs = C.pick_pairs(cust, rule, seed=3, max_rows_per_task=2).collect()   # tiny buckets: salting on
+    pairs = C.pick_pairs(cust, rule, seed=3).collect()
     ids = [p["row_id_1"] for p in pairs] + [p["row_id_2"] for p in pairs]
     assert len(ids) == len(set(ids))
+    sizes = [r["count"] for r in cust.groupBy("c_nationkey").count().collect()]
+    assert len(pairs) == sum(n // 2 for n in sizes)      # only odd groups leave a row
     nation = {r["row_id"]: r["c_nationkey"] for r in cust.collect()}
     assert all(nation[p["row_id_1"]] == nation[p["row_id_2"]] and p["row_id_1"] < p["row_id_2"] for p in pairs)
 
@@ -159,3 +161,18 @@ def test_cross_column_pairs_vs_brute_force(spark):
         assert got == len(want), rule
         members = {r["row_id"] for r in C.cross_pair_members(df, rule).collect()}
         assert members == {i for p in want for i in p}, rule
+
+
+def test_values_with_separators_and_null_words_share_no_group(spark):
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, "<null>", "x"), (4, None, "x"), (5, "1:a", ""), (6, "1:a", None),
+            (7, "n", "x"), (8, None, "x")]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string")
+    rule = "EQ(t1.a,t2.a)&EQ(t1.b,t2.b)"
+    assert [tuple(sorted((r["row_id_1"], r["row_id_2"]))) for r in C.pick_pairs(df, rule).collect()] == [(4, 8)]
+    assert {r["row_id"] for r in C.pair_members(df, rule).collect()} == {4, 8}
+    assert sum(int(r["n_pairs"]) for r in C.pair_groups(df, rule).collect()) == 1
+
+
+def test_ids_that_are_no_integers_take_no_part_in_pairs(spark):
+    df = spark.createDataFrame([("1", "g"), ("x", "g"), ("2", "g"), (None, "g")], "row_id string, a string")
+    assert [(r["row_id_1"], r["row_id_2"]) for r in C.pick_pairs(df, "EQ(t1.a,t2.a)").collect()] == [(1, 2)]

@@ -62,7 +62,7 @@ def test_quota_select_exact(spark):
             for t in ("outliers", "missing_value")]
     df = spark.createDataFrame(rows, "row_id string, error_type string, priority string")
     budget = spark.createDataFrame([("outliers", 37), ("missing_value", 500)], "error_type string, quota long")
-    got = G.quota_select(df, budget, buckets_bits=4)
+    got = G.quota_select(df, budget, prefix=3)
     for t, q in (("outliers", 37), ("missing_value", 400)):
         want = sorted(p for _, tt, p in rows if tt == t)[:q]
         assert sorted(r["priority"] for r in got.where(F.col("error_type") == t).collect()) == want
@@ -75,7 +75,9 @@ def test_generation_invariants(spark):
     log = G.generate_errors(clean, 0.2, "1:2:4:3", rule=rule, seed=3).cache()
     budget = {r["error_type"]: r["quota"] for r in G.error_budget(clean, 0.2, "1:2:4:3").collect()}
     counts = {r["error_type"]: r["count"] for r in log.groupBy("error_type").count().collect()}
-    assert all(counts.get(t, 0) <= q for t, q in budget.items())
+    short = {r["error_type"]: r["missing"] for r in G.shortfall(log, G.error_budget(clean, 0.2, "1:2:4:3")).collect()}
+    assert all(counts.get(t, 0) == q for t, q in budget.items() if t != "rule_violation")
+    assert all(short[t] == q - counts.get(t, 0) for t, q in budget.items())
     assert log.groupBy("row_id", "column").count().where("count > 1").count() == 0
     assert log.where(F.col("error_value").eqNullSafe(F.col("right_value"))).count() == 0
     rule_rows = [int(x) for r in log.where("error_type = 'rule_violation'").collect()
@@ -87,6 +89,78 @@ def test_generation_invariants(spark):
     assert changed == {(r["row_id"], r["column"]) for r in log.collect()}
 
 
+@pytest.mark.parametrize("ratio,ratios", [(0.2, "1:2:4:3"), (0.7, "1:1:1:0"), (0.7, "4:4:2:0")])
+def test_every_type_gets_its_quota_or_all_eligible_cells(spark, ratio, ratios):
+    clean = fx.orders_clean(spark, SF_SMALL)
+    quota = {r["error_type"]: r["quota"] for r in G.error_budget(clean, ratio, ratios).collect()}
+    log = G.generate_errors(clean, ratio, ratios, seed=5)
+    got = {r["error_type"]: r["count"] for r in log.groupBy("error_type").count().collect()}
+    rows = clean.collect()
+    cells = [r[c] for r in rows for c in clean.columns if c != "row_id" and r[c] is not None]
+    numeric = sum(1 for v in cells if _is_float(v) and float(v) != 0)
+    outliers = min(quota["outliers"], numeric)
+    pattern = min(quota["pattern_violation"], len(cells) - outliers)
+    missing = min(quota["missing_value"], len(cells) - outliers - pattern)
+    assert (got.get("outliers", 0), got.get("pattern_violation", 0), got.get("missing_value", 0)) == (outliers, pattern, missing)
+    assert log.groupBy("row_id", "column").count().where("count > 1").count() == 0
+
+
+def _is_float(v):
+    try:
+        float(v)
+        return True
+    except ValueError:
+        return False
+
+
+def test_radix_selection_is_exact(spark):
+    import hashlib
+    pri = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(3000))
+    df = spark.createDataFrame([(p,) for p in pri], "priority string")
+    for k in (1, 2, 77, 1500, 2999, 3000):
+        assert G._kth(df, k, few=2) == pri[k - 1]
+    assert G._kth(df, 3001, few=2) is None
+
+
+def test_bad_values_do_not_end_the_job(spark):
+    rows = [("1", "2023-13-45"), ("2", "99999999999999999999"), ("3", "9" * 60), ("4", "0"), ("x5", "2023-02-30"),
+            ("6", ""), ("7", None), (None, "v"), ("8", "-12"), ("9", "nan")]
+    df = spark.createDataFrame(rows, "row_id string, a string")
+    for ratios in ("1:0:0:0", "0:0:1:0", "0:1:0:0"):
+        assert G.generate_errors(df, 1.0, ratios, seed=1).count() > 0
+    got = {r["right_value"]: r["error_value"] for r in G.generate_errors(df, 1.0, "1:0:0:0").collect()}
+    assert got["99999999999999999999"] == "9999999999999999999900" and got["9" * 60] == "9" * 60 + "00" and got["-12"] == "-1200"
+    assert "0" not in got                                       # scaling changes nothing
+    rule = "EQ(t1.a,t2.a)&IQ(t1.b,t2.b)"
+    t = spark.createDataFrame([("1", "g", "p"), ("bad", "g", "q"), ("3", "g", "q")], "row_id string, a string, b string")
+    assert G.generate_errors(t, 1.0, "0:0:0:1", rule=rule).count() == 1
+
+
+def test_conflicts_use_the_cells_that_a_constraint_names(spark):
+    rows = [("1", "a", "rule_violation", "(1, 2)", "The b of Row 1 and the b of Row 2: The b of Row 1 is equal to The b of Row 2", "0a"),
+            ("2", "b", "outliers", "", "", "0b"), ("2", "c", "outliers", "", "", "0c"), ("2", "c", "outliers", "", "", "0c"),
+            ("2", "c", "pattern_violation", "", "", "0c")]
+    df = spark.createDataFrame(rows, "row_id string, column string, error_type string, tuple_pairs string, constraint string, priority string")
+    got = sorted((r["row_id"], r["column"]) for r in G.conflict_free(df).collect())
+    assert got == [("1", "a"), ("2", "c")]                      # (2, b) is a cell of the rule; of the ties one stays
+    singles = df.where("error_type <> 'rule_violation'")
+    assert sorted((r["row_id"], r["column"]) for r in G.conflict_free(singles).collect()) == [("2", "b"), ("2", "c")]
+
+
+def test_conflict_chains_are_resolved(spark):
+    rows = [(str(i), "x", "rule_violation", f"({i}, {i + 1})", "", f"{i:06d}") for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id string, column string, error_type string, tuple_pairs string, constraint string, priority string")
+    assert sorted(int(r["row_id"]) for r in G.conflict_free(df).collect()) == list(range(0, 24, 2))
+
+
+def test_priorities_of_any_kind(spark):
+    rows = [("1", "outliers", None), ("2", "outliers", "zz"), ("3", "outliers", "é"), ("4", "outliers", "0"), ("5", "outliers", None)]
+    df = spark.createDataFrame(rows, "row_id string, error_type string, priority string")
+    for quota, want in ((1, {"4"}), (2, {"4", "2"}), (9, {"1", "2", "3", "4", "5"})):
+        b = spark.createDataFrame([("outliers", quota)], "error_type string, quota long")
+        assert {r["row_id"] for r in G.quota_select(df, b).collect()} == want
+
+
 def _toy_model(prompts):
     """Stands in for a language model: edits the first data row's second column."""
     import json

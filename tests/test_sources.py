@@ -72,10 +72,21 @@ def test_csv_tree_to_jsonl(spark, scratch):
     S.convert_csv_tree(spark, os.path.join(scratch, "src"), os.path.join(scratch, "dst"))
     back = spark.read.text(os.path.join(scratch, "dst")).collect()
     vals = sorted((r["source"], r["value"]) for r in back)
-    assert vals[0][0] == "x" and '"v":"NA"' in vals[0][1]
+    assert vals[0][0] == "a/x" and '"v":"NA"' in vals[0][1]
     assert len(vals) == 3
 
 
+def test_csv_tree_keeps_each_files_header_and_path(spark, scratch):
+    _write(os.path.join(scratch, "src", "a", "t_annotation.csv"), "row_id,src\n1,ale\n")
+    _write(os.path.join(scratch, "src", "b", "t_annotation.csv"), "flight,extra,row_id\n7,\"two\nlines\",2\n")
+    _write(os.path.join(scratch, "src", "c", "d", "t_annotation.csv"), "row_id,src\n3,\n")
+    _write(os.path.join(scratch, "src", "c", "other.csv"), "x\n1\n")
+    S.convert_csv_tree(spark, os.path.join(scratch, "src"), os.path.join(scratch, "dst"), glob="*_annotation.csv")
+    got = {r["source"]: json.loads(r["value"]) for r in spark.read.text(os.path.join(scratch, "dst")).collect()}
+    assert got == {"a/t_annotation": {"row_id": "1", "src": "ale"}, "c/d/t_annotation": {"row_id": "3", "src": None},
+                   "b/t_annotation": {"flight": "7", "extra": "two\nlines", "row_id": "2"}}
+
+
 def test_csv_sink_round_trip(spark, scratch):
     df = spark.createDataFrame([("1", "a,b"), ("2", None)], "row_id string, v string")
     S.write_csv_table(df, os.path.join(scratch, "out"))
@@ -119,6 +130,31 @@ def test_corpus_from_reference_layout(spark, scratch):
     assert json.loads(one["output"])["tuple_pairs"] is not None
 
 
+def test_a_cluster_session_needs_a_shared_folder(monkeypatch, spark):
+    from tabflaw import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.own
+
+        def setCheckpointDir(self, d):
+            raise AssertionError("the context has one")
+
+    class Session:
+        sparkContext = Context()
+
+    Context.own = None
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
+    Context.own = "hdfs:/shared/checkpoints"
+    assert session.checkpoint_dir(Session()) == "hdfs:/shared/checkpoints"
+
+
 def test_pair_groups_sink_partitioned_by_rule(spark, scratch):
     from tabflaw.operators.constraints import pair_groups
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "y")], "row_id long, a string")

@@ -46,3 +46,14 @@ def test_parse_datetime_formats(spark):
     df = spark.createDataFrame([("2020-12-31",), ("31/12/2020",), ("2020-12-31 10:00:00",), ("soon",)], "v string")
     got = [r["t"] for r in df.select(parse_datetime(F.col("v")).alias("t")).collect()]
     assert got[0] is not None and got[1] == got[0] and got[2] is not None and got[3] is None
+
+
+def test_datetimes_month_first_and_free_forms(spark):
+    cases = {"03/04/2020": "2020-03-04 00:00:00", "2020-03-04": "2020-03-04 00:00:00", "25/12/2011": "2011-12-25 00:00:00",
+             "12/2/2011 7:00 a.m.": "2011-12-02 07:00:00", "12/2/2011 7:05 p.m.": "2011-12-02 19:05:00", "7:05 p.m.": "1970-01-01 19:05:00",
+             "2020-03-04T05:06:07.250Z": "2020-03-04 05:06:07", "2020-03-04 05:06": "2020-03-04 05:06:00", "20200304": "2020-03-04 00:00:00",
+             "Mar 4, 2020": "2020-03-04 00:00:00", "4 March 2020 10:00": "2020-03-04 10:00:00", "12:30": "1970-01-01 12:30:00",
+             "2023-13-45": None, "2023-02-30": None, "never": None, "": None, None: None, "99999999999999999999": None}
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    got = {r["v"]: None if r["t"] is None else str(r["t"]) for r in df.select("v", parse_datetime(F.col("v")).alias("t")).collect()}
+    assert got == cases
