@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
-from ..functions.values import float_value, value_type
+from ..functions.values import float_value
+from ..functions.vectors import let
 from ..schemas import ERROR_TYPES
 from ..session import cut_lineage
 from . import constraints as C
@@ -77,15 +78,20 @@ CELL_TYPES = ("outliers", "pattern_violation", "missing_value")
 
 
 def _eligible(error_type: str, v):
-    """Whether the default corruptor of a type changes a cell (the rule of ``validate_candidates``)."""
+    """Whether the default corruptor of a type changes a cell, by the rule of ``validate_candidates`` (numbers are
+    compared as numbers, other text without outer blanks), worked out without making the corrupted value."""
     if error_type == "missing_value":
         return v.isNotNull()
-    new, old = F.trim(_corrupt(error_type, v)), F.trim(v)
-    a, b = float_value(new), float_value(old)
-    differs = F.when(a.isNotNull() & b.isNotNull(), a != b).otherwise(new != old)
-    if error_type == "outliers":
-        differs = (value_type(v) == "numeric") & differs
-    return F.coalesce(differs, F.lit(False))
+    if error_type == "outliers":         # a hundredfold of a finite number other than 0 is another number
+        num = float_value(v)
+        return F.coalesce((num != 0) & ~F.isnan(num) & (F.abs(num) < float("inf")), F.lit(False))
+    # a date in another order or a number with a letter is always another text
+    tail = F.upper(F.substring(v, 2, 1 << 30))
+    cut = (F.trim(tail) != F.trim(v)) & ~F.coalesce(float_value(tail) == float_value(v), F.lit(False))
+    other = F.when(F.length(v) > 1, cut).otherwise(F.trim(v) != "")
+    plain = v.rlike(r"^\s*-?\d+(\.\d+)?\s*$|^\d{4}-\d{2}-\d{2}$")
+    known = v.rlike(r"^\s*-?\d+(\.\d+)?\s*$") | F.try_to_date(v, "yyyy-MM-dd").isNotNull()
+    return F.coalesce(F.when(plain, known | other).otherwise(other), F.lit(False))
 
 
 def _kth(cells: DataFrame, k: int, digits: int = 3, few: int = 4096) -> str | None:
@@ -136,20 +142,28 @@ def cell_errors(table: DataFrame, quotas: dict[str, int], seed: int = 42, key: s
         .withColumn("priority", hash_key(seed, F.lit("cell"), F.col(key), F.col("column")))
     eligible = {t: _eligible(t, v) for t in CELL_TYPES}
     # what the selection reads several times: 32 characters and three flags per cell, made once
-    slim = cut_lineage(long.select("priority", *[e.alias(f"_{t}") for t, e in eligible.items()]))
-    long = long.select("*", *[e.alias(f"_{t}") for t, e in eligible.items()])
-    choice, free = None, F.lit(True)
+    slim = cut_lineage(long.select("priority", *[e.alias(t) for t, e in eligible.items()]))
+    limits: dict[str, str | None] = {}
+
+    def choose(flag):
+        """The chosen type of a cell, given its flags by type."""
+        choice, free = F.lit(None).cast("string"), F.lit(True)
+        for kind, last in limits.items():
+            mine = free & flag(kind)
+            mine = mine if last is None else mine & (F.col("priority") <= last)
+            choice = F.coalesce(choice, F.when(mine, F.lit(kind)))
+            free = free & ~mine
+        return choice, free
+
     for kind in CELL_TYPES:
         quota = int(quotas.get(kind) or 0)
-        if quota <= 0:
-            continue
-        mine = free & F.col(f"_{kind}")
-        last = _kth(slim.where(mine).select("priority"), quota)
-        chosen = mine if last is None else mine & (F.col("priority") <= last)
-        choice = F.when(chosen, F.lit(kind)) if choice is None else choice.when(chosen, F.lit(kind))
-        free = free & ~chosen
-    choice = F.lit(None).cast("string") if choice is None else choice
-    out = long.withColumn("error_type", choice).where(F.col("error_type").isNotNull())
+        if quota > 0:
+            _, free = choose(F.col)
+            limits[kind] = _kth(slim.where(free & F.col(kind)).select("priority"), quota)
+    if limits and all(limits.values()):          # most cells are beyond every limit: their flags are not needed again
+        long = long.where(F.col("priority") <= max(limits.values()))
+    flags = F.struct(*[eligible[t].alias(t) for t in CELL_TYPES])
+    out = long.withColumn("error_type", let(flags, lambda f: choose(lambda t: f[t])[0])).where(F.col("error_type").isNotNull())
     value = F.when(F.col("error_type") == "outliers", _corrupt("outliers", v)) \
              .when(F.col("error_type") == "pattern_violation", _corrupt("pattern_violation", v))
     return out.select(F.col(key).cast("string").alias(key), "column", "error_type", value.alias("error_value"),
@@ -215,7 +229,7 @@ def rule_errors(table: DataFrame, rule, quota: int, seed: int = 42, key: str = "
     rules = _rules(rule)
     pairs = {r: cut_lineage(_prioritised_pairs(table, r, seed, key)) for r in rules}
     total = sum(p.count() for p in pairs.values())
-    share = min(1.0, 2 * quota / max(total, 1) + 0.001)
+    share = min(1.0, 3 * quota / max(total, 1) + 0.001)
     while True:
         below = None if share >= 1 else f"{int(share * (1 << 32)):08x}"
         cands = None
