@@ -143,19 +143,24 @@ def pattern_scores(knn: DataFrame, ks=(1, 2, 3, 4, 5, 10, 15, 20), agg: str = "m
 def text_similarity(a: DataFrame, b: DataFrame, vec_col: str = "vec", group_cols=None) -> DataFrame:
     """Mean of all-pairs cosine between two vector sets = dot of their mean unit vectors.
 
-    Empty side -> 0.  Linear: one posexplode + average per dimension per side.
+    Empty side -> 0.  Linear: one vector mean per side (a single aggregate
+    buffer per group; rows are not multiplied by the dimension).  Vectors of a
+    side have one length.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     g = list(group_cols or [])
 
     def mean_unit(df, name):
-        x = df.select(*g, F.posexplode(unit(F.col(vec_col))).alias("_d", "_v"))
-        return x.groupBy(*g, "_d").agg(F.avg("_v").alias(name))
+        x = df.where(F.col(vec_col).isNotNull()).select(*g, array_to_vector(unit(F.col(vec_col))).alias("_u"))
+        keys = g or [F.lit(0).alias("_all")]                    # a group even then: an empty side has none
+        return x.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_u"))).alias(name))
 
     ma, mb = mean_unit(a, "_a"), mean_unit(b, "_b")
-    j = ma.join(mb, g + ["_d"])
-    if not g:  # a global aggregate always yields one row; empty side -> 0
-        return j.agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0.0)).alias("text_similarity"))
-    return j.groupBy(*g).agg(F.sum(F.col("_a") * F.col("_b")).alias("text_similarity"))
+    score = F.aggregate(F.zip_with("_a", "_b", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    if not g:  # a global aggregate always yields one row
+        return ma.join(mb, "_all").agg(F.coalesce(F.max(score), F.lit(0.0)).alias("text_similarity"))
+    return ma.join(mb, g).select(*g, score.alias("text_similarity"))
 
 
 __all__ = ["next_in_group", "pattern_pairs", "knn_cosine", "pattern_scores", "text_similarity",
