@@ -1,4 +1,4 @@
-"""Registered queries: null-token rule and JSON-line log parsing over derived text."""
+"""Registered queries: null-token rule, JSON-line log parsing, and round trips through files in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, md5_digit
 from ..functions.values import NA_TOKENS, na_to_null
+from ..operators.constraints import pair_groups
 from ..schemas import ERROR_FIELDS
+from ..session import scratch_path
 from ..sources import files as S
 from . import fixtures as fx
 from .oracle_sql import fixture_sql
+from .q_constraints import RULES, _groups_sql
 from .registry import query
 
 _TOKENS_SQL = "[" + ", ".join("'" + t + "'" for t in NA_TOKENS) + "]"
@@ -68,3 +71,69 @@ def q_scan_error_log(spark, sf_dir):
 def q_csv_to_json_rows(spark, sf_dir):
     """S10 row form: each dirty customer row as one JSON object (nulls kept)."""
     return S.csv_to_json_rows(fx.dirty_table(spark, sf_dir, "customer"))
+
+
+# ------------------------------------------------------------ round trips through files
+
+@query("csv_round_trip", fixture_sql("select row_id, c_name, c_nationkey, c_mktsegment from cust_dirty"))
+def q_csv_round_trip(spark, sf_dir):
+    """The dirty customer table written as CSV and scanned again (nulls come back as nulls)."""
+    path = scratch_path(spark, "csv")
+    S.write_csv_table(fx.dirty_table(spark, sf_dir, "customer"), path)
+    return S.read_csv_table(spark, path, multi_line=False)
+
+
+@query("csv_typed_key", fixture_sql("select cast(row_id as bigint) as row_id, o_orderstatus, o_totalprice, o_orderdate, "
+                                    "o_orderpriority from ord_dirty"))
+def q_csv_typed_key(spark, sf_dir):
+    """The dirty orders table written as CSV and scanned with a numeric key."""
+    path = scratch_path(spark, "csv")
+    S.write_csv_table(fx.dirty_table(spark, sf_dir, "orders"), path)
+    return S.read_csv_typed_key(spark, path)
+
+
+@query("cell_changes_scan", fixture_sql("""select row_id, "column" from cust_diff union all select row_id, "column" from ord_diff"""))
+def q_cell_changes_scan(spark, sf_dir):
+    """S3: changed cells written as a headerless CSV of 'row.column' ids, scanned and taken apart."""
+    from ..operators.cells import cell_diff
+    from ..operators.metrics import cells_from_cellchanges
+    path = scratch_path(spark, "cells")
+    for name in ("customer", "orders"):
+        cells = cell_diff(fx.clean_table(spark, sf_dir, name), fx.dirty_table(spark, sf_dir, name))
+        cells.select(F.concat_ws(".", "row_id", "column").alias("_c0")).write.mode("append").csv(path)
+    return cells_from_cellchanges(S.read_cell_changes(spark, path))
+
+
+@query("error_log_round_trip", fixture_sql(
+    """select dataset, row_id, "column", error_type, error_value, right_value, missing_value, "constraint", tuple_pairs,
+         false as bad from all_glog"""))
+def q_error_log_round_trip(spark, sf_dir):
+    """Error logs written as JSON lines in a folder per dataset, found and scanned recursively."""
+    path = scratch_path(spark, "logs")
+    log = fx.all_logs(spark, sf_dir, prefix="g")
+    for name in ("customer", "orders"):
+        S.write_jsonl(log.where(F.col("dataset") == name).select(*ERROR_FIELDS), f"{path}/{name}")
+    return S.read_error_log(spark, path, glob="*.json", recursive=True).select("dataset", *ERROR_FIELDS, "bad")
+
+
+@query("csv_tree_to_jsonl", fixture_sql(
+    """select 'customer' as dataset, to_json(struct_pack(row_id := row_id, c_name := c_name, c_nationkey := c_nationkey,
+         c_mktsegment := c_mktsegment))::varchar as value from cust_dirty
+       union all select 'orders', to_json(struct_pack(row_id := row_id, o_orderstatus := o_orderstatus,
+         o_totalprice := o_totalprice, o_orderdate := o_orderdate, o_orderpriority := o_orderpriority))::varchar from ord_dirty"""))
+def q_csv_tree_to_jsonl(spark, sf_dir):
+    """S10 over a tree: two tables of different headers below one folder, every row with its own table's columns."""
+    path = scratch_path(spark, "tree")
+    for name in ("customer", "orders"):
+        S.write_csv_table(fx.dirty_table(spark, sf_dir, name), f"{path}/src/{name}")
+    S.convert_csv_tree(spark, f"{path}/src", f"{path}/dst", multi_line=False)
+    return spark.read.text(f"{path}/dst").select(F.regexp_extract("source", "^([^/]+)/", 1).alias("dataset"), "value")
+
+
+@query("pair_groups_sink", _groups_sql(RULES[:2]))
+def q_pair_groups_sink(spark, sf_dir):
+    """S6 sink: pair groups written by rule and read back."""
+    path = scratch_path(spark, "pairs")
+    for table, key, rule in RULES[:2]:
+        S.write_pair_groups(pair_groups(fx.read_table(spark, sf_dir, table).withColumnRenamed(key, "row_id"), rule), path, mode="append")
+    return spark.read.parquet(path).select("rule", "group_key", "n_rows", "n_pairs")
