@@ -86,7 +86,7 @@ def tuple_ids_strict(tuple_pairs) -> Column:
     stripped = F.regexp_replace(F.coalesce(_c(tuple_pairs), F.lit("")), r"^[()]+|[()]+$", "")
     parts = F.transform(F.split(stripped, ","), lambda s: F.trim(s))
     digits = F.filter(parts, lambda s: s.rlike(r"^\d+$"))
-    ids = F.transform(digits, lambda s: s.cast("bigint"))
+    ids = F.filter(F.transform(digits, lambda s: s.try_cast("bigint")), lambda i: i.isNotNull())
     return F.when(F.size(ids) >= 2, F.slice(ids, 1, 2))
 
 

@@ -64,7 +64,7 @@ def rule_cells(log: DataFrame, key: str = "row_id") -> DataFrame:
 
 def involved_ids(log: DataFrame, key: str = "row_id") -> F.Column:
     """First two tuple ids of a rule violation, else the record's own id; [] when malformed."""
-    own = F.when(F.col(key).rlike(r"^\d+$"), F.array(F.col(key).cast("bigint")))
+    own = F.when(F.col(key).rlike(r"^\d{1,18}$"), F.array(F.col(key).cast("string").try_cast("bigint")))
     ids = F.when(F.col("error_type") == "rule_violation", tuple_ids_strict("tuple_pairs")).otherwise(own)
     return F.coalesce(ids, F.array().cast("array<bigint>"))
 
@@ -73,7 +73,7 @@ def involved_rows(log: DataFrame, table: DataFrame, entry_col: str = "entry_id",
                   key: str = "row_id") -> DataFrame:
     """(entry_id, table row...) for the rows each record touches (equi join on the key)."""
     ex = log.select(entry_col, F.explode(involved_ids(log, key)).alias("_id"))
-    t = table.withColumn("_tid", F.col(key).cast("bigint"))
+    t = table.withColumn("_tid", F.col(key).cast("string").try_cast("bigint"))
     return ex.join(t, ex._id == t._tid).drop("_id", "_tid")
 
 

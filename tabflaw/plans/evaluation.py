@@ -105,8 +105,12 @@ def pattern_report(real_log: DataFrame, gen_log: DataFrame, ks=(1, 2, 3, 4, 5, 1
     embedded (hashed n-grams), every generated error finds its k nearest real
     errors by the right-value embedding (exact blocked kNN, one run at the
     largest k), and the score per k is the mean over generated errors of the
-    max cosine between transformation vectors.
+    max cosine between transformation vectors.  Every record is a query or a
+    reference of its own: its id is a hash of the dataset (if there is one),
+    ``id_cols``, both values and the number of the record among equal ones.
     """
+    from pyspark.sql import Window
+
     from ..functions.hashing import hash_id
     from ..functions.vectors import diff, hash_embed
     from ..operators.patterns import knn_cosine, pattern_scores
@@ -115,10 +119,11 @@ def pattern_report(real_log: DataFrame, gen_log: DataFrame, ks=(1, 2, 3, 4, 5, 1
         ok = (F.col("right_value").isNotNull() & F.col("error_value").isNotNull()
               & (F.col("right_value") != "") & (F.col("error_value") != "")
               & (F.col("right_value") != F.col("error_value")))
-        x = log.where(ok)
+        key = [F.col(c) for c in ("dataset", *id_cols, "right_value", "error_value") if c in log.columns]
+        x = log.where(ok).withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
         r = hash_embed(F.col("right_value"), dim, ngram)
         e = hash_embed(F.col("error_value"), dim, ngram)
-        return x.select(hash_id(*[F.col(c) for c in id_cols]).alias("id"), r.alias("vec"), diff(r, e).alias("diff"))
+        return x.select(hash_id(*key, F.col("_nth")).alias("id"), r.alias("vec"), diff(r, e).alias("diff"))
 
     # knn_cosine materialises both embedded sets once (they are counted, then joined)
     knn = knn_cosine(prep(gen_log), prep(real_log), k=max(ks), block_rows=block_rows)

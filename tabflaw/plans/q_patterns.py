@@ -139,13 +139,14 @@ def _hid(cols):
 
 _PREP = """select id, rv, list_transform(range(1, {dim} + 1), lambda i: rv[i] - ev[i]) as dv from (
   select {hid} as id, {er} as rv, {ee} as ev
-  from {src} where right_value is not null and error_value is not null and right_value <> ''
+  from (select *, row_number() over (partition by row_id, "column", right_value, error_value) as nth from {src})
+  where right_value is not null and error_value is not null and right_value <> ''
     and error_value <> '' and right_value <> error_value)"""
 
 
 def _pattern_report_sql():
     def prep(src):
-        return _PREP.format(hid=_hid(["row_id", '"column"']), er=_embed_sql("right_value"),
+        return _PREP.format(hid=_hid(["row_id", '"column"', "right_value", "error_value", "cast(nth as varchar)"]), er=_embed_sql("right_value"),
                             ee=_embed_sql("error_value"), dim=DIM, src=src)
     return fixture_sql(f"""select k, round(coalesce(avg(m), 0.0), 9) as score from (
     select ks.k, rk.q_id, max(rk.pcos) as m from rk join (select unnest({list(KS)}) as k) ks on rk.rank <= ks.k
