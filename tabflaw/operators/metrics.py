@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import float_value, is_nonneg_decimal, value_type
+from ..functions.vectors import let
 
 
 def _g(group_cols):
@@ -219,11 +220,25 @@ def numeric_similarity(pairs: DataFrame, a: str = "right_value", b: str = "error
                       .alias("numeric_similarity"))
 
 
-# Datetime text formats tried in order (Spark patterns).  Slash and dash dates
-# are read month first; the day comes first only where the month would be above 12.
-DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy",
-                "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMMM d yyyy"]
-TIME_FORMATS = ["H:mm:ss", "H:mm", "h:mm:ss a", "h:mm a", "h a"]
+# Shapes of dates and times, and the text formats of each, tried in order (Spark patterns).
+# Slash and dash dates are read month first; the day comes first only where the month would be above 12.
+DATE_FORMATS = [
+    (r"\d{4}-\d{1,2}-\d{1,2}", ["yyyy-M-d"]), (r"\d{4}/\d{1,2}/\d{1,2}", ["yyyy/M/d"]), (r"\d{8}", ["yyyyMMdd"]),
+    (r"\d{1,2}/\d{1,2}/\d{4}", ["M/d/yyyy", "d/M/yyyy"]), (r"\d{1,2}-\d{1,2}-\d{4}", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"\d{1,2}/\d{1,2}/\d{2}", ["M/d/yy", "d/M/yy"]), (r"\d{1,2} [A-Za-z]+ \d{4}", ["d MMM yyyy", "d MMMM yyyy"]),
+    (r"[A-Za-z]+ \d{1,2}, \d{4}", ["MMM d, yyyy", "MMMM d, yyyy"]), (r"[A-Za-z]+ \d{1,2} \d{4}", ["MMM d yyyy", "MMMM d yyyy"])]
+TIME_FORMATS = [(r"\d{1,2}:\d{2}:\d{2}", ["H:mm:ss"]), (r"\d{1,2}:\d{2}", ["H:mm"]), (r"\d{1,2}:\d{2}:\d{2} [AP]M", ["h:mm:ss a"]),
+                (r"\d{1,2}:\d{2} [AP]M", ["h:mm a"]), (r"\d{1,2} [AP]M", ["h a"])]
+
+
+def _by_shape(x: Column, shapes: list) -> Column:
+    """Timestamp of a text by the formats of its shape (a failed format is costly, so only fitting ones are tried)."""
+    out = None
+    for shape, formats in shapes:
+        value = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats])
+        fits = x.rlike(f"^(?:{shape})$")
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out
 
 
 def parse_datetime(x: Column) -> Column:
@@ -239,13 +254,17 @@ def parse_datetime(x: Column) -> Column:
     t = F.regexp_replace(t, r"(:\d{2})\s*Z$", "$1")
     t = F.regexp_replace(t, r"(?i)\s*\b([ap])\.?\s?m\.?$", " $1M")
     clock = r"\d{1,2}(?::\d{2}){1,2}(?: [APap]M)?|\d{1,2} [APap]M"
-    at = F.regexp_extract(t, rf"(?:^|[\s,]+)({clock})$", 1)
-    day = F.when(at == "", t).otherwise(F.regexp_replace(t, rf"(?:^|[\s,]+)(?:{clock})$", ""))
-    date = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMATS])
-    time = F.coalesce(*[F.try_to_timestamp(F.upper(at), F.lit(f)) for f in TIME_FORMATS])
-    seconds = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
-    start = F.when(day == "", F.to_timestamp(F.lit("1970-01-01"))).otherwise(date)
-    return F.when(at == "", date).otherwise(F.timestamp_seconds(F.unix_timestamp(start) + seconds))
+
+    def parts(t):
+        at = F.regexp_extract(t, rf"(?:^|[\s,]+)({clock})$", 1)
+        return F.struct(F.upper(at).alias("at"), F.regexp_replace(t, rf"(?:^|[\s,]+)(?:{clock})$", "").alias("day"))
+
+    def whole(p):
+        start = F.when(p["day"] == "", F.to_timestamp(F.lit("1970-01-01"))).otherwise(_by_shape(p["day"], DATE_FORMATS))
+        return let(_by_shape(p["at"], TIME_FORMATS), lambda time: F.when(p["at"] == "", F.when(p["day"] != "", start)).otherwise(
+            F.timestamp_seconds(F.unix_timestamp(start) + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time))))
+
+    return let(let(t, parts), whole)
 
 
 def datetime_similarity(pairs: DataFrame, a: str = "right_value", b: str = "error_value",
