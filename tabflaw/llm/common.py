@@ -65,7 +65,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     top = checkpoint_dir(spark).rstrip("/")
     if "://" not in top and not top.startswith("file:"):
         top = f"file://{top}"
-    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path := f"{top}/{name}-{uuid.uuid4().hex[:12]}")
+    return path
+
+
+_MADE: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the folders that this session's operators made in the shared folder; call it once their results are
+    written elsewhere.  Returns how many there were."""
+    conf = spark._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
