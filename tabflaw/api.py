@@ -7,12 +7,12 @@ from .operators.constraints import (cross_pair_count, cross_pair_members, pair_g
 from .operators.annotations import (cap_per_type, generated_cells, involved_rows, parse_completion,  # noqa: F401
                                     rule_cells, task_output, validate_candidates)
 from .operators.generate import (completion_status, conflict_free, error_budget, generate_errors,  # noqa: F401
-                                 model_completions, propose_errors, quota_select, select_errors)
+                                 model_completions, propose_errors, quota_select, select_errors, shortfall)
 from .operators.metrics import (cell_scores, chi_square, dataset_profile, datetime_similarity,  # noqa: F401
                                 dist_jaccard, dist_js, dist_kl, log_distribution, numeric_similarity,
                                 rowcol_jaccard)
 from .operators.patterns import knn_cosine, pattern_pairs, pattern_scores, text_similarity  # noqa: F401
-from .operators.prompts import (add_fewshot, build_fragments, instruction_text, markdown_row_ids,  # noqa: F401
+from .operators.prompts import (Task, add_fewshot, build_fragments, instruction_text, markdown_row_ids,  # noqa: F401
                                 prompt_text, split_rows)
 from .plans.corpus import build_corpus, corpus_from_folder  # noqa: F401
 from .plans.evaluation import method_cells, method_report, pattern_report, semantic_similarity  # noqa: F401
