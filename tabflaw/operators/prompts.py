@@ -25,6 +25,7 @@ from ..functions.constraints import constraint_entities
 from ..functions.hashing import coprime_strides, hash_int, hash_key, hash_long
 from ..functions.templates import (ERROR_TYPE_DESCRIPTIONS, SUFFIXES, TASK_DESCRIPTIONS,
                                    UNKNOWN_ERROR_TYPE)
+from ..schemas import ERROR_FIELDS
 from .cells import row_index
 
 
@@ -48,11 +49,13 @@ def _pick(options: list[str], idx: Column) -> Column:
 
 @dataclass(frozen=True)
 class Task:
-    """The wording of a task: opening sentences (with {error_type}), closing sentences, and a description or
-    several of each error type.  Built-in tasks are known by name; own ones are passed as they are."""
+    """The wording of a task: opening sentences (with {error_type}), closing sentences, a description or
+    several of each error type, and the fields of a record that make up the answer.  Built-in tasks are known
+    by name; own ones are passed as they are, here and to ``plans.corpus.build_corpus``."""
     openings: tuple[str, ...]
     closings: tuple[str, ...]
     descriptions: dict[str, list[str]] = field(default_factory=lambda: ERROR_TYPE_DESCRIPTIONS)
+    output_fields: tuple[str, ...] = tuple(ERROR_FIELDS)
 
 
 def task_of(task) -> Task:

@@ -13,7 +13,9 @@ from ..session import cut_lineage
 def corpus_base(entries: DataFrame, table: DataFrame, task: str = "generation", k: int = 5, seed=42,
                 key: str = "row_id", index_order=None) -> DataFrame:
     """(entry_id, error_type, instruction, input, output_json) for one table's entries."""
-    out = task_output(entries, task).select("entry_id", F.to_json("output", {"ignoreNullFields": "false"})
+    answers = task_output(entries, task) if isinstance(task, str) else \
+        entries.withColumn("output", F.struct(*[F.col(f) for f in task.output_fields]))
+    out = answers.select("entry_id", F.to_json("output", {"ignoreNullFields": "false"})
                                             .alias("output_json"))
     instr = entries.select("entry_id", "error_type",
                            P.instruction_text(task, F.col("error_type"), F.col("constraint"), F.col("entry_id"),

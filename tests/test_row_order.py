@@ -101,3 +101,18 @@ def test_own_tasks(spark):
     assert got == {"e": "Find the outliers cell. A value far off. Answer in JSON.", "f": "Find the other cell. Unknown error type. Answer in JSON."}
     with pytest.raises(ValueError):
         P.task_of("translation")
+
+
+def test_a_corpus_for_an_own_task(spark):
+    import json
+
+    from tabflaw.plans.corpus import build_corpus
+    task = P.Task(("Name the row of the {error_type} cell.",), ("Answer in JSON.",), output_fields=("row_id",))
+    table = spark.createDataFrame([(str(i), f"v{i}") for i in range(30)], "row_id string, v string")
+    entries = spark.createDataFrame([(f"e{i}", str(i), "v", "outliers", "x", "", "") for i in range(0, 30, 3)],
+                                    "entry_id string, row_id string, column string, error_type string, error_value string, "
+                                    "tuple_pairs string, constraint string")
+    rows = build_corpus(entries, table, task, k=2).collect()
+    assert len(rows) == 10 and sum(r["split"] == "train" for r in rows) == 9
+    assert all(json.loads(r["output_json"]) == {"row_id": r["entry_id"][1:]} for r in rows)
+    assert all(r["instruction"].startswith("Name the row of the outliers cell.") for r in rows)
