@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from tabflaw.llm import decontam, langid, mixing, shards, simhash
 from tabflaw.llm.common import prepare, written
 
-#: A text whose best cosine is below this resembles no learned language.
-MIN_COSINE = 0.02
+#: A text whose best cosine is below this resembles no learned language.  Without a common trigram, cosines are noise of
+#: 1/sqrt(DIM) about 0; the largest of a few languages stays below 3.5 times that.
+MIN_COSINE = 3.5 / langid.DIM ** 0.5
+#: The same for texts of LONG_LETTERS letters or more: random letters of a learned script share ever more trigrams the
+#: longer they are (up to 0.19), prose has 0.25 or more at that length, but less in a few words.
+MIN_COSINE_LONG = 0.2
+LONG_LETTERS = 100
 #: Of a document's words, the share that may be benchmark passages; at 0 a document with a single window goes.
 MAX_COVERAGE = 0.0
 
@@ -22,8 +27,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a learned language; null texts, texts without letters and texts unlike every language go."""
     prepare(spark)
     prototypes = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
+    score = F.col("__lang.score")
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < LONG_LETTERS
     return docs.withColumn("__lang", langid.classify(F.col("text"), prototypes)) \
-        .filter((F.col("__lang.lang") != langid.UND) & (F.col("__lang.score") >= MIN_COSINE)).drop("__lang")
+        .filter((F.col("__lang.lang") != langid.UND) & ((score >= MIN_COSINE_LONG) | ((score >= MIN_COSINE) & short))).drop("__lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """The pipeline against a brute-force version of each stage on the small tables."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as P
-from conftest import SF_SMALL
+from conftest import SF_CHECK, SF_SMALL
 from tabflaw.llm import langid, mixing, shards
 from .test_decontam import plain_find, plain_words
 from .test_simhash import plain_classes, plain_fingerprint
@@ -48,3 +49,21 @@ def test_stages_follow_brute_force(prepared, monkeypatch):
     assert Counter(r["doc_id"] for r in final) == times
     assert {r["shard"] for r in final} == set(range(16))
     assert langid.UND and mixing.MOST == 2 and shards.SHARDS == 16
+
+
+def test_foreign_scripts_and_random_letters_go(prepared, docs):
+    rng = random.Random(5)
+    scripts = {"cyrillic": (0x430, 0x450), "greek": (0x3B1, 0x3CA), "han": (0x4E00, 0x5200), "kana": (0x3042, 0x3094),
+               "arabic": (0x621, 0x64B), "latin": (0x61, 0x7B)}
+    planted = []
+    for first, end in scripts.values():
+        letters = [chr(c) for c in range(first, end)]
+        for n in [200] * 40 + [20] * 20 + [2000] * 5:
+            vocab = ["".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(500 if first != 0x61 else 5000)]
+            planted.append((-1 - len(planted), " ".join(rng.choices(vocab, k=n))))
+    real = prepared.read.parquet(f"{SF_CHECK}/documents.parquet")
+    kept = {r["doc_id"] for r in P.identify_language(prepared, real.unionByName(docs(planted).select(real.columns)), SF_CHECK).collect()}
+    assert not [k for k in kept if k < 0]
+    rows = real.collect()
+    gone = [r["text"] for r in rows if r["doc_id"] not in kept]
+    assert all(sum(c.isalpha() for c in t or "") < 100 for t in gone) and len(gone) < 0.005 * len(rows)
