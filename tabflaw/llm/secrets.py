@@ -9,9 +9,14 @@ Token efficiency adds the kind ``random``: a run of key characters is encoded
 with a byte-pair vocabulary; words and names need few tokens for their length,
 random strings need one for every character or two.  A run is reported if its
 characters per token are below ``max_ratio``.  Known digests (hexadecimal of a
-usual digest's length, and such with dashes as in UUIDs) and identifiers (words
-joined by signs or capital letters, with short numbers at their ends) are left
-out.  Base spans always stay, and a string may be reported by both.
+usual digest's length, and such with dashes as in UUIDs) are left out.  In
+identifiers (words joined by signs or capital letters, with short numbers at
+their ends) only the words count, and numbers as long as a run: they are left
+out if these are cheap too, where a word of one token is never dear.  If a run as
+a whole is cheap, its stretches of parts between signs are judged, so words
+do not hide a key in a path: the dearest stretch of RUN's least length is
+reported, then what stands before and behind it is judged.  Base spans always
+stay, and a string may be reported by both.
 
 Positions are code points, ends exclusive.
 
@@ -37,13 +42,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_VALUE = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")           # 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST = 16                       # characters of a run
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 MAX_RATIO = 2.5                  # characters per token; prose and names have 3 to 6, random strings 1.2 to 2.5
+#: the same for the words of identifiers (letters of one case: random ones 1.3 to 2.0, rare long words from 2.2 on) and
+#: for long numbers (at most three digits a token: random ones 2.0 to 2.7)
+MAX_WORD_RATIO, MAX_NUMBER_RATIO = 2.1, 3.0
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
                     r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.IGNORECASE)
 #: words (also as humps of three letters or more) with up to four digits at the end, or numbers, joined by signs
 IDENTIFIER = re.compile(r"[+/_-]*(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[0-9]+)"
                         r"(?:[+/_-]+(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[0-9]+))*[+/_-]*")
+#: what counts of an identifier
+WORD = re.compile(r"[A-Za-z]+|[0-9]{%d,}" % LEAST)
+#: digests between signs, or the parts of a run
+PART = re.compile(rf"(?<![A-Za-z0-9]){DIGEST.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+", re.IGNORECASE)
 ENCODED = 512                    # characters given to the vocabulary at once (longer runs in slices)
 
 
@@ -66,15 +79,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def dearness(part: str, encode, max_ratio: float) -> float:
+    """Characters that ``part`` falls short of the limit for its tokens: above 0 for random strings."""
+    def short(s: str, limit: float, least: float = 0) -> float:
+        return limit * sum(len(encode(s[k:k + ENCODED])) for k in range(0, len(s), ENCODED)) - max(len(s), least)
+
+    if DIGEST.fullmatch(part):
+        return 0.0
+    if IDENTIFIER.fullmatch(part):
+        return sum(short(w, MAX_NUMBER_RATIO) if w.isdigit() else short(w, MAX_WORD_RATIO, MAX_WORD_RATIO) for w in WORD.findall(part))
+    return short(part, max_ratio)
+
+
+def dear_stretches(run: str, encode, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the dearest stretches of a run's parts with LEAST characters or more; they don't overlap."""
+    parts = [m.span() for m in PART.finditer(run)]
+    if len(parts) < 2:
+        return []
+    dear = [dearness(run[s:e], encode, max_ratio) for s, e in parts]
+    out, left = [], [(0, len(parts))]
+    while left:
+        lo, hi = left.pop()
+        best, total, sums, least, i = None, 0.0, [0.0], None, lo
+        for j in range(lo, hi):                        # stretches that end with part j; the best start so far is ``least``
+            total += dear[j]
+            sums.append(total)
+            while i <= j and parts[j][1] - parts[i][0] >= LEAST:
+                if dear[i] > 0 and (least is None or sums[i - lo] < sums[least - lo]):
+                    least = i
+                i += 1
+            if least is not None and dear[j] > 0 and (gain := total - sums[least - lo]) > 0 and (best is None or gain > best[0]):
+                best = gain, least, j + 1
+        if best is not None:
+            _, a, b = best
+            out.append((parts[a][0], parts[b - 1][1]))
+            left += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
 def random_spans(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    """Runs of key characters that the vocabulary needs many tokens for."""
+    """Runs of key characters that the vocabulary needs many tokens for, or stretches of such runs."""
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        if DIGEST.fullmatch(run):
             continue
-        if len(run) < max_ratio * sum(len(encode(run[k:k + ENCODED])) for k in range(0, len(run), ENCODED)):
+        if dearness(run, encode, max_ratio) > 0:
             out.append((m.start(), 3, m.end()))
+        else:
+            out += [(m.start() + s, 3, m.start() + e) for s, e in dear_stretches(run, encode, max_ratio)]
     return out
 
 

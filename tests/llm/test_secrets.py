@@ -71,3 +71,27 @@ def test_random_strings_are_found_and_names_are_not():
                  "CONSTANT_WITH_WORDS", "a" * 3000):
         assert secrets.random_spans(name, encode) == [], name
     assert secrets.random_spans("Q7" * 5000, encode)[0] == (0, 3, 10000)
+
+
+def test_keys_of_one_case_and_in_paths_are_found():
+    encode = secrets.encoding(PATH, P.PATTERN).encode_ordinary
+    rng = random.Random(2)
+    for key in ("qzkxjvwbpmtrhgdlfncqwzkx", "xkqz-jvwp-qmzt-rhgd", "839201746582930174658203"):
+        assert secrets.random_spans(f"see {key} there", encode) == [(4, 3, 4 + len(key))], key
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choices(letters, k=24)) for _ in range(100)]
+        assert sum(secrets.random_spans(f"see {k} there", encode) == [(4, 3, 28)] for k in keys) >= 98
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    path = "documentation/configuration/environment/"
+    for n in (20, 24, 32):
+        keys = ["".join(rng.choices(base64, k=n)) for _ in range(200)]
+        for before, after in ((path, ""), (path, "/settings/production"), ("", "/" + path[:-1])):
+            hits = [secrets.random_spans(before + k + after, encode) for k in keys]
+            ends = len(before), len(before) + n
+            assert sum(any(min(e, ends[1]) - max(s, ends[0]) >= 0.7 * n for s, _, e in h) for h in hits) >= 0.97 * len(hits), (n, before, after)
+    two = f"{path}qZ7xKv2WbP9mTr4HgDlF/{path * 2}Xk3qJvW8pQmZ5tRhGdN2"
+    assert [two[s:e] for s, _, e in secrets.random_spans(two, encode)] == ["qZ7xKv2WbP9mTr4HgDlF", "Xk3qJvW8pQmZ5tRhGdN2"]
+    for name in (f"{path * 3}123e4567-e89b-12d3-a456-426614174000/settings", f"{path * 5}{'0123456789abcdef' * 4}", "py3-none-any_x86_64-linux-gnu",
+                 "usr/local/share/documentation/2024-01-01", "a_b_c_d_e_f_g_h_i_j", "0123-4567-8901-2345",
+                 "Donaudampfschifffahrt", "Geschwindigkeitsbegrenzung", "0" * 40):
+        assert secrets.random_spans(name, encode) == [], name
