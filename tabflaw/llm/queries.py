@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, decontam, langid, licenses, mixing, secrets, shards, simhash, tokens, warc
+from . import ann, collocations, decontam, langid, licenses, mixing, secrets, shards, simhash, tokens, warc
 from .common import prepare
 
 TOKEN_LIMIT = 512
@@ -72,9 +72,14 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations by SON partitioning."""
+    return collocations.collocations(_documents(spark, sf_dir, "lang"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_warc_archives, op4_simhash_duplicates, op5_secret_scan, op6_decontamination,
-    op7_virtual_slots, op8_license_scan, op9_pivotal_mix, op10_learned_partitions)}
+    op7_virtual_slots, op8_license_scan, op9_pivotal_mix, op10_learned_partitions, op13_collocations)}
 
 #: base 32 of a SHA-1: five hexadecimal digits are four characters
 _BASE32 = " || ".join(
@@ -109,4 +114,24 @@ spans as (select doc_id, string_agg(s || ':' || e, ',' order by s) as spans from
 select d.doc_id, cast(len(d.ws) as bigint) as n_words, coalesce(n.n_hit, 0) as n_hit, coalesce(names.n, 0) as n_items,
   sha256(coalesce(names.items, '')) as items_sha256, coalesce(n.n_hit, 0) > 0 as contaminated, coalesce(spans.spans, '') as spans
 from d left join n using (doc_id) left join names using (doc_id) left join spans using (doc_id)""",
+    "op13_collocations": r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+g as (select lang, k, array_to_string(ws[i + 1 : i + k], ' ') as phrase
+  from (select lang, ws, k, unnest(range(len(ws) - k + 1)) as i from w, range(1, 6) t(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) as f, string_split(phrase, ' ') as ws from g group by lang, k, phrase having count(*) >= 100),
+cuts as (select lang, phrase, k, f as a, cut, array_to_string(ws[1 : cut], ' ') as x, array_to_string(ws[cut + 1 : k], ' ') as y
+  from (select *, unnest(range(1, k)) as cut from f where k > 1)),
+scored as (select c.lang, c.phrase, c.a, x.f as l, y.f as r, n.n, cut,
+    cast((cast(1000 as hugeint) * c.a * n.n) // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = c.x join f y on y.lang = c.lang and y.phrase = c.y join n on n.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+subs as (select lang, array_to_string(ws[i + 1 : i + j], ' ') as phrase, f
+  from (select lang, ws, f, j, unnest(range(k - j + 1)) as i from (select *, unnest(range(2, k)) as j from f where k > 2))),
+inside as (select lang, phrase, max(f) as longer from subs group by lang, phrase)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where longer is null or longer < a
+qualify rank <= 2000""",
 }
