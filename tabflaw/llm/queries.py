@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, collocations, decontam, langid, licenses, mixing, quality, secrets, shards, simhash, tokens, warc
+from . import ann, collocations, decontam, dialogues, langid, licenses, mixing, quality, secrets, shards, simhash, tokens, warc
 from .common import prepare
 
 TOKEN_LIMIT = 512
@@ -72,6 +72,12 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the test damage: its faults, its cheapest repair and the digest of the result."""
+    prepare(spark)
+    return dialogues.repair_report(dialogues.damage(read_table(spark, sf_dir, "conversations")), alive="alive")
+
+
 def op12_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by naive Bayes support vectors, learned from the labelled ones."""
     return quality.classify(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -84,7 +90,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_warc_archives, op4_simhash_duplicates, op5_secret_scan, op6_decontamination,
-    op7_virtual_slots, op8_license_scan, op9_pivotal_mix, op10_learned_partitions, op12_quality_scores, op13_collocations)}
+    op7_virtual_slots, op8_license_scan, op9_pivotal_mix, op10_learned_partitions, op11_conversation_repair, op12_quality_scores, op13_collocations)}
 
 #: base 32 of a SHA-1: five hexadecimal digits are four characters
 _BASE32 = " || ".join(
