@@ -144,22 +144,21 @@ def phrases(ids: np.ndarray, vocabulary: pa.Array, own: np.ndarray, keep: Callab
     good = keep(own, 1)
     good[0] = False
     number = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
-    at, texts, hashes = number[ids], vocabulary.filter(pa.array(good)), own[good]
+    at, texts, place = number[ids], vocabulary.filter(pa.array(good)), np.flatnonzero(good[ids]).astype(np.int32)
+    hashes = own[ids[place]]
     for k in range(2, most + 1):
-        place = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+        go_on = np.zeros(len(place), bool)               # the parts without the first and without the last word are kept
+        go_on[:-1] = place[1:] == place[:-1] + 1
+        place, hashes = place[go_on], hashes[go_on]
+        hashes = _mix(hashes, own[ids[place + (k - 1)]])
+        good = keep(hashes, k)
+        place, hashes = place[good], hashes[good]
         if not len(place):
             return
-        key = at[place].astype(np.int64) * size + ids[place + (k - 1)]
-        distinct, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-        before, last = distinct // size, distinct % size
-        h = _mix(hashes[before], own[last])
-        good = keep(h, k)
-        number = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
-        at = np.full(len(at) - 1, -1, np.int32)
-        at[place] = number[which]
-        texts = pc.binary_join_element_wise(texts.take(pa.array(before[good])), vocabulary.take(pa.array(last[good])), _BLANK)
-        hashes = h[good]
-        yield texts, counts[good], k
+        distinct, which, counts = np.unique(at[place].astype(np.int64) * size + ids[place + (k - 1)], return_inverse=True, return_counts=True)
+        at[place] = which
+        texts = pc.binary_join_element_wise(texts.take(pa.array(distinct // size)), vocabulary.take(pa.array(distinct % size)), _BLANK)
+        yield texts, counts, k
 
 
 def _filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
