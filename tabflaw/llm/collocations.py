@@ -54,7 +54,9 @@ MOST_WORDS = 5
 TOP = 2000
 INSIDE_PERCENT = 100
 #: Words of a language mined at once: what one task holds (some 50 bytes a word while it sorts).
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
+#: Words of a language whose exact counts one task adds up.
+TOGETHER = 1 << 25
 #: Largest Bloom filter: 16 MB.
 FILTER_BITS = 1 << 27
 UND = "und"
@@ -175,18 +177,19 @@ def _filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
 
 
 def encode(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = SHARD_WORDS) -> DataFrame:
-    """Shards (lang, size, words, hashes, counts, ids): a vocabulary with counts, and the numbers of the words in their order."""
+    """Shards (lang, size, words, hashes, counts, ids, number): a vocabulary with counts, and the numbers of the words in their order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _filled(batches, limit):
+        for seq, shard in enumerate(_filled(batches, limit)):
             if shard.size:
                 ids = np.concatenate(shard.parts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard.lang]), pa.array([shard.size]), pa.array([list(shard.number)], pa.list_(pa.string())),
                      pa.array([shard.hashes().view(np.int64)]), pa.array([np.bincount(ids, minlength=len(shard.number))]),
-                     pa.array([ids.tobytes()])], names=["lang", "size", "words", "hashes", "counts", "ids"])
+                     pa.array([ids.tobytes()]), pa.array([seq], pa.int32())], names=["lang", "size", "words", "hashes", "counts", "ids", "seq"])
 
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).alias("text")) \
-        .mapInArrow(run, "lang string, size bigint, words array<string>, hashes array<bigint>, counts array<bigint>, ids binary")
+        .mapInArrow(run, "lang string, size bigint, words array<string>, hashes array<bigint>, counts array<bigint>, ids binary, seq int") \
+        .withColumn("number", F.xxhash64(F.spark_partition_id(), "seq")).drop("seq")
 
 
 def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
@@ -194,6 +197,7 @@ def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
 
 
 _SLICE = 100_000
+_HELD = 1 << 20                   # phrases with counts that a task holds before it gives them out
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -226,20 +230,40 @@ def local_mining(shards: DataFrame, parts: Filter, k: int) -> DataFrame:
         .groupBy("h", "need").agg(F.sum("above").alias("above"))
 
 
-def exact_counts(shards: DataFrame, filters: dict[int, Filter]) -> DataFrame:
-    """(lang, phrase, k, f) over all shards, of every phrase that the filters let through."""
+def exact_counts(shards: DataFrame, filters: dict[int, Filter], together: int = TOGETHER) -> DataFrame:
+    """(lang, phrase, k, f) over all shards (with ``n``), of every phrase that the filters let through.
+
+    Shards of a language are dealt into groups of about ``together`` words; one
+    task adds a group's counts up before they are shuffled.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "phrase", "k", "f"]
+        held, size = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")]).select([*names[:3], "f_sum"]).rename_columns(names)
+
         for batch in batches:
             for row in range(len(batch)):
                 ids = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int32)
                 words = batch.column("words")[row].values.cast(pa.large_string())
                 for found, counts, k in phrases(ids, words, _numbers(batch, row, "hashes").view(np.uint64),
                                                 lambda h, k: filters[k](h), max(filters)):
-                    lang = pa.array([batch.column("lang")[row].as_py()] * len(found), pa.string())
-                    yield from _sliced([lang, found.cast(pa.string()), pa.array(np.full(len(found), k, np.int32)),
-                                        pa.array(counts.astype(np.int64))], ["lang", "phrase", "k", "f"])
-
-    return shards.select("lang", "words", "hashes", "ids").mapInArrow(count, "lang string, phrase string, k int, f bigint") \
+                    held.append(pa.table([pa.array([batch.column("lang")[row].as_py()] * len(found), pa.string()), found.cast(pa.string()),
+                                          pa.array(np.full(len(found), k, np.int32)), pa.array(counts.astype(np.int64))], names=names))
+                    size += len(found)
+                if size >= _HELD:
+                    held = [added()]
+                    size = len(held[0])
+                    if size >= _HELD // 2:
+                        yield from held.pop().to_batches(max_chunksize=_SLICE)
+                        size = 0
+        if held:
+            yield from added().to_batches(max_chunksize=_SLICE)
+
+    groups = F.ceil(F.col("n") / together).cast("bigint")
+    return shards.select("lang", "words", "hashes", "ids", F.pmod("number", groups).alias("group")).repartition("lang", "group") \
+        .mapInArrow(count, "lang string, phrase string, k int, f bigint") \
         .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
@@ -259,7 +283,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     for k in range(2, most + 1):
         found = written(local_mining(local, filters[k - 1], k).filter("above >= need").select("h"), f"colloc-candidates{k}")
         filters[k] = bloom_filter(found)
-    counted = written(exact_counts(shards, filters).filter(F.col("f") >= support), "colloc-counts")
+    counted = written(exact_counts(local, filters).filter(F.col("f") >= support), "colloc-counts")
     return words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(counted), slack.select("lang", "n")
 
 
