@@ -4,26 +4,28 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?]`` and line breaks,
 and pieces into words at blanks and tabs.  Per language, a phrase of 2 to
 MOST_WORDS words is a collocation if it occurs ``support`` times or more.
 
-1. *Shards*: a shard is up to SHARD_WORDS words of one language that one task
-   reads, written as numbers with its vocabulary.  The sums of its word counts
-   give each language's size and the words that reach the support.
+1. *Blocks*: words become numbers, in blocks of up to BLOCK_WORDS words of one
+   language with their vocabulary.  Blocks are dealt by language into groups of
+   about SHARD_WORDS words; what one task holds of a language is a shard.
+   Summed word counts give the words that reach the support.
 2. *Local mining*, one phrase length after another: every shard is mined
    completely at the support lowered to its share of the language, which a
    phrase must reach in some shard to reach the support in sum.  Only phrases
-   whose shorter parts are still candidates are looked at.
+   whose shorter parts are still candidates are looked at.  A shard is read
+   twice: a table of hashed counts first, exact counts of what passes it then.
 3. *Union*: local counts are added up.  In a shard that does not name it, a
    phrase stays below the local support, so the sum plus that much is a bound;
    phrases whose bound reaches the support are the candidates.
-4. *Exact counts*: a last reading of all shards counts every candidate.
+4. *Exact counts*: a last reading of all blocks counts every candidate.
 
 What tasks must know of words and candidates goes to them as a Bloom filter of
 at most FILTER_BITS bits, so its size has a bound whatever the corpus; what it
 lets through by mistake is dropped by the exact sums.  Mining shuffles 64-bit
 hashes and counts (a shared hash only adds a candidate); the last reading knows
-phrases inside a shard by dense numbers and sums by text, so it is exact.  Many
+phrases inside a block by dense numbers and sums by text, so it is exact.  Many
 shards lower the local support; at 1 every phrase of frequent parts is counted,
-which is linear in the words.  A hot language is many shards, texts are never
-shuffled.
+which is linear in the words.  A hot language is many shards; words are
+shuffled once, as numbers.
 
 Scores compare a phrase with its cuts into a first and a second part; products
 are decimals of 38 digits.  A longer candidate with ``inside_percent`` of a
@@ -47,16 +49,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.cells import row_index
 from .common import one_long, written
 
 SUPPORT = 100
 MOST_WORDS = 5
 TOP = 2000
 INSIDE_PERCENT = 100
-#: Words of a language mined at once: what one task holds (some 50 bytes a word while it sorts).
-SHARD_WORDS = 1 << 21
-#: Words of a language whose exact counts one task adds up.
-TOGETHER = 1 << 25
+#: Words of a block: what a task sorts at once (some 50 bytes a word).
+BLOCK_WORDS = 1 << 20
+#: Words of a shard: what a task holds of a language (some 10 bytes a word).
+SHARD_WORDS = 1 << 23
 #: Largest Bloom filter: 16 MB.
 FILTER_BITS = 1 << 27
 UND = "und"
@@ -114,7 +117,7 @@ def _tokens(texts: pa.Array) -> pa.Array:
     return pc.split_pattern_regex(pc.binary_join_element_wise(cut, "\n", " "), "[ \t]+").flatten().dictionary_encode()
 
 
-class Shard:
+class Block:
     """Words of one language as numbers; number 0 ends a piece."""
 
     def __init__(self, lang: str):
@@ -163,21 +166,21 @@ def phrases(ids: np.ndarray, vocabulary: pa.Array, own: np.ndarray, keep: Callab
         yield texts, counts, k
 
 
-def _filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
-    """Shards of a task's batches (lang, text); the largest is given out whenever ``limit`` words are held."""
-    held: dict[str, Shard] = {}
+def _filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
+    """Blocks of a task's batches (lang, text); the largest is given out whenever ``limit`` words are held."""
+    held: dict[str, Block] = {}
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         which = langs.indices.to_numpy()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
-            held.setdefault(lang, Shard(lang)).add(batch.column(1).take(pa.array(np.flatnonzero(which == k))))
+            held.setdefault(lang, Block(lang)).add(batch.column(1).take(pa.array(np.flatnonzero(which == k))))
             while sum(s.size for s in held.values()) >= limit:
                 yield held.pop(max(held, key=lambda x: held[x].size))
     yield from held.values()
 
 
-def encode(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = SHARD_WORDS) -> DataFrame:
-    """Shards (lang, size, words, hashes, counts, ids, number): a vocabulary with counts, and the numbers of the words in their order."""
+def encode(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks (lang, size, words, hashes, counts, ids, place): a vocabulary with counts, and the numbers of the words in their order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, shard in enumerate(_filled(batches, limit)):
             if shard.size:
@@ -189,7 +192,7 @@ def encode(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int =
 
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).alias("text")) \
         .mapInArrow(run, "lang string, size bigint, words array<string>, hashes array<bigint>, counts array<bigint>, ids binary, seq int") \
-        .withColumn("number", F.xxhash64(F.spark_partition_id(), "seq")).drop("seq")
+        .withColumn("place", F.xxhash64(F.spark_partition_id(), "seq")).drop("seq")
 
 
 def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
@@ -204,87 +207,149 @@ def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatc
     yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=_SLICE)
 
 
-def local_mining(shards: DataFrame, parts: Filter, k: int) -> DataFrame:
-    """(h, need, above): phrases of ``k`` words in shards (hashes, ids, least, need), whose parts pass the filter.
+_FIELDS = ["lang", "phrase", "h", "k", "f"]
 
-    ``least`` is a shard's local support; ``above`` is by how much a phrase's
-    local counts reach beyond least - 1 in the shards that name it.
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Counts ``f`` of tables (lang, phrase, h, k, f), added up."""
+    return pa.concat_tables(tables).group_by(_FIELDS[:4]).aggregate([("f", "sum")]).select([*_FIELDS[:4], "f_sum"]).rename_columns(_FIELDS)
+
+
+def _added(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task, added up as far as _HELD phrases can be held."""
+    held, size = [], 0
+    for t in tables:
+        held.append(t)
+        size += len(t)
+        if size >= _HELD:
+            held = [_summed(held)]
+            size = len(held[0])
+            if size >= _HELD // 2:
+                yield from held.pop().to_batches(max_chunksize=_SLICE)
+                size = 0
+    if held:
+        yield from _summed(held).to_batches(max_chunksize=_SLICE)
+
+
+def _counted(lang: str, texts: pa.Array, hashes: np.ndarray, k: int, counts: np.ndarray) -> pa.Table:
+    n = len(texts)
+    return pa.table([pa.array([lang] * n, pa.string()), texts.cast(pa.string()), pa.array(hashes.view(np.int64)),
+                     pa.array(np.full(n, k, np.int32)), pa.array(counts.astype(np.int64))], names=_FIELDS)
+
+
+_COUNTED = "lang string, phrase string, h bigint, k int, f bigint"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    for batch in batches:
+        for row in range(len(batch)):
+            yield batch, row
+
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(lang, phrase, h, f) of every word."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added(_counted(b.column("lang")[r].as_py(), b.column("words")[r].values.slice(1), _numbers(b, r, "hashes")[1:].view(np.uint64), 1,
+                                   _numbers(b, r, "counts")[1:]) for b, r in _blocks(batches))        # number 0 is no word
+
+    return blocks.select("lang", "words", "hashes", "counts").mapInArrow(count, _COUNTED) \
+        .groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
+
+
+def _placed(ids: np.ndarray, own: np.ndarray, parts: Filter, k: int) -> np.ndarray:
+    """Hashes of a block's phrases of ``k`` words whose parts pass the filter, in their order."""
+    h, whole = own[ids], ids != 0
+    for step in range(1, k - 1):                                # parts of k - 1 words
+        h, whole = _mix(h[:-1], own[ids[step:]]), whole[:-1] & (ids[step:] != 0)
+    good = whole & parts(h)
+    place = np.flatnonzero(good[:-1] & good[1:])
+    return _mix(h[place], own[ids[place + (k - 1)]])
+
+
+def mine_shard(blocks: list[tuple[np.ndarray, np.ndarray]], parts: Filter, k: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of the phrases of ``k`` words that occur ``least`` times or more in blocks (numbers, hashes of words)."""
+    if least == 1:                                              # everything counts; block by block is enough
+        for ids, own in blocks:
+            yield np.unique(_placed(ids, own, parts, k), return_counts=True)
+        return
+    slots = 1 << max(10, (sum(len(ids) for ids, _ in blocks) - 1).bit_length())
+    table, mask = np.zeros(slots, np.uint32), np.uint64(slots - 1)
+    for ids, own in blocks:
+        np.add.at(table, (_placed(ids, own, parts, k) & mask).astype(np.int64), np.uint32(1))
+    found = []
+    for ids, own in blocks:
+        h = _placed(ids, own, parts, k)
+        found.append(np.unique(h[table[(h & mask).astype(np.int64)] >= least], return_counts=True))
+    hashes, which = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+    counts = np.bincount(which, np.concatenate([c for _, c in found]), len(hashes)).astype(np.int64)
+    yield hashes[counts >= least], counts[counts >= least]
+
+
+def local_mining(blocks: DataFrame, parts: Filter, k: int, support: int, limit: int = SHARD_WORDS) -> DataFrame:
+    """(number, h, above) of phrases of ``k`` words in blocks (number, n, size, hashes, ids) whose parts pass the filter.
+
+    ``number`` is the language's and ``n`` its words.  ``above`` is by how much
+    a phrase's local counts reach beyond the local supports less 1 of the
+    shards that name it; where ``h`` is null, the sum of those of all shards.
     """
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                ids = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int32)
-                least, need = batch.column("least")[row].as_py(), batch.column("need")[row].as_py()
-                own = _numbers(batch, row, "hashes").view(np.uint64)
-                h, whole = own[ids], ids != 0
-                for step in range(1, k - 1):                    # parts of k - 1 words
-                    h, whole = _mix(h[:-1], own[ids[step:]]), whole[:-1] & (ids[step:] != 0)
-                good = whole & parts(h)
-                place = np.flatnonzero(good[:-1] & good[1:])
-                found, counts = np.unique(_mix(h[place], own[ids[place + (k - 1)]]), return_counts=True)
-                found, counts = found[counts >= least], counts[counts >= least]
-                yield from _sliced([pa.array(found.view(np.int64)), pa.array(np.full(len(found), need, np.int64)),
-                                    pa.array(counts.astype(np.int64) - (least - 1))], ["h", "need", "above"])
-
-    return shards.select("hashes", "ids", "least", "need").mapInArrow(mine, "h bigint, need bigint, above bigint") \
-        .groupBy("h", "need").agg(F.sum("above").alias("above"))
-
-
-def exact_counts(shards: DataFrame, filters: dict[int, Filter], together: int = TOGETHER) -> DataFrame:
-    """(lang, phrase, k, f) over all shards (with ``n``), of every phrase that the filters let through.
-
-    Shards of a language are dealt into groups of about ``together`` words; one
-    task adds a group's counts up before they are shuffled.
-    """
+        held: dict[int, list] = {}
+        words: dict[int, int] = {}
+        total: dict[int, int] = {}
+
+        def give(lang: int) -> Iterator[pa.RecordBatch]:
+            least = -(-support * words[lang] // total[lang])
+            for h, counts in mine_shard(held.pop(lang), parts, k, least):
+                yield from _sliced([pa.array(np.full(len(h), lang, np.int32)), pa.array(h.view(np.int64)),
+                                    pa.array(counts.astype(np.int64) - (least - 1))], ["number", "h", "above"])
+            del words[lang]
+            yield from _sliced([pa.array([lang], pa.int32()), pa.array([None], pa.int64()), pa.array([least - 1], pa.int64())], ["number", "h", "above"])
+
+        for b, r in _blocks(batches):
+            lang = b.column("number")[r].as_py()
+            total[lang] = b.column("n")[r].as_py()
+            held.setdefault(lang, []).append((np.frombuffer(b.column("ids")[r].as_py(), np.int32), _numbers(b, r, "hashes").view(np.uint64).copy()))
+            words[lang] = words.get(lang, 0) + b.column("size")[r].as_py()
+            while sum(words.values()) >= limit:
+                yield from give(max(words, key=words.get))
+        for lang in list(held):
+            yield from give(lang)
+
+    return blocks.select("number", "n", "size", "hashes", "ids").mapInArrow(mine, "number int, h bigint, above bigint") \
+        .groupBy("number", "h").agg(F.sum("above").alias("above"))
+
+
+def exact_counts(blocks: DataFrame, filters: dict[int, Filter]) -> DataFrame:
+    """(lang, phrase, k, f) over all blocks, of every phrase that the filters let through."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "k", "f"]
-        held, size = [], 0
+        def found() -> Iterator[pa.Table]:
+            for b, r in _blocks(batches):
+                ids, words = np.frombuffer(b.column("ids")[r].as_buffer(), np.int32), b.column("words")[r].values.cast(pa.large_string())
+                for texts, counts, k in phrases(ids, words, _numbers(b, r, "hashes").view(np.uint64), lambda h, k: filters[k](h), max(filters)):
+                    yield _counted(b.column("lang")[r].as_py(), texts, np.zeros(len(texts), np.uint64), k, counts)
 
-        def added() -> pa.Table:
-            return pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")]).select([*names[:3], "f_sum"]).rename_columns(names)
+        yield from _added(found())
 
-        for batch in batches:
-            for row in range(len(batch)):
-                ids = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int32)
-                words = batch.column("words")[row].values.cast(pa.large_string())
-                for found, counts, k in phrases(ids, words, _numbers(batch, row, "hashes").view(np.uint64),
-                                                lambda h, k: filters[k](h), max(filters)):
-                    held.append(pa.table([pa.array([batch.column("lang")[row].as_py()] * len(found), pa.string()), found.cast(pa.string()),
-                                          pa.array(np.full(len(found), k, np.int32)), pa.array(counts.astype(np.int64))], names=names))
-                    size += len(found)
-                if size >= _HELD:
-                    held = [added()]
-                    size = len(held[0])
-                    if size >= _HELD // 2:
-                        yield from held.pop().to_batches(max_chunksize=_SLICE)
-                        size = 0
-        if held:
-            yield from added().to_batches(max_chunksize=_SLICE)
-
-    groups = F.ceil(F.col("n") / together).cast("bigint")
-    return shards.select("lang", "words", "hashes", "ids", F.pmod("number", groups).alias("group")).repartition("lang", "group") \
-        .mapInArrow(count, "lang string, phrase string, k int, f bigint") \
+    return blocks.select("lang", "words", "hashes", "ids").mapInArrow(count, _COUNTED) \
         .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT,
-                     most: int = MOST_WORDS, limit: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, most: int = MOST_WORDS,
+                     block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to ``most`` words with f >= support, and (lang, n) of the languages."""
-    shards = written(encode(docs, text, lang, limit), "colloc-shards")
-    sizes = shards.groupBy("lang").agg(F.sum("size").alias("n"))
-    least = F.ceil(F.col("size").cast("decimal(19,0)") * support / F.col("n").cast("decimal(19,0)")).cast("bigint")
-    slack = written(shards.select("lang", "size").join(sizes, "lang").groupBy("lang", "n")
-                    .agg((support - F.sum(least - 1)).alias("need")), "colloc-sizes")
-    local = shards.join(slack, "lang").withColumn("least", least)        # one small row per language
-    words = written(shards.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
-                    .filter(F.col("w.words") != _END).groupBy("lang", F.col("w.words").alias("phrase"), F.col("w.hashes").alias("h"))
-                    .agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= support), "colloc-words")
+    blocks = written(encode(docs, text, lang, block), "colloc-blocks")
+    sizes = written(row_index(blocks.groupBy("lang").agg(F.sum("size").alias("n")), order_by="lang", name="number")
+                    .withColumn("number", F.col("number").cast("int")), "colloc-sizes")
+    group = F.pmod("place", F.ceil(F.col("n") / shard).cast("bigint"))
+    dealt = written(blocks.join(sizes, "lang").withColumn("group", group).repartition("lang", "group").drop("group", "place"), "colloc-dealt")
+    words = written(word_counts(dealt).filter(F.col("f") >= support), "colloc-words")
     filters = {1: bloom_filter(words)}
     for k in range(2, most + 1):
-        found = written(local_mining(local, filters[k - 1], k).filter("above >= need").select("h"), f"colloc-candidates{k}")
-        filters[k] = bloom_filter(found)
-    counted = written(exact_counts(local, filters).filter(F.col("f") >= support), "colloc-counts")
-    return words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(counted), slack.select("lang", "n")
+        found = written(local_mining(dealt, filters[k - 1], k, support, shard), f"colloc-mined{k}")
+        slack = found.filter("h is null").select("number", F.col("above").alias("slack"))            # a row per language
+        filters[k] = bloom_filter(found.filter("h is not null").join(slack, "number").filter(F.col("above") + F.col("slack") >= support))
+    counted = written(exact_counts(dealt, filters).filter(F.col("f") >= support), "colloc-counts")
+    return words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(counted), sizes.select("lang", "n")
 
 
 def cut_scores(frequent: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -315,9 +380,9 @@ def absorbed(frequent: DataFrame, percent: int = INSIDE_PERCENT) -> DataFrame:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, most: int = MOST_WORDS,
-                 top: int = TOP, inside_percent: int = INSIDE_PERCENT, limit: int = SHARD_WORDS) -> DataFrame:
+                 top: int = TOP, inside_percent: int = INSIDE_PERCENT, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` collocations."""
-    frequent, sizes = frequent_phrases(docs, text, lang, support, most, limit)
+    frequent, sizes = frequent_phrases(docs, text, lang, support, most, block, shard)
     scored = cut_scores(frequent, sizes).join(absorbed(frequent, inside_percent), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top) \

@@ -51,12 +51,12 @@ def corpus():
     return rows + [("en", "New York city hall"), ("en", "a a a a a a a"), ("en", None), (None, None), ("en", ""), ("fr", " .,; ")] * 3
 
 
-@pytest.mark.parametrize("limit", [1, 40, 1 << 22])
+@pytest.mark.parametrize("block,shard", [(1, 1), (40, 100), (40, 1 << 20), (1 << 21, 1 << 24)])
 @pytest.mark.parametrize("support", [2, 7])
-def test_matches_plain_counts(prepared, docs, limit, support):
+def test_matches_plain_counts(prepared, docs, block, shard, support):
     rows = corpus()
     d = docs([(k, t, lang) for k, (lang, t) in enumerate(rows)], 4)
-    assert got(C.collocations(d, support=support, limit=limit)) == plain(rows, support)
+    assert got(C.collocations(d, support=support, block=block, shard=shard)) == plain(rows, support)
 
 
 def test_percent_top_and_most(prepared, docs):
@@ -70,13 +70,13 @@ def test_full_filter_stays_exact(prepared, docs, monkeypatch):
     rows = corpus()
     d = docs([(k, t, lang) for k, (lang, t) in enumerate(rows)])
     monkeypatch.setattr(C.bloom_filter, "__defaults__", (64,))
-    assert got(C.collocations(d, support=3, limit=50)) == plain(rows, 3)
+    assert got(C.collocations(d, support=3, block=50, shard=120)) == plain(rows, 3)
 
 
 def test_hot_language_and_long_text(prepared, docs):
     rows = [("en", "x y z. " * 5000)] + [("en", "x y z")] * 200 + [("de", "x y")] * 99 + [("fr", "p q")] * 100
     d = docs([(k, t, lang) for k, (lang, t) in enumerate(rows)], 5)
-    out = got(C.collocations(d, limit=300))
+    out = got(C.collocations(d, block=300, shard=2000))
     assert out == plain(rows)
     assert [(r[0], r[2], r[3]) for r in out] == [("en", "x y z", 5200), ("fr", "p q", 100)]
 
