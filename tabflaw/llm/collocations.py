@@ -4,10 +4,10 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?]`` and line breaks,
 and pieces into words at blanks and tabs.  Per language, a phrase of 2 to
 MOST_WORDS words is a collocation if it occurs ``support`` times or more.
 
-1. *Blocks*: words become numbers, in blocks of up to BLOCK_WORDS words of one
-   language with their vocabulary.  Blocks are dealt by language into groups of
-   about SHARD_WORDS words; what one task holds of a language is a shard.
-   Summed word counts give the words that reach the support.
+1. *Blocks*: texts are dealt by language into groups of about SHARD_WORDS words,
+   and their words become numbers, in blocks of up to BLOCK_WORDS words of one
+   language with their vocabulary.  What one task then holds of a language is a
+   shard.  Summed word counts give the words that reach the support.
 2. *Local mining*, one phrase length after another: every shard is mined
    completely at the support lowered to its share of the language, which a
    phrase must reach in some shard to reach the support in sum.  Only phrases
@@ -24,8 +24,8 @@ lets through by mistake is dropped by the exact sums.  Mining shuffles 64-bit
 hashes and counts (a shared hash only adds a candidate); the last reading knows
 phrases inside a block by dense numbers and sums by text, so it is exact.  Many
 shards lower the local support; at 1 every phrase of frequent parts is counted,
-which is linear in the words.  A hot language is many shards; words are
-shuffled once, as numbers.
+which is linear in the words.  A hot language is many shards; texts are
+shuffled once.
 
 Scores compare a phrase with its cuts into a first and a second part; products
 are decimals of 38 digits.  A longer candidate with ``inside_percent`` of a
@@ -57,9 +57,10 @@ MOST_WORDS = 5
 TOP = 2000
 INSIDE_PERCENT = 100
 #: Words of a block: what a task sorts at once (some 50 bytes a word).
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 #: Words of a shard: what a task holds of a language (some 10 bytes a word).
 SHARD_WORDS = 1 << 23
+_CHARS = 6                        # characters a word, about; for the layout only
 #: Largest Bloom filter: 16 MB.
 FILTER_BITS = 1 << 27
 UND = "und"
@@ -179,20 +180,27 @@ def _filled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
     yield from held.values()
 
 
-def encode(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks (lang, size, words, hashes, counts, ids, place): a vocabulary with counts, and the numbers of the words in their order."""
+def encode(docs: DataFrame, text: str = "text", lang: str = "lang", block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
+    """Blocks (lang, size, words, hashes, counts, ids): a vocabulary with counts, and the numbers of the words in their order.
+
+    Texts are dealt by language and a running number into groups of about ``shard`` words, a task reading whole groups.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, shard in enumerate(_filled(batches, limit)):
-            if shard.size:
-                ids = np.concatenate(shard.parts)
+        for held in _filled(batches, block):
+            if held.size:
+                ids = np.concatenate(held.parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.lang]), pa.array([shard.size]), pa.array([list(shard.number)], pa.list_(pa.string())),
-                     pa.array([shard.hashes().view(np.int64)]), pa.array([np.bincount(ids, minlength=len(shard.number))]),
-                     pa.array([ids.tobytes()]), pa.array([seq], pa.int32())], names=["lang", "size", "words", "hashes", "counts", "ids", "seq"])
+                    [pa.array([held.lang]), pa.array([held.size]), pa.array([list(held.number)], pa.list_(pa.string())),
+                     pa.array([held.hashes().view(np.int64)]), pa.array([np.bincount(ids, minlength=len(held.number))]),
+                     pa.array([ids.tobytes()])], names=["lang", "size", "words", "hashes", "counts", "ids"])
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).alias("text")) \
-        .mapInArrow(run, "lang string, size bigint, words array<string>, hashes array<bigint>, counts array<bigint>, ids binary, seq int") \
-        .withColumn("place", F.xxhash64(F.spark_partition_id(), "seq")).drop("seq")
+    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).alias("text"))
+    lengths = written(texts.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")), "colloc-lengths")      # a row per language
+    groups = F.greatest(F.ceil(F.coalesce("chars", F.lit(0)) / (shard * _CHARS)), F.lit(1)).cast("bigint")
+    dealt = texts.withColumn("at", F.monotonically_increasing_id()).join(lengths, "lang") \
+        .withColumn("group", F.pmod(F.xxhash64("at"), groups)).select("lang", "group", "text").repartition("lang", "group").drop("group")
+    return dealt.mapInArrow(run, "lang string, size bigint, words array<string>, hashes array<bigint>, counts array<bigint>, ids binary")
 
 
 def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
@@ -200,19 +208,19 @@ def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
 
 
 _SLICE = 100_000
-_HELD = 1 << 20                   # phrases with counts that a task holds before it gives them out
+_HELD = 1 << 17                   # phrases with counts that a task holds before it gives them out
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=_SLICE)
 
 
-_FIELDS = ["lang", "phrase", "h", "k", "f"]
+_FIELDS = ["lang", "phrase", "k", "f"]
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
-    """Counts ``f`` of tables (lang, phrase, h, k, f), added up."""
-    return pa.concat_tables(tables).group_by(_FIELDS[:4]).aggregate([("f", "sum")]).select([*_FIELDS[:4], "f_sum"]).rename_columns(_FIELDS)
+    """Counts ``f`` of tables (lang, phrase, k, f), added up."""
+    return pa.concat_tables(tables).group_by(_FIELDS[:3]).aggregate([("f", "sum")]).select([*_FIELDS[:3], "f_sum"]).rename_columns(_FIELDS)
 
 
 def _added(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -229,15 +237,14 @@ def _added(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
                 size = 0
     if held:
         yield from _summed(held).to_batches(max_chunksize=_SLICE)
+    held.clear()
+    pa.default_memory_pool().release_unused()       # the worker goes on to other tasks
 
 
-def _counted(lang: str, texts: pa.Array, hashes: np.ndarray, k: int, counts: np.ndarray) -> pa.Table:
+def _counted(lang: str, texts: pa.Array, k: int, counts: np.ndarray) -> pa.Table:
     n = len(texts)
-    return pa.table([pa.array([lang] * n, pa.string()), texts.cast(pa.string()), pa.array(hashes.view(np.int64)),
-                     pa.array(np.full(n, k, np.int32)), pa.array(counts.astype(np.int64))], names=_FIELDS)
-
-
-_COUNTED = "lang string, phrase string, h bigint, k int, f bigint"
+    return pa.table([pa.array([lang] * n, pa.string()), texts.cast(pa.string()), pa.array(np.full(n, k, np.int32)),
+                     pa.array(counts.astype(np.int64))], names=_FIELDS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -248,12 +255,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def word_counts(blocks: DataFrame) -> DataFrame:
     """(lang, phrase, h, f) of every word."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _added(_counted(b.column("lang")[r].as_py(), b.column("words")[r].values.slice(1), _numbers(b, r, "hashes")[1:].view(np.uint64), 1,
-                                   _numbers(b, r, "counts")[1:]) for b, r in _blocks(batches))        # number 0 is no word
-
-    return blocks.select("lang", "words", "hashes", "counts").mapInArrow(count, _COUNTED) \
-        .groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
+    return blocks.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w")).filter(F.col("w.words") != _END) \
+        .groupBy("lang", F.col("w.words").alias("phrase"), F.col("w.hashes").alias("h")).agg(F.sum("w.counts").alias("f"))
 
 
 def _placed(ids: np.ndarray, own: np.ndarray, parts: Filter, k: int) -> np.ndarray:
@@ -272,7 +275,7 @@ def mine_shard(blocks: list[tuple[np.ndarray, np.ndarray]], parts: Filter, k: in
         for ids, own in blocks:
             yield np.unique(_placed(ids, own, parts, k), return_counts=True)
         return
-    slots = 1 << max(10, (sum(len(ids) for ids, _ in blocks) - 1).bit_length())
+    slots = 1 << max(10, (sum(len(ids) for ids, _ in blocks) - 1).bit_length() - 1)
     table, mask = np.zeros(slots, np.uint32), np.uint64(slots - 1)
     for ids, own in blocks:
         np.add.at(table, (_placed(ids, own, parts, k) & mask).astype(np.int64), np.uint32(1))
@@ -314,6 +317,7 @@ def local_mining(blocks: DataFrame, parts: Filter, k: int, support: int, limit:
                 yield from give(max(words, key=words.get))
         for lang in list(held):
             yield from give(lang)
+        pa.default_memory_pool().release_unused()
 
     return blocks.select("number", "n", "size", "hashes", "ids").mapInArrow(mine, "number int, h bigint, above bigint") \
         .groupBy("number", "h").agg(F.sum("above").alias("above"))
@@ -326,22 +330,21 @@ def exact_counts(blocks: DataFrame, filters: dict[int, Filter]) -> DataFrame:
             for b, r in _blocks(batches):
                 ids, words = np.frombuffer(b.column("ids")[r].as_buffer(), np.int32), b.column("words")[r].values.cast(pa.large_string())
                 for texts, counts, k in phrases(ids, words, _numbers(b, r, "hashes").view(np.uint64), lambda h, k: filters[k](h), max(filters)):
-                    yield _counted(b.column("lang")[r].as_py(), texts, np.zeros(len(texts), np.uint64), k, counts)
+                    yield _counted(b.column("lang")[r].as_py(), texts, k, counts)
 
         yield from _added(found())
 
-    return blocks.select("lang", "words", "hashes", "ids").mapInArrow(count, _COUNTED) \
+    return blocks.select("lang", "words", "hashes", "ids").mapInArrow(count, "lang string, phrase string, k int, f bigint") \
         .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, most: int = MOST_WORDS,
                      block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to ``most`` words with f >= support, and (lang, n) of the languages."""
-    blocks = written(encode(docs, text, lang, block), "colloc-blocks")
+    blocks = written(encode(docs, text, lang, block, shard), "colloc-blocks")
     sizes = written(row_index(blocks.groupBy("lang").agg(F.sum("size").alias("n")), order_by="lang", name="number")
                     .withColumn("number", F.col("number").cast("int")), "colloc-sizes")
-    group = F.pmod("place", F.ceil(F.col("n") / shard).cast("bigint"))
-    dealt = written(blocks.join(sizes, "lang").withColumn("group", group).repartition("lang", "group").drop("group", "place"), "colloc-dealt")
+    dealt = blocks.join(sizes, "lang")                  # a written table of one row per language
     words = written(word_counts(dealt).filter(F.col("f") >= support), "colloc-words")
     filters = {1: bloom_filter(words)}
     for k in range(2, most + 1):
