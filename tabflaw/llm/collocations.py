@@ -40,13 +40,14 @@ Columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.cells import row_index
@@ -60,6 +61,7 @@ INSIDE_PERCENT = 100
 BLOCK_WORDS = 1 << 18
 #: Words of a shard: what a task holds of a language (some 10 bytes a word).
 SHARD_WORDS = 1 << 23
+ROWS_A_BATCH = "4"
 _CHARS = 6                        # characters a word, about; for the layout only
 #: Largest Bloom filter: 16 MB.
 FILTER_BITS = 1 << 27
@@ -338,6 +340,18 @@ def exact_counts(blocks: DataFrame, filters: dict[int, Filter]) -> DataFrame:
         .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
+@contextlib.contextmanager
+def _few_rows_a_batch(spark: SparkSession) -> Iterator[None]:
+    """Blocks are rows of a megabyte and more: within this, table scans take ROWS_A_BATCH rows at once, not thousands."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS_A_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, most: int = MOST_WORDS,
                      block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to ``most`` words with f >= support, and (lang, n) of the languages."""
@@ -345,13 +359,14 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     sizes = written(row_index(blocks.groupBy("lang").agg(F.sum("size").alias("n")), order_by="lang", name="number")
                     .withColumn("number", F.col("number").cast("int")), "colloc-sizes")
     dealt = blocks.join(sizes, "lang")                  # a written table of one row per language
-    words = written(word_counts(dealt).filter(F.col("f") >= support), "colloc-words")
-    filters = {1: bloom_filter(words)}
-    for k in range(2, most + 1):
-        found = written(local_mining(dealt, filters[k - 1], k, support, shard), f"colloc-mined{k}")
-        slack = found.filter("h is null").select("number", F.col("above").alias("slack"))            # a row per language
-        filters[k] = bloom_filter(found.filter("h is not null").join(slack, "number").filter(F.col("above") + F.col("slack") >= support))
-    counted = written(exact_counts(dealt, filters).filter(F.col("f") >= support), "colloc-counts")
+    with _few_rows_a_batch(docs.sparkSession):
+        words = written(word_counts(dealt).filter(F.col("f") >= support), "colloc-words")
+        filters = {1: bloom_filter(words)}
+        for k in range(2, most + 1):
+            found = written(local_mining(dealt, filters[k - 1], k, support, shard), f"colloc-mined{k}")
+            slack = found.filter("h is null").select("number", F.col("above").alias("slack"))            # a row per language
+            filters[k] = bloom_filter(found.filter("h is not null").join(slack, "number").filter(F.col("above") + F.col("slack") >= support))
+        counted = written(exact_counts(dealt, filters).filter(F.col("f") >= support), "colloc-counts")
     return words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(counted), sizes.select("lang", "n")
 
 

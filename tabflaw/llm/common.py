@@ -90,6 +90,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A column name near ``name`` that is not among ``taken`` (Spark compares names without case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 (32 bytes) of whole rows: of their JSON with nulls named, so a null never stands for another value."""
+    whole = F.to_json(F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(whole, 256))
+
+
 def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 

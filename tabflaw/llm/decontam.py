@@ -35,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import struct_type, text_udf, written
+from .common import free_name, quoted, struct_type, text_udf, written
 
 WINDOW = 10
+#: Of a document's words, the share that may be benchmark passages; above it, a document is more benchmark than text.
+MAX_COVERAGE = 0.2
 PART_WORDS = 200_000             # words per automaton: about 0.25 GB in a worker and on the driver (8,000 words here)
 #: Every byte that is no part of a word becomes a blank, A-Z become a-z.
 _BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
@@ -220,21 +222,30 @@ def find_in(text: Column, automaton) -> Column:
     return text_udf(run, _FOUND_SQL, _FOUND)(text)
 
 
+def _pairwise(fn, returns: str, kind: pa.DataType):
+    """Arrow UDF of two columns, value by value."""
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([fn(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], type=kind)
+
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returns)
+
+
 def match(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
           window: int = WINDOW, part_words: int = PART_WORDS, found: str = "__found") -> DataFrame:
     """``docs`` with a struct ``found``: n_words, spans (word positions, end exclusive), items."""
-    spark = docs.sparkSession
-    out, merge = None, F.udf(lambda a, b: union(a, b), "array<array<bigint>>")
+    spark, more = docs.sparkSession, free_name([*docs.columns, found], "more_found")
+    out, merge = None, _pairwise(union, "array<array<bigint>>", pa.list_(pa.list_(pa.int64())))
     for part in item_parts(items, item_id, item_text, window, part_words):
         automaton = spark.sparkContext.broadcast(Automaton(part, window))
         if out is None:
-            out = docs.withColumn(found, find_in(F.col(text), automaton))
+            out = docs.withColumn(found, find_in(F.col(quoted(text)), automaton))
             continue
         # the next part of the items: what is known so far is written, so only one automaton is in memory
-        out = written(out, "decontam").withColumn("__more", find_in(F.col(text), automaton))
+        out = written(out, "decontam").withColumn(more, find_in(F.col(quoted(text)), automaton))
         out = out.withColumn(found, F.struct(
-            F.col(f"{found}.n_words").alias("n_words"), merge(f"{found}.spans", "__more.spans").alias("spans"),
-            F.array_union(f"{found}.items", "__more.items").alias("items"))).drop("__more")
+            F.col(f"{found}.n_words").alias("n_words"), merge(F.col(f"{found}.spans"), F.col(f"{more}.spans")).alias("spans"),
+            F.array_union(f"{found}.items", f"{more}.items").alias("items"))).drop(more)
     return out
 
 
@@ -268,16 +279,33 @@ def cut(text: str | None, spans: list) -> str | None:
     return b"\n".join(keep).decode("utf-8", "replace")
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", min_span: int = 1, max_coverage: float = 0.5,
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", min_span: int = 1, max_coverage: float = MAX_COVERAGE,
           **options) -> DataFrame:
-    """``docs`` without benchmark passages: spans of ``min_span`` or more hit words are cut out of the text, and
-    rows of which more than ``max_coverage`` of the words are hit go.  Other rows are returned as they are."""
-    found = match(docs, items, text=text, **options)
-    spans = F.filter("__found.spans", lambda s: s[1] - s[0] >= min_span)
+    """``docs`` without benchmark passages.
+
+    Spans of ``min_span`` or more hit words are cut out of the text, and the
+    joined text is matched again until it holds none; rows of which more than
+    ``max_coverage`` of the words were hit in all go.  Other rows are returned
+    as they are.  Null and empty texts, and all rows if there are no items,
+    stay; repeated rows are treated alike.
+    """
+    found, before, gone = (free_name(docs.columns, n) for n in ("found", "words_before", "words_cut"))
+    spans = F.filter(F.col(f"{found}.spans"), lambda s: s[1] - s[0] >= min_span)
     n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda s, x: s + x[1] - x[0])
-    shorter = F.udf(lambda t, s: cut(t, s), "string")
-    kept = found.filter(n_hit <= F.col("__found.n_words") * F.lit(float(max_coverage)))
-    if max_coverage <= 0:                      # no hit is allowed: nothing is left to cut
-        return kept.drop("__found")
-    return kept.withColumn(text, F.when(F.size(spans) > 0, shorter(F.col(text), spans)).otherwise(F.col(text))) \
-        .select(docs.columns)
+    shorter = _pairwise(cut, "string", pa.string())
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    first = match(docs, items, text=text, found=found, **options)
+    untouched = first.filter(F.size(spans) == 0).select(*columns)
+    hit = first.filter(F.size(spans) > 0).select("*", F.col(f"{found}.n_words").alias(before), F.lit(0).cast("bigint").alias(gone))
+    done = []
+    while True:                                        # texts only get shorter; few rows go into a second round
+        hit = written(hit.withColumn(gone, F.col(gone) + n_hit).filter(F.col(gone) <= F.col(before) * F.lit(float(max_coverage)))
+                      .withColumn(text, shorter(F.col(quoted(text)), spans)).drop(found), "decontam-cut")
+        hit = written(match(hit, items, text=text, found=found, **options), "decontam-again")
+        done.append(hit.filter(F.size(spans) == 0).select(*columns))
+        hit = hit.filter(F.size(spans) > 0)
+        if hit.isEmpty():
+            break
+    for part in done:
+        untouched = untouched.unionAll(part)
+    return untouched

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cells import row_index
-from .common import one_long, written
+from .common import free_name, one_long, quoted, row_digest, written
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -74,7 +74,7 @@ def _uniform(*of) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(1 << 53)) / float(1 << 53)
 
 
-_ROW = "doc_id bigint, source string, size bigint, source_size bigint, target double, key bigint, base int, part double"
+_ROW = "doc_id bigint, source string, size bigint, source_size bigint, target double, key {key}, base int, part double"
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def decide(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
             .withColumn("chunk", F.pmod(F.xxhash64(F.lit(level), "key", "doc_id"), F.col("n_chunks"))).drop("n_chunks") \
             .withColumn("u", _uniform(F.lit(1000 + level), "key", "doc_id"))
         paired = dealt.repartition("source", "chunk").sortWithinPartitions(*order)
-        went = written(paired.mapInArrow(_pair, _ROW), f"mix-level{level}")
+        went = written(paired.mapInArrow(_pair, _ROW.format(key=rows.schema["key"].dataType.simpleString())), f"mix-level{level}")
         done = done.unionByName(went.filter("part in (0, 1)"))
         left = went.filter("part not in (0, 1)")
     done = done.unionByName(left.withColumn("part", F.round("part")))
@@ -155,12 +155,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it.
 
-    Rows are known by a hash of all their columns; equal rows are one row with
-    the sum of their copies.  Texts are shuffled once, by that hash.
+    Rows are known by the SHA-256 of all their columns, nulls told apart; equal
+    rows are one row with the sum of their copies.  Repeats are removed before
+    the shuffle as well as behind it, so a row that stands very often meets
+    there once a task.
     """
-    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    key, n, copy = (free_name(docs.columns, name) for name in ("mix_key", "mix_n", "mix_copy"))
+    whole = row_digest(docs.columns)
     copies = mix(docs, id_col, source, text, key=whole, **options) \
-        .groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__n")).filter("__n > 0")
-    rows = docs.withColumn("__key", whole).repartition("__key").dropDuplicates(["__key"])
-    return rows.join(copies, "__key").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))) \
-        .select(docs.columns)
+        .groupBy(F.col("key").alias(key)).agg(F.sum("copies").cast("int").alias(n)).filter(F.col(n) > 0)
+    rows = docs.withColumn(key, whole).dropDuplicates([key])
+    return rows.join(copies, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))) \
+        .select(*[F.col(quoted(c)) for c in docs.columns])

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_long, text_udf, written
+from .common import free_name, one_long, quoted, text_udf, written
 
 SEED = 42
 WORDS = 3
@@ -318,17 +318,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS,
                 distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest id (null ids last), then fingerprint.
+    """``docs`` with one row of each class: the one with the smallest id (null ids last), then fingerprint, then hash of the text.
 
-    Rows that leave are known by id and fingerprint, so texts are joined to them by a key that is not popular.
+    Rows that stay are known by id and SHA-256 of the text, so texts are joined
+    to them by a key that is not popular and fingerprints are made once.
     """
-    printed = docs.withColumn("__fp", fingerprints(F.col(text), size))
-    prints = written(printed.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp")), "simhash-docs")
-    found = classes(prints, distance, crowded)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    keep = prints.join(found, "fp").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.fp")
-    alone = prints.join(found.select("fp"), "fp", "left_anti").select("doc_id", "fp")
-    keep = keep.unionByName(alone).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"),
-                                          F.col("fp").alias("__fp"))
-    rows = printed.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    return rows.join(keep, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(docs.columns)
+    known = F.coalesce(F.unhex(F.sha2(F.col(quoted(text)), 256)), F.lit(b""))
+    prints = written(docs.select(F.col(quoted(id_col)).alias("doc_id"), known.alias("digest"), fingerprints(F.col(quoted(text)), size).alias("fp")), "simhash-docs")
+    found = classes(prints.select("doc_id", "fp"), distance, crowded)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest")
+    keep = prints.join(found, "fp").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.digest")
+    alone = prints.join(found.select("fp"), "fp", "left_anti").select("doc_id", "digest")
+    name, hashed = (free_name(docs.columns, n) for n in ("simhash_id", "simhash_digest"))
+    keep = keep.unionByName(alone).select(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")).alias(name),
+                                          F.col("digest").alias(hashed))
+    rows = docs.withColumn(name, F.coalesce(F.concat(F.lit("="), F.col(quoted(id_col)).cast("string")), F.lit("-"))).withColumn(hashed, known)
+    return rows.join(keep, [name, hashed], "left_semi").dropDuplicates([name, hashed]).select(*[F.col(quoted(c)) for c in docs.columns])

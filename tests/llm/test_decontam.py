@@ -93,3 +93,56 @@ def test_clean_and_edges(docs, prepared):
     assert {r["doc_id"] for r in decontam.clean(d, b, max_coverage=0.0).collect()} == {3, 4, 6}
     assert {r["n_hit"] for r in decontam.contamination(d, b.filter("item_id < 0")).collect()} == {0}
     assert decontam.contamination(d.filter("doc_id < 0"), b).count() == 0
+
+
+def plain_clean(text, items, window, most):
+    """The text without hit words, found and cut again until none is left; None if too many go."""
+    total, n = 0, len(plain_words(text))
+    while True:
+        at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        hit = sorted(plain_find(plain_words(text), items, window)[0])
+        if not hit:
+            return text
+        total += len(hit)
+        if total > most * n:
+            return None
+        keep, behind = [], 0
+        for k in hit:
+            if k - 1 not in hit:
+                keep.append(text[behind:at[k][0]].rstrip(" "))
+            behind = at[k][1]
+        text = "\n".join([*keep, text[behind:].lstrip(" ")])
+
+
+def test_cut_texts_like_a_plain_loop(docs, prepared):
+    import random
+    rng = random.Random(4)
+    vocab = [f"v{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(vocab, k=n))) for k, n in enumerate([3, 4, 4, 5, 2, 9])]
+    b = prepared.createDataFrame(items, "item_id bigint, text string")
+    plain = [(str(k), plain_words(t)) for k, t in items]
+    rows = [(k, "".join(rng.choice(vocab) + rng.choice([" ", ", ", "  ", ".\n", " é "]) for _ in range(rng.randrange(60)))) for k in range(150)]
+    rows += [(1000, "v0 " * 3 + "x " * 40_000 + items[5][1] + " y" * 40_000), (1001, None), (1002, "")]
+    for most in (0.2, 0.7, 1.0):
+        want = {k: c for k, t in rows if (c := plain_clean(t, plain, 4, most)) is not None or t is None}
+        for parts in (200_000, 6):
+            got = {r["doc_id"]: r["text"] for r in decontam.clean(docs(rows), b, window=4, max_coverage=most, part_words=parts).collect()}
+            assert got == want
+    assert any(t != dict(rows)[k] for k, t in want.items())
+
+
+def test_joined_ends_hold_no_window_and_a_common_word_empties_nothing(docs, prepared):
+    b = prepared.createDataFrame([(1, "a b c d e f g h i j"), (2, "p q r"), (3, "the")], "item_id bigint, text string")
+    text = "start here with some words p a b c d e f g h i j q r and many more words to the end of it all as is"
+    rows = [(1, text), (2, "the rain in spain falls mainly on the plain and nowhere else in all of spain")]
+    got = {r["doc_id"]: r["text"] for r in decontam.clean(docs(rows), b, max_coverage=0.7).collect()}
+    assert set(got) == {1, 2} and "q" not in got[1].split() and "the" not in got[2].split() and "rain in spain" in got[2]
+    assert got[1].split() == "start here with some words and many more words to end of it all as is".split()
+
+
+def test_extra_columns_of_any_name_stay(docs, prepared):
+    b = prepared.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    d = docs([(1, "w " * 20 + "a b c"), (2, "x")])
+    for name in ("__found", "found", "words_before", "words_cut", "more_found", "Found"):
+        out = decontam.clean(d.withColumn(name, F.lit("mine")), b)
+        assert out.columns == [*d.columns, name] and {r[name] for r in out.collect()} == {"mine"}

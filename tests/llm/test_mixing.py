@@ -87,3 +87,35 @@ def test_edges(docs, prepared):
     assert copies == {k: v for k, v in taken.items() if v}
     assert mixing.mix(d.filter("doc_id < 0")).count() == 0
     assert mixing.apply_mix(d.filter("doc_id < 0")).count() == 0
+
+
+def test_rows_that_differ_only_in_where_the_null_stands(docs, prepared):
+    d = docs([(1, "a b c", "en", None), (1, "a b c", None, "en"), (2, "a b c", "en", None), (None, "2", "en", "x"), (2, None, "en", "x")])
+    out = [tuple(r) for r in mixing.apply_mix(d).collect()]
+    want = {}
+    for r in mixing.mix(d, key=mixing.row_digest(d.columns)).collect():
+        want[r["doc_id"], r["size"], r["source"]] = r["copies"]
+    got = {}
+    for r in out:
+        k = (r[0], n_words(r[1]), r[3])
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+    assert (1, "a b c", None, "en", 5) in out and out.count((1, "a b c", "en", None, 5)) <= 2
+
+
+def test_equal_short_hashes_lose_no_row(docs, prepared, monkeypatch):
+    """Rows are known by their digest; that the random numbers are equal does not matter."""
+    monkeypatch.setattr(mixing, "_uniform", lambda *of: F.lit(0.5))
+    d = docs([(k, "w " * (1 + k % 3), None, "s") for k in range(50)])
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(d, key=mixing.row_digest(d.columns)).collect()}
+    got = {}
+    for r in mixing.apply_mix(d).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {k: v for k, v in copies.items() if v}
+
+
+def test_extra_columns_of_any_name_stay(docs, prepared):
+    d = docs([(k, "a b", None, "s") for k in range(6)])
+    for name in ("__n", "__key", "__k", "mix_key", "mix_n", "mix_copy", "MIX_KEY", "copies", "s", "a.b", "c`d"):
+        out = mixing.apply_mix(d.withColumn(name, F.lit("mine")))
+        assert out.columns == [*d.columns, name] and {tuple(r)[-1] for r in out.collect()} == {"mine"}

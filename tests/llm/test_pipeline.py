@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from conftest import SF_CHECK, SF_SMALL
 from tabflaw.llm import langid, mixing, shards
-from .test_decontam import plain_find, plain_words
+from .test_decontam import plain_clean, plain_words
 from .test_simhash import plain_classes, plain_fingerprint
 
 
@@ -37,8 +39,9 @@ def test_stages_follow_brute_force(prepared, monkeypatch):
 
     before, after = seen["decontamination"]
     items = [(str(r["item_id"]), plain_words(r["text"])) for r in prepared.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
-    clean = [r for r in before if not plain_find(plain_words(r["text"]), items, 10)[0]]
-    assert sorted(map(str, after)) == sorted(map(str, clean)) and len(clean) < len(before)
+    clean = {r["doc_id"]: t for r in before if (t := plain_clean(r["text"], items, 10, 0.2)) is not None}
+    assert {r["doc_id"]: r["text"] for r in after} == clean and len(after) == len(clean)
+    assert all(r["n_chars"] == len(r["text"]) for r in after) and any(clean.get(r["doc_id"], r["text"]) != r["text"] for r in before)
 
     before, after = seen["mixing"]
     times = Counter(r["doc_id"] for r in after)
@@ -67,3 +70,19 @@ def test_foreign_scripts_and_random_letters_go(prepared, docs):
     rows = real.collect()
     gone = [r["text"] for r in rows if r["doc_id"] not in kept]
     assert all(sum(c.isalpha() for c in t or "") < 100 for t in gone) and len(gone) < 0.005 * len(rows)
+
+
+def test_stages_on_empty_tables_nulls_repeats_and_clashing_names(prepared, docs, scratch):
+    rows = [(k, f"the house of number {k} is on the hill and it has a door and a window " * 3, "en", None if k % 3 else "web") for k in range(40)]
+    rows += [rows[0], rows[0], (100, None, None, None), (None, "the house on the hill of the town is old and it is big", "en", None), (101, "", "en", "web")]
+    prepared.createDataFrame([], "item_id long, text string").write.parquet(f"{scratch}/benchmark.parquet")
+    taken = ("identified", "__lang", "__n", "__fp", "simhash_id", "found", "mix_key", "at", "size")
+    d = docs(rows)
+    for name in taken:
+        d = d.withColumn(name, F.lit("mine"))
+    for table in (d, d.filter("false")):
+        for stage, f in P.STAGES[:-1]:
+            out = f(prepared, table, scratch)
+            assert out.columns == table.columns, stage
+            assert {x for r in out.collect() for x in tuple(r)[5:]} <= {"mine"}, stage
+        assert P.STAGES[-1][1](prepared, table, scratch).count() == table.count()

@@ -128,3 +128,13 @@ def test_edges(docs, prepared):
         [(3, ""), (7, "a b c d e f g h"), (None, "only one of these"), (9, "x")], key=repr)
     assert simhash.near_duplicates(d.filter("doc_id < 0")).count() == 0
     assert simhash.one_of_each(d.filter("doc_id < 0")).count() == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(docs, prepared):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (3, None), (None, ""), (4, "quite other words stand here")]
+    d = docs(rows)
+    for name in ("__id", "__fp", "simhash_id", "simhash_digest", "fp", "digest", "root"):
+        out = simhash.one_of_each(d.withColumn(name, F.lit("mine")))
+        got = out.collect()
+        assert out.columns == [*d.columns, name] and {r[name] for r in got} == {"mine"}
+        assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
