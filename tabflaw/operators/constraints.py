@@ -11,7 +11,8 @@ or a per-row membership over those groups:
 
 * ``pair_groups``     -- (rule, group_key, n_rows, n_pairs), groups of >= 2 rows
 * ``pair_members``    -- (rule, group_key, row_id) for rows that are in some pair
-* ``violation_counts``-- pairs that also satisfy the rule's non-EQ predicate
+* ``violation_counts``-- pairs that also satisfy the rule's non-EQ predicates
+                         (two order predicates or one across columns: see dominance)
 * ``violation_rows``  -- rows that take part in at least one violating pair
 * ``pick_pairs``      -- disjoint pairs drawn inside groups (by a distributed
                          sort, so a hot group is split over many tasks)
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
+from ..session import cut_lineage
 from .cells import row_index
 
 
@@ -138,8 +140,8 @@ def violation_spec(rule: str) -> tuple[list[str], list[str]]:
 
     Any number of IQ predicates plus at most one order predicate: LT / GT
     hold for some orientation of the pair iff the values differ; LTE / GTE
-    hold for every non-null pair.  Two order predicates would need the same
-    orientation for both (a dominance count), which is rejected.
+    hold for every non-null pair.  Two order predicates need the same
+    orientation for both, a dominance count (see ``dominance``).
     """
     preds = [p for p in parse_rule(rule) if p.op != "EQ"]
     if not preds:
@@ -157,6 +159,13 @@ def violation_spec(rule: str) -> tuple[list[str], list[str]]:
     return differ, present
 
 
+def _by_order(rule: str) -> bool:
+    """Whether a rule's violations are found by dominance counts: two order predicates, or one predicate across columns."""
+    preds = [p for p in parse_rule(rule) if p.op != "EQ"]
+    return (len(preds) == 2 and all(p.op in ("LT", "GT", "LTE", "GTE") and p.left == p.right for p in preds)) \
+        or (len(preds) == 1 and preds[0].left != preds[0].right and preds[0].op in ("IQ", "LT", "GT", "LTE", "GTE"))
+
+
 def _subsets(cols: list[str]):
     from itertools import combinations
     for r in range(len(cols) + 1):
@@ -177,6 +186,9 @@ def violation_counts(table: DataFrame, rule: str, key: str = "row_id",
     i.e. 2^|D| hash aggregations (one for a single IQ / LT / GT), never a
     pair list.  With no differ column (LTE / GTE only) every pair counts.
     """
+    if _by_order(rule):
+        from .dominance import order_violation_counts
+        return order_violation_counts(table, rule, key, null_keys_match)
     differ, present = violation_spec(rule)
     k = _keyed(table, rule, key, null_keys_match)
     for c in differ + present:
@@ -208,6 +220,9 @@ def violation_rows(table: DataFrame, rule: str, key: str = "row_id",
     one aggregate + key join per subset (a single column needs only the
     group's min and max).
     """
+    if _by_order(rule):
+        from .dominance import order_violation_rows
+        return order_violation_rows(table, rule, key, null_keys_match)
     differ, present = violation_spec(rule)
     k = _keyed(table, rule, key, null_keys_match)
     for c in differ + present:
@@ -246,8 +261,11 @@ def pick_pairs(table: DataFrame, rule: str, seed: int = 42, key: str = "row_id",
     is used twice, and only an odd group's last row stays alone.  The order is
     one distributed sort of (group, hash, id) with a dense index, so a hot
     group is spread over many tasks and its size changes nothing.  Ids that
-    are no integers take no part.
+    are no integers take no part.  For EQ predicates across columns see
+    ``pick_cross_pairs``.
     """
+    if any(p.op == "EQ" and p.left != p.right for p in parse_rule(rule)):
+        return pick_cross_pairs(table, rule, seed, key, null_keys_match)
     k = _keyed(table, rule, key, null_keys_match)
     ids = k.select("group_key", F.col(key).cast("string").try_cast("bigint").alias("_id"),
                    hash_key(seed, F.col(key)).alias("_h")).where(F.col("_id").isNotNull())
@@ -308,3 +326,63 @@ def cross_pair_members(table: DataFrame, rule: str, key: str = "row_id") -> Data
     me = F.when(F.col("_l") == F.col("_r"), 1).otherwise(0)   # a row whose L = R matches itself
     ok = ((F.col("_nr") - me) > 0) | ((F.col("_nl") - me) > 0)
     return j.where(ok).select(F.lit(rule).alias("rule"), F.col(key))
+
+
+def _ranked(rows: DataFrame, value: str, salt: str) -> DataFrame:
+    """(_v, _id, _k): rank of every row among those of its value, in a salted order; a hot value is spread by the sort."""
+    salted = rows.select(F.col(value).alias("_v"), "_id", F.md5(F.concat(F.lit(salt), F.col("_id").cast("string"))).alias("_h"))
+    idx = row_index(salted, order_by=["_v", "_h", "_id"], name="_i")
+    first = idx.groupBy("_v").agg(F.min("_i").alias("_first"))
+    return idx.join(first, "_v").select("_v", "_id", (F.col("_i") - F.col("_first")).alias("_k"))
+
+
+def pick_cross_pairs(table: DataFrame, rule: str, seed: int = 42, key: str = "row_id",
+                     null_keys_match: bool = True) -> DataFrame:
+    """Disjoint pairs of a rule whose EQ predicates compare different columns: (rule, group_key, row_id_1, row_id_2).
+
+    x and y are a candidate pair if x's left columns equal y's right columns.
+    Every round ranks the unused rows of each value twice, as left and as right
+    rows, and pairs equal ranks, so a value of any size is matched at once.  A
+    row may so stand in two pairs (left in one value, right in another); a pair
+    stays if it comes first, by its hash, in both its rows.  Rounds go on with
+    new orders until no two unused rows are a candidate pair, so the choice is
+    maximal; each round's pairs are a checkpoint.  ``group_key`` is the value
+    that joined them; row_id_1 is the smaller id.  Ids that are no integers and
+    rows that share an id with another take no part.
+    """
+    left, right = _eq_sides(rule)
+    def side(cols: list[str]) -> Column:
+        got = group_key(cols)
+        if null_keys_match:
+            return got
+        present = F.lit(True)
+        for c in cols:
+            present = present & F.col(_q(c)).isNotNull()
+        return F.when(present, got)
+    unused = cut_lineage(table.select(F.col(_q(key)).cast("string").try_cast("bigint").alias("_id"), side(left).alias("_l"), side(right).alias("_r"))
+                         .where("_id is not null").groupBy("_id").agg(F.count("*").alias("_n"), F.min("_l").alias("_l"), F.min("_r").alias("_r"))
+                         .where("_n = 1").drop("_n"))
+    chosen, level = None, 0
+    while True:
+        lefts = unused.where("_l is not null").groupBy(F.col("_l").alias("_v")).agg(F.count("*").alias("_nl"), F.min("_id").alias("_x"))
+        rights = unused.where("_r is not null").groupBy(F.col("_r").alias("_v")).agg(F.count("*").alias("_nr"), F.min("_id").alias("_y"))
+        open_ = cut_lineage(lefts.join(rights, "_v").where("_nl > 1 or _nr > 1 or _x <> _y").select("_v"))     # values that still have a pair
+        if open_.isEmpty():
+            break
+        level += 1
+        as_left = _ranked(unused.join(open_, unused["_l"] == open_["_v"], "left_semi"), "_l", f"{seed}|{level}|l|")
+        as_right = _ranked(unused.join(open_, unused["_r"] == open_["_v"], "left_semi"), "_r", f"{seed}|{level}|r|")
+        edges = cut_lineage(as_left.withColumnRenamed("_id", "_a").join(as_right.withColumnRenamed("_id", "_b"), ["_v", "_k"])
+                            .where("_a <> _b").select("_v", "_a", "_b", F.md5(F.concat_ws("|", F.lit(f"{seed}|{level}"), "_a", "_b")).alias("_h")))
+        order = F.struct("_h", "_a", "_b")
+        least = edges.select(F.explode(F.array("_a", "_b")).alias("_id"), order.alias("_o")).groupBy("_id").agg(F.min("_o").alias("_o"))
+        won = cut_lineage(edges.select("*", order.alias("_o"))
+                          .join(least.select(F.col("_id").alias("_a"), F.col("_o").alias("_oa")), "_a")
+                          .join(least.select(F.col("_id").alias("_b"), F.col("_o").alias("_ob")), "_b")
+                          .where("_o = _oa and _o = _ob").select("_v", "_a", "_b"))
+        chosen = won if chosen is None else chosen.unionByName(won)
+        unused = cut_lineage(unused.join(won.select(F.explode(F.array("_a", "_b")).alias("_id")), "_id", "left_anti"))
+    if chosen is None:
+        chosen = unused.limit(0).select(F.col("_l").alias("_v"), F.col("_id").alias("_a"), F.col("_id").alias("_b"))
+    return chosen.select(F.lit(rule).alias("rule"), F.col("_v").alias("group_key"), F.least("_a", "_b").alias("row_id_1"),
+                         F.greatest("_a", "_b").alias("row_id_2"))

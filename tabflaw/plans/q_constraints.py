@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constraints as CF
 from ..functions.hashing import hash_bucket
 from ..operators import constraints as C
+from ..operators import dominance as D
 from ..sources.tables import read_table
 from . import fixtures as fx
 from .oracle_sql import fixture_sql
@@ -328,3 +329,67 @@ def q_dc_cross_members(spark, sf_dir):
     out = _union([C.cross_pair_members(read_table(spark, sf_dir, t), r, key=k).withColumnRenamed(k, "row_id")
                   for t, k, r in CROSS_RULES])
     return out
+
+
+# Rules with two order predicates, and rules with a predicate across columns.
+ORDER2_RULES = [
+    ("orders", "o_orderkey", "EQ(t1.o_orderpriority,t2.o_orderpriority)&LT(t1.o_orderdate,t2.o_orderdate)&GT(t1.o_totalprice,t2.o_totalprice)"),
+    ("customer", "c_custkey", "EQ(t1.c_nationkey,t2.c_nationkey)&LTE(t1.c_mktsegment,t2.c_mktsegment)&GTE(t1.c_acctbal,t2.c_acctbal)"),
+    ("part", "p_partkey", "EQ(t1.p_brand,t2.p_brand)&GTE(t1.p_size,t2.p_size)&LTE(t1.p_type,t2.p_type)"),
+]
+ACROSS_RULES = [
+    ("part", "p_partkey", "EQ(t1.p_brand,t2.p_brand)&LT(t1.p_size,t2.p_partkey)"),
+    ("customer", "c_custkey", "EQ(t1.c_mktsegment,t2.c_mktsegment)&GTE(t1.c_nationkey,t2.c_custkey)"),
+    ("orders", "o_orderkey", "EQ(t1.o_orderpriority,t2.o_orderpriority)&IQ(t1.o_orderkey,t2.o_custkey)"),
+]
+
+
+def _either_way(rule):
+    sign = {"LT": "<", "GT": ">", "LTE": "<=", "GTE": ">=", "IQ": "<>"}
+    preds = C.parse_rule(rule)
+    eq = " and ".join(f"a.{p.left} is not distinct from b.{p.left}" for p in preds if p.op == "EQ")
+    ways = [" and ".join(f"{x}.{p.left} {sign[p.op]} {y}.{p.right}" for p in preds if p.op != "EQ") for x, y in ("ab", "ba")]
+    return f"{eq} and (({ways[0]}) or ({ways[1]}))"
+
+
+def _order_counts_sql(t, key, rule):
+    sides = [" and ".join(f"{getattr(p, s)} is not null" for p in C.parse_rule(rule) if p.op != "EQ") for s in ("left", "right")]
+    return f"""select '{rule}' as rule, s.group_key, s.n_rows, cast(p.n as decimal(38,0)) as n_pairs
+  from (select {_sql_gk(rule)} as group_key, count(*) as n_rows from {t} where ({sides[0]}) or ({sides[1]}) group by 1) s
+  join (select group_key, count(*) as n from (select a.* from (select *, {_sql_gk(rule)} as group_key from {t}) a
+    join {t} b on a.{key} < b.{key} and {_either_way(rule)}) group by 1) p using (group_key)"""
+
+
+def _order_rows_sql(t, key, rule):
+    return f"""select '{rule}' as rule, a.{key} as row_id from {t} a
+  where exists (select 1 from {t} b where a.{key} <> b.{key} and {_either_way(rule)})"""
+
+
+@query("dc_violations_order2", "\nunion all\n".join(_order_counts_sql(*r) for r in ORDER2_RULES))
+def q_dc_violations_order2(spark, sf_dir):
+    """Violations of rules with two order predicates, by dominance counts (oracle: brute-force self-join)."""
+    return _union([D.order_violation_counts(read_table(spark, sf_dir, t), r, key=k) for t, k, r in ORDER2_RULES])
+
+
+@query("dc_violation_rows_order2", "\nunion all\n".join(_order_rows_sql(*r) for r in ORDER2_RULES[1:]))
+def q_dc_violation_rows_order2(spark, sf_dir):
+    """Rows in some violation of a rule with two order predicates."""
+    return _union([D.order_violation_rows(read_table(spark, sf_dir, t), r, key=k).withColumnRenamed(k, "row_id") for t, k, r in ORDER2_RULES[1:]])
+
+
+@query("dc_violations_across", "\nunion all\n".join(_order_counts_sql(*r) for r in ACROSS_RULES))
+def q_dc_violations_across(spark, sf_dir):
+    """Violations of rules with an order or inequality predicate across columns (oracle: brute-force self-join)."""
+    return _union([D.order_violation_counts(read_table(spark, sf_dir, t), r, key=k) for t, k, r in ACROSS_RULES])
+
+
+@query("dc_violation_rows_across", "\nunion all\n".join(_order_rows_sql(*r) for r in ACROSS_RULES))
+def q_dc_violation_rows_across(spark, sf_dir):
+    """Rows in some violation of a rule with a predicate across columns."""
+    return _union([D.order_violation_rows(read_table(spark, sf_dir, t), r, key=k).withColumnRenamed(k, "row_id") for t, k, r in ACROSS_RULES])
+
+
+@query("pick_pairs_cross")
+def q_pick_pairs_cross(spark, sf_dir):
+    """Disjoint pairs of rules whose EQ predicates compare different columns (held against the definition in the tests)."""
+    return _union([C.pick_pairs(read_table(spark, sf_dir, t), r, key=k) for t, k, r in CROSS_RULES])
