@@ -226,7 +226,10 @@ DATE_FORMATS = [
     (r"\d{4}-\d{1,2}-\d{1,2}", ["yyyy-M-d"]), (r"\d{4}/\d{1,2}/\d{1,2}", ["yyyy/M/d"]), (r"\d{8}", ["yyyyMMdd"]),
     (r"\d{1,2}/\d{1,2}/\d{4}", ["M/d/yyyy", "d/M/yyyy"]), (r"\d{1,2}-\d{1,2}-\d{4}", ["M-d-yyyy", "d-M-yyyy"]),
     (r"\d{1,2}/\d{1,2}/\d{2}", ["M/d/yy", "d/M/yy"]), (r"\d{1,2} [A-Za-z]+ \d{4}", ["d MMM yyyy", "d MMMM yyyy"]),
-    (r"[A-Za-z]+ \d{1,2}, \d{4}", ["MMM d, yyyy", "MMMM d, yyyy"]), (r"[A-Za-z]+ \d{1,2} \d{4}", ["MMM d yyyy", "MMMM d yyyy"])]
+    (r"[A-Za-z]+ \d{1,2}, \d{4}", ["MMM d, yyyy", "MMMM d, yyyy"]), (r"[A-Za-z]+ \d{1,2} \d{4}", ["MMM d yyyy", "MMMM d yyyy"]),
+    (r"\d{4}-\d{1,2}", ["yyyy-M"]), (r"\d{4}\.\d{1,2}\.\d{1,2}", ["yyyy.M.d"]), (r"\d{1,2}\.\d{1,2}\.\d{4}", ["M.d.yyyy", "d.M.yyyy"]),
+    (r"\d{1,2}-[A-Za-z]+-\d{4}", ["d-MMM-yyyy", "d-MMMM-yyyy"]), (r"\d{1,2}-[A-Za-z]+-\d{2}", ["d-MMM-yy"]),
+    (r"[A-Za-z]+ \d{4}", ["MMM yyyy", "MMMM yyyy"])]
 TIME_FORMATS = [(r"\d{1,2}:\d{2}:\d{2}", ["H:mm:ss"]), (r"\d{1,2}:\d{2}", ["H:mm"]), (r"\d{1,2}:\d{2}:\d{2} [AP]M", ["h:mm:ss a"]),
                 (r"\d{1,2}:\d{2} [AP]M", ["h:mm a"]), (r"\d{1,2} [AP]M", ["h a"])]
 
@@ -244,27 +247,40 @@ def _by_shape(x: Column, shapes: list) -> Column:
 def parse_datetime(x: Column) -> Column:
     """Timestamp of a date, a time or both; null where no format fits.
 
-    Before matching, a 'T' between date and time becomes a blank, fractions of
-    seconds and a closing 'Z' go, and every spelling of a.m. / p.m. becomes AM /
-    PM.  A time without a date is on 1970-01-01.  The date and the time part are
-    matched apart, so the formats of both need not be multiplied.
+    Before matching, a leading weekday goes, a 'T' between date and time becomes
+    a blank (20200101T101112 gets its colons), fractions of seconds go, months
+    and a.m. / p.m. get one spelling.  A closing Z, UTC, GMT or +hh:mm behind a
+    time is the zone: the result is in UTC, and a text without a zone is read as
+    UTC.  A time without a date is on 1970-01-01, a month without a day on its
+    first.  The date and the time part are matched apart, so the formats of both
+    need not be multiplied.
     """
-    t = F.regexp_replace(F.trim(x.cast("string")), r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
+    t = F.regexp_replace(F.trim(x.cast("string")), r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+", "")
+    t = F.regexp_replace(t, r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
+    t = F.regexp_replace(t, r"^(\d{8})T(\d{2})(\d{2})(\d{2})", "$1 $2:$3:$4")
     t = F.regexp_replace(t, r"(:\d{2})\.\d+", "$1")
-    t = F.regexp_replace(t, r"(:\d{2})\s*Z$", "$1")
+    zone = r"(:\d{2}(?:\s?[AaPp][Mm])?)\s*(?:Z|UTC|GMT)?([+-]\d{2}:?\d{2})?$"
+    shift = F.regexp_replace(F.regexp_extract(t, zone, 2), ":", "")
+    seconds = F.when(shift == "", 0).otherwise(
+        F.when(F.left(shift, F.lit(1)) == "-", -1).otherwise(1)
+        * (F.substring(shift, 2, 2).try_cast("int") * 3600 + F.substring(shift, 4, 2).try_cast("int") * 60))
+    t = F.regexp_replace(t, zone, "$1")
     t = F.regexp_replace(t, r"(?i)\s*\b([ap])\.?\s?m\.?$", " $1M")
     clock = r"\d{1,2}(?::\d{2}){1,2}(?: [APap]M)?|\d{1,2} [APap]M"
 
     def parts(t):
-        at = F.regexp_extract(t, rf"(?:^|[\s,]+)({clock})$", 1)
-        return F.struct(F.upper(at).alias("at"), F.regexp_replace(t, rf"(?:^|[\s,]+)(?:{clock})$", "").alias("day"))
+        at = F.regexp_extract(t["t"], rf"(?:^|[\s,]+)({clock})$", 1)
+        day = F.regexp_replace(t["t"], rf"(?:^|[\s,]+)(?:{clock})$", "")
+        month = F.regexp_extract(day, r"[A-Za-z]+", 0)
+        spelled = F.when(month == "", day).otherwise(F.replace(day, month, F.initcap(month)))
+        return F.struct(F.upper(at).alias("at"), spelled.alias("day"), t["s"].alias("s"))
 
     def whole(p):
         start = F.when(p["day"] == "", F.to_timestamp(F.lit("1970-01-01"))).otherwise(_by_shape(p["day"], DATE_FORMATS))
         return let(_by_shape(p["at"], TIME_FORMATS), lambda time: F.when(p["at"] == "", F.when(p["day"] != "", start)).otherwise(
-            F.timestamp_seconds(F.unix_timestamp(start) + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time))))
+            F.timestamp_seconds(F.unix_timestamp(start) + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time) - p["s"])))
 
-    return let(let(t, parts), whole)
+    return let(let(F.struct(t.alias("t"), seconds.alias("s")), parts), whole)
 
 
 def datetime_similarity(pairs: DataFrame, a: str = "right_value", b: str = "error_value",

@@ -247,6 +247,26 @@ def q_datetime_similarity(spark, sf_dir):
     return M.datetime_similarity(logs, group_cols=["dataset"])
 
 
+# Written forms of a day (Spark pattern), and the seconds from its midnight, in UTC, that they mean.
+_FORMS = [("yyyy-MM-dd'T10:00:00+02:00'", 28800), ("yyyy-MM-dd '10:00:00 UTC'", 36000), ("EEE, dd MMM yyyy '15:04:05 GMT'", 54245),
+          ("yyyyMMdd'T101112'", 36672), ("yyyy-MM-dd'T10:11:12.345Z'", 36672), ("yyyy.MM.dd", 0), ("d-MMM-yyyy", 0), ("MMMM d, yyyy '3:05 p.m.'", 54300),
+          ("M/d/yyyy '7:00 am'", 25200), ("yyyy-MM", None)]
+
+
+@query("datetime_forms", f"""select {{f}} as form, count(*) as n, count(*) as n_parsed, cast(sum(case when {{f}} = {len(_FORMS) - 1}
+    then epoch(date_trunc('month', d)) else epoch(d) + [{', '.join(str(s or 0) for _, s in _FORMS)}][{{f}} + 1] end) as bigint) as seconds
+  from (select o_orderkey, date_trunc('day', cast(o_orderdate as timestamp)) as d from orders) group by 1""".format(f=f"(o_orderkey % {len(_FORMS)})"))
+def q_datetime_forms(spark, sf_dir):
+    """Order dates written in ten forms (offsets, zones, RFC dates, month names), parsed back to seconds."""
+    form = F.col("o_orderkey") % len(_FORMS)
+    written = None
+    for k, (pattern, _) in enumerate(_FORMS):
+        text = F.date_format(F.col("o_orderdate"), pattern)
+        written = F.when(form == k, text) if written is None else written.when(form == k, text)
+    rows = fx.read_table(spark, sf_dir, "orders").select(form.alias("form"), M.parse_datetime(written).alias("t"))
+    return rows.groupBy("form").agg(F.count("*").alias("n"), F.count("t").alias("n_parsed"), F.sum(F.unix_timestamp("t")).alias("seconds"))
+
+
 @query("value_type", fixture_sql(
     """select dataset, "column", vtype as value_type, count(*) as n from typed
        group by dataset, "column", vtype""", extra_ctes=_typed_sql()))

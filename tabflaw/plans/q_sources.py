@@ -66,11 +66,13 @@ def q_scan_error_log(spark, sf_dir):
 
 
 @query("csv_to_json_rows", fixture_sql(
-    "select to_json(struct_pack(row_id := row_id, c_name := c_name, c_nationkey := c_nationkey, "
-    "c_mktsegment := c_mktsegment))::varchar as value from cust_dirty"))
+    "select to_json(struct_pack(row_id := row_id, c_name := coalesce(c_name, ''), c_nationkey := coalesce(c_nationkey, ''), "
+    "c_mktsegment := coalesce(c_mktsegment, '')))::varchar as value from cust_dirty"))
 def q_csv_to_json_rows(spark, sf_dir):
-    """S10 row form: each dirty customer row as one JSON object (nulls kept)."""
-    return S.csv_to_json_rows(fx.dirty_table(spark, sf_dir, "customer"))
+    """S10, one file: the dirty customer table written as CSV, its missing cells as empty fields, each row as one JSON object."""
+    path = scratch_path(spark, "csv")
+    S.write_csv_table(fx.dirty_table(spark, sf_dir, "customer"), path)
+    return S.csv_to_json_rows(S.read_csv_raw(spark, path, multi_line=False))
 
 
 # ------------------------------------------------------------ round trips through files
@@ -117,10 +119,10 @@ def q_error_log_round_trip(spark, sf_dir):
 
 
 @query("csv_tree_to_jsonl", fixture_sql(
-    """select 'customer' as dataset, to_json(struct_pack(row_id := row_id, c_name := c_name, c_nationkey := c_nationkey,
-         c_mktsegment := c_mktsegment))::varchar as value from cust_dirty
-       union all select 'orders', to_json(struct_pack(row_id := row_id, o_orderstatus := o_orderstatus,
-         o_totalprice := o_totalprice, o_orderdate := o_orderdate, o_orderpriority := o_orderpriority))::varchar from ord_dirty"""))
+    """select 'customer' as dataset, to_json(struct_pack(row_id := row_id, c_name := coalesce(c_name, ''),
+         c_nationkey := coalesce(c_nationkey, ''), c_mktsegment := coalesce(c_mktsegment, '')))::varchar as value from cust_dirty
+       union all select 'orders', to_json(struct_pack(row_id := row_id, o_orderstatus := coalesce(o_orderstatus, ''),
+         o_totalprice := coalesce(o_totalprice, ''), o_orderdate := coalesce(o_orderdate, ''), o_orderpriority := coalesce(o_orderpriority, '')))::varchar from ord_dirty"""))
 def q_csv_tree_to_jsonl(spark, sf_dir):
     """S10 over a tree: two tables of different headers below one folder, every row with its own table's columns."""
     path = scratch_path(spark, "tree")

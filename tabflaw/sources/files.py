@@ -7,7 +7,7 @@ writes one file per group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,8 +145,39 @@ def write_pair_groups(groups: DataFrame, path: str, mode: str = "overwrite") ->
 
 # ------------------------------------------------------------------ conversions and corpora
 
+def _any_present(cells: list[Column]) -> Column:
+    return F.coalesce(*cells).isNotNull() if cells else F.lit(False)
+
+
+def _raw_scan(spark: SparkSession, path: str | list[str], multi_line: bool) -> tuple[DataFrame, list[Column]]:
+    """Scan of all fields as text, and its columns with empty fields as ""."""
+    read = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    names = read.csv(path).columns
+    bad = "_corrupt_record"
+    while bad in names:
+        bad += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    rows = read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path)
+    cells = [F.col(f"`{n}`") for n in names]
+    whole = F.col(f"`{bad}`").isNull()
+    return rows, [F.when(c.isNull() & (whole | _any_present(cells[k + 1:])), F.lit("")).otherwise(c).alias(names[k].lstrip("\ufeff"))
+                  for k, c in enumerate(cells)]
+
+
+def read_csv_raw(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """S10's scan: every field is the text that stands there.
+
+    An empty field is "" (quoted or not) and no token means missing.  In a line
+    with more or fewer fields than the header, fields beyond it are dropped and
+    null stands for those it lacks (and for empty ones at its end, which look
+    the same).  A byte order mark goes from the first column's name.
+    """
+    rows, cells = _raw_scan(spark, path, multi_line)
+    return rows.select(*cells)
+
+
 def csv_to_json_rows(df: DataFrame) -> DataFrame:
-    """One JSON object per row, every value a string, nulls kept."""
+    """One JSON object per row, every value a string, nulls kept (``read_csv_raw`` keeps empty fields as "")."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
                                {"ignoreNullFields": "false"}).alias("value"))
 
@@ -168,7 +199,7 @@ def convert_csv_tree(spark: SparkSession, src: str, dst: str, glob: str = "*.csv
                      files_per_job: int = 500) -> None:
     """S10 over a tree: every CSV under ``src`` -> JSON lines under ``dst``, one folder per source file.
 
-    Files are grouped by their header, so each row has its own file's columns
+    Empty fields are "", as in ``read_csv_raw``.  Files are grouped by their header, so each row has its own file's columns
     and no others; the output folder is ``source=<path below src>``, so files of
     equal name in different folders stay apart.  ``glob`` selects the files
     (for example ``*_annotation.csv``).  One write per header and
@@ -182,9 +213,7 @@ def convert_csv_tree(spark: SparkSession, src: str, dst: str, glob: str = "*.csv
     base = _common_folder([f for _, f in files])
     for paths in by_header.values():
         for k in range(0, len(paths), files_per_job):
-            df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-                  .csv(paths[k:k + files_per_job]))
-            cols = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns]
+            df, cols = _raw_scan(spark, paths[k:k + files_per_job], multi_line)
             below = F.substring(F.col("_metadata.file_path"), len(base) + 1, 1 << 20)
             out = df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"),
                             F.regexp_replace(below, r"\.csv$", "").alias("source"))

@@ -83,7 +83,7 @@ def test_csv_tree_keeps_each_files_header_and_path(spark, scratch):
     _write(os.path.join(scratch, "src", "c", "other.csv"), "x\n1\n")
     S.convert_csv_tree(spark, os.path.join(scratch, "src"), os.path.join(scratch, "dst"), glob="*_annotation.csv")
     got = {r["source"]: json.loads(r["value"]) for r in spark.read.text(os.path.join(scratch, "dst")).collect()}
-    assert got == {"a/t_annotation": {"row_id": "1", "src": "ale"}, "c/d/t_annotation": {"row_id": "3", "src": None},
+    assert got == {"a/t_annotation": {"row_id": "1", "src": "ale"}, "c/d/t_annotation": {"row_id": "3", "src": ""},
                    "b/t_annotation": {"flight": "7", "extra": "two\nlines", "row_id": "2"}}
 
 
@@ -164,3 +164,13 @@ def test_pair_groups_sink_partitioned_by_rule(spark, scratch):
     assert any(d.startswith("rule_id=") for d in os.listdir(out))
     back = spark.read.parquet(out)
     assert sorted(int(r["n_pairs"]) for r in back.collect()) == [1, 3]
+
+
+def test_raw_scan_keeps_empty_fields(spark, scratch):
+    import json
+    from tabflaw.sources import files as S
+    with open(f"{scratch}/x.csv", "w", encoding="utf-8-sig") as f:
+        f.write('id,v,"w x"\n1,,NA\n2,"",\n3,"a ""q""\nb",null\n4\n5,,x,extra\n,,\n')
+    rows = [json.loads(r["value"]) for r in S.csv_to_json_rows(S.read_csv_raw(spark, f"{scratch}/x.csv")).collect()]
+    assert rows == [{"id": "1", "v": "", "w x": "NA"}, {"id": "2", "v": "", "w x": ""}, {"id": "3", "v": 'a "q"\nb', "w x": "null"},
+                    {"id": "4", "v": None, "w x": None}, {"id": "5", "v": "", "w x": "x"}, {"id": "", "v": "", "w x": ""}]

@@ -57,3 +57,15 @@ def test_datetimes_month_first_and_free_forms(spark):
     df = spark.createDataFrame([(c,) for c in cases], "v string")
     got = {r["v"]: None if r["t"] is None else str(r["t"]) for r in df.select("v", parse_datetime(F.col("v")).alias("t")).collect()}
     assert got == cases
+
+
+def test_datetimes_with_zones_and_more_forms(spark):
+    from pyspark.sql import functions as F
+    want = {"2020-01-01T10:00:00+02:00": "2020-01-01 08:00:00", "2020-01-01 10:00:00 UTC": "2020-01-01 10:00:00",
+            "Mon, 02 Jan 2006 15:04:05 GMT": "2006-01-02 15:04:05", "20200101T101112": "2020-01-01 10:11:12", "2011-12": "2011-12-01 00:00:00",
+            "2020.01.02": "2020-01-02 00:00:00", "5-Mar-2020": "2020-03-05 00:00:00", "5-mar-2020 7:05 pm": "2020-03-05 19:05:00",
+            "2020-01-01T10:00:00-0330": "2020-01-01 13:30:00", "Sunday, March 1, 2020": "2020-03-01 00:00:00", "MARCH 2020": "2020-03-01 00:00:00",
+            "2020-13-01": None, "10-20": None, "Mon": None, "": None, "2020-01-01 25:00": None}
+    df = spark.createDataFrame([(v,) for v in want], "v string")
+    got = {r["v"]: None if r["t"] is None else str(r["t"]) for r in df.select("v", parse_datetime(F.col("v")).alias("t")).collect()}
+    assert got == want
