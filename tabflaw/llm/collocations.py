@@ -210,7 +210,7 @@ def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
 
 
 _SLICE = 100_000
-_HELD = 1 << 17                   # phrases with counts that a task holds before it gives them out
+_HELD = 1 << 18                   # phrases with counts that a task holds before it gives them out
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
