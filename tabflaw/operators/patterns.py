@@ -16,7 +16,9 @@ real errors, and how similar generated transformations are to real ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
@@ -165,3 +167,23 @@ def text_similarity(a: DataFrame, b: DataFrame, vec_col: str = "vec", group_cols
 
 __all__ = ["next_in_group", "pattern_pairs", "knn_cosine", "pattern_scores", "text_similarity",
            "cosine", "diff"]
+
+
+def cached_embeddings(values: DataFrame, path: str, embed: Callable[[Column], Column], value: str = "value") -> DataFrame:
+    """(value, vec) of every distinct non-null value, from the cache table at ``path`` where it is known.
+
+    What the cache lacks (an anti join on the value) is embedded -- ``embed``
+    maps a text column to ARRAY<DOUBLE>, for example a pandas UDF of a model --
+    and appended, so a second run embeds nothing.  The append is one committed
+    write; values that two runs added at once are read as one.
+    """
+    spark = values.sparkSession
+    schema = "value string, vec array<double>"
+    wanted = values.select(F.col(f"`{value}`").cast("string").alias("value")).where("value is not null").distinct()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.createDataFrame([], schema)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.schema(schema).parquet(path)
+    new = wanted.join(known.select("value"), "value", "left_anti")
+    new.select("value", embed(F.col("value")).cast("array<double>").alias("vec")).write.mode("append").parquet(path)
+    return wanted.join(spark.read.schema(schema).parquet(path).dropDuplicates(["value"]), "value")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -43,12 +45,13 @@ def method_report(real_log: DataFrame, gen_logs: DataFrame, methods: list[str] |
 
 
 def semantic_similarity(real_log: DataFrame, gen_log: DataFrame, group_cols=None, key: str = "row_id",
-                        dim: int = 64, ngram: int = 3) -> DataFrame:
+                        dim: int = 64, ngram: int = 3, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """0.5 * text + 0.3 * numeric + 0.2 * datetime similarity.
 
     Real and generated errors are paired by cell (key join on group, row,
     column); each pair is typed by the real value; a class with no pairs
-    contributes 0.  Text similarity uses hashed n-gram embeddings.
+    contributes 0.  ``embed`` maps a text column to its vectors (a pandas UDF
+    of a model, or an expression); hashed n-gram embeddings by default.
     """
     from ..functions.values import value_type
     from ..functions.vectors import hash_embed
@@ -61,9 +64,10 @@ def semantic_similarity(real_log: DataFrame, gen_log: DataFrame, group_cols=None
     # the paired values feed four aggregates: join once, read four times
     pairs = cut_lineage(r.join(q, g + [key, "column"]).withColumn("_t", value_type(F.col("tv"))))
     groups = pairs.select(*g).distinct()
+    embed = embed or (lambda x: hash_embed(x, dim, ngram))
     txt = pairs.where(F.col("_t") == "text")
-    ts = text_similarity(txt.select(*g, hash_embed(F.col("tv"), dim, ngram).alias("vec")),
-                         txt.select(*g, hash_embed(F.col("gv"), dim, ngram).alias("vec")), group_cols=g)
+    ts = text_similarity(txt.select(*g, embed(F.col("tv")).alias("vec")),
+                         txt.select(*g, embed(F.col("gv")).alias("vec")), group_cols=g)
     ns = M.numeric_similarity(pairs.where(F.col("_t") == "numeric"), "tv", "gv", g)
     ds = M.datetime_similarity(pairs.where(F.col("_t") == "datetime"), "tv", "gv", g)
     out = groups.join(ts, g, "left").join(ns, g, "left").join(ds, g, "left")
@@ -98,11 +102,11 @@ def method_cells(sources: dict, key: str = "row_id") -> DataFrame:
 
 def pattern_report(real_log: DataFrame, gen_log: DataFrame, ks=(1, 2, 3, 4, 5, 10, 15, 20),
                    dim: int = 64, ngram: int = 3, agg: str = "max", block_rows: int = 4096,
-                   id_cols=("row_id", "column")) -> DataFrame:
+                   id_cols=("row_id", "column"), embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """How much generated (right -> error) transformations resemble real ones.
 
     Both logs keep non-empty string pairs with error != right; values are
-    embedded (hashed n-grams), every generated error finds its k nearest real
+    embedded (``embed``, hashed n-grams by default), every generated error finds its k nearest real
     errors by the right-value embedding (exact blocked kNN, one run at the
     largest k), and the score per k is the mean over generated errors of the
     max cosine between transformation vectors.  Every record is a query or a
@@ -121,8 +125,7 @@ def pattern_report(real_log: DataFrame, gen_log: DataFrame, ks=(1, 2, 3, 4, 5, 1
               & (F.col("right_value") != F.col("error_value")))
         key = [F.col(c) for c in ("dataset", *id_cols, "right_value", "error_value") if c in log.columns]
         x = log.where(ok).withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-        r = hash_embed(F.col("right_value"), dim, ngram)
-        e = hash_embed(F.col("error_value"), dim, ngram)
+        r, e = (embed(F.col(c)) if embed else hash_embed(F.col(c), dim, ngram) for c in ("right_value", "error_value"))
         return x.select(hash_id(*key, F.col("_nth")).alias("id"), r.alias("vec"), diff(r, e).alias("diff"))
 
     # knn_cosine materialises both embedded sets once (they are counted, then joined)

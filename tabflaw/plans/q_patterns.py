@@ -166,3 +166,21 @@ def q_pattern_report(spark, sf_dir):
     s = pattern_report(fx.annotation_log(spark, sf_dir, "customer"),
                        fx.annotation_log(spark, sf_dir, "customer", "g"), KS, DIM, NGRAM)
     return s.select(F.col("k").cast("integer").alias("k"), F.round("score", 9).alias("score"))
+
+
+@query("embedding_cache", """with u as (select distinct url as value, min(page_id % 2) over (partition by url) as odd from pages where url is not null),
+  c as (select count(*) as n, count(*) filter (where odd = 0) as first from u)
+  select 1 as run, first as n_values, first as n_embedded from c union all select 2, n, n - first from c union all select 3, n, 0 from c""")
+def q_embedding_cache(spark, sf_dir):
+    """Page urls embedded through the cache in three runs: those of even pages, all, all again."""
+    from ..operators.patterns import cached_embeddings
+    from ..session import cut_lineage, scratch_path
+    path, out, before = scratch_path(spark, "embeddings"), None, 0
+    pages = fx.read_table(spark, sf_dir, "pages")
+    for run, rows in ((1, pages.where("page_id % 2 = 0")), (2, pages), (3, pages)):
+        got = cached_embeddings(rows, path, hash_embed, "url")
+        cached = spark.read.parquet(path).count()
+        # each run's line is a table of its own: in one plan Spark would take the scans of the growing folder for one scan
+        line = cut_lineage(got.agg(F.lit(run).alias("run"), F.count("*").alias("n_values"), F.lit(cached - before).cast("bigint").alias("n_embedded")))
+        out, before = line if out is None else out.unionByName(line), cached
+    return out

@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabflaw.functions.udfs import chi2_sf
 from tabflaw.operators import metrics as M
@@ -133,3 +135,28 @@ def test_method_cells_from_mixed_sources(spark):
     changes = spark.createDataFrame([("2.a",)], "_c0 string")
     got = sorted(tuple(r) for r in method_cells({"llm": log, "bart": (clean, dirty), "raha": changes}).collect())
     assert got == [("bart", "1", "b"), ("llm", "1", "a"), ("raha", "2", "a")]
+
+
+def test_embedding_cache_and_own_embedder(spark, scratch):
+    from tabflaw.operators.patterns import cached_embeddings
+    from tabflaw.plans.evaluation import pattern_report, semantic_similarity
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def model(x: pd.Series) -> pd.Series:
+        calls.add(len(x))
+        return x.map(lambda t: [float(len(t)), 1.0])
+
+    d = spark.createDataFrame([("a",), ("bb",), ("a",), (None,), ("",)], "v string")
+    path = f"{scratch}/cache"
+    first = {r["value"]: r["vec"] for r in cached_embeddings(d.limit(1), path, model, "v").collect()}
+    assert first == {"a": [1.0, 1.0]} and calls.value == 1
+    for _ in range(2):
+        got = {r["value"]: r["vec"] for r in cached_embeddings(d, path, model, "v").collect()}
+        assert got == {"a": [1.0, 1.0], "bb": [2.0, 1.0], "": [0.0, 1.0]} and calls.value == 3
+    log = spark.createDataFrame([("1", "c", "red", "re"), ("2", "c", "blue", "bluee"), ("3", "c", "tan", "ta")],
+                                "row_id string, column string, right_value string, error_value string")
+    own = pattern_report(log, log, ks=(1, 3), embed=lambda x: F.array(F.length(x).cast("double"), F.lit(1.0)))
+    assert [round(r["pattern_similarity"] if "pattern_similarity" in own.columns else r[1], 6) for r in own.collect()] == [1.0, 1.0]
+    one = lambda x: F.array(F.lit(1.0), F.lit(0.0))
+    assert semantic_similarity(log, log, embed=one).first()["semantic_similarity"] == 0.5
