@@ -59,6 +59,9 @@ def semantic_similarity(real_log: DataFrame, gen_log: DataFrame, group_cols=None
 
     from ..session import cut_lineage
     g = list(group_cols or [])
+    if not g:                                  # all pairs are one group
+        one = [log.withColumn("_all", F.lit(1)) for log in (real_log, gen_log)]
+        return semantic_similarity(*one, ["_all"], key, dim, ngram, embed).drop("_all")
     r = real_log.select(*g, key, "column", F.col("error_value").alias("tv"))
     q = gen_log.select(*g, key, "column", F.col("error_value").alias("gv"))
     # the paired values feed four aggregates: join once, read four times
