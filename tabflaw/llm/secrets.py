@@ -21,7 +21,8 @@ stay, and a string may be reported by both.
 Positions are code points, ends exclusive.
 
 Defined results: null is the empty text: no spans.  Extra columns are ignored,
-repeated rows are scanned one by one.
+repeated rows are scanned one by one.  A run of more than ENCODED characters is
+encoded in slices, so its token count may differ by one a slice.
 """
 
 from __future__ import annotations
