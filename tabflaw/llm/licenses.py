@@ -1,27 +1,32 @@
 """Licence scans by conditional compression.
 
-Candidate blocks are stretches of a text around cue words (licence, copyright,
-warranty and the like), and around stated licences without one ("Released under
-MPL-2.0").  All templates are confirmed by their exact wording in the whole
-text, so no form needs a cue: a licence counts if no word is missing or added within a
-short form, or at most one in ten of a long one.  A form is cut into one part
-more than words may differ, so one part stands unchanged wherever the form
-does; at each such place the form is aligned with the words about it, with the
-fewest differences, from left to right.
-
-The words about a place are compressed on their own and with each template as a
-raw Zstandard dictionary; the templates are ranked by how much smaller the words
-become, and a place has the share that its template saves.  Of forms that
-overlap, the one with more words stays (then the better ranked), so "version 3"
-of a longer name is not also taken for another licence.
+Candidate blocks are windows of words about cues.  The cues follow from the
+templates: every form is cut into one part more than words may differ, so one
+part stands unchanged wherever the form does, and each part gives one of its
+words as a cue (CUE adds further licence words).  A stretch about cues is
+covered by overlapping blocks of BLOCK words, so that any part lies whole in
+one of them.
+
+Each block is compressed on its own and with each template as a raw Zstandard
+dictionary; the templates are ranked by how many bytes they save.  Those that
+save MIN_SAVED or more are the block's winners, whatever their number; only
+they are confirmed, from the parts of their forms that stand in the block: a
+licence counts if no word is missing or added within a short form, or at most
+one in ten of a long one, aligned with the fewest differences, from left to
+right.  A form may run on beyond the block.  With MIN_SAVED at minus
+infinity all templates are compared in all blocks, which finds what a search
+without compression finds.
+
+Of forms that overlap, the one with more words stays (then the one that saves
+the larger share of its block), so "version 3" of a longer name is not also
+taken for another licence.
 
 Templates are an argument: names, openings and texts (see license_texts).
 
 Positions are code points, ends exclusive.
 
 Defined results: null is the empty text, without blocks.  Extra columns are
-ignored, repeated rows are scanned one by one.  A stretch of cues longer than
-LONGEST words counts as several overlapping blocks.
+ignored, repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
@@ -39,10 +44,10 @@ from .common import struct_type, text_udf
 
 CUE = re.compile(r"licen[cs]|copyright|warrant|permission|redistribut|spdx|unencumbered|creative commons|\bcc0\b|\bcc by\b|gpl", re.I | re.A)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-NEAR = 12                        # words about a cue that belong to its block, and about a place that rank the templates
 LONG = 20                        # words from which a form may differ a little
 DIFFER = 10                      # one word in so many
-LONGEST = 1500                   # words of a block
+BLOCK = 2 * LONG                 # words of a block; half of it is shared with the next, so a part of up to LONG words lies whole in one
+MIN_SAVED = 1                    # bytes that a winner saves in a block, so it makes the block smaller (figures in the README)
 LEVEL = 19                       # lower levels find too few matches in blocks of a few words
 
 
@@ -53,8 +58,9 @@ class Template:
         self.name = name
         self.forms = sorted({tuple(words(f)) for f in forms}, key=lambda f: (-len(f), f))
         raw = "\n".join(" ".join(f) for f in self.forms).encode()
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(
-            raw.ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        own = zstandard.ZstdCompressionDict(raw.ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=LEVEL)
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=own)
 
 
 def words(text: str) -> list[str]:
@@ -71,32 +77,25 @@ def default_templates() -> tuple[Template, ...]:
     return tuple(out)
 
 
-def blocks(text: str, stated: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
-    """Stretches (start, end) of a text about its cues, and about stated places without a cue; long ones in overlapping parts."""
+def blocks(text: tuple[str, ...], cues: frozenset[str]) -> list[tuple[int, int]]:
+    """Overlapping word ranges (start, end) that cover LONG words to either side of every cue."""
     spans: list[list[int]] = []
-    cues = [m.span() for m in CUE.finditer(text)]
-    for s, e in sorted(cues + [p for p in stated if not CUE.search(text, *p)]):
-        lo, hi = max(0, s - 8 * NEAR), min(len(text), e + 8 * NEAR)
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], hi)
-        else:
-            spans.append([lo, hi])
-    out = []
-    for lo, hi in spans:
-        at = [lo + m.start() for m in WORD.finditer(text[lo:hi])]
-        for k in range(0, max(len(at), 1), LONGEST - NEAR):
-            out.append((at[k] if k else lo, at[k + LONGEST] if k + LONGEST < len(at) else hi))
-            if k + LONGEST >= len(at):
-                break
-    return out
+    for at, w in enumerate(text):
+        if w in cues or CUE.search(w):
+            lo, hi = max(0, at - LONG), min(len(text), at + LONG + 1)
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+    return [(at, min(at + BLOCK, hi)) for lo, hi in spans for at in range(lo, max(hi - BLOCK // 2, lo + 1), BLOCK // 2)]
 
 
-def rank(block: tuple[str, ...], templates: tuple[Template, ...]) -> list[tuple[float, Template]]:
-    """Templates by the share of the block's compressed size that they save, best first (then by name)."""
+def rank(block: tuple[str, ...], templates: tuple[Template, ...]) -> list[tuple[int, float, int]]:
+    """(bytes saved, their share of the block's compressed size, template's number), best first (then by number)."""
     data = " ".join(block).encode()
     alone = len(zstandard.ZstdCompressor(level=LEVEL).compress(data))
-    saved = [(1 - len(t.packer.compress(data)) / alone, t) for t in templates]
-    return sorted(saved, key=lambda s: (-s[0], s[1].name))
+    saved = [alone - len(t.packer.compress(data)) for t in templates]
+    return sorted(((s, s / alone, k) for k, s in enumerate(saved)), key=lambda r: (-r[0], r[2]))
 
 
 def allowed(form: tuple[str, ...]) -> int:
@@ -125,6 +124,12 @@ def index_of(templates: tuple[Template, ...]) -> Index:
     return out
 
 
+def cues_of(index: Index) -> frozenset[str]:
+    """A word of every part: the longest of its licence words, else its longest word."""
+    return frozenset(max(unit, key=lambda w: (bool(CUE.search(w)), len(w), w))
+                     for by_second in index.values() for by_unit in by_second.values() for unit in by_unit)
+
+
 def aligned(part: tuple[str, ...], form: tuple[str, ...], most: int) -> tuple[int, int, int, int] | None:
     """(start, end, missing, added) of the place with the fewest differences, the first of such; None above ``most``."""
     none = most + 1
@@ -149,43 +154,60 @@ def aligned(part: tuple[str, ...], form: tuple[str, ...], most: int) -> tuple[in
     return start, end, best - added, added
 
 
-def places(text: tuple[str, ...], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, template's number, missing, added) of every form in a text's words, from left to right: the first
-    place within the limit, then what follows it."""
-    found, behind, tried = [], {}, set()
-    for at, w in enumerate(text):
-        if (after := index.get(w)) is None:
-            continue
-        for unit, owners in [*after.get("", {}).items(), *(after.get(text[at + 1], {}).items() if at + 1 < len(text) else ())]:
-            if text[at:at + len(unit)] != unit:
-                continue
-            for k, offset, form in owners:
-                first, most = behind.get((k, form), 0), allowed(form)
-                if at < first or (key := (k, form, at - offset, first)) in tried:
+#: a block's range and the share that each of its winners saves, by template's number
+Won = tuple[int, int, dict[int, float]]
+
+
+def places(text: tuple[str, ...], index: Index, won: list[Won]) -> list[tuple[int, int, int, float, int, int]]:
+    """(start, end, template's number, saved share, missing, added) of every form that a block's winners have in a text's
+    words, from left to right: the first place within the limit, then what follows it."""
+    found, behind, tried, near = [], {}, set(), []
+    waiting = iter(won)
+    coming = next(waiting, None)
+    at = 0
+    while coming or near:
+        if not near:
+            at = max(at, coming[0])
+        while coming and coming[0] <= at:
+            near.append(coming)
+            coming = next(waiting, None)
+        near = [b for b in near if b[1] > at]
+        if near and (after := index.get(text[at])) is not None:
+            second = after.get(text[at + 1], {}).items() if at + 1 < len(text) else ()
+            for unit, owners in [*after.get("", {}).items(), *second]:
+                if text[at:at + len(unit)] != unit:
                     continue
-                if not most:
-                    got, lo = (at, at + len(form), 0, 0), 0
-                else:
-                    tried.add(key)
-                    lo = max(first, at - offset - most)
-                    got = aligned(text[lo:max(at - offset, 0) + len(form) + most], form, most)
-                if got is not None:
-                    found.append((lo + got[0], lo + got[1], k, *got[2:]))
-                    behind[k, form] = lo + got[1]
+                whole = [shares for _, end, shares in near if at + len(unit) <= end]
+                for k, offset, form in owners:
+                    share = max((s[k] for s in whole if k in s), default=None)
+                    first, most = behind.get((k, form), 0), allowed(form)
+                    if share is None or at < first or (key := (k, form, at - offset, first)) in tried:
+                        continue
+                    if not most:
+                        got, lo = (at, at + len(form), 0, 0), 0
+                    else:
+                        tried.add(key)
+                        lo = max(first, at - offset - most)
+                        got = aligned(text[lo:max(at - offset, 0) + len(form) + most], form, most)
+                    if got is not None:
+                        found.append((lo + got[0], lo + got[1], k, share, *got[2:]))
+                        behind[k, form] = lo + got[1]
+        at += 1
     return found
 
 
+def winners(text: tuple[str, ...], templates: tuple[Template, ...], cues: frozenset[str], min_saved: float = MIN_SAVED,
+            rank=rank) -> tuple[int, list[Won]]:
+    """Number of blocks, and those with winners."""
+    cut = blocks(text, cues)
+    won = [(a, b, {k: share for saved, share, k in rank(text[a:b], templates) if saved >= min_saved}) for a, b in cut]
+    return len(cut), [w for w in won if w[2]]
+
+
 def confirmed(text: tuple[str, ...], templates: tuple[Template, ...], index: Index,
-              rank=rank) -> list[tuple[int, int, str, float, int, int]]:
-    """(start, end, licence, saved share, missing, added) in a text's words; places don't overlap.
-
-    The words from NEAR before a place to NEAR behind it rank the templates.
-    """
-    found, near = [], {}
-    for s, e, k, missing, added in places(text, index):
-        if (s, e) not in near:
-            near[s, e] = {t.name: share for share, t in rank(text[max(0, s - NEAR):e + NEAR], templates)}
-        found.append((s, e, templates[k].name, near[s, e][templates[k].name], missing, added))
+              won: list[Won]) -> list[tuple[int, int, str, float, int, int]]:
+    """(start, end, licence, saved share, missing, added) in a text's words; places don't overlap."""
+    found = [(s, e, templates[k].name, *rest) for s, e, k, *rest in places(text, index, won)]
     found.sort(key=lambda f: (f[0] - f[1] + f[4] + f[5], -f[3], f[2], f[0]))
     out, taken = [], bytearray(len(text))
     for f in found:
@@ -196,23 +218,30 @@ def confirmed(text: tuple[str, ...], templates: tuple[Template, ...], index: Ind
 
 
 @functools.cache
-def _default_index() -> Index:
-    return index_of(default_templates())
+def _default_index() -> tuple[Index, frozenset[str]]:
+    index = index_of(default_templates())
+    return index, cues_of(index)
 
 
 @functools.lru_cache(maxsize=4096)
-def _rank_default(near: tuple[str, ...], templates: tuple[Template, ...]) -> list[tuple[float, Template]]:
-    return rank(near, templates)
+def _rank_default(block: tuple[str, ...], templates: tuple[Template, ...]) -> list[tuple[int, float, int]]:
+    return rank(block, templates)
 
 
-def scan(text: str | None, templates: tuple[Template, ...] | None = None) -> tuple[int, list[tuple[int, int, str, float, int, int]]]:
+def scan(text: str | None, templates: tuple[Template, ...] | None = None, min_saved: float = MIN_SAVED,
+         rank=_rank_default) -> tuple[int, list[tuple[int, int, str, float, int, int]]]:
     """Number of blocks, and (start, end, licence, saved share, missing, added) with code point positions."""
     text = text or ""
-    used, index = (default_templates(), _default_index()) if templates is None else (templates, index_of(templates))
-    found = confirmed(tuple(words(text)), used, index, _rank_default if templates is None else rank)
+    if templates is None:
+        templates, (index, cues) = default_templates(), _default_index()
+    else:
+        index = index_of(templates)
+        cues = cues_of(index)
+    ws = tuple(words(text))
+    n, won = winners(ws, templates, cues, min_saved, rank)
+    found = confirmed(ws, templates, index, won)
     at = [m.span() for m in WORD.finditer(text)] if found else []
-    out = [(at[s][0], at[e - 1][1], *rest) for s, e, *rest in found]
-    return len(blocks(text, [f[:2] for f in out])), out
+    return n, [(at[s][0], at[e - 1][1], *rest) for s, e, *rest in found]
 
 
 _FOUND = struct_type([("n_blocks", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()),

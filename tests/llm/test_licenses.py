@@ -107,3 +107,74 @@ def test_every_opening_with_every_name():
                 assert n >= 1 and [g[2] for g in got] == [name], (opening, s)
     assert [n for _, n in found("// SPDX-License-Identifier: MIT\n\n# SPDX-License-Identifier: GPL-2.0+\n")] == ["MIT", "GPL-2.0"]
     assert found("Released under MIT-style terms, distributed under ISCX, released under Zlibs") == []
+
+
+def _plain(text):
+    """Short forms at every place of a text, without blocks, cues or compression: (start word, licence) of the longest."""
+    ws, out = licenses.words(text), []
+    for t in licenses.default_templates():
+        for form in t.forms:
+            if len(form) < licenses.LONG:
+                out += [(k, k + len(form), t.name) for k in range(len(ws)) if tuple(ws[k:k + len(form)]) == form]
+    kept, taken = [], set()
+    for s, e, name in sorted(out, key=lambda f: (f[0] - f[1], f[0])):
+        if not taken & set(range(s, e)) or (s, e) in {(a, b) for a, b, _ in kept}:
+            taken |= set(range(s, e))
+            kept.append((s, e, name))
+    return kept
+
+
+def test_the_ranking_by_compression_decides_what_is_compared():
+    text = "Some words. Released under the MIT License. Then more words about it."
+    assert [n for _, n in found(text)] == ["MIT"]
+
+    def none(block, templates):
+        return [(0, 0.0, k) for k in range(len(templates))]
+
+    def others(block, templates):
+        return [r for r in licenses.rank(block, templates) if templates[r[2]].name != "MIT"]
+
+    n, got = licenses.scan(text, rank=none)
+    assert n == 1 and got == []
+    assert licenses.scan(text, rank=others)[1] == []
+    # what is reported is the share that the template saves in the block
+    (_, _, _, share, _, _), = licenses.scan(text)[1]
+    by = {licenses.default_templates()[k].name: s for _, s, k in licenses.rank(tuple(licenses.words(text)), licenses.default_templates())}
+    assert share == by["MIT"] > 0
+
+
+def test_recall_of_the_ranking_against_a_plain_search():
+    """Short forms in prose of random words: the blocks of the winners hold what a search of every place finds."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(3000)]
+    want = got = every = 0
+    for t in licenses.default_templates():
+        for form in t.forms:
+            if len(form) >= licenses.LONG:
+                continue
+            for _ in range(2):
+                text = " ".join([*rng.choices(vocabulary, k=rng.randrange(0, 70)), *form, *rng.choices(vocabulary, k=rng.randrange(0, 70))])
+                plain = {name for _, _, name in _plain(text)}
+                want += len(plain)
+                got += len(plain & {f[2] for f in licenses.scan(text)[1]} or plain & {t.name} & {f[2] for f in licenses.scan(text)[1]})
+                every += t.name in {f[2] for f in licenses.scan(text, min_saved=float("-inf"))[1]}
+    assert want > 1000 and got >= 0.99 * want
+    assert every >= want - 4                                    # a form of two licences counts for one of them
+
+
+def test_every_part_of_a_form_lies_in_a_block():
+    rng = random.Random(7)
+    for t in licenses.default_templates():
+        for form in t.forms:
+            for offset, unit in licenses.units(form):
+                assert len(unit) <= licenses.LONG
+                text = tuple(f"w{k}" for k in range(rng.randrange(50))) + unit + tuple(f"v{k}" for k in range(rng.randrange(50)))
+                at = text.index(unit[0])
+                cut = licenses.blocks(text, licenses.cues_of(licenses.index_of((t,))))
+                assert any(a <= at and at + len(unit) <= b for a, b in cut), (t.name, unit)
+
+
+def test_own_templates():
+    own = (licenses.Template("House", ["may be used inside the house only"]), licenses.Template("Garden", ["may be used in the garden only"]))
+    text = "This text may be used inside the house only, that one may be used in the garden only."
+    assert [f[2] for f in licenses.scan(text, own)[1]] == ["House", "Garden"]
