@@ -1,44 +1,51 @@
 """Sharding over fixed virtual slots.
 
-Every record is hashed (id and text together) into one of a fixed number of
-virtual slots; a record's slot never changes.  A versioned map says which shard
-holds each slot.  The first map is made from the bytes per slot, heaviest slot
-first onto the lightest shard, so shards are nearly equal in bytes; when shards
-are added or sizes have drifted, ``rebalance`` edits the map: as few slots as
-the wanted balance needs move, and the version rises.  Maps are tables of as
-many rows as there are slots, so they may pass through the driver and be
-broadcast; records never do.
+Every record is hashed (id, text and the number among its copies) into one of a
+fixed number of virtual slots; a record's slot never changes.  A versioned map
+says which shard holds each slot.  The first map is made from the bytes per
+slot, heaviest slot first onto the lightest shard, so shards are nearly equal in
+bytes, and stored as version 1.  A later run over the same map folder loads the
+latest version; when shards were added or sizes have drifted, ``rebalance``
+edits that map: as few slots as the wanted balance needs move, and the edited
+map is stored as the next version.  Maps are tables of as many rows as there are
+slots, so they may pass through the driver and be broadcast; records never do.
 
 A record's position in its shard runs from 0 without gaps: its rank within its
 slot (thousands of slots, so no shard is sorted in one task) after the counts
 of the shard's earlier slots.  Only ids, sizes and checksums are shuffled.
 
+Equal records are counted before they are shuffled, and their copies are
+numbered from the count, so a record repeated any number of times is spread over
+all slots.
+
 Defined results: a null text has size 1 and the checksum of the empty text;
-null ids are hashed as such.  Equal records share a slot and get consecutive
-positions.  With fewer records than shards some shards stay empty.  Extra
-columns are ignored.
+null ids are hashed as such.  Which of two equal records is which copy does not
+matter, as their rows are equal.  With fewer records than shards some shards
+stay empty.  Extra columns are ignored.  One writer at a time may use a map folder.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8_crc32, written
+from .common import free_name, shared_folder, utf8_crc32, written
 
 SLOTS = 4096
 SHARDS = 16
 LAW = "bytes"
+COPIES = 4096                    # copies of one record that are numbered in one row's array
 TOLERANCE = 0.01                 # shards may be above the mean by this share before slots move
 MAP = T.StructType([T.StructField("slot", T.IntegerType(), False), T.StructField("shard", T.IntegerType(), False),
                     T.StructField("version", T.IntegerType(), False)])
 
 
-def slot_of(doc_id: Column, crc: Column, size: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id, crc, size), F.lit(slots)).cast("int")
+def slot_of(doc_id: Column, crc: Column, size: Column, copy: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(doc_id, crc, size, copy), F.lit(slots)).cast("int")
 
 
 def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -106,12 +113,35 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return [r["shard"] for r in rows], version
 
 
+def current_map(spark: SparkSession, path: str, loads: dict[int, int], shards: int = SHARDS, slots: int = SLOTS,
+                tolerance: float = TOLERANCE) -> tuple[list[int], int]:
+    """The map to use now and its version: the latest stored one, edited and stored as a new version if these loads need
+    it; the first one where none is stored."""
+    try:
+        stored, version = load_map(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored, version = None, 0
+    if stored is not None and len(stored) != slots:
+        raise ValueError(f"the map in {path} has {len(stored)} slots, not {slots}")
+    wanted = first_map(loads, shards, slots) if stored is None else rebalance(stored, loads, shards, tolerance)
+    if wanted != stored:
+        version += 1
+        store_map(spark, wanted, version, path)
+    return wanted, version
+
+
 def records_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 1), text_crc32, vslot of every row."""
+    """doc_id, size (UTF-8 bytes and 1), text_crc32, copy (from 0), vslot of every row."""
     t = F.col(text)
-    return docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("bigint").alias("size"),
+    same = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("bigint").alias("size"),
                        utf8_crc32(t).cast("bigint").alias("text_crc32")) \
-        .withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots))
+        .groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    # numbers in steps of COPIES, so no array grows with the copies by more than their COPIES-th part
+    stepped = same.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+    return stepped.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + COPIES, F.col("copies")) - 1))) \
+        .drop("from", "copies").withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("copy"), slots))
 
 
 def place(records: DataFrame, shard_of: list[int], rows_in_slot: dict[int, int]) -> DataFrame:
@@ -123,31 +153,39 @@ def place(records: DataFrame, shard_of: list[int], rows_in_slot: dict[int, int])
         table.append((vslot, shard, before.get(shard, 0)))
         before[shard] = before.get(shard, 0) + rows_in_slot.get(vslot, 0)
     where = F.broadcast(spark.createDataFrame(table, "vslot int, shard int, offset bigint"))     # a row per slot
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "copy"))
     return records.withColumn("__rank", rank).join(where, "vslot") \
         .withColumn("slot", F.col("offset") + F.col("__rank") - 1).drop("offset", "__rank")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, and its virtual slot and the map's version."""
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text: str = "text",
+          maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, and its virtual slot and the map's version.
+
+    ``maps`` is the folder of the map's versions, in shared storage; without one the map starts anew in a fresh folder."""
+    spark = docs.sparkSession
     records = written(records_of(docs, id_col, text, slots), "shard-records")
     loads = slot_loads(records)
-    shard_of = first_map({k: b for k, (b, _) in loads.items()}, shards, slots)
+    shard_of, version = current_map(spark, maps or f"{shared_folder(spark, 'shard-maps')}/map",
+                                    {k: b for k, (b, _) in loads.items()}, shards, slots)
     placed = place(records, shard_of, {k: n for k, (_, n) in loads.items()})
     return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int").alias("shard"),
                          "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
-                         F.lit(1).alias("map_version"))
+                         F.lit(version).alias("map_version"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id",
                  text: str = "text") -> None:
-    """The whole rows as Parquet, a folder per shard, and the map's first version beside them."""
+    """The whole rows as Parquet, a folder per shard, by the map whose versions lie beside them (made or edited as needed).
+
+    Rows of equal id and text share a slot here, as their other columns may differ."""
     spark = docs.sparkSession
     t = F.col(text)
     size = (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("bigint")
-    rows = docs.withColumn("vslot", slot_of(F.col(id_col), utf8_crc32(t).cast("bigint"), size, slots))
-    loads = {r["vslot"]: r["b"] for r in rows.groupBy("vslot").agg(F.sum(size).alias("b")).collect()}
-    shard_of = first_map(loads, shards, slots)
-    store_map(spark, shard_of, 1, f"{path}/map")
-    where = F.broadcast(spark.createDataFrame(list(enumerate(shard_of)), "vslot int, shard int"))
-    rows.join(where, "vslot").drop("vslot").write.partitionBy("shard").parquet(f"{path}/rows")
+    vslot = free_name(docs.columns, "vslot")
+    where_shard = free_name([*docs.columns, vslot], "shard")
+    rows = docs.withColumn(vslot, slot_of(F.col(id_col), utf8_crc32(t).cast("bigint"), size, F.lit(0).cast("bigint"), slots))
+    loads = {r["s"]: r["b"] for r in rows.groupBy(F.col(vslot).alias("s")).agg(F.sum(size).alias("b")).collect()}
+    shard_of, _ = current_map(spark, f"{path}/map", loads, shards, slots)
+    where = F.broadcast(spark.createDataFrame(list(enumerate(shard_of)), f"{vslot} int, {where_shard} int"))
+    rows.join(where, vslot).drop(vslot).write.partitionBy(where_shard).parquet(f"{path}/rows")

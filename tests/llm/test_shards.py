@@ -66,3 +66,42 @@ def test_written_shards_hold_all_rows(docs, prepared, scratch):
     shards.write_shards(docs(rows), f"{scratch}/out", shards=4)
     back = prepared.read.parquet(f"{scratch}/out/rows")
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == rows
+
+
+def test_later_runs_edit_the_stored_map(docs, prepared, scratch):
+    rows = [(k, "x" * (100 + k * 37 % 50)) for k in range(6000)]
+    path = f"{scratch}/maps/map"
+    one = shards.shard(docs(rows), shards=8, slots=1024, maps=path).collect()
+    assert {r["map_version"] for r in one} == {1}
+    same = shards.shard(docs(rows, 5), shards=8, slots=1024, maps=path).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, same))                     # nothing to edit: the version stays
+    more = rows + [(10000 + k, "y" * 120) for k in range(60)]                      # 1 % more rows
+    first, _ = shards.load_map(prepared, path, 1)
+    grown = shards.shard(docs(more), shards=8, slots=1024, maps=path).collect()
+    latest, version = shards.load_map(prepared, path)
+    assert {r["map_version"] for r in grown} == {version} and version <= 2
+    assert sum(a != b for a, b in zip(first, latest)) <= 1024 // 50
+    before = {r["doc_id"]: r["virtual_slot"] for r in one}
+    assert all(before.get(r["doc_id"], r["virtual_slot"]) == r["virtual_slot"] for r in grown)
+    assert all(latest[r["virtual_slot"]] == r["shard"] for r in grown)
+    check(grown, more, 8)
+    nine = shards.shard(docs(more), shards=9, slots=1024, maps=path).collect()
+    assert {r["map_version"] for r in nine} == {version + 1}
+    was = {(r["doc_id"], r["virtual_slot"]): r["shard"] for r in grown}
+    assert all(r["shard"] in (8, was[r["doc_id"], r["virtual_slot"]]) for r in nine)
+    load = [sum(r["size"] for r in nine if r["shard"] == s) for s in range(9)]
+    assert max(load) - min(load) <= 0.1 * sum(load) / 9
+    try:
+        shards.shard(docs(rows), shards=8, slots=512, maps=path)
+        raise AssertionError("other number of slots")
+    except ValueError:
+        pass
+
+
+def test_copies_of_a_record_are_spread(docs, prepared):
+    rows = [(7, "z" * 200)] * 9000 + [(100 + k, "a" * 200) for k in range(1000)] + [(-1, None)] * 3
+    got = shards.shard(docs(rows, 6)).collect()
+    check(got, rows, 16)
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert max(load) <= 1.05 * sum(load) / 16
+    assert len({r["virtual_slot"] for r in got if r["doc_id"] == 7}) > 3000
