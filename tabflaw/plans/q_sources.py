@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, md5_digit
@@ -85,6 +86,20 @@ def q_csv_round_trip(spark, sf_dir):
     return S.read_csv_table(spark, path, multi_line=False)
 
 
+#: a name that a CSV must quote: with line breaks and quotes for about a quarter of the rows
+_QUOTED_SQL = "case when c_name is null then null when substr(md5('nl|' || row_id), 1, 1) < '4' then c_name || chr(10) || '\"so-called\"' || chr(10) else c_name end"
+
+
+@query("csv_quoted_lines", fixture_sql(f"select row_id, {_QUOTED_SQL} as c_name, c_nationkey, c_mktsegment from cust_dirty"))
+def q_csv_quoted_lines(spark, sf_dir):
+    """S1, quoted line breaks: the dirty customer table with names of several lines written as CSV, scanned split by split."""
+    path = scratch_path(spark, "csv")
+    lines = F.concat("c_name", F.lit('\n"so-called"\n'))
+    name = F.when(md5_digit("nl|", F.col("row_id")) < "4", lines).otherwise(F.col("c_name"))
+    S.write_csv_table(fx.dirty_table(spark, sf_dir, "customer").withColumn("c_name", name), path)
+    return S.read_csv_table(spark, path)
+
+
 @query("csv_typed_key", fixture_sql("select cast(row_id as bigint) as row_id, o_orderstatus, o_totalprice, o_orderdate, "
                                     "o_orderpriority from ord_dirty"))
 def q_csv_typed_key(spark, sf_dir):
@@ -139,3 +154,48 @@ def q_pair_groups_sink(spark, sf_dir):
     for table, key, rule in RULES[:2]:
         S.write_pair_groups(pair_groups(fx.read_table(spark, sf_dir, table).withColumnRenamed(key, "row_id"), rule), path, mode="append")
     return spark.read.parquet(path).select("rule", "group_key", "n_rows", "n_pairs")
+
+
+@query("pair_map_round_trip", """with o as (select o_custkey, o_orderkey,
+    lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nxt from orders)
+  select 'EQ(t1.o_custkey,t2.o_custkey)&IQ(t1.o_orderstatus,"' || cast(o_custkey % 7 as varchar) || '")' as rule,
+    o_orderkey as row_id_1, nxt as row_id_2 from o where nxt is not null""")
+def q_pair_map_round_trip(spark, sf_dir):
+    """Each customer's consecutive orders as candidate pairs of seven rules, written as JSON pair maps and scanned by splits."""
+    path = scratch_path(spark, "pair-map")
+    nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pairs = fx.read_table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("row_id_1"), nxt.alias("row_id_2"))
+    rule = F.concat(F.lit('EQ(t1.o_custkey,t2.o_custkey)&IQ(t1.o_orderstatus,"'), (F.col("o_custkey") % 7).cast("string"), F.lit('")'))
+    S.write_pair_map(pairs.where("row_id_2 is not null").select(rule.alias("rule"), "row_id_1", "row_id_2"), path)
+    return S.read_pair_map(spark, path)
+
+
+@query("rule_file_groups", f"select rule, group_key, n_rows, n_pairs from ({_groups_sql([(t, k, r) for t, k, r in RULES if t == 'customer'])})")
+def q_rule_file_groups(spark, sf_dir):
+    """The rules of a rule file, each mined over the customer table."""
+    path = scratch_path(spark, "rules")
+    mine = [(r,) for t, _, r in RULES if t == "customer"]
+    spark.createDataFrame([(f"  {r} ",) for r, in mine] + [("",), ("   ",)], "value string").write.text(path)
+    table = fx.read_table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "row_id")
+    out = None
+    for r in S.read_rules(spark, path).collect():                # a rule file is a short list
+        groups = pair_groups(table, r["rule"])
+        out = groups if out is None else out.unionByName(groups)
+    return out.select("rule", "group_key", "n_rows", "n_pairs")
+
+
+@query("corpus_files", fixture_sql(
+    """select 'Name the error in ' || "column" || '.' as instruction, coalesce(error_value, '') as input,
+         to_json(struct_pack(error_type := error_type, right_value := right_value))::varchar as output, dataset,
+         case when substr(md5('sp|' || dataset || '|' || row_id || '|' || "column"), 1, 1) = '0' then 'test' else 'train' end as split
+       from all_glog"""))
+def q_corpus_files(spark, sf_dir):
+    """Triplets with object outputs written as JSON lines by dataset and split, and loaded as one corpus."""
+    path = scratch_path(spark, "corpus")
+    log = fx.all_logs(spark, sf_dir, prefix="g")
+    split = F.when(md5_digit("sp|", F.concat_ws("|", "dataset", "row_id", "column")) == "0", "test").otherwise("train")
+    triplets = log.select(F.concat(F.lit("Name the error in "), "column", F.lit(".")).alias("instruction"),
+                          F.coalesce("error_value", F.lit("")).alias("input"), F.struct("error_type", "right_value").alias("output"),
+                          "dataset", split.alias("split"))
+    S.write_jsonl(triplets, path, partition_by=["split"])
+    return S.load_corpus(spark, path).select("instruction", "input", "output", "dataset", "split")

@@ -7,31 +7,37 @@ writes one file per group.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import NA_TOKENS, na_to_null
 from ..schemas import ERROR, ERROR_FIELDS
+from .csv_split import scan_csv
+from .pair_map import scan_pair_map
 
 
 # ------------------------------------------------------------------ tables
 
 def read_csv_table(spark: SparkSession, path: str, na_tokens: list[str] | None = NA_TOKENS,
-                   key: str | None = "row_id", multi_line: bool = True) -> DataFrame:
+                   key: str | None = "row_id", multi_line: bool | str = True) -> DataFrame:
     """All-string CSV scan with a header row.
 
-    ``multi_line`` keeps quoted newlines inside a field, at the price of one
-    task per file; turn it off for large files whose fields hold none, and the
-    scan is split by blocks.  The UTF-8 BOM is dropped by the reader, and after
+    ``multi_line`` keeps quoted newlines inside a field, and the scan is still
+    split by blocks (see ``csv_split``, also for what it asks of the quotes);
+    "file" reads each file in one task with Spark's own reader, and False is
+    for files whose fields hold no newline.  The UTF-8 BOM is dropped, and after
     the read the pandas null tokens are turned into nulls (``na_tokens=None``
     keeps raw text, as the CSV->JSONL converter does).  Checks that the key
     column exists.
     """
-    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    df = (spark.read.option("header", True).option("multiLine", bool(multi_line)).option("escape", '"')
           .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
+    if multi_line and multi_line != "file" and df.columns:
+        df = scan_csv(spark, path, df.columns)
     # a BOM that survives in the first header name is stripped
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     if key is not None and key not in df.columns:
         raise KeyError(f"missing key column {key!r} in {path}")
     if na_tokens is None:
@@ -39,7 +45,7 @@ def read_csv_table(spark: SparkSession, path: str, na_tokens: list[str] | None =
     return df.select(*[na_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns])
 
 
-def read_csv_typed_key(spark: SparkSession, path: str, key: str = "row_id", multi_line: bool = True) -> DataFrame:
+def read_csv_typed_key(spark: SparkSession, path: str, key: str = "row_id", multi_line: bool | str = True) -> DataFrame:
     """The same scan with the key made numeric (try_cast; bad ids become null)."""
     df = read_csv_table(spark, path, key=key, multi_line=multi_line)
     return df.withColumn(key, F.col(key).try_cast("bigint"))
@@ -51,8 +57,9 @@ def read_cell_changes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header row, no BOM, nulls as empty fields."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header row, no BOM, nulls as empty fields; blanks and line breaks at a value's ends are kept."""
+    df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 # ------------------------------------------------------------------ error logs
@@ -126,18 +133,43 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 PAIR_MAP = T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.LongType())))
 
 
-def read_pair_map(spark: SparkSession, path: str) -> DataFrame:
+def read_pair_map(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """JSON object {rule: [[id1, id2], ...]} -> (rule, row_id_1, row_id_2).
 
-    The format is one JSON object per file, so a file is one row of one task;
-    pairs of large tables belong in ``write_pair_groups``.
+    The scan is split by blocks (``pair_map``); ``whole`` parses each file as
+    one row, for small files whose rules' names hold a closing bracket.
     """
+    if not whole:
+        return scan_pair_map(spark, path)
     txt = spark.read.text(path, wholetext=True)
     m = txt.select(F.explode(F.from_json("value", PAIR_MAP)).alias("rule", "pairs"))
     p = m.select("rule", F.explode("pairs").alias("p"))
     return p.select("rule", F.col("p")[0].alias("row_id_1"), F.col("p")[1].alias("row_id_2"))
 
 
+def write_pair_map(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S6 sink: (rule, row_id_1, row_id_2) as pair maps, a JSON object per part file.
+
+    Pairs are sorted by rule within a task, so a rule stands in as many files
+    as tasks hold pairs of it, once in each.  Nothing is shuffled or gathered.
+    """
+    def lines(batches):
+        import json
+        rule = None
+        for b in batches:
+            out = []
+            for r, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                begin = ("{" if rule is None else "],\n") + json.dumps(r) + ": [" if r != rule else ", "
+                out.append(f"{begin}[{x}, {y}]")
+                rule = r
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+        yield pa.record_batch([pa.array(["]}" if rule is not None else "{}"])], names=["value"])
+
+    known = pairs.where("rule is not null and row_id_1 is not null and row_id_2 is not null")
+    known.select("rule", F.col("row_id_1").cast("bigint"), F.col("row_id_2").cast("bigint")) \
+        .sortWithinPartitions("rule").mapInArrow(lines, "value string").write.mode(mode).text(path)
+
+
 def write_pair_groups(groups: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S6 sink: pair groups / members as parquet partitioned by rule id (md5 of the rule)."""
     groups.withColumn("rule_id", F.md5("rule")).write.mode(mode).partitionBy("rule_id").parquet(path)
@@ -249,7 +281,7 @@ def cache_table(df: DataFrame, path: str) -> DataFrame:
 
 __all__ = ["read_csv_table", "read_csv_typed_key", "read_cell_changes", "write_csv_table",
            "parse_jsonl_lines", "read_error_log", "good_records", "bad_records", "write_jsonl",
-           "read_rules", "read_pair_map", "write_pair_groups", "csv_to_json_rows", "convert_csv_tree",
+           "read_rules", "read_pair_map", "write_pair_map", "write_pair_groups", "csv_to_json_rows", "convert_csv_tree",
            "load_corpus", "cache_table", "NA_TOKENS"]
 
 
