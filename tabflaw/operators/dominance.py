@@ -1,23 +1,25 @@
 """Violations of rules with two order predicates, or with a predicate across columns.
 
-Both are counts of points that lie beyond other points: row i breaks
+Counts of pairs are counts of points that lie beyond other points: row i breaks
 ``LT(t1.A,t2.A)&GT(t1.B,t2.B)`` with every row j of its group whose A is
 larger and whose B is smaller.  ``dominance_counts`` finds, for every query
 point, how many data points of its group come later in one order (x) and
 earlier in another (y), without listing pairs and without a task per group:
 
-1. Two distributed sorts give every point a dense position in x (groups one
-   after the other) and in y; ties are ordered so that strict and non-strict
-   comparisons both become "later" and "earlier".
-2. Positions in x form a tree: blocks of BLOCK positions, nodes of FAN blocks,
-   nodes of FAN nodes and so on.  Inside a block points are compared directly.
-3. On every level above, points are sorted by (group, node, y) over all tasks;
-   a stream keeps the data points seen so far per child of the node, and a
-   query adds those of later children.  What a task must know of the tasks
-   before it are FAN counts for the one node that goes on over its border.
-
-A group of any size is spread over all tasks; the number of levels is the
-logarithm of the rows to the base FAN (two levels reach 10^8 rows).
+1. A distributed sort by group and y gives every point a place in y, a second
+   one by group and x its place in x; ties are ordered so that strict and
+   non-strict comparisons both become "later" and "earlier".  As both orders
+   begin with the group, a point later in x and earlier in y is of the same
+   group, and groups need no further care.
+2. Blocks are BLOCK successive positions in x.  Inside a block points are
+   counted by halving it again and again, in arrays.
+3. Points go back to the tasks that had them in the order of y.  A task passes
+   through its points in that order and keeps how many data points it has seen
+   per block; a query adds those of later blocks.  What it must know of the
+   tasks before it is a count per block.
+
+A group of any size is spread over all tasks.  The driver holds a number per
+block and task of the sort: of 10^8 rows, 800 per task.
 """
 
 from __future__ import annotations
@@ -31,116 +33,132 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import constraints as C
-from .cells import row_index
 
-BLOCK = 512
-FAN = 512
+#: Successive positions in x that a task counts at once (some 100 bytes each).
+BLOCK = 1 << 17
+#: Batches that a block is given out in.
+FAN = 16
 FLIPPED = {"LT": "GT", "GT": "LT", "LTE": "GTE", "GTE": "LTE"}
 
 
-def _compare(keys: np.ndarray, later: np.ndarray, before: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For each of a few points: data points of the same key with a larger ``later`` and a smaller ``before``."""
-    out = np.zeros(len(keys), np.int64)
-    for a in range(0, len(keys), BLOCK):
-        s = slice(a, a + BLOCK)
-        out[s] = ((keys[s, None] == keys[None, :]) & (later[s, None] < later[None, :]) & (before[s, None] > before[None, :])
-                  & data[None, :]).sum(axis=1)
-    return out
+def larger_before(values: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For every point, the data points before it with a larger value.
 
+    Points in descending order are dealt to the two halves of the positions, again and
+    again; where a half is split, its later points count the data points of its earlier
+    ones that stand before them.
+    """
+    n = len(values)
+    bits = max(n - 1, 0).bit_length()
+    size = 1 << bits
+    order = np.arange(size, dtype=np.int32)                              # places without a point come last
+    order[:n] = np.argsort(values, kind="stable")[::-1]                  # descending; of equal values the later position first
+    is_data = np.zeros(size, np.int32)
+    is_data[:n] = data
+    is_data, found = is_data[order], np.zeros(size, np.int32)
+    for bit in range(bits - 1, -1, -1):                                  # nodes of 2 << bit positions, each in descending order
+        second = (order >> bit) & 1
+        seen = np.cumsum(is_data * (1 - second), dtype=np.int32).reshape(-1, 2 << bit)
+        seen[1:] -= seen[:-1, -1:].copy()
+        found += seen.reshape(-1) * second
+        halves = np.concatenate([np.flatnonzero(second == 0).reshape(-1, 1 << bit), np.flatnonzero(second).reshape(-1, 1 << bit)], axis=1).reshape(-1)
+        order, is_data, found = order[halves], is_data[halves], found[halves]
+    return found[:n].astype(np.int64)                                    # now in the order of the positions
+
+
+def _numbers(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return t.column(name).to_numpy() if isinstance(t, pa.Table) else t.column(name).to_numpy(zero_copy_only=False)
+
+
+def _in_blocks(placed: DataFrame, size: int) -> DataFrame:
+    """(block, py, data, id, n) of rows (block, py, data, id) in the order of x: the points of their own block are counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = _numbers(batch, "block")
+            borders = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(borders, borders[1:]):
+                if held and a < b and held[0].column("block")[0].as_py() != block[a]:
+                    yield from counted(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from counted(held)
 
-_OUT = ["id", "n"]
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        n = larger_before(-_numbers(t, "py")[::-1], _numbers(t, "data")[::-1])[::-1]
+        yield from t.append_column("n", pa.array(np.ascontiguousarray(n))).combine_chunks().to_batches(max_chunksize=size)
 
+    return placed.mapInArrow(run, "block bigint, py bigint, data boolean, id bigint, n bigint")
+
+
+def _chunk() -> Column:
+    """The task of the sort by y."""
+    return F.shiftright("py", 33)
 
-def _in_blocks(points: DataFrame) -> DataFrame:
-    """(id, n) of the query points, from their own block."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-            block = t.column("block").to_numpy()
-            cut = int(np.searchsorted(block, block[-1]))        # the last block may go on
-            yield from counted(t.slice(0, cut))
-            left = t.slice(cut)
-        if left is not None:
-            yield from counted(left)
-
-    def counted(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        block = t.column("block").to_numpy()
-        borders = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-        for a, b in zip(borders, borders[1:]):
-            p = t.slice(a, b - a)
-            data = p.column("data").to_numpy()
-            n = _compare(p.column("g").combine_chunks().dictionary_encode().indices.to_numpy(), p.column("px").to_numpy(),
-                         p.column("py").to_numpy(), data)
-            yield pa.RecordBatch.from_arrays([pa.array(p.column("id").to_numpy()[~data]), pa.array(n[~data])], names=_OUT)
-
-    return points.withColumn("block", F.floor(F.col("px") / BLOCK)).repartition("block").sortWithinPartitions("block") \
-        .select("block", "g", "px", "py", "data", "id").mapInArrow(run, "id bigint, n bigint")
-
-
-def _on_level(points: DataFrame, width: int) -> DataFrame:
-    """(id, n) of the query points, from the later children (of ``width`` positions) of their node."""
-    node = F.floor(F.col("px") / (width * FAN))
-    order = ["g", "node", "py"]
-    tagged = cut_lineage(points.withColumn("node", node).withColumn("child", F.pmod(F.floor(F.col("px") / width), F.lit(FAN)).cast("int"))
-                         .select(*order, "child", "data", "id").orderBy(*order)).withColumn("part", F.spark_partition_id())
-    over = tagged.groupBy("g", "node").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")     # at most one per border
-    seen = tagged.filter("data").join(over.drop("a", "b"), ["g", "node"]).groupBy("part", "g", "node", "child").agg(F.count("*").alias("n"))
-    carry: dict[int, tuple] = {}
-    parts = {(r["g"], r["node"]): (r["a"], r["b"]) for r in over.collect()}
-    sums: dict[tuple, dict[int, np.ndarray]] = {}
-    for r in seen.collect():                                     # partitions x FAN counts
-        sums.setdefault((r["g"], r["node"]), {}).setdefault(r["part"], np.zeros(FAN, np.int64))[r["child"]] = r["n"]
-    for key, (a, b) in parts.items():
-        total = np.zeros(FAN, np.int64)
-        for part in range(a, b + 1):
-            if part > a:
-                carry[part] = (*key, total.copy())
-            total += sums.get(key, {}).get(part, 0)
-    known = points.sparkSession.sparkContext.broadcast(carry)
+
+def _in_later_blocks(points: DataFrame, counts: DataFrame, chunks: int, blocks: int) -> DataFrame:
+    """(id, n) of the query points of (block, py, data, id, n), with the data points of later blocks.
+
+    ``counts``: (chunk, block, n) of data points.
+    """
+    table = np.zeros((chunks + 1, blocks + 1), np.int64)
+    t = counts.toArrow()                                  # at most chunks x blocks rows
+    table[_numbers(t, "chunk") + 1, _numbers(t, "block")] = _numbers(t, "n")
+    known = points.sparkSession.sparkContext.broadcast(np.cumsum(table, axis=0))       # per chunk, those of the chunks before
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, counts = None, None
+        chunk, counts = None, None
         for batch in batches:
-            g, nodes = batch.column("g").to_pylist(), batch.column("node").to_numpy()
-            child, data, ids = batch.column("child").to_numpy(), batch.column("data").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
-            names = batch.column("g").dictionary_encode().indices.to_numpy()
-            borders = {0, len(g), *(np.flatnonzero((np.diff(names) != 0) | (np.diff(nodes) != 0)) + 1).tolist()}
-            borders = sorted(borders | set(range(0, len(g), BLOCK)))
-            out = np.zeros(len(g), np.int64)
+            py, block, data = _numbers(batch, "py"), _numbers(batch, "block"), _numbers(batch, "data")
+            borders = [0, *(np.flatnonzero(np.diff(py >> 33)) + 1).tolist(), len(py)]
+            n = _numbers(batch, "n").copy()
             for a, b in zip(borders, borders[1:]):
-                if (now := (g[a], nodes[a])) != key:
-                    key, counts = now, np.zeros(FAN, np.int64)
-                    before = known.value.get(batch.column("part")[a].as_py())
-                    if before is not None and before[:2] == now:
-                        counts = before[2].copy()
-                c, d = child[a:b], data[a:b]
-                later = np.append(np.cumsum(counts[::-1])[::-1], 0)
-                at = np.arange(b - a)
-                out[a:b] = later[c + 1] + ((c[:, None] < c[None, :]) & (at[:, None] > at[None, :]) & d[None, :]).sum(axis=1)
-                counts += np.bincount(c[d], minlength=FAN)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[~data]), pa.array(out[~data])], names=_OUT)
+                if a == b:
+                    continue
+                if (now := int(py[a]) >> 33) != chunk:
+                    chunk, counts = now, known.value[now].copy()
+                own, d = block[a:b], data[a:b]
+                later = np.cumsum(counts[::-1])[::-1]
+                n[a:b] += later[own + 1] + larger_before(own, d)
+                counts += np.bincount(own[d], minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch, "id")[~data]), pa.array(n[~data])], names=["id", "n"])
 
-    return tagged.mapInArrow(run, "id bigint, n bigint")
+    return points.repartitionById(chunks, _chunk().cast("int")).sortWithinPartitions("py").mapInArrow(run, "id bigint, n bigint")
 
 
 def dominance_counts(points: DataFrame, x: list[Column], y: list[Column]) -> DataFrame:
     """(id, n) of every query point of (g, x.., y.., data, id): data points of its group later in ``x`` and earlier in ``y``.
 
-    ``x`` and ``y`` are sort columns that order all points, ties included.
+    ``x`` and ``y`` are sort columns that order all points of a group, ties
+    included.  A row is returned per query point, also where ids repeat.
     """
-    ranked = row_index(points, order_by=y, name="py")
-    placed = cut_lineage(row_index(ranked, order_by=[F.col("g"), *x], name="px").select("g", "px", "py", "data", "id"))
-    total = placed.count()
-    out, width = _in_blocks(placed), BLOCK
-    while width < total:
-        out = out.unionByName(_on_level(placed, width))
-        width *= FAN
-    return out.groupBy("id").agg(F.sum("n").alias("n"))
+    ranked = cut_lineage(points.orderBy(F.col("g"), *y)).withColumn("py", F.monotonically_increasing_id())
+    mid = F.monotonically_increasing_id()                 # the task of the sort by x, and the place in it
+    placed = cut_lineage(ranked.orderBy(F.col("g"), *x).select("py", "data", "id")).withColumn("px", mid)
+    ends = placed.groupBy(F.shiftright("px", 33).alias("part")).agg(F.max("px").alias("last")).orderBy("part").collect()
+    first, blocks = {}, 0                                 # per task its first block
+    for r in ends:
+        first[r["part"]] = blocks
+        blocks += ((r["last"] & ((1 << 33) - 1)) // BLOCK) + 1
+    if not blocks:
+        return placed.select("id", F.lit(0).cast("bigint").alias("n"))
+    start = F.create_map(*[F.lit(int(v)) for kv in first.items() for v in kv])
+    in_task = F.col("px").bitwiseAND((1 << 33) - 1)
+    block = (F.element_at(start, F.shiftright("px", 33).cast("int")) + F.floor(in_task / BLOCK)).cast("bigint")
+    placed = placed.select(block.alias("block"), "py", "data", "id")
+    counts = placed.filter("data").groupBy(_chunk().alias("chunk"), "block").agg(F.count("*").alias("n"))
+    chunks = ranked.agg(F.max(_chunk())).first()[0] + 1
+    return _in_later_blocks(_in_blocks(placed, -(-BLOCK // FAN)), counts, chunks, blocks)
 
 
 def _sides(rows: DataFrame, left: list[str], right: list[str], ops: list[str]) -> DataFrame:
-    """(id, n): for every row as the first of a pair, the rows that hold as the second (itself among them, if it does)."""
+    """(id, n): for every row as the first of a pair, the rows that hold as the second (itself among them, if it does).
+
+    Rows with a null on the left are left out.
+    """
     def points(columns: list[str], data: bool) -> DataFrame:
         out = rows.select("g", "id", F.lit(data).alias("data"), *[F.col(C._q(c)).alias(f"v{k}") for k, c in enumerate(columns)])
         return out.dropna(subset=[f"v{k}" for k in range(len(columns))])
@@ -202,6 +220,12 @@ def _other_rows(rows: DataFrame, left: list[str], right: list[str], ops: list[st
         .withColumn("n", F.coalesce(F.col("n"), F.lit(0)) - _self(left, right, ops))
 
 
+def _other_rows_of_groups(rows: DataFrame, left: list[str], right: list[str], ops: list[str], name: str) -> DataFrame:
+    """(id, name): ``n`` of _other_rows added up over the rows of a group, where ``id`` is the group's."""
+    both = _sides(rows, left, right, ops).unionByName(rows.select("id", (-_self(left, right, ops)).alias("n")))
+    return both.groupBy("id").agg(F.sum("n").cast(C.PAIR_COUNT).alias(name))
+
+
 def _unequal_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(g, n_pairs) of unordered pairs with a_i <> b_j one way or the other, by counts of values."""
     A, B = F.col(C._q(a)), F.col(C._q(b))
@@ -232,14 +256,18 @@ def order_violation_counts(table: DataFrame, rule: str, key: str = "row_id", nul
     if ops == ["IQ"]:
         pairs = _unequal_counts(rows, left[0], right[0])
     else:
-        pairs = _other_rows(rows, left, right, ops).groupBy("g").agg(F.sum("n").cast(C.PAIR_COUNT).alias("n_pairs"))
+        groups = cut_lineage(sizes).withColumn("id", F.monotonically_increasing_id())
+        sizes = groups.select("g", "n_rows")
+        of = rows.drop("id", "row_key").join(groups.select("g", "id"), "g").withColumn("g", F.col("id"))     # numbers sort faster
+        pairs = _other_rows_of_groups(of, left, right, ops, "n_pairs")
         if len(ops) == 1:
-            both = _other_rows(rows, left + right, right + left, [ops[0], FLIPPED[ops[0]]]).groupBy("g").agg(F.sum("n").cast(C.PAIR_COUNT).alias("b"))
-            pairs = pairs.join(both, "g").select("g", (F.col("n_pairs") - F.col("b") / 2).cast(C.PAIR_COUNT).alias("n_pairs"))
+            both = _other_rows_of_groups(of, left + right, right + left, [ops[0], FLIPPED[ops[0]]], "b")
+            pairs = pairs.join(both, "id").select("id", (F.col("n_pairs") - F.col("b") / 2).cast(C.PAIR_COUNT).alias("n_pairs"))
         elif all(op in ("LTE", "GTE") for op in ops):
-            equal = rows.groupBy("g", *[F.col(C._q(c)) for c in dict.fromkeys(left)]).agg(F.count("*").alias("m")) \
-                .groupBy("g").agg(F.sum(C._pairs(F.col("m"))).alias("b"))
-            pairs = pairs.join(equal, "g").select("g", (F.col("n_pairs") - F.col("b")).cast(C.PAIR_COUNT).alias("n_pairs"))
+            equal = of.groupBy("id", *[F.col(C._q(c)) for c in dict.fromkeys(left)]).agg(F.count("*").alias("m")) \
+                .groupBy("id").agg(F.sum(C._pairs(F.col("m"))).alias("b"))
+            pairs = pairs.join(equal, "id").select("id", (F.col("n_pairs") - F.col("b")).cast(C.PAIR_COUNT).alias("n_pairs"))
+        pairs = pairs.join(groups.select("g", "id"), "id").select("g", "n_pairs")
     return sizes.join(pairs, "g").where("n_pairs > 0") \
         .select(F.lit(rule).alias("rule"), F.col("g").alias("group_key"), "n_rows", "n_pairs")
 

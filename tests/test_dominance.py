@@ -4,6 +4,7 @@ import itertools
 import operator
 import random
 
+import numpy as np
 import pytest
 
 from conftest import SF_SMALL
@@ -114,3 +115,12 @@ def test_given_cross_rules(spark):
         df = read_table(spark, SF_SMALL, t)
         got = [(r["row_id_1"], r["row_id_2"]) for r in C.pick_pairs(df, rule, key=key).collect()]
         check_pairs([r.asDict() for r in df.collect()], key, rule, got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 64, 300])
+def test_larger_before_like_all_pairs(n):
+    """A block is counted by halving, not by comparing all its points (with ties, and points that are no data)."""
+    rng = random.Random(n)
+    values, data = [rng.randrange(9) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
+    want = [sum(data[j] and values[j] > values[i] for j in range(i)) for i in range(n)]
+    assert D.larger_before(np.array(values, np.int64), np.array(data, bool)).tolist() == want
