@@ -20,6 +20,9 @@ earlier in another (y), without listing pairs and without a task per group:
 
 A group of any size is spread over all tasks.  The driver holds a number per
 block and task of the sort: of 10^8 rows, 800 per task.
+
+Whether a row has any partner needs less where there is one predicate: the
+largest and the smallest value of the other rows of its group (``with_others``).
 """
 
 from __future__ import annotations
@@ -226,6 +229,31 @@ def _other_rows_of_groups(rows: DataFrame, left: list[str], right: list[str], op
     return both.groupBy("id").agg(F.sum("n").cast(C.PAIR_COUNT).alias(name))
 
 
+def with_others(rows: DataFrame) -> DataFrame:
+    """``rows`` (g, a, b, ..) with ``most`` and ``least``: of ``b`` over the other rows of the group (null: there is no value).
+
+    Two aggregates: the ends of a group, then how many rows are there and the next
+    value inside, which is what a row alone at an end sees.
+    """
+    ends = rows.groupBy("g").agg(F.max("b").alias("top"), F.min("b").alias("low"))
+    inner = rows.join(ends, "g").groupBy("g").agg(
+        F.count(F.expr("case when b = top then 1 end")).alias("at_top"), F.max(F.expr("case when b < top then b end")).alias("below"),
+        F.count(F.expr("case when b = low then 1 end")).alias("at_low"), F.min(F.expr("case when b > low then b end")).alias("above"))
+    return rows.join(ends.join(inner, "g"), "g").select(
+        *[rows[c] for c in rows.columns], F.expr("case when b = top and at_top = 1 then below else top end").alias("most"),
+        F.expr("case when b = low and at_low = 1 then above else low end").alias("least"))
+
+
+def _has_partner(rows: DataFrame, left: str, right: str, op: str) -> DataFrame:
+    """``row_key`` of the rows that hold as the first of a pair for one predicate across columns."""
+    a, b = F.col(C._q(left)), F.col(C._q(right))
+    kind = rows.select(a.alias("v")).unionByName(rows.select(b.alias("v"))).schema["v"].dataType
+    pairs = with_others(rows.select("g", "row_key", a.cast(kind).alias("a"), b.cast(kind).alias("b")))
+    a, most, least = F.col("a"), F.col("most"), F.col("least")
+    found = (a < most) | (a > least) if op == "IQ" else _holds(a, op, most if op in ("LT", "LTE") else least)
+    return pairs.where(found).select("row_key")
+
+
 def _unequal_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(g, n_pairs) of unordered pairs with a_i <> b_j one way or the other, by counts of values."""
     A, B = F.col(C._q(a)), F.col(C._q(b))
@@ -275,15 +303,8 @@ def order_violation_counts(table: DataFrame, rule: str, key: str = "row_id", nul
 def order_violation_rows(table: DataFrame, rule: str, key: str = "row_id", null_keys_match: bool = True) -> DataFrame:
     """(rule, row_id) of the rows of at least one such pair, as its first or its second."""
     rows, left, right, ops = _rows_of(table, rule, key, null_keys_match)
-    if ops == ["IQ"]:
-        def others(a: str, b: str) -> DataFrame:
-            A, B = F.col(C._q(a)), F.col(C._q(b))
-            values = rows.where(B.isNotNull()).groupBy("g", B.alias("v")).agg(F.count("*").alias("c"))
-            total = values.groupBy("g").agg(F.sum("c").alias("t"))
-            j = rows.where(A.isNotNull()).join(total, "g").join(values, (values["g"] == rows["g"]) & (values["v"] == A), "left").select(
-                "row_key", (F.col("t") - F.coalesce("c", F.lit(0)) - F.coalesce((A != B).cast("int"), F.lit(0))).alias("n"))
-            return j.where("n > 0").select("row_key")
-        found = others(left[0], right[0]).unionByName(others(right[0], left[0]))
+    if len(ops) == 1:
+        found = _has_partner(rows, left[0], right[0], ops[0]).unionByName(_has_partner(rows, right[0], left[0], FLIPPED.get(ops[0], "IQ")))
     else:
         found = _other_rows(rows, left, right, ops).where("n > 0").select("row_key") \
             .unionByName(_other_rows(rows, right, left, [FLIPPED[o] for o in ops]).where("n > 0").select("row_key"))

@@ -124,3 +124,16 @@ def test_larger_before_like_all_pairs(n):
     values, data = [rng.randrange(9) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
     want = [sum(data[j] and values[j] > values[i] for j in range(i)) for i in range(n)]
     assert D.larger_before(np.array(values, np.int64), np.array(data, bool)).tolist() == want
+
+
+@pytest.mark.parametrize("op", ["LT", "GTE", "IQ"])
+def test_rows_of_one_predicate_need_no_dominance_counts(spark, monkeypatch, op):
+    """Aggregates of the other rows tell who has a partner; rows and keys repeat, ends are held once and more often."""
+    monkeypatch.setattr(D, "dominance_counts", None)
+    rows, _ = table(spark, 60, 0.5)
+    rows += [dict(r) for r in rows[:9]] + [{"row_id": 900 + k, "g": g, "a": a, "b": b, "s": ""} for k, (g, a, b) in enumerate(
+        [("one", 1, 2), ("two", 5, 9), ("two", 7, 3), ("same", 4, 4), ("same", 4, 4), ("nulls", None, 1), ("nulls", 1, None)])]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id long, g string, a int, b int, s string")
+    for rule in (f"EQ(t1.g,t2.g)&{op}(t1.a,t2.b)", f"EQ(t1.g,t2.g)&{op}(t1.b,t2.a)"):
+        _, ids = brute(rule, rows)
+        assert sorted(r["row_id"] for r in D.order_violation_rows(df, rule).collect()) == ids
