@@ -3,12 +3,13 @@ real errors, and how similar generated transformations are to real ones.
 
 * ``hash_embed`` (functions.vectors) is the default text embedder; a user
   may bring any ARRAY<DOUBLE> embedding column instead.
-* ``knn_cosine`` is exact: both sides are cut into blocks of at most
-  ``block_rows`` vectors; every (query block, reference block) pair is one
-  cogroup task that multiplies two small matrices and keeps only its
-  top-k per query; a final rank over <= k x blocks candidates per query
-  gives the global top-k.  Memory per task is bounded by the block size,
-  never by the data, and no all-pairs list is materialised.
+* ``knn_cosine`` is exact: both sides are cut into parts of at most PART_BLOCKS
+  x ``block_rows`` vectors, and every (query part, reference part) pair is one
+  task that multiplies small matrices and keeps its top-k per query; a final
+  rank over <= k x parts candidates per query gives the global top-k.  What a
+  task reads and holds is bounded by the part size, never by the data, and no
+  all-pairs list is materialised.  Equal queries are searched once, and of
+  equal references only the k first ids can be among the nearest.
 * ``pattern_scores`` sweeps k from one kNN run at the largest k.
 * ``text_similarity`` uses mean(cos(a_i, b_j)) = mean(a_i/|a_i|) . mean(b_j/|b_j|):
   linear, not n x m.
@@ -21,7 +22,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_int
 from ..functions.vectors import cosine, diff, unit
 
 
@@ -55,44 +55,70 @@ def pattern_pairs(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return nx.join(partner, "next_id").select("id", "label", F.col("vec").alias("right_emb"), "error_emb")
 
 
-def _block_topk(k: int, exclude_self: bool):
-    import numpy as np
-    import pandas as pd
+#: Blocks of ``block_rows`` vectors that a task of ``knn_cosine`` has of either side.
+PART_BLOCKS = 8
+#: Similarities that a task holds at once.
+TILE = 1 << 22
+
 
-    def unit_rows(m):
+def _part_topk(k: int, exclude_self: bool, block_rows: int):
+    """mapInArrow function over rows (side, id, vec, diff) of one pair of parts, queries (side 0) first."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column) -> np.ndarray:
+        """Unit rows; NaN where a vector is null, zero or not finite."""
+        lists = column.combine_chunks()
+        lengths = lists.value_lengths()
+        sizes = np.unique(lengths.drop_null().to_numpy())
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of different lengths: {sizes.tolist()}")
+        m = np.full((len(lists), int(sizes[0]) if len(sizes) else 0), np.nan)
+        m[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, m.shape[1])
         n = np.linalg.norm(m, axis=1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(n > 0, m / n, np.nan)
 
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cols = ["q_id", "r_id", "cos", "pcos"]
-        if q.empty or r.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        qv = unit_rows(np.stack(q["q_vec"].to_numpy()).astype(np.float64))
-        rv = unit_rows(np.stack(r["r_vec"].to_numpy()).astype(np.float64))
-        qd = unit_rows(np.stack(q["q_diff"].to_numpy()).astype(np.float64))
-        rd = unit_rows(np.stack(r["r_diff"].to_numpy()).astype(np.float64))
-        s = np.nan_to_num(qv @ rv.T, nan=-np.inf)
-        qi, ri = q["q_id"].to_numpy(), r["r_id"].to_numpy()
-        if exclude_self:
-            s = np.where(qi[:, None] == ri[None, :], -np.inf, s)
-        kk = min(k, s.shape[1])
-        # k-th best per row in linear time, then an exact (cosine desc, id asc)
-        # sort of only the entries at or above it (ties at the threshold kept)
-        thr = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-        rq, rr = np.nonzero(s >= thr[:, None])
-        order = np.lexsort((ri[rr], -s[rq, rr], rq))
-        rq, rr = rq[order], rr[order]
-        first = np.searchsorted(rq, np.arange(len(qi)))
-        keep_k = (np.arange(len(rq)) - first[rq]) < kk
-        rows_q, rows_r = rq[keep_k], rr[keep_k]
-        cos = s[rows_q, rows_r]
-        keep = np.isfinite(cos)
-        rows_q, rows_r, cos = rows_q[keep], rows_r[keep], cos[keep]
-        pcos = np.einsum("ij,ij->i", qd[rows_q], rd[rows_r])
-        return pd.DataFrame({"q_id": qi[rows_q], "r_id": ri[rows_r], "cos": cos,
-                             "pcos": np.where(np.isfinite(pcos), pcos, np.nan)})
-    return fn
+    def best(order_by: np.ndarray, cos: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the k best of every ``order_by`` number, by cosine, ties by id."""
+        order = np.lexsort((ids, -cos, order_by))
+        sorted_by = order_by[order]
+        return order[np.arange(len(order)) - np.searchsorted(sorted_by, sorted_by) < k]
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        held.clear()
+        nq = len(t) - int(np.count_nonzero(t.column("side").to_numpy()))
+        if nq in (0, len(t)):
+            return
+        ids = t.column("id").to_numpy()
+        qi, ri = ids[:nq], ids[nq:]
+        (qv, rv), (qd, rd) = ((matrix(c.slice(0, nq)), matrix(c.slice(nq))) for c in (t.column("vec"), t.column("diff")))
+        del t
+        step = max(1, TILE // block_rows)
+        for a in range(0, nq, step):
+            found = []
+            for b in range(0, len(ri), block_rows):
+                s = np.nan_to_num(qv[a:a + step] @ rv[b:b + block_rows].T, nan=-np.inf)
+                if exclude_self:
+                    s[qi[a:a + step, None] == ri[None, b:b + block_rows]] = -np.inf
+                kk = min(k, s.shape[1])
+                # the k-th best per row in linear time, then an exact order of only the entries at or above it (ties kept)
+                least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+                rows, at = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                cos = s[rows, at]
+                keep = best(rows, cos, ri[b + at])
+                found.append((rows[keep], b + at[keep], cos[keep]))
+            rows, at, cos = (np.concatenate(c) for c in zip(*found))
+            keep = best(rows, cos, ri[at])
+            rows, at, cos = a + rows[keep], at[keep], cos[keep]
+            pcos = np.einsum("ij,ij->i", qd[rows], rd[at])
+            yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(ri[at]), pa.array(cos), pa.array(
+                pcos, mask=~np.isfinite(pcos))], names=["q_id", "r_id", "cos", "pcos"])
+    return run
 
 
 def knn_cosine(queries: DataFrame, refs: DataFrame, k: int = 20, exclude_self: bool = False,
@@ -103,29 +129,39 @@ def knn_cosine(queries: DataFrame, refs: DataFrame, k: int = 20, exclude_self: b
     transformation vector (right - error) scored for the chosen neighbours.
     Output: (q_id, rank, r_id, cos, pcos) with rank 1..k, ties by r_id.
     """
-    if materialize:   # counted for the block sizes, then read again: compute once
-        from ..session import cut_lineage
+    from ..session import cut_lineage
+    if materialize:   # counted for the part sizes, then read again: compute once
         same = queries is refs
         queries = cut_lineage(queries.select("id", "vec", "diff"))
         refs = queries if same else cut_lineage(refs.select("id", "vec", "diff"))
-    nq = queries.count()
-    nr = refs.count()
-    bq = max(1, -(-nq // block_rows))
-    br = max(1, -(-nr // block_rows))
-    q = queries.select(F.col("id").cast("long").alias("q_id"), F.col("vec").alias("q_vec"),
-                       F.col("diff").alias("q_diff"),
-                       F.pmod(hash_int(F.col("id")), F.lit(bq)).alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("rb"))
-    r = refs.select(F.col("id").cast("long").alias("r_id"), F.col("vec").alias("r_vec"),
-                    F.col("diff").alias("r_diff"),
-                    F.pmod(hash_int(F.col("id")), F.lit(br)).alias("rb"),
-                    F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    cand = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-            .applyInPandas(_block_topk(k, exclude_self), "q_id long, r_id long, cos double, pcos double"))
-    w = Window.partitionBy("q_id").orderBy(F.col("cos").desc(), F.col("r_id"))
-    # each query has at most k x (reference blocks) candidates here
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-               .select("q_id", "rank", "r_id", "cos", "pcos")
+    searched = queries
+    if not exclude_self:           # else equal queries have other neighbours: not themselves
+        first = Window.partitionBy("vec").orderBy("id")
+        refs = cut_lineage(refs.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= k).drop("_nth"))
+        different = cut_lineage(queries.select("vec", "diff").distinct()).withColumn("_q", F.monotonically_increasing_id())
+        members = queries.select(F.col("id").cast("long").alias("_id"), "vec", "diff").join(different, ["vec", "diff"]).select("_q", "_id")
+        searched = different.withColumnRenamed("_q", "id")
+    part = PART_BLOCKS * block_rows
+    q_parts, r_parts = (max(1, -(-x.count() // part)) for x in (searched, refs))
+
+    def side(df: DataFrame, number: int, own: int, others: int, place) -> DataFrame:
+        """Rows dealt to the parts of their side by their place in the frame, one copy per part of the other side."""
+        at = df.select(F.col("id").cast("long").alias("id"), "vec", "diff", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(own)).alias("_own"))
+        return at.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select(
+            place(F.col("_own"), F.col("_other")).cast("int").alias("task"), F.lit(number).alias("side"), "id", "vec", "diff")
+
+    both = side(searched, 0, q_parts, r_parts, lambda q, r: q * r_parts + r) \
+        .unionByName(side(refs, 1, r_parts, q_parts, lambda r, q: q * r_parts + r))
+    cand = both.repartitionById(q_parts * r_parts, F.col("task")).sortWithinPartitions("side").select("side", "id", "vec", "diff") \
+        .mapInArrow(_part_topk(k, exclude_self, block_rows), "q_id long, r_id long, cos double, pcos double")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("q_id").orderBy(F.col("cos").desc(), F.col("r_id"))
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    if not exclude_self:           # each query has at most k x (reference parts) candidates here
+        cand = ranked(cand).join(members, F.col("q_id") == F.col("_q")).select(F.col("_id").alias("q_id"), "r_id", "cos", "pcos")
+    return ranked(cand).select("q_id", "rank", "r_id", "cos", "pcos")
 
 
 def pattern_scores(knn: DataFrame, ks=(1, 2, 3, 4, 5, 10, 15, 20), agg: str = "max") -> DataFrame:

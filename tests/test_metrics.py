@@ -160,3 +160,26 @@ def test_embedding_cache_and_own_embedder(spark, scratch):
     assert [round(r["pattern_similarity"] if "pattern_similarity" in own.columns else r[1], 6) for r in own.collect()] == [1.0, 1.0]
     one = lambda x: F.array(F.lit(1.0), F.lit(0.0))
     assert semantic_similarity(log, log, embed=one).first()["semantic_similarity"] == 0.5
+
+
+def test_knn_of_equal_vectors_in_parts(spark):
+    """Parts of 16 vectors, few different ones: neighbours by (cosine, id), each record a query of its own, pairs of parts dealt one to a task."""
+    from tabflaw.operators.patterns import knn_cosine
+    vecs = [[1.0, 0.0, 2.0], [0.0, 3.0, 1.0], [1.0, 1.0, 0.0], [0.0, 0.0, 0.0]]
+    refs = [(100 + (i * 37) % 90, vecs[i % 3], [float(i % 2), 1.0, 0.0]) for i in range(90)]
+    queries = [(i, vecs[i % 4], [1.0, float(i % 3), 0.0]) for i in range(60)]
+    schema = "id long, vec array<double>, diff array<double>"
+    df = knn_cosine(spark.createDataFrame(queries, schema), spark.createDataFrame(refs, schema), k=4, block_rows=2)
+    plan = df._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan and "MapInArrow" in plan
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    want = []
+    for q, v, d in queries:
+        if any(v):
+            near = sorted((-round(cos(v, w), 9), r, round(cos(d, e), 9)) for r, w, e in refs)[:4]
+            want += [(q, n, r, -c, p) for n, (c, r, p) in enumerate(near, 1)]
+    got = sorted((r["q_id"], r["rank"], r["r_id"], round(r["cos"], 9), round(r["pcos"], 9)) for r in df.collect())
+    assert got == sorted(want)
