@@ -6,13 +6,13 @@ MOST_WORDS words is a collocation if it occurs ``support`` times or more.
 
 1. *Blocks*: texts are dealt by language into groups of about SHARD_WORDS words,
    and their words become numbers, in blocks of up to BLOCK_WORDS words of one
-   language with their vocabulary.  What one task then holds of a language is a
+   language with their vocabulary.  What one task then reads of a language is a
    shard.  Summed word counts give the words that reach the support.
 2. *Local mining*, one phrase length after another: every shard is mined
    completely at the support lowered to its share of the language, which a
    phrase must reach in some shard to reach the support in sum.  Only phrases
-   whose shorter parts are still candidates are looked at.  A shard is read
-   twice: a table of hashed counts first, exact counts of what passes it then.
+   whose shorter parts are still candidates are looked at, and of them those
+   whose slot reaches the support in a table of hashed counts over all blocks.
 3. *Union*: local counts are added up.  In a shard that does not name it, a
    phrase stays below the local support, so the sum plus that much is a bound;
    phrases whose bound reaches the support are the candidates.
@@ -22,10 +22,12 @@ What tasks must know of words and candidates goes to them as a Bloom filter of
 at most FILTER_BITS bits, so its size has a bound whatever the corpus; what it
 lets through by mistake is dropped by the exact sums.  Mining shuffles 64-bit
 hashes and counts (a shared hash only adds a candidate); the last reading knows
-phrases inside a block by dense numbers and sums by text, so it is exact.  Many
-shards lower the local support; at 1 every phrase of frequent parts is counted,
-which is linear in the words.  A hot language is many shards; texts are
-shuffled once.
+phrases inside a block by dense numbers and sums by text, so it is exact.  Tasks
+read blocks one after another, as many tasks as the cluster has cores, and add
+up counts before they give them out: a phrase is given out once a task, however
+much each reads, until a task finds more than HELD_HASHES (mining) or HELD_TEXTS
+(last reading) phrases; a shard ends there too.  A hot language is many shards;
+texts are shuffled once.
 
 Scores compare a phrase with its cuts into a first and a second part; products
 are decimals of 38 digits.  A longer candidate with ``inside_percent`` of a
@@ -59,12 +61,20 @@ TOP = 2000
 INSIDE_PERCENT = 100
 #: Words of a block: what a task sorts at once (some 50 bytes a word).
 BLOCK_WORDS = 1 << 18
-#: Words of a shard: what a task holds of a language (some 10 bytes a word).
+#: Words of a language that are dealt to one task.
 SHARD_WORDS = 1 << 23
 ROWS_A_BATCH = "4"
+BLOCKS_A_FILE = 4                 # so that tasks can share a language's blocks evenly
+#: Phrases with counts that a task holds before it gives them out: hashes in mining, texts in the last reading.
+HELD_HASHES = 1 << 20
+HELD_TEXTS = 1 << 19
 _CHARS = 6                        # characters a word, about; for the layout only
 #: Largest Bloom filter: 16 MB.
 FILTER_BITS = 1 << 27
+#: Most slots of a table of hashed counts: a byte each at a support below 256.
+SLOTS = 1 << 26
+_WORDS_A_SLOT = 8
+_CHUNK = 1 << 16
 UND = "und"
 _END = "\n"                       # ends a piece; no word holds it
 _BLANK = pa.scalar(" ", pa.large_string())
@@ -78,28 +88,33 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return h & np.uint64(bits - 1), (h >> np.uint64(32)) * np.uint64(0x85EBCA6B) & np.uint64(bits - 1)
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    mask, high = np.uint64(bits - 1), h >> np.uint64(32)
+    return h & mask, high * np.uint64(0x85EBCA6B) & mask, (h * _MIX >> np.uint64(24)) & mask
+
+
+def _slot(h: np.ndarray, slots: int) -> tuple[np.ndarray]:
+    return ((h >> np.uint64(24)) & np.uint64(slots - 1),)
 
 
 class Filter:
-    """A Bloom filter of two probes over 64-bit hashes; ``bits`` is a power of two."""
+    """Bits that 64-bit hashes must find set: a Bloom filter of three probes, or slots; ``bits`` is a power of two."""
 
-    def __init__(self, bits: int, table: np.ndarray):
-        self.bits, self.table = bits, table
+    def __init__(self, bits: int, table: np.ndarray, probes: Callable = _probes):
+        self.bits, self.table, self.probes = bits, table, probes
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         one = np.uint8(1)
         found = np.ones(len(h), bool)
-        for p in _probes(h, self.bits):
+        for p in self.probes(h, self.bits):
             found &= (self.table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & one == one
         return found
 
 
 def bloom_filter(hashes: DataFrame, limit: int = FILTER_BITS) -> Filter:
-    """Filter of the column ``h`` (bigint): 16 bits a row, as far as ``limit`` bits; merged by a sum of bits per byte."""
+    """Filter of the column ``h`` (bigint): 32 bits a row, as far as ``limit`` bits; merged by a sum of bits per byte."""
     n = one_long(hashes, F.count("*"))
-    bits = min(limit, 1 << max(16, (16 * n - 1).bit_length()))
+    bits = min(limit, 1 << max(16, (32 * n - 1).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +225,6 @@ def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
 
 
 _SLICE = 100_000
-_HELD = 1 << 18                   # phrases with counts that a task holds before it gives them out
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +239,16 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by(_FIELDS[:3]).aggregate([("f", "sum")]).select([*_FIELDS[:3], "f_sum"]).rename_columns(_FIELDS)
 
 
-def _added(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """The counts of a task, added up as far as _HELD phrases can be held."""
+def _added(tables: Iterator[pa.Table], limit: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a task, added up as far as ``limit`` phrases can be held."""
     held, size = [], 0
     for t in tables:
         held.append(t)
         size += len(t)
-        if size >= _HELD:
+        if size >= limit:
             held = [_summed(held)]
             size = len(held[0])
-            if size >= _HELD // 2:
+            if size >= limit // 2:
                 yield from held.pop().to_batches(max_chunksize=_SLICE)
                 size = 0
     if held:
@@ -271,72 +285,107 @@ def _placed(ids: np.ndarray, own: np.ndarray, parts: Filter, k: int) -> np.ndarr
     return _mix(h[place], own[ids[place + (k - 1)]])
 
 
-def mine_shard(blocks: list[tuple[np.ndarray, np.ndarray]], parts: Filter, k: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, counts) of the phrases of ``k`` words that occur ``least`` times or more in blocks (numbers, hashes of words)."""
-    if least == 1:                                              # everything counts; block by block is enough
-        for ids, own in blocks:
-            yield np.unique(_placed(ids, own, parts, k), return_counts=True)
-        return
-    slots = 1 << max(10, (sum(len(ids) for ids, _ in blocks) - 1).bit_length() - 1)
-    table, mask = np.zeros(slots, np.uint32), np.uint64(slots - 1)
-    for ids, own in blocks:
-        np.add.at(table, (_placed(ids, own, parts, k) & mask).astype(np.int64), np.uint32(1))
-    found = []
-    for ids, own in blocks:
-        h = _placed(ids, own, parts, k)
-        found.append(np.unique(h[table[(h & mask).astype(np.int64)] >= least], return_counts=True))
-    hashes, which = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
-    counts = np.bincount(which, np.concatenate([c for _, c in found]), len(hashes)).astype(np.int64)
-    yield hashes[counts >= least], counts[counts >= least]
-
-
-def local_mining(blocks: DataFrame, parts: Filter, k: int, support: int, limit: int = SHARD_WORDS) -> DataFrame:
-    """(number, h, above) of phrases of ``k`` words in blocks (number, n, size, hashes, ids) whose parts pass the filter.
+def _shared(blocks: DataFrame) -> DataFrame:
+    """Blocks in as many partitions as the cluster has cores."""
+    return blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Blocks with the numbers and hashes of their words."""
+    for b, r in _blocks(batches):
+        yield b, r, np.frombuffer(b.column("ids")[r].as_buffer(), np.int32), _numbers(b, r, "hashes").view(np.uint64)
+
+
+def hashed_counts(blocks: DataFrame, parts: Filter, k: int, support: int, slots: int = SLOTS) -> Filter:
+    """Slots that reach the support when all phrases of ``k`` words whose parts pass the filter are counted in a table by their hash."""
+    width, chunk = np.min_scalar_type(support), min(slots, _CHUNK)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(slots, width)
+        for _, _, ids, own in _read(batches):
+            at, counts = np.unique(_slot(_placed(ids, own, parts, k), slots)[0], return_counts=True)
+            table[at] = np.minimum(table[at] + counts, support)         # more is not asked
+        for at in range(0, slots, chunk):
+            if (part := table[at:at + chunk]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // chunk], pa.int32()), pa.array([part.tobytes()])], names=["at", "counts"])
+
+    def reached(t: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, np.int64)
+        for counts in t.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), width)
+        return pa.table([t.column("at").slice(0, 1), pa.array([np.packbits(total >= support, bitorder="little").tobytes()])], names=["at", "bits"])
+
+    rows = _shared(blocks.select("hashes", "ids")).mapInArrow(count, "at int, counts binary") \
+        .groupBy("at").applyInArrow(reached, "at int, bits binary").toArrow()
+    table = np.zeros((slots // chunk, chunk >> 3), np.uint8)               # slots / 8 bytes come to the driver
+    for at, bits in zip(rows.column("at").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        table[at] = np.frombuffer(bits, np.uint8)
+    return Filter(slots, table.reshape(-1), _slot)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of hashes (hashes, counts), added up."""
+    hashes, which = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(hashes), np.int64)
+    np.add.at(counts, which, np.concatenate([c for _, c in parts]))
+    return hashes, counts
+
+
+def local_mining(blocks: DataFrame, parts: Filter, slots: Filter, k: int, support: int, limit: int = HELD_HASHES) -> DataFrame:
+    """(number, h, above) of phrases of ``k`` words in blocks (number, n, size, hashes, ids) that pass ``slots`` and whose parts pass the filter.
 
     ``number`` is the language's and ``n`` its words.  ``above`` is by how much
     a phrase's local counts reach beyond the local supports less 1 of the
     shards that name it; where ``h`` is null, the sum of those of all shards.
+    A shard ends where a task holds ``limit`` phrases.
     """
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         words: dict[int, int] = {}
         total: dict[int, int] = {}
 
+        def size() -> int:
+            return sum(len(h) for found in held.values() for h, _ in found)
+
         def give(lang: int) -> Iterator[pa.RecordBatch]:
-            least = -(-support * words[lang] // total[lang])
-            for h, counts in mine_shard(held.pop(lang), parts, k, least):
-                yield from _sliced([pa.array(np.full(len(h), lang, np.int32)), pa.array(h.view(np.int64)),
-                                    pa.array(counts.astype(np.int64) - (least - 1))], ["number", "h", "above"])
-            del words[lang]
+            least = -(-support * words.pop(lang) // total[lang])
+            h, counts = _merged(held.pop(lang))
+            h, counts = h[counts >= least], counts[counts >= least]
+            yield from _sliced([pa.array(np.full(len(h), lang, np.int32)), pa.array(h.view(np.int64)),
+                                pa.array(counts - (least - 1))], ["number", "h", "above"])
             yield from _sliced([pa.array([lang], pa.int32()), pa.array([None], pa.int64()), pa.array([least - 1], pa.int64())], ["number", "h", "above"])
 
-        for b, r in _blocks(batches):
+        for b, r, ids, own in _read(batches):
             lang = b.column("number")[r].as_py()
             total[lang] = b.column("n")[r].as_py()
-            held.setdefault(lang, []).append((np.frombuffer(b.column("ids")[r].as_py(), np.int32), _numbers(b, r, "hashes").view(np.uint64).copy()))
             words[lang] = words.get(lang, 0) + b.column("size")[r].as_py()
-            while sum(words.values()) >= limit:
-                yield from give(max(words, key=words.get))
+            h = _placed(ids, own, parts, k)
+            held.setdefault(lang, []).append(np.unique(h[slots(h)], return_counts=True))
+            if size() >= limit:
+                for x in held:
+                    held[x] = [_merged(held[x])]
+                while held and size() >= limit // 2:
+                    yield from give(max(held, key=lambda x: len(held[x][0][0])))
         for lang in list(held):
             yield from give(lang)
         pa.default_memory_pool().release_unused()
 
-    return blocks.select("number", "n", "size", "hashes", "ids").mapInArrow(mine, "number int, h bigint, above bigint") \
+    return _shared(blocks.select("number", "n", "size", "hashes", "ids")).mapInArrow(mine, "number int, h bigint, above bigint") \
         .groupBy("number", "h").agg(F.sum("above").alias("above"))
 
 
-def exact_counts(blocks: DataFrame, filters: dict[int, Filter]) -> DataFrame:
+def exact_counts(blocks: DataFrame, filters: dict[int, Filter], limit: int = HELD_TEXTS) -> DataFrame:
     """(lang, phrase, k, f) over all blocks, of every phrase that the filters let through."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[pa.Table]:
-            for b, r in _blocks(batches):
-                ids, words = np.frombuffer(b.column("ids")[r].as_buffer(), np.int32), b.column("words")[r].values.cast(pa.large_string())
-                for texts, counts, k in phrases(ids, words, _numbers(b, r, "hashes").view(np.uint64), lambda h, k: filters[k](h), max(filters)):
+            for b, r, ids, own in _read(batches):
+                words = b.column("words")[r].values.cast(pa.large_string())
+                for texts, counts, k in phrases(ids, words, own, lambda h, k: filters[k](h), max(filters)):
                     yield _counted(b.column("lang")[r].as_py(), texts, k, counts)
 
-        yield from _added(found())
+        yield from _added(found(), limit)
 
-    return blocks.select("lang", "words", "hashes", "ids").mapInArrow(count, "lang string, phrase string, k int, f bigint") \
+    return _shared(blocks.select("lang", "words", "hashes", "ids")).mapInArrow(count, "lang string, phrase string, k int, f bigint") \
         .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
@@ -353,20 +402,25 @@ def _few_rows_a_batch(spark: SparkSession) -> Iterator[None]:
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, most: int = MOST_WORDS,
-                     block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of 1 to ``most`` words with f >= support, and (lang, n) of the languages."""
-    blocks = written(encode(docs, text, lang, block, shard), "colloc-blocks")
+                     block: int = BLOCK_WORDS, shard: int = SHARD_WORDS, hashes: int = HELD_HASHES, texts: int = HELD_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, k, f) of all phrases of 1 to ``most`` words with f >= support, and (lang, n) of the languages.
+
+    A task holds at most ``hashes`` phrases in mining and ``texts`` in the last reading, and what one block adds.
+    """
+    blocks = written(encode(docs, text, lang, block, shard), "colloc-blocks", maxRecordsPerFile=BLOCKS_A_FILE)
     sizes = written(row_index(blocks.groupBy("lang").agg(F.sum("size").alias("n")), order_by="lang", name="number")
                     .withColumn("number", F.col("number").cast("int")), "colloc-sizes")
     dealt = blocks.join(sizes, "lang")                  # a written table of one row per language
+    slots = min(SLOTS, 1 << max(16, (one_long(sizes, F.sum("n")) // _WORDS_A_SLOT).bit_length()))
     with _few_rows_a_batch(docs.sparkSession):
         words = written(word_counts(dealt).filter(F.col("f") >= support), "colloc-words")
         filters = {1: bloom_filter(words)}
         for k in range(2, most + 1):
-            found = written(local_mining(dealt, filters[k - 1], k, support, shard), f"colloc-mined{k}")
+            often = hashed_counts(dealt, filters[k - 1], k, support, slots)
+            found = written(local_mining(dealt, filters[k - 1], often, k, support, hashes), f"colloc-mined{k}")
             slack = found.filter("h is null").select("number", F.col("above").alias("slack"))            # a row per language
             filters[k] = bloom_filter(found.filter("h is not null").join(slack, "number").filter(F.col("above") + F.col("slack") >= support))
-        counted = written(exact_counts(dealt, filters).filter(F.col("f") >= support), "colloc-counts")
+        counted = written(exact_counts(dealt, filters, texts).filter(F.col("f") >= support), "colloc-counts")
     return words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(counted), sizes.select("lang", "n")
 
 
@@ -398,9 +452,10 @@ def absorbed(frequent: DataFrame, percent: int = INSIDE_PERCENT) -> DataFrame:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, most: int = MOST_WORDS,
-                 top: int = TOP, inside_percent: int = INSIDE_PERCENT, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS) -> DataFrame:
+                 top: int = TOP, inside_percent: int = INSIDE_PERCENT, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS,
+                 hashes: int = HELD_HASHES, texts: int = HELD_TEXTS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` collocations."""
-    frequent, sizes = frequent_phrases(docs, text, lang, support, most, block, shard)
+    frequent, sizes = frequent_phrases(docs, text, lang, support, most, block, shard, hashes, texts)
     scored = cut_scores(frequent, sizes).join(absorbed(frequent, inside_percent), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top) \

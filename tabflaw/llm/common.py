@@ -83,10 +83,10 @@ def remove_written(spark: SparkSession) -> int:
     return n
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut lineage through a Parquet table in the shared checkpoint folder (survives lost executors)."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
